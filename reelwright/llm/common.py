@@ -48,3 +48,11 @@ def hash48(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True where crc32(doc_id as text) mod 5 is 0: rows no model may learn from. A null id counts as empty text (crc32 0)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def bounded_sample(df: DataFrame, key: Column, n: int, salt: str = "") -> DataFrame:
+    """About n rows of df, chosen by the hash of their key, the same ones at every run; never more than 2 n."""
+    total = df.count()
+    if total <= n:
+        return df.limit(2 * n)
+    return df.filter(hash48(F.concat(key.cast("string"), F.lit("~" + salt))) < F.lit(int((1 << 48) * n / total))).limit(2 * n)
