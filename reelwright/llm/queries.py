@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelwright.llm import language, mixing, sharding, syncmers, toxicity
+from reelwright.llm import language, mixing, sharding, syncmers, toxicity, warc, wrapper
 from reelwright.llm.common import table
 
 
@@ -28,13 +28,21 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark, table(spark, sf_dir, "pages"))
+
+
+def op9_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_syncmers, op3_language, op4_sharding, op6_toxicity, op10_mixing)}
+    return {f.__name__: f for f in (op1_syncmers, op3_language, op4_sharding, op6_toxicity, op8_warc, op9_wrapper, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.SQL, "op10_mixing": mixing.SQL}
+    return {"op4_sharding": sharding.SQL, "op8_warc": warc.SQL, "op10_mixing": mixing.SQL}
