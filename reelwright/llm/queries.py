@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelwright.llm import language, mixing, sharding, syncmers, toxicity, warc, wrapper
+from reelwright.llm import decontam, language, mixing, sharding, syncmers, toxicity, warc, wrapper
 from reelwright.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -41,8 +45,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_syncmers, op3_language, op4_sharding, op6_toxicity, op8_warc, op9_wrapper, op10_mixing)}
+    return {f.__name__: f for f in (op1_syncmers, op3_language, op4_sharding, op5_decontam, op6_toxicity, op8_warc, op9_wrapper, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.SQL, "op8_warc": warc.SQL, "op10_mixing": mixing.SQL}
+    return {"op4_sharding": sharding.SQL, "op5_decontam": decontam.SQL, "op8_warc": warc.SQL, "op10_mixing": mixing.SQL}
