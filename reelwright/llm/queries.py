@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelwright.llm import decontam, language, mixing, sharding, syncmers, toxicity, warc, wrapper
+from reelwright.llm import decontam, language, mixing, sharding, skipjoin, syncmers, toxicity, warc, wrapper
 from reelwright.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_skipjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skipjoin.link_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs))
@@ -45,8 +49,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_syncmers, op3_language, op4_sharding, op5_decontam, op6_toxicity, op8_warc, op9_wrapper, op10_mixing)}
+    return {f.__name__: f for f in (op1_syncmers, op2_skipjoin, op3_language, op4_sharding, op5_decontam, op6_toxicity, op8_warc, op9_wrapper, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.SQL, "op5_decontam": decontam.SQL, "op8_warc": warc.SQL, "op10_mixing": mixing.SQL}
+    return {"op2_skipjoin": skipjoin.SQL, "op4_sharding": sharding.SQL, "op5_decontam": decontam.SQL, "op8_warc": warc.SQL, "op10_mixing": mixing.SQL}
