@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelwright.llm import decontam, language, mixing, sharding, skipjoin, syncmers, toxicity, warc, wrapper
+from reelwright.llm import decontam, language, mixing, pii, sharding, skipjoin, syncmers, toxicity, warc, wrapper
 from reelwright.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(spark, table(spark, sf_dir, "pages"))
 
@@ -49,7 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_syncmers, op2_skipjoin, op3_language, op4_sharding, op5_decontam, op6_toxicity, op8_warc, op9_wrapper, op10_mixing)}
+    return {f.__name__: f for f in (op1_syncmers, op2_skipjoin, op3_language, op4_sharding, op5_decontam, op6_toxicity, op7_pii, op8_warc, op9_wrapper, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
