@@ -125,6 +125,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                       F.coalesce("items_sha256", none).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of benchmark occurs."""
+    found = cut(hits(docs, benchmark, window).select(F.col("_id").alias("_hit_id"), F.col("_text").alias("_hit_text")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))) == F.col("_hit_id")) & (F.xxhash64(text) == F.col("_hit_text"))
+    return docs.join(bounded(found, found.count()), same, "left_anti")
+
+
 _W = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL = f"""

@@ -23,10 +23,10 @@ STREAM_PARTS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, _key (the source; null sorts last), _h (place in the source's stream), _part, size. Null text: size 0."""
+def sizes(docs: DataFrame, *carried: Column) -> DataFrame:
+    """doc_id, _key (the source; null sorts last), _h (place in the source's stream), _part, size, and carried. Null text: size 0."""
     key = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce(F.col("source"), F.lit("")))
-    rows = docs.select("doc_id", key.alias("_key"), hash48(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("_h"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select("doc_id", key.alias("_key"), hash48(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("_h"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *carried)
     return rows.withColumn("_part", F.floor(F.col("_h") / F.lit((1 << 48) // STREAM_PARTS)))
 
 
@@ -61,33 +61,45 @@ def when_consumed(share: Column, first: Column, last: Column) -> Column:
     return F.when(share <= 0, F.lit(0.0)).otherwise(F.least(2 * c / (first + root), F.lit(1.0)))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, position of every row of docs, range-sorted by position.
-
-    A source's stream repeats its documents in hash order until its target is filled: whole passes, then a last partial one, whose last
-    document may be taken in part. `copies` is taken over size, rounded: what a row-wise mix repeats. `position` is the training time of
-    the document's first word (null if nothing is taken). A document without words has size and taken 0; repeated rows are documents of
-    their own; an empty table gives an empty result.
-    """
-    rows = cut(sizes(docs))  # one scan of the texts; what follows needs numbers only
+def placed(rows: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """rows (sizes()) with source_size, target, _first, _last, _at (words before it in its source's stream), taken and copies."""
     parts = rows.groupBy("_key", "_part").agg(F.sum("size").alias("_sum"))
     goal = targets(parts.groupBy("_key").agg(F.sum("_sum").alias("source_size")), weights, most)
     stream = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.join(goal, "_key").withColumn("_before", F.coalesce(F.sum("_sum").over(stream), F.lit(0))).drop("_sum")
     within = Window.partitionBy("_key", "_part").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_at", F.sum("size").over(within) - F.col("size")).join(parts, ["_key", "_part"])
-    at = F.col("_before") + F.col("_at")
     passes = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(F.col("target") / F.col("source_size")))
     left = F.round(F.col("target")).cast("long") - F.col("_passes") * F.col("source_size")
-    rows = rows.withColumns({"_at": at, "_passes": passes.cast("long")})
+    rows = rows.withColumns({"_at": F.col("_before") + F.col("_at"), "_passes": passes.cast("long")})
     taken = F.col("_passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("_at")))
     rows = rows.withColumn("taken", F.least(taken, most * F.col("size")).cast("long"))
+    return rows.withColumn("copies", F.when(F.col("size") == 0, F.lit(0)).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int"))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, position of every row of docs, range-sorted by position.
+
+    A source's stream repeats its documents in hash order until its target is filled: whole passes, then a last partial one, whose last
+    document may be taken in part. `copies` is taken over size, rounded: what a row-wise mix repeats. `position` is the training time of
+    the document's first word (null if nothing is taken). A document without words has size and taken 0; repeated rows are documents of
+    their own; an empty table gives an empty result.
+    """
+    rows = placed(cut(sizes(docs)), weights, most)  # one scan of the texts; the rest needs numbers only
     position = F.when(F.col("taken") > 0, when_consumed(F.col("_at") / F.col("target"), F.col("_first"), F.col("_last")))
-    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
-    out = rows.select("doc_id", "size", "source_size", "target", "taken", copies.alias("copies"), position.alias("position"))
+    out = rows.select("doc_id", "size", "source_size", "target", "taken", "copies", position.alias("position"))
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def mixed_rows(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as its `copies` says, range-sorted by each copy's training position."""
+    rows = placed(sizes(docs, F.struct(*[F.col(c) for c in docs.columns]).alias("_row")), weights, most).filter("copies > 0")
+    rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    share = (F.col("_at") + F.col("_pass") * F.col("source_size")) / F.col("target")
+    rows = rows.withColumn("_position", when_consumed(share, F.col("_first"), F.col("_last")))
+    return rows.orderBy("_position", "doc_id").select("_row.*")
+
+
 SQL = f"""
 WITH base AS (
   SELECT doc_id, (source IS NULL)::INT || coalesce(source, '') AS k, cast('0x' || substr(md5(coalesce(cast(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS h,

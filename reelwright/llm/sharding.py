@@ -38,25 +38,26 @@ def _sub(key: Column, buckets: int) -> Column:
     return hash48(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit("#"))) % buckets
 
 
-def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, slot_buckets: int = SLOT_BUCKETS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs (doc_id, text, any more columns, which are ignored).
+def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, slot_buckets: int = SLOT_BUCKETS, whole: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs (doc_id, text, any more columns); whole: all its
+    columns instead of the first, and then the others.
 
     Slots are numbered gaplessly in each shard, by sub-bucket, doc_id, checksum and size: no task holds a whole shard. A null text
     counts as empty (crc32 0, size 8); rows with a null doc_id share the key "null"; equal rows get neighbouring slots; an empty
     table gives an empty result.
     """
-    keyed = assign(docs.select("doc_id", "text"), F.col("doc_id"), weights).withColumn("_sub", _sub(F.col("doc_id"), slot_buckets))
+    keyed = assign(docs.select("doc_id", "text", *([F.struct(*[F.col(c) for c in docs.columns]).alias("_row")] if whole else [])), F.col("doc_id"), weights).withColumn("_sub", _sub(F.col("doc_id"), slot_buckets))
     # The counts need doc_id alone, so this second scan reads one column.
     counts = keyed.groupBy("shard", "_sub").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = keyed.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "shard", "grown_shard", "_sub")
+    rows = keyed.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "shard", "grown_shard", "_sub", *(["_row"] if whole else []))
     order = Window.partitionBy("shard", "_sub").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
     rows = rows.withColumn("_at", F.row_number().over(order).cast("long") - 1)
     slot = F.col("_start") + F.col("_at")
     return rows.join(F.broadcast(starts), ["shard", "_sub"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.cast("long").alias("slot"), "grown_shard")
+        *(["_row.*"] if whole else ["doc_id"]), "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.cast("long").alias("slot"), "grown_shard")
 
 
 SQL = f"""

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelwright.llm.common import cut
 from reelwright.llm.components import components
@@ -355,6 +356,27 @@ def link_classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, block:
     return rows.join(sets, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def keep_one(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """The rows of docs, with all their columns, of which one of each class stays: one with the smallest doc_id, null ids last, and of
+    several of those the one with the least set hash. Rows without words all stay."""
+    rows, linked = classes(docs, n, threshold, block)
+    sets = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("_first"))
+    sets = sets.join(linked.select("sid", "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    keepers = sets.groupBy("label").agg(F.min(F.struct(F.col("_first").isNull(), F.col("_first"), F.col("sid"))).alias("_k")).select(F.col("_k._first").alias("_kept"), F.col("_k.sid").alias("_sid"))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, n) for t in _texts(batch)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_id(s) if len(s) else None for s in sets], pa.binary())], [*batch.schema.names, "_sid"])
+
+    with_ids = docs.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField("_sid", T.BinaryType())]))
+    met = with_ids.filter(F.col("_sid").isNotNull()).alias("d").join(keepers.alias("k"), (F.col("d._sid") == F.col("k._sid")) & F.col("d.doc_id").eqNullSafe(F.col("k._kept"))).select("d.*")
+    # Rows that repeat a keeper's doc_id and set: one of them.
+    first = F.row_number().over(Window.partitionBy("_sid", "doc_id").orderBy(F.xxhash64("text")))
+    met = met.withColumn("_at", first).filter("_at = 1").drop("_at")
+    return met.unionByName(with_ids.filter(F.col("_sid").isNull())).drop("_sid")
+
+
 SQL = f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),

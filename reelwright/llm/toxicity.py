@@ -166,3 +166,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None
     chosen = F.broadcast(picks[0].unionByName(picks[1]))  # 2 x 5000 rows of two numbers at most
     rows = [(r["text"], r["toxic"]) for r in docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(chosen, "doc_id").limit(4 * sum((sample or SAMPLE).values())).collect()]
     return train(sorted(rows))
+
+
+def keep_clean(docs: DataFrame, scorer: Scorer, most: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that score under `most`."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                yield part.filter(pa.array(scorer.scores([t or "" for t in part.column("text").to_pylist()]) < most))
+
+    return docs.mapInArrow(rows, docs.schema)
