@@ -1,11 +1,431 @@
-"""The registered queries and their SQL twins."""
+"""The registered queries over the driver's tables, and their SQL twins.
+
+Movies are users of `events`, times are microseconds since 2024-01-01, a movie lasts 30 days, and error and purchase events are the
+detections, with the event's type as their tag.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reelwright.functions import exprs, params
+from reelwright.operators import detect, playback, policy, text, timeline
+from reelwright.sources import containers
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+DAY = 86_400_000_000
+DURATION, EPOCH = 30 * DAY, 1_704_067_200_000_000
+#: Profiles over the bound tags.
+PROFILES = {"child": {"error": "skip", "purchase": "swap"}, "teen_m": {"error": "swap"}, "teen_f": {"purchase": "swap"}, "adult": {}}
+WORDS = ("the", "with", "by")
+#: tag, keyword, weight.
+KEYWORDS = (("language", "the", 1), ("fear", "and", 2), ("fear", "of", 1), ("gore", "with", 1), ("gore", "by", 1), ("violence", "is", 1))
+AS_OF = "2024-06-30"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+    return e.select(F.col("user_id").alias("movie_id"), (F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH).alias("t"), F.col("event_id").alias("seq"), "event_type", "value")
+
+
+def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).filter(F.col("event_type").isin("error", "purchase")).withColumn("tags", F.array("event_type"))
+
+
+def _movies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events", "user_id").select(F.col("user_id").alias("movie_id")).distinct().withColumn("duration", F.lit(DURATION))
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.fill_gaps(timeline.sessionize(_detections(spark, sf_dir), DAY, DURATION), _movies(spark, sf_dir))
+
+
+def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = _segments(spark, sf_dir)
+    # A third of the segments have a filler of their own; the others have none to swap to but themselves.
+    filler = F.when(F.col("seg_no") % 3 == 0, F.concat(F.lit("fill_"), F.col("seg_id")))
+    return policy.profile_matrix(segments.withColumn("profile_segment_id", filler), policy.profiles_table(spark, PROFILES))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment, and the fillers of one third, at half its length, but for each ninth segment, which has none in the index."""
+    s = _segments(spark, sf_dir)
+    length = F.col("end") - F.col("start")
+    own = F.struct(F.col("seg_id").alias("target_id"), length.alias("duration"))
+    fill = F.struct(F.concat(F.lit("fill_"), F.col("seg_id")).alias("target_id"), F.floor(length / 2).cast("bigint").alias("duration"))
+    return s.select("movie_id", F.inline(F.when((F.col("seg_no") % 3 == 0) & (F.col("seg_no") % 9 != 0), F.array(own, fill)).otherwise(F.array(own))))
+
+
+def _sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return playback.sequence(_matrix(spark, sf_dir), _index(spark, sf_dir))
+
+
+def _tags(c: str = "tags") -> F.Column:
+    return F.array_join(c, ",").alias("tags")
+
+
+# SQL of the bound tables, to build the twins from.
+EV = f"ev AS (SELECT user_id AS movie_id, epoch_us(ts) - {EPOCH} AS t, event_id AS seq, event_type, value FROM events)"
+DET = "det AS (SELECT * FROM ev WHERE event_type IN ('error', 'purchase'))"
+GRP = f"""mark AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY movie_id ORDER BY t, seq) > {DAY} THEN 1 ELSE 0 END AS brk FROM det),
+grp AS (SELECT *, sum(brk) OVER (PARTITION BY movie_id ORDER BY t, seq ROWS UNBOUNDED PRECEDING) + 1 AS g FROM mark),
+seg AS (SELECT movie_id, cast(g AS BIGINT) AS group_no, min(t) AS s, least(max(least(t + {DAY}, {DURATION})), {DURATION}) AS e,
+  string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS tags, count(*) AS n FROM grp GROUP BY movie_id, g)"""
+FILL = f"""mov AS (SELECT DISTINCT user_id AS movie_id FROM events),
+prv AS (SELECT *, coalesce(max(e) OVER (PARTITION BY movie_id ORDER BY group_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM seg),
+parts AS (SELECT movie_id, group_no * 2 + 1 AS o, s, e, tags FROM seg
+  UNION ALL SELECT movie_id, group_no * 2, p, s, '' FROM prv WHERE s > p
+  UNION ALL SELECT movie_id, coalesce(g, 0) * 2 + 2, coalesce(l, 0), {DURATION}, '' FROM mov LEFT JOIN (SELECT movie_id, max(e) AS l, max(group_no) AS g FROM seg GROUP BY 1) USING (movie_id) WHERE coalesce(l, 0) < {DURATION}),
+tl AS (SELECT movie_id, cast(row_number() OVER (PARTITION BY movie_id ORDER BY o, s, e) AS INTEGER) AS seg_no, s, e, tags,
+  CASE WHEN tags = '' THEN 'safe' ELSE 'mature' END AS risk, CASE WHEN tags = '' THEN 'play' ELSE 'swap' END AS act FROM parts),
+fil AS (SELECT *, 'seg_' || CASE WHEN seg_no < 1000 THEN lpad(seg_no::VARCHAR, 3, '0') ELSE seg_no::VARCHAR END AS seg_id FROM tl)"""
+MAT = """prof(profile, has) AS (VALUES ('child', 'error,purchase'), ('teen_m', 'error'), ('teen_f', 'purchase'), ('adult', '')),
+mat0 AS (SELECT *, CASE WHEN risk <> 'safe' AND len(list_intersect(string_split(tags, ','), string_split(has, ','))) > 0 THEN act ELSE 'play' END AS profile_action FROM fil, prof),
+mat AS (SELECT *, CASE WHEN profile_action IN ('swap', 'skip') AND seg_no % 3 = 0 THEN 'fill_' || seg_id ELSE seg_id END AS target_id FROM mat0)"""
+SEQ = """idx AS (SELECT movie_id, seg_id AS target_id, e - s AS duration FROM fil
+  UNION ALL SELECT movie_id, 'fill_' || seg_id, (e - s) // 2 FROM fil WHERE seg_no % 3 = 0 AND seg_no % 9 <> 0),
+pl AS (SELECT m.movie_id, profile, cast(row_number() OVER (PARTITION BY m.movie_id, profile ORDER BY seg_no) AS INTEGER) AS play_no, seg_no, seg_id, profile_action, m.target_id, s, e, duration
+  FROM mat m JOIN idx i ON m.movie_id = i.movie_id AND m.target_id = i.target_id WHERE profile_action <> 'skip')"""
+BASE = f"WITH {EV}, {DET}, {GRP}"
+FULL = f"{BASE}, {FILL}"
+PLAY = f"{FULL}, {MAT}, {SEQ}"
+_TOK = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
+_CLEAN = """trim(lower(w), '''"')"""
+
+
+@query(f"WITH w AS (SELECT doc_id, {_CLEAN} AS w FROM (SELECT doc_id, unnest({_TOK}) AS w FROM documents)) SELECT doc_id, count(*) AS n_words, count(DISTINCT w) AS n_distinct FROM w GROUP BY doc_id")
+def q01_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.text_words(_read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_distinct("word").alias("n_distinct"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, pos, {_CLEAN} AS w FROM (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS pos FROM (SELECT doc_id, {_TOK} AS t FROM documents)))
+SELECT DISTINCT doc_id, cast(pos * 400 // 5000 * 5000 AS BIGINT) AS t, 'language' AS tags FROM w WHERE w IN {WORDS}""")
+def q02_bucket_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = detect.text_words(_read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", step=400)
+    return detect.bucket_detections(words, "doc_id", 5000, list(WORDS)).select("doc_id", "t", _tags())
+
+
+@query(f"""WITH k(tag, keyword, weight) AS (VALUES {", ".join(map(str, KEYWORDS))}),
+w AS (SELECT DISTINCT doc_id, {_CLEAN} AS w FROM (SELECT doc_id, unnest({_TOK}) AS w FROM documents))
+SELECT doc_id, tag, cast(sum(weight) AS BIGINT) AS weight FROM w JOIN k ON w = keyword GROUP BY ALL HAVING sum(weight) >= CASE tag WHEN 'language' THEN 1 ELSE 2 END""")
+def q03_keyword_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("tag"), F.lit(b).alias("keyword"), F.lit(c).alias("weight")) for a, b, c in KEYWORDS])))
+    words = detect.text_words(_read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
+    return detect.keyword_hits(words, "doc_id", table, F.when(F.col("tag") == "language", 1).otherwise(2))
+
+
+@query("""WITH s AS (SELECT event_id, event_type = 'click' AS cartoon, least(greatest((value / 100.0 + 1) / 2, 0.0), 1.0)::DOUBLE AS a, value / 50.0 AS b FROM (SELECT event_id, event_type, value::DOUBLE AS value FROM events)),
+c AS (SELECT event_id, cartoon, greatest(a, least(b, 1.0::DOUBLE)) AS score, a > 0.5 OR b > 0.3 AS flagged FROM s)
+SELECT event_id, cartoon, score, CASE WHEN cartoon THEN 0.8 ELSE 0.6 END::DOUBLE AS threshold FROM c WHERE flagged AND score >= CASE WHEN cartoon THEN 0.8 ELSE 0.6 END::DOUBLE""")
+def q04_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events", "event_id", "event_type", "value")
+    first, second = exprs.checker_confidence(F.col("value") / 100.0), F.col("value") / 50.0
+    e = e.select("event_id", (F.col("event_type") == "click").alias("cartoon"), exprs.combined(first, F.least(second, F.lit(1.0)), F.lit(0.0)).alias("score"), exprs.any_flag(first > 0.5, second, F.lit(False)).alias("flagged"))
+    return detect.above_threshold(e.filter("flagged"), F.col("score"), F.col("cartoon")).select("event_id", "cartoon", "score", "threshold")
+
+
+def _speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    return e.select("movie_id", F.struct("t", "seq").alias("seq"), F.col("t").alias("start"), (F.col("t") + (F.col("value") * 1_000_000).cast("bigint")).alias("end"))
+
+
+RATIO = f"""{EV}, sp AS (SELECT movie_id, sum(cast(trunc(value * 1000000) AS BIGINT))::BIGINT AS speech,
+  arg_max(t + cast(trunc(value * 1000000) AS BIGINT), (t, seq)) - arg_min(t, (t, seq)) AS span FROM ev GROUP BY movie_id),
+ratio AS (SELECT movie_id, CASE WHEN span <= 0 THEN 0.0::DOUBLE ELSE least(greatest(1.0::DOUBLE - speech / span, 0.0::DOUBLE), 1.0::DOUBLE) END AS ratio FROM sp)"""
+
+
+@query(f"WITH {RATIO} SELECT * FROM ratio")
+def q05_silence_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.silence_ratio(_speech(spark, sf_dir))
+
+
+@query(f"""WITH {RATIO} SELECT seq AS event_id, ratio > 0.7 AS silenced, CASE WHEN ratio > 0.7 THEN cast(trunc(value * 10000) AS BIGINT) // 2 ELSE cast(trunc(value * 10000) AS BIGINT) END AS score
+FROM ev JOIN ratio USING (movie_id)""")
+def q06_silence_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).join(detect.silence_ratio(_speech(spark, sf_dir)), "movie_id")
+    score = (F.col("value") * 10_000).cast("bigint")
+    silenced = F.col("ratio") > params.SILENT
+    return rows.select(F.col("seq").alias("event_id"), silenced.alias("silenced"), F.when(silenced, F.floor(score / 2)).otherwise(score).cast("bigint").alias("score"))
+
+
+@query(f"{BASE} SELECT movie_id, group_no, s AS start, e AS \"end\", tags, n FROM seg")
+def q07_sessionize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.sessionize(_detections(spark, sf_dir), DAY, DURATION).select("movie_id", "group_no", "start", "end", _tags(), "n")
+
+
+@query(f"{FULL} SELECT movie_id, seg_no, seg_id, s AS start, e AS \"end\", tags, risk, act AS action FROM fil")
+def q08_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir).withColumn("tags", _tags())
+
+
+@query(f"{FULL} SELECT movie_id, count(*) AS n, count(*) FILTER (risk = 'safe') AS safe, count(*) FILTER (risk = 'mature') AS mature FROM fil GROUP BY movie_id")
+def q09_risk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.risk_counts(_segments(spark, sf_dir))
+
+
+@query(f"""{FULL}, w AS (SELECT movie_id, seq, event_type AS word, t AS ws, t + cast(trunc(value * 1000000) AS BIGINT) AS we FROM ev),
+j AS (SELECT f.movie_id, f.seg_no, count(*) AS n, string_agg(word, ' ' ORDER BY ws, seq) AS txt FROM fil f JOIN w ON f.movie_id = w.movie_id AND w.ws < f.e AND w.we > f.s GROUP BY ALL)
+SELECT movie_id, seg_no, cast(coalesce(n, 0) AS INTEGER) AS n_words, coalesce(left(txt, 2000), '') AS text FROM fil LEFT JOIN j USING (movie_id, seg_no)""")
+def q10_overlap_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _events(spark, sf_dir).select("movie_id", F.struct("t", "seq").alias("seq"), F.col("event_type").alias("word"), F.col("t").alias("start"), (F.col("t") + (F.col("value") * 1_000_000).cast("bigint")).alias("end"))
+    return text.overlap_text(_segments(spark, sf_dir), words, DAY)
+
+
+@query("""WITH a AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'x ["' || event_type || '","politics","politics","nope"] y' WHEN 1 THEN 'politics and ' || event_type || ' and war_military'
+  WHEN 2 THEN '[broken "drugs"] crime' ELSE 'none' END AS answer FROM events)
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'politics,politics' WHEN 1 THEN 'politics,war_military' WHEN 2 THEN 'drugs,crime' ELSE '' END AS topics FROM a""")
+def q11_topics_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events", "event_id", "event_type")
+    case = F.col("event_id") % 4
+    answer = F.when(case == 0, F.concat(F.lit('x ["'), "event_type", F.lit('","politics","politics","nope"] y'))).when(case == 1, F.concat(F.lit("politics and "), "event_type", F.lit(" and war_military"))).when(case == 2, F.lit('[broken "drugs"] crime')).otherwise("none")
+    return e.select("event_id", F.array_join(exprs.parsed_topics(answer), ",").alias("topics"))
+
+
+@query(f"{FULL}, {MAT} SELECT movie_id, seg_no, profile, profile_action, target_id FROM mat")
+def q12_profile_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matrix(spark, sf_dir).select("movie_id", "seg_no", "profile", "profile_action", "target_id")
+
+
+@query(f"""{FULL}, lab AS (SELECT movie_id, seg_no, CASE WHEN tags = '' THEN []::VARCHAR[] ELSE string_split(tags, ',') END AS tags, CASE WHEN seg_no % 2 = 0 THEN ['drugs'] ELSE []::VARCHAR[] END AS topics FROM fil),
+flt(profile, label, action, p) AS (VALUES ('strict', 'error', 'swap', 4), ('strict', 'drugs', 'skip', 5), ('strict', 'purchase', 'mute', 2), ('mild', 'error', 'blur', 3), ('mild', 'purchase', 'play', 1)),
+pr(profile) AS (VALUES ('strict'), ('mild')),
+l AS (SELECT movie_id, seg_no, unnest(list_distinct(list_concat(tags, topics))) AS label FROM lab),
+m AS (SELECT movie_id, seg_no, profile, arg_max(action, p) AS action FROM l JOIN flt USING (label) GROUP BY ALL)
+SELECT lab.movie_id, lab.seg_no, pr.profile, coalesce(m.action, 'play') AS action FROM lab CROSS JOIN pr LEFT JOIN m ON m.movie_id = lab.movie_id AND m.seg_no = lab.seg_no AND m.profile = pr.profile""")
+def q13_most_restrictive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = policy.profiles_table(spark, {"strict": {"error": "swap", "drugs": "skip", "purchase": "mute"}, "mild": {"error": "blur", "purchase": "play"}})
+    topics = F.when(F.col("seg_no") % 2 == 0, F.array(F.lit("drugs")))
+    rows = _segments(spark, sf_dir).select("movie_id", "seg_no", text.labels(F.col("tags"), topics).alias("labels")).crossJoin(F.broadcast(profiles))
+    return rows.select("movie_id", "seg_no", "profile", policy.most_restrictive(F.col("labels"), F.col("filters")).alias("action"))
+
+
+BORN = "(date '2024-01-01' - cast((c_custkey * 37) % 9000 AS INTEGER))"
+AGE = f"year(date '{AS_OF}') - year(b) - CASE WHEN (month(date '{AS_OF}'), day(date '{AS_OF}')) < (month(b), day(b)) THEN 1 ELSE 0 END"
+BYAGE = "CASE WHEN age < 13 THEN 'child' WHEN age < 18 THEN CASE WHEN sex = 'female' THEN 'teen_f' ELSE 'teen_m' END ELSE 'adult' END"
+VIEWERS = f"""v AS (SELECT c_custkey AS user_id, {BORN} AS b, CASE c_custkey % 3 WHEN 0 THEN 'female' WHEN 1 THEN 'Male' ELSE NULL END AS sex, CASE WHEN c_custkey % 10 = 0 THEN 'child' ELSE '' END AS ovr FROM customer),
+va AS (SELECT *, {AGE} AS age FROM v)"""
+
+
+def _viewers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    c = _read(spark, sf_dir, "customer", "c_custkey")
+    return c.select(k.alias("user_id"), F.date_sub(F.lit("2024-01-01").cast("date"), ((k * 37) % 9000).cast("int")).alias("born"), F.when(k % 3 == 0, "female").when(k % 3 == 1, "Male").alias("sex"), F.when(k % 10 == 0, "child").otherwise("").alias("override"))
+
+
+@query(f"""WITH {VIEWERS}, p AS (SELECT user_id, age, CASE WHEN ovr <> '' THEN ovr ELSE {BYAGE} END AS preferred FROM va)
+SELECT user_id, cast(age AS INTEGER) AS age, preferred, CASE WHEN preferred IN ('teen_m', 'teen_f') THEN 'teen' WHEN preferred = 'child' THEN 'adult' ELSE preferred END AS profile FROM p""")
+def q14_age_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    as_of = F.lit(AS_OF).cast("date")
+    v = _viewers(spark, sf_dir)
+    preferred = policy.preferred_profile(F.col("override"), F.col("born").cast("string"), F.col("sex"), as_of, F.lit(None).cast("string"))
+    v = v.select("user_id", policy.completed_years(F.col("born"), as_of).alias("age"), preferred.alias("preferred"))
+    return v.withColumn("profile", policy.available_profile(F.col("preferred"), F.array(F.lit("adult"), F.lit("teen"))))
+
+
+@query(f"""WITH {VIEWERS}, a AS (SELECT user_id, sex, date_diff('day', b, date '{AS_OF}') AS days FROM va), y AS (SELECT *, days / 365.25::DOUBLE AS age FROM a)
+SELECT user_id, age AS years, {BYAGE} AS profile FROM y""")
+def q15_age_fractional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    years = policy.fractional_years(F.col("born"), F.lit(AS_OF).cast("date"))
+    return _viewers(spark, sf_dir).select("user_id", years.alias("years"), policy.profile_of_age(years, F.col("sex")).alias("profile"))
+
+
+@query(f"""WITH {VIEWERS}, u AS (SELECT user_id, CASE WHEN user_id % 2 = 1 THEN 'teen_m' WHEN ovr <> '' THEN ovr WHEN user_id % 4 = 0 THEN 'teen_m' ELSE {BYAGE} END AS preferred FROM va)
+SELECT user_id, CASE WHEN preferred IN ('child', 'adult', 'teen_f') THEN preferred WHEN preferred = 'teen_m' THEN 'adult' END AS profile FROM u""")
+def q16_user_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _viewers(spark, sf_dir)
+    # Even users have a stored row; those divisible by 4 stored no birthday.
+    stored = v.filter(F.col("user_id") % 2 == 0).select("user_id", F.when(F.col("user_id") % 4 != 0, F.col("born").cast("string")).alias("birthday"), "sex", F.col("override").alias("profile_override"))
+    names = F.array(*[F.lit(x) for x in ("child", "adult", "teen_f")])
+    return policy.server_profile(v.select("user_id"), stored, F.lit(AS_OF).cast("date"), "teen_m", names).select("user_id", "profile")
+
+
+@query(f"{PLAY} SELECT movie_id, play_no, seg_no, seg_id, profile_action, target_id, s AS start, e AS \"end\", duration FROM pl WHERE profile = 'child'")
+def q17_playback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sequence(spark, sf_dir).filter(F.col("profile") == "child").drop("profile")
+
+
+@query(f"{PLAY} SELECT movie_id, profile, play_no, s AS original, cast(coalesce(sum(duration) OVER (PARTITION BY movie_id, profile ORDER BY play_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS adjusted FROM pl")
+def q18_pat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return playback.adjusted_times(_sequence(spark, sf_dir)).select("movie_id", "profile", "play_no", F.col("start").alias("original"), F.col("adjusted_start").cast("bigint").alias("adjusted"))
+
+
+def _seek_sql(op: str) -> str:
+    return f"""{PLAY}, cum AS (SELECT *, cast(sum(duration) OVER (PARTITION BY movie_id, profile ORDER BY play_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS c FROM pl WHERE profile = 'teen_m'),
+pos AS (SELECT DISTINCT movie_id, unnest([0, {DURATION // 2}, {2 * DURATION}]) AS position FROM mov UNION SELECT movie_id, c FROM cum WHERE play_no = 1),
+hit AS (SELECT movie_id, position, min(play_no) FILTER (c {op} position) AS a, max(play_no) AS z FROM cum JOIN pos USING (movie_id) GROUP BY ALL)
+SELECT h.movie_id, h.position, c.play_no, c.seg_id, h.position - (c.c - c.duration) AS "offset" FROM hit h JOIN cum c ON c.movie_id = h.movie_id AND c.play_no = coalesce(a, z)"""
+
+
+def _seek(spark: SparkSession, sf_dir: str, closed: bool) -> DataFrame:
+    seq = _sequence(spark, sf_dir).filter(F.col("profile") == "teen_m")
+    fixed = _movies(spark, sf_dir).select("movie_id", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(DURATION // 2), F.lit(2 * DURATION))).alias("position"))
+    edge = seq.filter("play_no = 1").select("movie_id", F.col("duration").alias("position"))
+    return playback.seek(seq, fixed.union(edge).distinct(), closed).drop("profile")
+
+
+@query(_seek_sql(">"))
+def q19_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seek(spark, sf_dir, False)
+
+
+@query(_seek_sql(">="))
+def q19b_seek_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seek(spark, sf_dir, True)
+
+
+@query(f"{PLAY} SELECT movie_id, profile, count(*) AS segments, cast(sum(duration) AS BIGINT) AS duration, count(*) FILTER (profile_action = 'swap') AS swapped, count(*) FILTER (profile_action = 'mute') AS muted FROM pl GROUP BY ALL")
+def q20_playback_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return playback.playback_info(_sequence(spark, sf_dir))
+
+
+@query("""SELECT doc_id, n_chars, cast(64 + 40 * (SELECT count(*) FROM documents) + coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM documents""")
+def q21_block_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "n_chars")
+    n = docs.agg(F.count("*").alias("_n"))
+    rows = playback.block_offsets(docs.crossJoin(F.broadcast(n)), [], "doc_id", "n_chars", F.lit(64) + F.lit(40) * F.col("_n"))  # one row
+    return rows.select("doc_id", "n_chars", F.col("offset").cast("bigint").alias("offset"))
+
+
+@query("""WITH c AS (SELECT DISTINCT conv_id FROM conversations), p AS (SELECT conv_id, string_agg(text, '' ORDER BY turn, text) AS t FROM conversations WHERE role = 'user' GROUP BY 1)
+SELECT conv_id, CASE WHEN coalesce(t, '') = '' THEN '' ELSE sha256(t) END AS audio_hash FROM c LEFT JOIN p USING (conv_id)""")
+def q22_audio_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").withColumn("o", F.struct("turn", "text"))
+    payloads = playback.joined_payloads(rows, ["conv_id"], "o", "text", F.col("role") == "user")
+    return rows.select("conv_id").distinct().join(payloads, "conv_id", "left").select("conv_id", playback.audio_hash(F.coalesce("payload", F.lit(b""))).alias("audio_hash"))
+
+
+@query("""WITH a AS (SELECT conv_id, string_agg(text, '' ORDER BY turn, role, text) AS t FROM conversations GROUP BY 1), p AS (SELECT conv_id, string_agg(text, '' ORDER BY turn, role, text) AS u FROM conversations WHERE role = 'user' GROUP BY 1)
+SELECT conv_id, cast(octet_length(encode(t)) AS INTEGER) AS full_bytes, md5(t) AS full_md5, cast(octet_length(encode(coalesce(u, ''))) AS INTEGER) AS muted_bytes, md5(coalesce(u, '')) AS muted_md5 FROM a LEFT JOIN p USING (conv_id)""")
+def q23_mute_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").withColumn("o", F.struct("turn", "role", "text"))
+    full = playback.joined_payloads(rows, ["conv_id"], "o", "text").withColumnRenamed("payload", "f")
+    muted = playback.joined_payloads(rows, ["conv_id"], "o", "text", F.col("role") == "user").withColumnRenamed("payload", "m")
+    m = F.coalesce("m", F.lit(b""))
+    return full.join(muted, "conv_id", "left").select("conv_id", F.length("f").alias("full_bytes"), F.md5("f").alias("full_md5"), F.length(m).alias("muted_bytes"), F.md5(m).alias("muted_md5"))
+
+
+@query("SELECT d.doc_id, d.source, cast(coalesce(l.quality, 0) AS INTEGER) AS start_ms, CASE l.toxic WHEN 1 THEN 'mature' WHEN 0 THEN 'plain' ELSE 'safe' END AS risk FROM documents d LEFT JOIN labels l USING (doc_id)")
+def q24_index_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = _read(spark, sf_dir, "labels", "doc_id", "quality", "toxic").select("doc_id", F.col("quality").alias("start_ms"), F.when(F.col("toxic") == 1, "mature").when(F.col("toxic") == 0, "plain").alias("risk"))
+    return playback.index_with_manifest(_read(spark, sf_dir, "documents", "doc_id", "source"), manifest, ["doc_id"]).withColumn("start_ms", F.col("start_ms").cast("int"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[^?#]*') AS path FROM pages)
+SELECT page_id FROM p WHERE regexp_replace(path, '\\.[^./]*$', '') IN (SELECT regexp_replace(path, '\\.[^./]*$', '') FROM p WHERE path LIKE '%.html')""")
+def q25_library_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "pages", "page_id", "url").select("page_id", F.regexp_extract("url", "^[^?#]*", 0).alias("path"))
+    return playback.library(p, p.filter(F.endswith("path", F.lit(".html")))).select("page_id")
+
+
+@query(f"""{BASE}, tot AS (SELECT movie_id, cast(sum(e - s) AS BIGINT) AS a FROM seg GROUP BY 1),
+d2 AS (SELECT * FROM ev WHERE event_type = 'error'), m2 AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY movie_id ORDER BY t, seq) > {DAY} THEN 1 ELSE 0 END AS brk FROM d2),
+g2 AS (SELECT *, sum(brk) OVER (PARTITION BY movie_id ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS g FROM m2), s2 AS (SELECT movie_id, g, min(t) AS s, max(least(t + {DAY}, {DURATION})) AS e FROM g2 GROUP BY ALL),
+t2 AS (SELECT movie_id, cast(sum(e - s) AS BIGINT) AS b FROM s2 GROUP BY 1)
+SELECT movie_id, a, b, abs(a - b) < {5 * DAY} AS agree FROM tot JOIN t2 USING (movie_id)""")
+def q26_analyzer_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = lambda d: timeline.sessionize(d, DAY, DURATION).groupBy("movie_id").agg(F.sum(F.col("end") - F.col("start")).alias("total"))
+    both = _detections(spark, sf_dir)
+    return playback.agreeing(total(both), total(both.filter(F.col("event_type") == "error")), "total", 5 * DAY)
+
+
+@query(f"""WITH {EV}, {DET}, iv AS (SELECT movie_id, row_number() OVER (PARTITION BY movie_id ORDER BY t, seq) AS group_no, t AS s, least(t + {DAY // 4}, {DURATION}) AS e, event_type AS tags FROM det),
+{FILL.replace("prv AS (SELECT *, coalesce(max(e) OVER (PARTITION BY movie_id ORDER BY group_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM seg)", "prv AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY movie_id ORDER BY group_no), 0) AS p FROM iv)").replace("max(e) AS l", "arg_max(e, group_no) AS l").replace("FROM seg", "FROM iv")}
+SELECT movie_id, seg_no, s AS start, e AS "end", tags, risk FROM fil""")
+def q27_vlm_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _detections(spark, sf_dir)
+    order = F.row_number().over(timeline.Window.partitionBy("movie_id").orderBy("t", "seq"))
+    events = d.select("movie_id", order.alias("group_no"), F.col("t").alias("start"), F.least(F.col("t") + DAY // 4, F.lit(DURATION)).alias("end"), "tags")
+    return timeline.fill_gaps(events, _movies(spark, sf_dir), adjacent=True).select("movie_id", "seg_no", "start", "end", _tags(), "risk")
+
+
+@query("SELECT event_id, cast(CASE event_type WHEN 'view' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'click' THEN 3 ELSE 4 END AS INTEGER) AS action_code, cast(CASE WHEN event_type IN ('view', 'click') THEN 0 ELSE 1 END AS INTEGER) AS risk_code FROM events")
+def q28_enums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_type")
+    action = F.when(e == "view", "play").when(e == "error", "swap").when(e == "purchase", "skip").when(e == "click", "mute").otherwise("blur")
+    return _read(spark, sf_dir, "events", "event_id", "event_type").select("event_id", exprs.action_code(action).alias("action_code"), exprs.risk_code(F.when(e.isin("view", "click"), "safe").otherwise("mature")).alias("risk_code"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, cast(trunc(l_extendedprice * 1000) AS BIGINT) AS ms,
+  cast(CASE l_linenumber % 3 WHEN 0 THEN trunc((l_extendedprice - l_quantity) * 1000) WHEN 1 THEN l_partkey - l_suppkey ELSE 0 END AS BIGINT) AS duration FROM lineitem""")
+def q29_ms_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_partkey", "l_suppkey")
+    case = F.col("l_linenumber") % 3
+    duration = exprs.duration_ms(F.when(case == 0, F.col("l_quantity")), F.when(case == 0, F.col("l_extendedprice")), F.when(case == 1, F.col("l_suppkey")), F.when(case == 1, F.col("l_partkey")))
+    return li.select("l_orderkey", "l_linenumber", exprs.to_ms(F.col("l_extendedprice")).alias("ms"), duration.alias("duration"))
+
+
+@query("""SELECT p_partkey, p_size & 1 <> 0 AS compressed, p_size & 2 <> 0 AS chapters, p_size & 4 <> 0 AS subtitles, p_size & 8 <> 0 AS seekable,
+  CASE p_size WHEN 1 THEN 'H.264' WHEN 2 THEN 'H.265' WHEN 3 THEN 'AV1' WHEN 4 THEN 'VP9' ELSE 'Unknown (0x' || lpad(upper(hex(p_size)), 8, '0') || ')' END AS codec FROM part""")
+def q30_codec_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    return _read(spark, sf_dir, "part", "p_partkey", "p_size").select("p_partkey", *[exprs.has_flag(size, f).alias(f) for f in params.FLAGS], exprs.codec_name(size).alias("codec"))
+
+
+@query(f"""{FULL}, c AS (SELECT *, CASE seg_no % 4 WHEN 0 THEN 'original' WHEN 1 THEN 'filler_a' WHEN 2 THEN 'other' END AS choice FROM fil),
+r AS (SELECT *, CASE WHEN NOT contains(tags, 'error') OR choice = 'original' THEN 'original' WHEN choice = 'filler_a' THEN 'filler' ELSE 'skip' END AS swap_type FROM c)
+SELECT movie_id, seg_no, swap_type, CASE swap_type WHEN 'original' THEN '/m/' || seg_id || '.ts' WHEN 'filler' THEN '/f/filler_a.ts' ELSE '' END AS path, swap_type <> 'original' AS is_swapped, act <> 'skip' AS playable, act = 'swap' AS is_swap FROM r""")
+def q31_path_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, case = _segments(spark, sf_dir), F.col("seg_no") % 4
+    choice = F.when(case == 0, "original").when(case == 1, "filler_a").when(case == 2, "other")
+    path = policy.path_resolution(F.col("risk"), F.col("action"), F.col("tags"), F.array(F.lit("error")), choice, F.col("seg_id"), F.lit("/m"), F.lit("/f"))
+    flags = policy.action_flags(F.col("action"))
+    return s.select("movie_id", "seg_no", path.alias("p"), flags["playable"].alias("playable"), flags["is_swap"].alias("is_swap")).select("movie_id", "seg_no", "p.*", "playable", "is_swap")
+
+
+@query(f"""{FULL}, {MAT}, cov AS (SELECT movie_id, cast(sum(greatest(0, e - greatest(s, r))) AS BIGINT) AS covered FROM (SELECT *, coalesce(max(e) OVER (PARTITION BY movie_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r FROM fil) GROUP BY 1),
+ss AS (SELECT movie_id, count(*) AS n FROM mat WHERE profile_action = 'swap' AND target_id = seg_id GROUP BY 1), de AS (SELECT movie_id, max(seg_no) = count(*) AS dense FROM fil GROUP BY 1)
+SELECT movie_id, covered, covered = {DURATION} AS complete, dense, coalesce(n, 0) AS self_swaps FROM cov JOIN de USING (movie_id) LEFT JOIN ss USING (movie_id)""")
+def q32_qa_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _segments(spark, sf_dir)
+    dense = s.groupBy("movie_id").agg((F.max("seg_no") == F.count("*")).alias("dense"))
+    swaps = playback.self_swaps(_matrix(spark, sf_dir)).groupBy("movie_id").agg(F.count("*").alias("self_swaps"))
+    rows = timeline.coverage(s).join(dense, "movie_id").join(swaps, "movie_id", "left")
+    return rows.select("movie_id", "covered", (F.col("covered") == DURATION).alias("complete"), "dense", F.coalesce("self_swaps", F.lit(0)).alias("self_swaps"))
+
+
+@query("""WITH m AS (SELECT user_id AS movie_id, count(*) AS d FROM events GROUP BY 1), p AS (SELECT movie_id, i, CASE i WHEN 0 THEN 0 WHEN 1 THEN d // 3 ELSE d * 2 // 3 END AS s, CASE i WHEN 0 THEN d // 3 WHEN 1 THEN d * 2 // 3 ELSE d END AS e FROM m, range(3) AS r(i))
+SELECT movie_id, cast(row_number() OVER (PARTITION BY movie_id ORDER BY i) AS INTEGER) AS seg_no, cast(s AS BIGINT) AS start, cast(e AS BIGINT) AS "end", CASE i WHEN 1 THEN 'language' ELSE '' END AS tags, CASE i WHEN 1 THEN 'mature' ELSE 'safe' END AS risk FROM p WHERE e > s""")
+def q33_demo_thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    movies = _read(spark, sf_dir, "events", "user_id").groupBy(F.col("user_id").alias("movie_id")).agg(F.count("*").alias("duration"))
+    return timeline.demo_thirds(movies).select("movie_id", "seg_no", "start", "end", _tags(), "risk")
+
 
-def queries() -> dict:
-    return {}
+@query(f"""{FULL} SELECT movie_id::VARCHAR AS movie_id, seg_no, seg_id, s // 1000 AS start_ms, e // 1000 AS end_ms, e // 1000 - s // 1000 AS duration_ms, tags, risk,
+  cast(octet_length(encode('v' || seg_id || tags || 'a' || seg_id)) AS INTEGER) AS payload_bytes, sha256('a' || seg_id) AS audio_hash FROM fil""")
+def q34_container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containers.roundtrip(spark, _segments(spark, sf_dir), PROFILES)
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'politics' WHEN 'click' THEN 'drugs,crime' ELSE '' END AS topics FROM events")
+def q35_classifier_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events", "event_id", "event_type")
+    said = F.when(F.col("event_type") == "error", "some politics here").when(F.col("event_type") == "click", "crime and drugs").otherwise("  ")
+    return text.classify_topics(e.select("event_id", said.alias("text"))).select("event_id", F.array_join("topics", ",").alias("topics"))
