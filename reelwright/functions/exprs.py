@@ -21,7 +21,8 @@ def to_ms(seconds: Column) -> Column:
 
 
 def clamp(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
-    return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+    """x within lo and hi; null stays null (greatest and least skip nulls)."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
 
 
 def checker_confidence(x: Column) -> Column:

@@ -1,0 +1,125 @@
+"""Golden cases of sessionizing and gap filling, and invariants on random timelines."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from reelwright.operators import detect, timeline
+
+DET = "movie_id string, t bigint, tags array<string>, bad_end bigint, seq int"
+
+
+def run(spark, rows, duration=60, interval=5, adjacent=False):
+    det = spark.createDataFrame([("m", t, tags, end, i) for i, (t, tags, end) in enumerate(rows)], DET)
+    movies = spark.createDataFrame([("m", duration)], "movie_id string, duration bigint")
+    out = timeline.fill_gaps(timeline.sessionize(det, interval, duration), movies, adjacent).orderBy("seg_no").collect()
+    return [(r["start"], r["end"], r["risk"], r["tags"]) for r in out], [r["seg_id"] for r in out]
+
+
+LANG, NUDE = ["language"], ["nudity"]
+CASES = {
+    "none": ([], [(0, 60, "safe", [])]),
+    "one": ([(25, LANG, None)], [(0, 25, "safe", []), (25, 30, "mature", LANG), (30, 60, "safe", [])]),
+    "merge": ([(10, LANG, None), (15, NUDE, None), (20, LANG, None)], [(0, 10, "safe", []), (10, 25, "mature", ["language", "nudity"]), (25, 60, "safe", [])]),
+    "start": ([(0, LANG, None)], [(0, 5, "mature", LANG), (5, 60, "safe", [])]),
+    "end": ([(55, LANG, None)], [(0, 55, "safe", []), (55, 60, "mature", LANG)]),
+    "refined": ([(10, NUDE, 40), (20, LANG, None)], [(0, 10, "safe", []), (10, 40, "mature", NUDE), (20, 25, "mature", LANG), (40, 60, "safe", [])]),
+    "clamped": ([(50, NUDE, 90)], [(0, 50, "safe", []), (50, 60, "mature", NUDE)]),
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_golden(spark, case):
+    rows, want = CASES[case]
+    got, ids = run(spark, rows)
+    assert got == want
+    assert ids == [f"seg_{i + 1:03d}" for i in range(len(want))]
+
+
+def test_spaced_detections_alternate(spark):
+    got, _ = run(spark, [(t, LANG, None) for t in range(0, 60, 6)])
+    assert len(got) == 20 and sum(r[2] == "mature" for r in got) == 10
+    assert sum(b - a for a, b, *_ in got) == 60
+
+
+def test_adjacent_fill_measures_from_the_segment_before(spark):
+    segments = spark.createDataFrame([("m", 1, 0, 30, LANG), ("m", 2, 5, 10, LANG), ("m", 3, 20, 25, LANG)], "movie_id string, group_no bigint, start bigint, end bigint, tags array<string>")
+    movies = spark.createDataFrame([("m", 40)], "movie_id string, duration bigint")
+    got = [(r["start"], r["end"]) for r in timeline.fill_gaps(segments, movies, adjacent=True).orderBy("seg_no").collect()]
+    assert got == [(0, 30), (5, 10), (10, 20), (20, 25), (25, 40)]
+    got = [(r["start"], r["end"]) for r in timeline.fill_gaps(segments, movies).orderBy("seg_no").collect()]
+    assert got == [(0, 30), (5, 10), (20, 25), (30, 40)]
+
+
+def brute(rows, interval, duration):
+    """The timeline of one movie, row by row."""
+    out, group = [], None
+    for t, tags in sorted(rows):
+        if group is None or t - group["last"] > interval:
+            group = {"start": t, "end": 0, "tags": set()}
+            out.append(group)
+        group["last"], group["end"] = t, max(group["end"], min(t + interval, duration))
+        group["tags"] |= set(tags)
+    full, reached = [], 0
+    for g in out:
+        if g["start"] > reached:
+            full.append((reached, g["start"], []))
+        full.append((g["start"], min(g["end"], duration), sorted(g["tags"])))
+        reached = max(reached, g["end"])
+    return full + ([(reached, duration, [])] if reached < duration else [])
+
+
+def test_random_timelines_match_brute_force(spark):
+    r = random.Random(5)
+    movies = {f"m{i}": [(r.randrange(0, 1000), [r.choice("abc")]) for _ in range(r.randrange(0, 40))] for i in range(30)}
+    det = spark.createDataFrame([(m, t, tags, None, i) for m, rows in movies.items() for i, (t, tags) in enumerate(rows)], DET)
+    length = spark.createDataFrame([(m, 1000) for m in movies], "movie_id string, duration bigint")
+    segments = timeline.fill_gaps(timeline.sessionize(det, 25, 1000), length).cache()
+    got = {}
+    for x in segments.orderBy("movie_id", "seg_no").collect():
+        got.setdefault(x["movie_id"], []).append((x["start"], x["end"], x["tags"]))
+    assert got == {m: brute(rows, 25, 1000) for m, rows in movies.items()}
+    assert timeline.coverage(segments).filter("covered <> 1000").count() == 0
+    assert segments.groupBy("movie_id").agg((F.max("seg_no") != F.count("*")).alias("bad")).filter("bad").count() == 0
+
+
+def test_silence_ratio(spark):
+    words = spark.createDataFrame([("a", 0, 0, 100), ("a", 1, 900, 1000), ("b", 0, 5, 5), ("c", 0, 10, 60), ("c", 1, 0, 50)], "movie_id string, seq int, start bigint, end bigint")
+    got = {r["movie_id"]: r["ratio"] for r in detect.silence_ratio(words).collect()}
+    assert got == {"a": 0.8, "b": 0.0, "c": 0.0}  # c: the last word ends 40 after the first one's start, and 100 are spoken
+
+
+def test_refined_bounds_and_grid(spark):
+    samples = spark.createDataFrame([("m", t, t in (10, 15, 30)) for t in range(0, 40, 5)], "movie_id string, t bigint, bad boolean")
+    got = [(r["bad_start"], r["bad_end"]) for r in timeline.refined_bounds(samples, 5).orderBy("bad_start").collect()]
+    assert got == [(10, 20), (30, 35)]
+    movies = spark.createDataFrame([("a", 12), ("b", 0)], "movie_id string, duration bigint")
+    assert sorted((r["movie_id"], r["t"]) for r in timeline.sample_grid(movies, 5).collect()) == [("a", 0), ("a", 5), ("a", 10), ("b", 0)]
+
+
+def test_snapping_and_thirds(spark):
+    segments = spark.createDataFrame([("m", 3), ("m", 10), ("n", 7)], "movie_id string, start bigint")
+    keys = spark.createDataFrame([("m", 0), ("m", 4), ("m", 10)], "movie_id string, t bigint")
+    assert sorted((r["movie_id"], r["start"], r["snapped_start"]) for r in timeline.snapped(segments, keys).collect()) == [("m", 3, 0), ("m", 10, 10), ("n", 7, 0)]
+    movies = spark.createDataFrame([("m", 6000), ("x", 1)], "movie_id string, duration bigint")
+    got = sorted((r["movie_id"], r["start"], r["end"], r["risk"]) for r in timeline.demo_thirds(movies).collect())
+    assert got == [("m", 0, 2000, "safe"), ("m", 2000, 4000, "mature"), ("m", 4000, 6000, "safe"), ("x", 0, 1, "safe")]
+
+
+def test_detections_of_both_kinds(spark):
+    words = spark.createDataFrame([("m", 0, "Damn ", 1000), ("m", 1, "damn,", 2000), ("m", 2, " 'HELL'", 7000), ("m", 3, "fine", 12000)], "movie_id string, seq int, word string, start bigint")
+    from reelwright.functions import exprs
+
+    clean = words.withColumn("word", exprs.clean_word(F.col("word")))
+    audio = detect.bucket_detections(clean, "movie_id", 5000)
+    assert sorted(r["t"] for r in audio.collect()) == [0, 5000]
+    visual = spark.createDataFrame([("m", 5000, 0.9, 1)], "movie_id string, t bigint, score double, seq int")
+    both = timeline.build_detections(audio.withColumn("seq", F.lit(0)), visual)
+    got = [(r["t"], r["kind"], r["tags"]) for r in both.orderBy("t", "seq").collect()]
+    assert got == [(0, "audio", ["language"]), (5000, "audio", ["language"]), (5000, "visual", ["nudity"])]
+
+
+def test_transcripts(spark):
+    t = spark.createDataFrame([("m", [([(" Hi ", 0.0, 0.5), ("'There'", 0.5, 1.0)],), (None,)])], "movie_id string, segments array<struct<words:array<struct<word:string,start:double,end:double>>>>")
+    assert [(r["seq"], r["word"], r["start_s"]) for r in detect.transcript_words(t).collect()] == [(0, "hi", 0.0), (1, "there", 0.5)]
