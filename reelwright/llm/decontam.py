@@ -31,10 +31,14 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(ANY_WORD))
 
 
+def _keys() -> list[Column]:
+    """_id, _text: what makes a document, its doc_id and its text's hash. Repeated rows are one document."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text")]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, _id, _text (what makes a document: its doc_id and its text's hash) and text. Repeated rows are one document."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("_id"), F.xxhash64(text).alias("_text"), text.alias("text"))
+    """doc_id, _id, _text and text (null: empty)."""
+    return docs.select("doc_id", *_keys(), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def bounded(df: DataFrame, n: int) -> DataFrame:
@@ -127,10 +131,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of benchmark occurs."""
-    found = cut(hits(docs, benchmark, window).select(F.col("_id").alias("_hit_id"), F.col("_text").alias("_hit_text")))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))) == F.col("_hit_id")) & (F.xxhash64(text) == F.col("_hit_text"))
-    return docs.join(bounded(found, found.count()), same, "left_anti")
+    found = cut(hits(docs, benchmark, window).select("_id", "_text"))
+    rows = docs.select(*_keys(), F.struct(*docs.columns).alias("_row"))
+    return rows.join(bounded(found, found.count()), ["_id", "_text"], "left_anti").select("_row.*")
 
 
 _W = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from reelwright.llm.common import hash48
 
 SHARDS = 24
+COLUMNS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 #: Sub-buckets of a shard for numbering its rows; their counts (SHARDS x SLOT_BUCKETS rows at most) are all that is broadcast.
 SLOT_BUCKETS = 4096
 
@@ -40,13 +41,14 @@ def _sub(key: Column, buckets: int) -> Column:
 
 def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, slot_buckets: int = SLOT_BUCKETS, whole: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs (doc_id, text, any more columns); whole: all its
-    columns instead of the first, and then the others.
+    columns (but those named like one of these) instead of the first, and then the others.
 
     Slots are numbered gaplessly in each shard, by sub-bucket, doc_id, checksum and size: no task holds a whole shard. A null text
     counts as empty (crc32 0, size 8); rows with a null doc_id share the key "null"; equal rows get neighbouring slots; an empty
     table gives an empty result.
     """
-    keyed = assign(docs.select("doc_id", "text", *([F.struct(*[F.col(c) for c in docs.columns]).alias("_row")] if whole else [])), F.col("doc_id"), weights).withColumn("_sub", _sub(F.col("doc_id"), slot_buckets))
+    kept = [c for c in docs.columns if c.lower() not in COLUMNS]
+    keyed = assign(docs.select("doc_id", "text", *([F.struct(*kept).alias("_row")] if whole else [])), F.col("doc_id"), weights).withColumn("_sub", _sub(F.col("doc_id"), slot_buckets))
     # The counts need doc_id alone, so this second scan reads one column.
     counts = keyed.groupBy("shard", "_sub").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)

@@ -369,12 +369,14 @@ def keep_one(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, block: int
             sets = [shingles(t, n) for t in _texts(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_id(s) if len(s) else None for s in sets], pa.binary())], [*batch.schema.names, "_sid"])
 
-    with_ids = docs.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField("_sid", T.BinaryType())]))
-    met = with_ids.filter(F.col("_sid").isNotNull()).alias("d").join(keepers.alias("k"), (F.col("d._sid") == F.col("k._sid")) & F.col("d.doc_id").eqNullSafe(F.col("k._kept"))).select("d.*")
+    # The rows' own columns travel in a struct, so that no name of theirs meets one of these.
+    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text", F.struct(*docs.columns).alias("_row"))
+    with_ids = rows.mapInArrow(marked, T.StructType([*rows.schema.fields, T.StructField("_sid", T.BinaryType())])).alias("d")
+    met = with_ids.filter(F.col("_sid").isNotNull()).join(keepers.alias("k"), (F.col("d._sid") == F.col("k._sid")) & F.col("_doc").eqNullSafe(F.col("_kept"))).select("d.*")
     # Rows that repeat a keeper's doc_id and set: one of them.
-    first = F.row_number().over(Window.partitionBy("_sid", "doc_id").orderBy(F.xxhash64("text")))
-    met = met.withColumn("_at", first).filter("_at = 1").drop("_at")
-    return met.unionByName(with_ids.filter(F.col("_sid").isNull())).drop("_sid")
+    first = F.row_number().over(Window.partitionBy("_sid", "_doc").orderBy(F.xxhash64("text")))
+    met = met.withColumn("_at", first).filter("_at = 1").select("_row")
+    return met.unionByName(with_ids.filter(F.col("_sid").isNull()).select("_row")).select("_row.*")
 
 
 SQL = f"""

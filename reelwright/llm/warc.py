@@ -181,7 +181,8 @@ def read_archive(handle: Any) -> Iterator[Record | Gap]:
 
 
 def _next(src: Source, at: int) -> tuple[int, Record | None]:
-    """The next place at which a whole record begins, and that record; else the end. Candidates are members and version lines at a line's start."""
+    """The next place at which a whole record begins, and that record; else the end. Candidates are members and version lines,
+    which junk may precede on their line."""
     marks = {GZIP: -2, VERSION: -2}
     while True:
         for what, place in marks.items():
@@ -191,12 +192,10 @@ def _next(src: Source, at: int) -> tuple[int, Record | None]:
         if not found:
             return src.size, None
         at = min(found)
-        if src.read(at, 3) == GZIP or src.read(at - 1, 1) == b"\n":
-            try:
-                return at, _at(src, at)
-            except Bad:
-                pass
-        at += 1
+        try:
+            return at, _at(src, at)
+        except Bad:
+            at += 1
 
 
 def open_uri(uri: str) -> tuple[fs.FileSystem, str]:
