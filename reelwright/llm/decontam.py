@@ -1,8 +1,8 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
-The index has a posting (document, term, place) for each place of each term that a test item uses. A test window is looked up from its
-rarest terms: their lists, adjusted by the terms' offsets in the item, are intersected to diagonals (document, item, shift), and only for
-the few diagonals on which rarest, second and third rarest terms all stand are the lists of all the item's terms fetched. Unbroken runs
+The index has a posting (document, term, next term, place) for each place of each term that a test item uses with the word after it,
+which is a small part of a corpus, while single common words are much of it. A test window is looked up from its rarest postings: their lists, adjusted by the terms' offsets in the item, are intersected to diagonals (document, item, shift), and only for
+the few diagonals on which rarest, second and third rarest all stand are the lists of all the item's terms fetched. Unbroken runs
 of a window's length or more are exact phrase matches. proximity_matches() gives documents with all terms within a span, in any order.
 DataFrame functions only.
 """
@@ -15,22 +15,20 @@ from pyspark.sql import functions as F
 from reelwright.llm.common import cut, lower_ascii, scratch
 
 WINDOW = 10
-#: Rarest terms of a window whose lists are intersected first.
+#: Rarest postings of a window whose lists are intersected first.
 RAREST = 3
 #: A side of so many rows at most, as counted, is broadcast; a larger one is shuffled.
 MOST_BROADCAST = 500_000
-# What separates words, before and after lower-casing A-Z.
-GAP, ANY_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# Fixed value: what separates words, after lower-casing A-Z.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What follows the last word; no word has this character.
+END = "#"
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(text), GAP), "")
 
 
-def n_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(ANY_WORD))
-
-
 def _keys() -> list[Column]:
     """_id, _text: what makes a document, its doc_id and its text's hash. Repeated rows are one document."""
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text")]
@@ -47,48 +45,64 @@ def bounded(df: DataFrame, n: int) -> DataFrame:
 
 
 def item_terms(items: DataFrame) -> DataFrame:
-    """_item, _n (words), _k (place), term for each word of items (item_id, text); a null id is named "null"."""
+    """_item, _row, _n (words), _k (place), term, next (the word after it, END after the last) for each word of items (item_id, text); a null
+    id is named "null"."""
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("_item"), words(F.coalesce(F.col("text"), F.lit(""))).alias("_w")).distinct()
     rows = rows.withColumn("_row", F.xxhash64("_w"))
-    return rows.select("_item", "_row", F.size("_w").alias("_n"), F.posexplode("_w").alias("_k", "term"))
+    pair = F.posexplode(_pairs("_w")).alias("_k", "_p")
+    return rows.select("_item", "_row", F.size("_w").alias("_n"), pair).select("_item", "_row", "_n", "_k", "_p.term", "_p.next").filter(f"term <> '{END}'")
+
+
+def _pairs(w: str) -> Column:
+    """Each word with the next one; after the last word, END with END, whose place is the number of words."""
+    end = F.lit(END)
+    return F.arrays_zip(F.concat(F.col(w), F.array(end)).alias("term"), F.concat(F.slice(F.col(w), 2, F.greatest(F.size(w) - 1, F.lit(0))), F.array(end, end)).alias("next"))
 
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """_id, _text, term, pos for each place of one of terms (term) in docs, as a table in the shared folder."""
-    vocabulary = cut(terms.select("term").distinct())
-    tokens = keyed(docs).select("_id", "_text", F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    path = scratch(docs.sparkSession, "postings")
-    tokens.join(bounded(vocabulary, vocabulary.count()), "term").select("_id", "_text", "term", "pos").write.parquet(path)
-    return docs.sparkSession.read.schema("_id long, _text long, term string, pos int").parquet(path)
+    """_id, _text, term, next, pos: a posting for each place in docs of one of terms (term, and next if the word after it must fit as well),
+    and one of END at each document's end, as a table in the shared folder."""
+    on = [c for c in ("term", "next") if c in terms.columns]
+    spark = docs.sparkSession
+    vocabulary = terms.select(*on).union(spark.range(1).select(*[F.lit(END).alias(c) for c in on])).distinct()
+    vocabulary = cut(vocabulary)
+    tokens = keyed(docs).select("_id", "_text", words(F.col("text")).alias("_w")).select("_id", "_text", F.posexplode(_pairs("_w")).alias("pos", "_p")).select("_id", "_text", "pos", "_p.term", "_p.next")
+    path = scratch(spark, "postings")
+    tokens.join(bounded(vocabulary, vocabulary.count()), on).select("_id", "_text", "term", "next", "pos").write.parquet(path)
+    return spark.read.schema("_id long, _text long, term string, next string, pos int").parquet(path)
 
 
 def phrase_matches(index: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """_id, _text, _item, pos: each document word that stands in an occurrence of one of an item's windows (items: item_terms())."""
-    items = cut(items)
+    """_id, _text, _item, pos: each document word that stands in an occurrence of a window of two words or more of an item.
+
+    items: item_terms(); index: of their terms with the words after them. A window of n words is a run of n - 1 such postings.
+    """
     of_item = ["_item", "_row"]
-    df = index.groupBy("term").agg(F.count("*").alias("_df"))
-    known = items.join(df, "term", "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
-    # A window that begins at _s has the words _s .. _s + length - 1 of its item.
-    length = F.least(F.col("_n"), F.lit(window))
-    starts = F.sequence(F.greatest(F.lit(0), F.col("_k") - length + 1), F.least(F.col("_k"), F.col("_n") - length))
-    slots = known.select(*of_item, "_n", "_k", "term", "_df", F.explode(starts).alias("_s"))
+    items = cut(items.filter("_k < _n - 1"))
+    df = index.groupBy("term", "next").agg(F.count("*").alias("_df"))
+    known = items.join(df, ["term", "next"], "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
+    # A window that begins at _s has the postings _s .. _s + length - 1 of its item.
+    length = F.least(F.col("_n"), F.lit(window)) - 1
+    starts = F.sequence(F.greatest(F.lit(0), F.col("_k") - length + 1), F.least(F.col("_k"), F.col("_n") - 1 - length))
+    slots = known.select(*of_item, "_n", "_k", "term", "next", "_df", F.explode(starts).alias("_s"))
     by_window = Window.partitionBy(*of_item, "_s")
     slots = slots.withColumns({"_rank": F.row_number().over(by_window.orderBy("_df", "_k")), "_least": F.min("_df").over(by_window)})
-    rare = slots.filter((F.col("_rank") <= RAREST) & (F.col("_least") > 0)).groupBy(*of_item, "_k", "_n", "term").agg(F.bit_or(F.expr("shiftleft(1, _rank - 1)")).alias("_ranks"))
+    rare = slots.filter((F.col("_rank") <= RAREST) & (F.col("_least") > 0)).groupBy(*of_item, "_k", "_n", "term", "next").agg(F.bit_or(F.expr("shiftleft(1, _rank - 1)")).alias("_ranks"))
     rare = cut(rare)
-    diagonal = (F.col("pos") - F.col("_k")).alias("_shift")
-    found = index.join(bounded(rare, rare.count()), "term").select("_id", "_text", *of_item, "_n", diagonal, "_ranks")
-    needed = F.expr(f"shiftleft(1, least(_n, {window}, {RAREST})) - 1")
+    shift = (F.col("pos") - F.col("_k")).alias("_shift")
+    found = index.join(bounded(rare, rare.count()), ["term", "next"]).select("_id", "_text", *of_item, "_n", shift, "_ranks")
+    needed = F.expr(f"shiftleft(1, least(_n - 1, {window - 1}, {RAREST})) - 1")
     found = found.groupBy("_id", "_text", *of_item, "_n", "_shift").agg(F.bit_or("_ranks").alias("_ranks")).filter(F.col("_ranks").bitwiseAND(needed) == needed)
     found = cut(found.drop("_ranks"))
     hit_docs = cut(found.select("_id", "_text").distinct())
     lists = index.join(bounded(hit_docs, hit_docs.count()), ["_id", "_text"], "left_semi")
     wanted = found.join(bounded(items.drop("_n"), items.count()), of_item).withColumn("pos", F.col("_shift") + F.col("_k"))
-    cells = lists.join(wanted, ["_id", "_text", "term", "pos"]).select("_id", "_text", *of_item, "_n", "_shift", "_k", "pos").distinct()
+    cells = lists.join(wanted, ["_id", "_text", "term", "next", "pos"]).select("_id", "_text", *of_item, "_n", "_shift", "_k", "pos").distinct()
     line = Window.partitionBy("_id", "_text", *of_item, "_shift")
     cells = cells.withColumn("_run", F.col("_k") - F.row_number().over(line.orderBy("_k")))
     cells = cells.withColumn("_long", F.count("*").over(Window.partitionBy("_id", "_text", *of_item, "_shift", "_run")))
-    return cells.filter(F.col("_long") >= length).select("_id", "_text", "_item", "pos")
+    # A posting stands for its word and the next one.
+    return cells.filter(F.col("_long") >= length).select("_id", "_text", "_item", F.explode(F.array("pos", F.col("pos") + 1)).alias("pos"))
 
 
 def proximity_matches(index: DataFrame, queries: DataFrame, span: int) -> DataFrame:
@@ -108,12 +122,23 @@ def proximity_matches(index: DataFrame, queries: DataFrame, span: int) -> DataFr
     return full.select("query", "_id", "_text", F.col("_at").alias("pos"))
 
 
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(_id, _text, n_words of every document), (_id, _text, n_hit, n_items, items_sha256 of those with a hit)."""
+    items = cut(item_terms(benchmark))
+    index = build_index(docs, items.filter("_n > 1").select("term", "next"))
+    found = phrase_matches(index.filter(f"term <> '{END}'"), items, window)
+    single = items.filter("_n = 1").select("_item", "term")
+    if not single.isEmpty():
+        words_alone = build_index(docs, single.select("term"))
+        found = found.unionByName(words_alone.join(bounded(single, single.count()), "term").select("_id", "_text", "_item", "pos"))
+    hit = found.groupBy("_id", "_text").agg(F.count_distinct("pos").alias("n_hit"), F.collect_set("_item").alias("_items")).select(
+        "_id", "_text", "n_hit", F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("_items"), ",").cast("binary"), 256).alias("items_sha256"))
+    return index.filter(f"term = '{END}'").groupBy("_id", "_text").agg(F.max("pos").cast("long").alias("n_words")), hit
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """_id, _text, n_hit, n_items, items_sha256 of the documents with a hit."""
-    items = item_terms(benchmark)
-    found = phrase_matches(build_index(docs, items), items, window)
-    return found.groupBy("_id", "_text").agg(F.count_distinct("pos").alias("n_hit"), F.collect_set("_item").alias("_items")).select(
-        "_id", "_text", "n_hit", F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("_items"), ",").cast("binary"), 256).alias("items_sha256"))
+    return _scanned(docs, benchmark, window)[1]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -122,9 +147,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     Null and empty texts have no words and no hits; a null or wordless item has no window; an item repeated under one id counts once, a null
     id is named "null". Repeated rows have equal results. Empty tables: no rows, or no hits.
     """
-    rows = keyed(docs).select("doc_id", "_id", "_text", n_words(F.col("text")).cast("long").alias("n_words"))
+    lengths, found = _scanned(docs, benchmark, window)
     none = F.sha2(F.lit("").cast("binary"), 256)
-    out = rows.join(hits(docs, benchmark, window), ["_id", "_text"], "left")
+    out = docs.select("doc_id", *_keys()).join(lengths, ["_id", "_text"], "left").join(found, ["_id", "_text"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
                       F.coalesce("items_sha256", none).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
 
