@@ -1,8 +1,11 @@
 """Exact n-gram Jaccard join with set-relation skipping.
 
-Two sets whose Jaccard similarity reaches the threshold share a token among the first few of each in any common order (the prefix filter);
-here rare shingles come first, by a fixed-size sketch of counts over the whole corpus. Sets that share a prefix token, with sizes close
-enough, are chained into candidate groups, whose texts then meet in one task, or, for large groups, in one task per pair of blocks. There
+Candidate groups come from partition signatures. Sets that may link fall into one or two neighbouring classes of size; in a class, a link
+leaves room for fewer differing shingles than the class has parts of the hash range, so two linked sets agree in a whole part. Each set is
+posted under the hash of its shingles in each part; sets with a posting in common are chained. (A single shared shingle, or passage, says
+nothing: few parts lie wholly inside it.) Tasks combine equal postings before the shuffle, so a group of copies sends one per task.
+
+The texts of a group then meet in one task, or, for large groups, in one task per class of size and pair of blocks. There
 
 - index skipping: a set that is like none answered before probes inverted lists that are sorted by size and cut into blocks; blocks whose
   sizes or positions rule a link out are skipped;
@@ -27,12 +30,10 @@ from reelwright.llm.common import cut
 from reelwright.llm.components import components
 
 N, THRESHOLD = 4, 85
-#: Counters of the sketch that orders shingles; the sketch is all of it that reaches the driver.
-SKETCH = 1 << 16
-#: Lists of a token whose counter exceeds this are chained in so many salted parts, whose runs are chained in turn.
-SALT_ROWS = 100_000
-#: Sets in a block of a candidate group; larger groups are joined block by block.
-BLOCK = 1000
+#: Postings that a task combines at a time.
+FLUSH = 1_000_000
+#: Shingles in a block of a candidate group; larger groups are joined block by block.
+BLOCK = 2_000_000
 #: Entries of an index block, and how much of a set may differ from an answered one whose overlaps it takes over.
 LIST_BLOCK, ALIKE = 64, 0.5
 #: Rows of a side that may be broadcast.
@@ -83,70 +84,106 @@ def _texts(batch: pa.RecordBatch) -> Iterator[str]:
 
 
 def _summaries(n: int):
-    """For each document: doc_id, n, sid; at the end of a task, the nonzero counters of its distinct sets' shingles."""
+    """doc_id, n, sid of each document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(SKETCH, np.int64), set()
-        empty = lambda k, t: pa.nulls(k, t)
         for batch in batches:
-            sizes, sids = [], []
-            for text in _texts(batch):
-                s = shingles(text, n)
-                sid = set_id(s)
-                if sid not in seen:
-                    seen.add(sid)
-                    counts += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(s) > 2000 else 0
-                    if len(s) <= 2000:
-                        np.add.at(counts, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-                sizes.append(len(s))
-                sids.append(sid)
-            k = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sids, pa.binary()), empty(k, pa.int32()), empty(k, pa.int64())], ["doc_id", "n", "sid", "bucket", "count"])
-        full = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([empty(len(full), pa.int64()), empty(len(full), pa.int64()), empty(len(full), pa.binary()), pa.array(full, pa.int32()), pa.array(counts[full], pa.int64())], ["doc_id", "n", "sid", "bucket", "count"])
+            sets = [shingles(t, n) for t in _texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary())], ["doc_id", "n", "sid"])
 
     return rows
 
 
-def _prefixes(n: int, t: int, counts: np.ndarray, salt_rows: int):
-    """token, salt, salts, n, node for the first tokens, rare ones first, of each distinct set of a task."""
+def size_class(n: int, t: int = THRESHOLD) -> tuple[int, int]:
+    """The class of sets of n, and the class's largest size. Partners of a set, if not larger, are in its class or the one below."""
+    label, low = 0, 1
+    while True:
+        above = low * 100 // t + 1
+        if n < above:
+            return label, above - 1
+        label, low = label + 1, above
+
+
+def parts_of(high: int, t: int = THRESHOLD) -> tuple[int, int]:
+    """(most shingles in which linked sets of at most `high` can differ, parts to cut the hash range into).
+
+    Linked sets agree in all parts but as many as they have differing shingles. Parts beyond that make up for those that are empty in both.
+    """
+    most = 2 * high * (100 - t) // (100 + t)
+    parts = most + 1
+    for _ in range(3):
+        empty = parts * np.exp(-0.85 * high / parts)
+        parts = most + 1 + int(np.ceil(empty + 3 * np.sqrt(empty)))
+    return most, parts
+
+
+def signatures(s: np.ndarray, t: int = THRESHOLD) -> np.ndarray:
+    """Hashes of s in each part that has shingles, in its own class and, as a smaller partner, in the one above. A set with so many empty
+    parts that they might be all that it shares with a partner of that kind is posted under its first shingles as well."""
+    out = []
+    label, high = size_class(len(s), t)
+    mixed = (s ^ (s >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(29)
+    for k in (0, 1):
+        top = high if k == 0 else size_class(high + 1, t)[1]
+        most, parts = parts_of(top, t)
+        if not most:
+            continue  # only equal sets link
+        part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # s is sorted, so parts are runs
+        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        x = np.add.reduceat(mixed, at) + part[at] * np.uint64(0x9E3779B97F4A7C15) + np.uint64((label + k + 1) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF)
+        x ^= x >> np.uint64(30)
+        out.append(x * np.uint64(0xD6E8FEB86659FD93))
+        if parts - len(at) >= parts - most:
+            out.append(mixed[: len(s) - least_overlap(len(s), t) + 1] ^ np.uint64((label + k + 1) * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def combined(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Postings with one per signature, that of its least node; the other nodes of a signature are posted, once, under that node."""
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    new = np.concatenate([[True], sig[1:] != sig[:-1]])
+    leader = node[new][np.cumsum(new) - 1]
+    pairs = np.unique(np.stack([leader[~new], node[~new]], 1), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    leaders = np.unique(pairs[:, 0])
+    return np.concatenate([sig[new], leaders, pairs[:, 0]]), np.concatenate([node[new], leaders, pairs[:, 1]])
+
+
+def _postings(n: int, t: int):
+    """sig, node of each distinct set of a task."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        sigs, nodes, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            sig, node = combined(np.concatenate(sigs).view(np.int64), np.concatenate(nodes))
+            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], ["sig", "node"])
+
         for batch in batches:
-            tokens, sizes, nodes, salts = [], [], [], []
             for text in _texts(batch):
                 s = shingles(text, n)
                 if not len(s) or (sid := set_id(s)) in seen:
                     continue
                 seen.add(sid)
-                df = counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-                first = np.lexsort((s, df))[: len(s) - least_overlap(len(s), t) + 1]
-                tokens.append(s[first].view(np.int64))
-                salts.append(-(-df[first] // salt_rows))
-                sizes.append(np.full(len(first), len(s), np.int32))
-                nodes.append(np.full(len(first), node_of(sid), np.int64))
-            if tokens:
-                node, many = np.concatenate(nodes), np.concatenate(salts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array((node % np.maximum(many, 1)).astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(np.concatenate(sizes)), pa.array(node)], ["token", "salt", "salts", "n", "node"])
+                x = signatures(s, t)
+                sigs.append(x)
+                nodes.append(np.full(len(x), node_of(sid), np.int64))
+                held += len(x)
+                if held >= FLUSH:
+                    yield flush()
+                    sigs, nodes, held = [], [], 0
+        if held:
+            yield flush()
 
     return rows
 
 
-def _chains(postings: DataFrame, t: int) -> DataFrame:
-    """u, v: in each token's list, by size, each node with the one before it, unless their sizes rule out a link between any sets on either
-    side. Long lists are chained in salted parts, and then the parts' runs."""
-    part = Window.partitionBy("token", "salt").orderBy("n", "node")
-    rows = postings.withColumns({"_n": F.lag("n").over(part), "u": F.lag("node").over(part)})
-    close = F.col("_n") * 100 >= F.col("n") * t
-    edges = rows.filter(close).select("u", F.col("node").alias("v"))
-    split = postings.filter("salts > 1")
-    runs = split.withColumn("_new", F.coalesce((F.lag("n").over(part) * 100 < F.col("n") * t).cast("int"), F.lit(1)))
-    runs = runs.withColumn("_run", F.sum("_new").over(part)).groupBy("token", "salt", "_run").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("node").alias("node"))
-    line = Window.partitionBy("token").orderBy("lo", "hi", "node")
-    before = line.rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumns({"_hi": F.max("hi").over(before), "u": F.max_by("node", "hi").over(before)})
-    return edges.unionByName(runs.filter(F.col("_hi") * 100 >= F.col("lo") * t).select("u", F.col("node").alias("v")))
+def _chains(postings: DataFrame) -> DataFrame:
+    """u, v: each node of a signature's list with the one before it."""
+    return postings.withColumn("u", F.lag("node").over(Window.partitionBy("sig").orderBy("node"))).filter("u <> node").select("u", F.col("node").alias("v"))
 
 
 class Group:
@@ -234,17 +271,19 @@ RESULT = "group long, pairs boolean, sid binary, label binary, links long"
 
 
 def _joined(n: int, t: int):
-    """RESULT for rows sorted by (group, i, j): each set's least connected set and its copies-weighted number of links in that task."""
+    """RESULT for rows sorted by (group, band, i, j): each set's least connected set and its copies-weighted number of links in that task.
+    A pair counts in the band of its larger set; band -1 has the whole of a small group."""
 
     def one(key: tuple, rows: list[tuple]) -> list[tuple]:
         sides = {}
-        for sid, text, side, copies in rows:
-            sides.setdefault(sid, (text, side, copies))
+        for sid, text, side, copies, label in rows:
+            sides.setdefault(sid, (text, side, copies, label))
         sids = sorted(sides)
         if len(sids) < 2:
             return []
         group = Group([shingles(sides[s][0], n) for s in sids], t)
         side, copies = np.array([sides[s][1] for s in sids]), np.array([sides[s][2] for s in sids])
+        label = np.array([sides[s][3] for s in sids])
         parent = list(range(len(sids)))
 
         def root(a: int) -> int:
@@ -255,14 +294,16 @@ def _joined(n: int, t: int):
         links = np.zeros(len(sids), np.int64)
         for x in np.argsort(group.sizes, kind="stable").tolist():
             y = group.links(x)
-            if key[1] != key[2]:
-                y = y[side[y] != side[x]]
+            if key[1] >= 0:
+                y = y[np.maximum(label[y], label[x]) == key[1]]
+                if key[2] != key[3]:
+                    y = y[side[y] != side[x]]
             links[x] = copies[y].sum()
             for b in y.tolist():
                 p, q = root(x), root(b)
                 if p != q:
                     parent[max(p, q)] = min(p, q)
-        return [(key[0], key[3], s, sids[root(i)], int(links[i])) for i, s in enumerate(sids) if links[i] or root(i) != i]
+        return [(key[0], key[1] >= 0, s, sids[root(i)], int(links[i])) for i, s in enumerate(sids) if links[i] or root(i) != i]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         types = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64()]
@@ -273,15 +314,15 @@ def _joined(n: int, t: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                for g, i, j, many, *row in zip(*(part.column(c).to_pylist() for c in ("group", "i", "j", "many", "sid", "text", "side", "copies")), strict=True):
-                    if (g, i, j, many) != key:
+                for *now, sid, text, side, copies, label in zip(*(part.column(c).to_pylist() for c in ("group", "band", "i", "j", "sid", "text", "side", "copies", "label")), strict=True):
+                    if tuple(now) != key:
                         if held:
                             done += one(key, held)
                             if len(done) > 5000:
                                 yield out(done)
                                 done = []
-                        key, held = (g, i, j, many), []
-                    held.append(row)
+                        key, held = tuple(now), []
+                    held.append((sid, text, side, copies, label))
         if held:
             done += one(key, held)
         if done:
@@ -294,25 +335,27 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
-def classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, block: int = BLOCK, salt_rows: int = SALT_ROWS) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(summaries: doc_id, n, sid of every row), (linked: sid, label, links of every set that links to another one).
 
     docs: doc_id, text; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = cut(docs.mapInArrow(_summaries(n), "doc_id long, n long, sid binary, bucket int, count long"))
-    rows = both.filter(F.col("sid").isNotNull()).select("doc_id", "n", "sid")
-    counts = np.zeros(SKETCH, np.int64)
-    for r in both.filter(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.sum("count").alias("count")).collect():
-        counts[r["bucket"]] = r["count"]
-    postings = docs.mapInArrow(_prefixes(n, threshold, counts, salt_rows), "token long, salt int, salts int, n int, node long")
-    postings = postings if int(counts.max(initial=0)) > salt_rows else postings.withColumn("salts", F.lit(1))
-    found = components(_chains(postings, threshold)).select(F.col("node"), F.col("label").alias("group"))
-    sets = rows.filter("n > 0").groupBy("sid").agg(F.count("*").alias("copies")).withColumn("node", F.conv(F.hex(F.substring("sid", 1, 8)), 16, -10).cast("long"))
-    members = cut(sets.join(found, "node").select("sid", "group", "copies"))
-    sizes = members.groupBy("group").agg(F.count("*").alias("_m")).filter("_m > 1").withColumn("blocks", F.ceil(F.col("_m") / block).cast("int"))
-    members = members.join(sizes, "group").withColumn("side", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).cast("int"))
-    members = cut(members.select("sid", "group", "copies", "blocks", "side"))
+    rows = cut(docs.mapInArrow(_summaries(n), "doc_id long, n long, sid binary"))
+    found = components(_chains(docs.mapInArrow(_postings(n, threshold), "sig long, node long"))).select("node", F.col("label").alias("group"))
+    sets = rows.filter("n > 0").groupBy("sid").agg(F.count("*").alias("copies"), F.max("n").alias("n")).withColumn("node", F.conv(F.hex(F.substring("sid", 1, 8)), 16, -10).cast("long"))
+    bounds = [1]
+    while bounds[-1] < 1 << 40:
+        bounds.append(bounds[-1] * 100 // threshold + 1)
+    label = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("n"))) - 1
+    members = cut(sets.join(found, "node").select("sid", "group", "copies", "n", label.alias("label")))
+    # A small group is one task. A large one has a band for each class of size, met by that class and the one below, in hashed blocks.
+    small = members.groupBy("group").agg(F.sum("n").alias("_n"), F.count("*").alias("_m")).filter("_m > 1").select("group", (F.col("_n") <= block).alias("small"))
+    members = members.join(small, "group")
+    banded = members.withColumn("band", F.explode(F.when(F.col("small"), F.array(F.lit(-1))).otherwise(F.array(F.col("label"), F.col("label") + 1))))
+    blocks = banded.groupBy("group", "band").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), (F.max("label") >= F.max("band")).alias("own")).filter("own")
+    members = banded.join(blocks, ["group", "band"]).withColumn("side", F.when(F.col("small"), 0).otherwise(F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks"))).cast("int"))
+    members = cut(members.select("sid", "group", "band", "copies", "label", F.when(F.col("small"), 1).otherwise(F.col("blocks")).alias("blocks"), "side"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -328,9 +371,9 @@ def classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, block: int
 
     met = docs.mapInArrow(texts, "sid binary, text string").join(_bounded(members), "sid")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    met = met.withColumn("_o", F.explode(others)).select("group", F.least("side", "_o").alias("i"), F.greatest("side", "_o").alias("j"), (F.col("blocks") > 1).alias("many"), "sid", "text", "side", "copies")
+    met = met.withColumn("_o", F.explode(others)).select("group", "band", F.least("side", "_o").alias("i"), F.greatest("side", "_o").alias("j"), "sid", "text", "side", "copies", "label")
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    result = cut(met.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_joined(n, threshold), RESULT))
+    result = cut(met.repartition(parts, "group", "band", "i", "j").sortWithinPartitions("group", "band", "i", "j").mapInArrow(_joined(n, threshold), RESULT))
     whole = result.filter("NOT pairs").select("sid", "label", "links")
     split = result.filter("pairs")
     if split.isEmpty():
@@ -340,14 +383,14 @@ def classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, block: int
     return rows, whole.unionByName(split.select("sid", "label", "links"))
 
 
-def link_classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, block: int = BLOCK, salt_rows: int = SALT_ROWS) -> DataFrame:
+def link_classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row of docs.
 
     component_id is the smallest doc_id reachable by links, a row's own doc_id if there is none. Rows with a null or wordless text link to
     nothing; rows with equal sets, repeated rows among them, link to each other. A null doc_id is never the smallest; a class with no other
     ids has a null one. An empty table gives an empty result.
     """
-    rows, linked = classes(docs, n, threshold, block, salt_rows)
+    rows, linked = classes(docs, n, threshold, block)
     sets = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_copies"))
     sets = cut(sets.join(linked, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
     least = sets.groupBy("label").agg(F.min("_first").alias("component_id"))

@@ -140,7 +140,7 @@ def near_rows(seed=4):
     return rows
 
 
-@pytest.mark.parametrize("how", [{}, {"block": 5}, {"salt_rows": 3}])
+@pytest.mark.parametrize("how", [{}, {"block": 300}, {"block": 3000}])
 def test_jaccard_join(spark, how):
     rows = hard_rows() + near_rows()
     got = skipjoin.link_classes(documents(spark, rows), **how)
@@ -152,6 +152,38 @@ def test_jaccard_join_of_nothing(spark):
     assert skipjoin.link_classes(documents(spark, [(1, None), (2, "")])).filter("component_id = doc_id AND n_shingles = 0 AND n_links = 0").count() == 2
 
 
+def test_linked_sets_share_a_signature():
+    import numpy as np
+
+    r = random.Random(15)
+    for n in [*range(1, 60), 100, 137, 400, 1500]:
+        for _ in range(40):
+            a = {r.randrange(1 << 64) for _ in range(n)}
+            cut, add = r.randrange(0, n // 7 + 2), r.randrange(0, n // 7 + 2)
+            b = set(list(a)[cut:]) | {r.randrange(1 << 64) for _ in range(add)}
+            if b and a != b and 100 * len(a & b) >= 85 * len(a | b):
+                x, y = (skipjoin.signatures(np.array(sorted(s), np.uint64)) for s in (a, b))
+                assert len(np.intersect1d(x, y))
+    # Sparse parts: shingles whose hashes crowd into a corner of the range.
+    for _ in range(200):
+        a = {r.randrange(1 << 57) for _ in range(50)}
+        b = set(list(a)[4:]) | {r.randrange(1 << 57) for _ in range(3)}
+        if 100 * len(a & b) >= 85 * len(a | b):
+            x, y = (skipjoin.signatures(np.array(sorted(s), np.uint64)) for s in (a, b))
+            assert len(np.intersect1d(x, y))
+
+
+def test_combined_postings_connect_the_same():
+    import numpy as np
+
+    sig, node = np.array([5, 5, 5, 7, 7, 9]), np.array([3, 1, 1, 2, 1, 4])
+    s, v = skipjoin.combined(sig, node)
+    lists = defaultdict(set)
+    for a, b in zip(s.tolist(), v.tolist(), strict=True):
+        lists[a].add(b)
+    assert lists == {5: {1}, 7: {1}, 9: {4}, 1: {1, 2, 3}}
+
+
 def test_skipping_gives_all_links():
     r = random.Random(6)
     base = [r.randrange(10**6) for _ in range(300)]
