@@ -1,6 +1,5 @@
 """The pipeline, stage by stage, against brute force on a small fixture."""
 
-import random
 from collections import Counter
 from pathlib import Path
 
