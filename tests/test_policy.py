@@ -42,6 +42,11 @@ def test_most_restrictive(spark, labels, want):
     assert value(spark, policy.most_restrictive(F.array(*[F.lit(x) for x in labels]).cast("array<string>"), strict)) == want
 
 
+def test_list_form_of_filters(spark):
+    tags = F.array(F.lit("nudity"), F.lit("gore"))
+    assert value(spark, policy.list_filters(tags, F.lit("swap"))) == {"nudity": "swap", "gore": "swap"}
+
+
 SEG = "movie_id string, seg_no int, seg_id string, start bigint, end bigint, tags array<string>, risk string, action string, profile_segment_id string, is_filler boolean"
 PROFILES = {"child": {"nudity": "swap", "violence": "swap", "language": "swap"}, "teen": {"nudity": "swap"}, "adult": {}}
 
