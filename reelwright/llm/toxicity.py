@@ -27,17 +27,26 @@ STEPS = 120
 #: Distinct words that a task remembers before it starts afresh.
 CACHE = 400_000
 WORD = re.compile(r"[^\W_]+")
+#: Words, or n-grams, that are worked on at a time.
+CHUNK = 1 << 18
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket ids of all n-grams of all words, and where each word's begin; every word has one at least."""
+    parts = [_subwords(words[lo : lo + CHUNK // 8]) for lo in range(0, len(words), CHUNK // 8)]
+    counts = np.concatenate([n for _, n in parts])
+    return np.concatenate([i for i, _ in parts]), np.cumsum(counts) - counts
+
+
+def _subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket ids, word by word, and how many each word has."""
     joined = "".join(f"<{w}>" for w in words)
     c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lens = np.array([len(w) + 2 for w in words], np.int64)
-    ends = np.repeat(np.cumsum(lens), lens)
-    owner = np.repeat(np.arange(len(words)), lens)
+    lens = np.array([len(w) + 2 for w in words], np.int32)
+    ends = np.repeat(np.cumsum(lens, dtype=np.int32), lens)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), lens)
     ids, of = [], []
-    at = np.arange(len(c))
+    at = np.arange(len(c), dtype=np.int32)
     h = np.zeros(len(c), np.uint32)
     for n in range(1, 7):
         h = h[: len(c) - n + 1] * np.uint32(0x01000193) + c[n - 1 :]
@@ -45,11 +54,20 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             ok = at[: len(h)] + n <= ends[: len(h)]
             x = h[ok] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)
             x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-            ids.append((x ^ (x >> np.uint32(13))) & np.uint32(BUCKETS - 1))
+            ids.append(((x ^ (x >> np.uint32(13))) & np.uint32(BUCKETS - 1)).astype(np.int32))
             of.append(owner[: len(h)][ok])
-    ids, of = np.concatenate(ids).astype(np.int64), np.concatenate(of)
-    order = np.argsort(of, kind="stable")
-    return ids[order], np.searchsorted(of[order], np.arange(len(words)))
+    ids, of = np.concatenate(ids), np.concatenate(of)
+    return ids[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
+
+
+def _summed(ids: np.ndarray, by_owner: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """Sums by id of each owner's value, an owner having counts entries of ids in a row. Chunk by chunk, so nothing as long as ids is made."""
+    out, ends, lo = np.zeros(size), np.cumsum(counts), 0
+    while lo < len(counts):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + CHUNK)))
+        out += np.bincount(ids[ends[lo] - counts[lo] : ends[hi - 1]], np.repeat(by_owner[lo:hi], counts[lo:hi]), size)
+        lo = hi
+    return out
 
 
 class Scorer:
@@ -103,16 +121,16 @@ def train(rows: list[tuple[str, int]], steps: int = STEPS, seed: int = 1) -> Sco
     ys = np.array([y for _, y in rows], np.float64)
     if len(rows) == 0 or ys.min() == ys.max():
         return Scorer(np.zeros(BUCKETS), 40.0 if len(rows) and ys[0] else -40.0)
-    docs = [WORD.findall(t.lower()) or [" "] for t, _ in rows]
-    words = {w: i for i, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
+    words: dict[str, int] = {}
+    docs = [np.array([words.setdefault(w, len(words)) for w in WORD.findall(t.lower()) or [" "]], np.int32) for t, _ in rows]
+    lens, tokens = np.array([len(d) for d in docs]), np.concatenate(docs)
+    del docs
     ids, starts = subwords(list(words))
-    counts = np.diff(np.append(starts, len(ids))).astype(np.float64)
-    owner_word = np.repeat(np.arange(len(words)), counts.astype(int))
-    lens = np.array([len(d) for d in docs])
-    tokens = np.fromiter((words[w] for d in docs for w in d), np.int64, int(lens.sum()))
+    n_words, counts = len(words), np.diff(np.append(starts, len(ids)))
+    del words
     begin, owner = passages(lens)
-    first = np.searchsorted(owner, np.arange(len(docs)))
-    ends = np.append(begin[1:], len(tokens))
+    first = np.searchsorted(owner, np.arange(len(lens)))
+    spans = np.diff(np.append(begin, len(tokens)))
     grams = np.maximum(np.add.reduceat(counts[tokens], begin), LEAST)  # of each passage
     r = np.random.default_rng(seed)
     emb, soft, bias = r.uniform(-0.1, 0.1, (BUCKETS, SIZE)), r.standard_normal((2, SIZE)) * 0.3, np.array([1.0, -1.0])
@@ -120,17 +138,17 @@ def train(rows: list[tuple[str, int]], steps: int = STEPS, seed: int = 1) -> Sco
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (emb, soft, bias)]
     for step in range(1, steps + 1):
         dirn = soft[1] - soft[0]
-        per_word = np.add.reduceat((emb @ dirn)[ids], starts)
+        per_word = np.add.reduceat((emb @ dirn).astype(np.float32)[ids], starts)
         mean = np.add.reduceat(per_word[tokens], begin) / grams + bias[1] - bias[0]
         top = np.maximum.reduceat(mean, first)
         # The worst passage of each document; in the first steps all of them, as no word stands out yet.
         chosen = np.flatnonzero(mean >= top[owner]) if step > steps // 5 else np.arange(len(mean))
-        share = weight[owner[chosen]] / np.bincount(owner[chosen], minlength=len(docs))[owner[chosen]]
+        share = weight[owner[chosen]] / np.bincount(owner[chosen], minlength=len(lens))[owner[chosen]]
         err = (1 / (1 + np.exp(-np.clip(mean[chosen], -40, 40))) - ys[owner[chosen]]) * share
         pull = np.zeros(len(mean))
         pull[chosen] = err / grams[chosen]
-        on_word = np.bincount(tokens, np.repeat(pull, ends - begin), len(words))
-        on_gram = np.bincount(ids, on_word[owner_word], BUCKETS)
+        on_word = _summed(tokens, pull, spans, n_words)
+        on_gram = _summed(ids, on_word, counts, BUCKETS)
         toward = on_gram @ emb  # of the loss by the direction: errors times passages' averages
         grads = (on_gram[:, None] * dirn, np.stack([-toward, toward]), np.array([-err.sum(), err.sum()]))
         rate = 0.05 * (1 - 0.8 * step / steps)
