@@ -1,10 +1,10 @@
 """Personal data: four base patterns, and a linear-chain conditional random field that adds spans they miss.
 
 The field labels white-space tokens B/I by kind or O from word-shape features of a token and its neighbours. It is trained in numpy
-(forward-backward, Adam) on the small labelled table below, and decoded by Viterbi in numpy batches. Tokens are decoded in islands: those
-with a digit, an @ or a spelt-out dot, and REACH tokens on either side; every other token has no feature but that of a plain word, for
-which O is far the best label. Typical finds: a telephone number and a card number that stand side by side, which the patterns take for one
-number and drop; numbers without a country code; spelt-out e-mail addresses.
+(forward-backward, Adam) on the small labelled table below, and decoded by Viterbi in numpy batches. Every token is scored. Viterbi runs
+over the islands between tokens that are O on the best path whatever stands around them, by a bound on what any span through a token can
+gain; so the labels are those of whole texts. Typical finds: a telephone number and a card number that stand side by side, which the
+patterns take for one number and drop; numbers without a country code; spelt-out e-mail addresses.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{x}-{k}" for k in KINDS for x in "BI"))
-REACH = 4
 ISLANDS = 4096
 STEPS = 300
+#: Distinct words that a task remembers before it starts afresh.
+CACHE = 200_000
 
 # The base patterns. Each begins where a run of its characters does, so none is tried inside a run.
 EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -101,10 +102,20 @@ the 2nd and 21st
 a b c d e f
 plain words stand here
 nothing to see, at all.
+this is a long line of plain words that goes on and on without a number or an address in it, and so it ends. Then a new one begins; it is as plain as the first, has no more to say than that, and stops here
+wenn ein Satz aus lauter Wörtern besteht, die nichts bedeuten, dann ist er lang und bleibt doch ein Satz und sonst nichts. Él está en casa y no dice nada más que eso
+le petit mot d'un ami, l'autre jour, n'est pas là (on dit cela) et c'est tout ce qu'il a dit
+(see the well-known text) it's a state-of-the-art thing, and/or not - as they say - at all, isn't it
+“Quoted words,” said he, «mots» und „Wörter“ – here — there (and there) and so on
+the line says at at at at at at at at at at At At At At At At at at at at and more words
+we met at the station at noon and looked at it; she was at work, at last, and he was at home
+please call me or phone home, the card or mail came: an ip or id is a point at which punkt and punto are words, dot or no dot
+words&&& with%%% signs$$$ or*** more### after.&&& them,$$$ as%%% they### stand&&& here*** and$$$ so.%%% on,*** to### the.$$$ end,&&&
+f(x) a->b a_b(c) /a/b/c.d a/b §a ~b ^c a^b a~c a|b a\\b *a* _b_ `c` #a $b %c &d a&b a+b a*b <a>b</a> a::b a==b a!=b (a)(b) (a,b) a;b a:b a.b a,b a...b «a b» ‘a b’ • ° © → = + * / \\ ~ ^ & # % $ - _ ()
+https://a.b/c/d-e http://a.b/c www.a.b a.b.c a.b/c e.g. i.e. a--b a–b a—b a-b-c a'b (a b) [a] [b c] (c
 """.strip().split("\n")
 #: Words that count as themselves.
 LEXICON = frozenset("at dot punkt punto point (at) [at] tel tel. phone phone: call card mail ip id".split())
-TRIGGER = re.compile(r"[0-9@]|\b(?:dot|punkt|punto|point)\b", re.I)
 TOKEN = re.compile(r"\S+")
 _EDGE = ".,;:!?\"'|<>{}…"
 
@@ -147,12 +158,21 @@ def shape(word: str) -> list[str]:
     return out + ([f"w={word.lower()}"] if word.lower() in LEXICON else [])
 
 
+PLAIN = tuple(shape("word"))  # of any word of letters
+
+
 class Field:
     """A trained field: weights of own, previous and next features by label, and of label pairs."""
 
     def __init__(self, features: dict[str, int], own: np.ndarray, near: np.ndarray, pair: np.ndarray):
         self.features, self.own, self.near, self.pair = features, own, near, pair
-        self.cache: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        n = len(LABELS)
+        # Of a label other than O after another one, and of the first and last of a span: most that the pairs give over O.
+        self.inner = (pair[1:n] - pair[0, 0]).max(0)
+        self.inner[0] = -np.inf
+        first = np.maximum(pair[0] - pair[0, 0], pair[n] - pair[n, 0])
+        self.ends = float((first[1:] - self.inner[1:]).max() + max(0.0, (pair[1:n, 0] - pair[0, 0]).max()))
+        self._clear()
 
     def __getstate__(self) -> dict:
         return {"features": self.features, "own": self.own, "near": self.near, "pair": self.pair}
@@ -160,53 +180,103 @@ class Field:
     def __setstate__(self, state: dict) -> None:
         self.__init__(**state)
 
-    def _word(self, word: str) -> tuple[np.ndarray, np.ndarray]:
-        if (w := self.cache.get(word)) is None:
-            ids = [self.features[f] for f in shape(word) if f in self.features]
-            w = (self.own[[0, *ids]].sum(0), self.near[:, ids].sum(1))
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            self.cache[word] = w
-        return w
+    def _clear(self) -> None:
+        self.words: dict[str, int] = {}
+        self.kinds: dict[tuple[str, ...], int] = {}  # words of equal features are one row of the table
+        self.table = np.zeros((3, 0, len(LABELS)))  # of each kind of word: own, for the next word, for the previous one
+
+    def _ids(self, words: list[str]) -> np.ndarray:
+        if len(self.words) > CACHE:
+            self._clear()
+        rows = []
+        for w in set(words).difference(self.words):
+            features = PLAIN if w.strip(_EDGE).isalpha() and w.lower() not in LEXICON else tuple(shape(w))
+            if features not in self.kinds:
+                self.kinds[features] = len(self.kinds)
+                rows.append([self.features[f] for f in features if f in self.features])
+            self.words[w] = self.kinds[features]
+        if rows:
+            fresh = np.array([[self.own[[0, *ids]].sum(0) for ids in rows], *([self.near[k, ids].sum(0) for ids in rows] for k in (0, 1))])
+            self.table = np.concatenate([self.table, fresh], 1)
+        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
 
     def scores(self, words: list[str]) -> np.ndarray:
         """(words, labels)."""
-        parts = [self._word(w) for w in words]
-        own, near = np.stack([p[0] for p in parts]), np.stack([p[1] for p in parts])
-        own[1:] += near[:-1, 0]
-        own[:-1] += near[1:, 1]
+        return self._scores(words, np.array([len(words)]))
+
+    def _scores(self, words: list[str], lens: np.ndarray) -> np.ndarray:
+        """(words, labels) of texts one after another; words of different texts are no neighbours."""
+        ids = self._ids(words)
+        own = self.table[0][ids]
+        before, after = self.table[1][ids[:-1]], self.table[2][ids[1:]]
+        cut = np.cumsum(lens)[:-1] - 1
+        cut = cut[(cut >= 0) & (cut < len(before))]
+        before[cut], after[cut] = 0, 0
+        own[1:] += before
+        own[:-1] += after
         return own
 
+    def label(self, texts: list[list[str]]) -> np.ndarray:
+        """The best labels of all words of all texts, one after another: those of decode(), without a Viterbi step for most words."""
+        lens = np.array([len(t) for t in texts], np.int64)
+        out = np.zeros(int(lens.sum()), np.int64)
+        if not len(out):
+            return out
+        flat = self._scores([w for t in texts for w in t], lens)
+        gain = (flat[:, 1:] - flat[:, :1] + self.inner[1:]).max(1)
+        # Most that a span through each word can gain over O: of all sums of neighbouring gains that hold it, the largest.
+        sums = np.cumsum(gain)
+        most = np.maximum.accumulate(sums[::-1])[::-1] - np.minimum.accumulate(np.append(0.0, sums[:-1]))
+        hot = most + self.ends > -1e-6
+        text_end = np.zeros(len(out), bool)
+        text_end[np.cumsum(lens)[lens > 0] - 1] = True
+        at = np.flatnonzero(hot)
+        if not len(at):
+            return out
+        starts = np.append(True, (np.diff(at) > 1) | text_end[at[:-1]])
+        lo = at[starts]
+        hi = at[np.append(starts[1:], True)] + 1
+        head = (lo == 0) | text_end[lo - 1]
+        for a in range(0, len(lo), ISLANDS):
+            part = np.arange(a, min(a + ISLANDS, len(lo)))
+            part = part[np.argsort(lo[part] - hi[part], kind="stable")]
+            for i, path in zip(part.tolist(), self._viterbi(flat, lo[part], (hi - lo)[part], head[part], text_end[hi[part] - 1]), strict=True):
+                out[lo[i] : hi[i]] = path
+        return out
+
+    def _viterbi(self, flat: np.ndarray, start: np.ndarray, lens: np.ndarray, head: np.ndarray, tail: np.ndarray) -> list[np.ndarray]:
+        """The best path of each island, longest first. head, tail: nothing stands before it, after it; else an O does."""
+        T, n = int(lens[0]), len(LABELS)
+        back, path = np.zeros((int(lens.sum()), n), np.int8), np.zeros(int(lens.sum()), np.int64)
+        many = np.searchsorted(-lens, -np.arange(T))  # islands longer than t
+        row = np.cumsum(many) - many
+        best = flat[start] + np.where(head[:, None], self.pair[n], self.pair[0])
+        for t in range(1, T):
+            k = int(many[t])
+            step = best[:k, :, None] + self.pair[:n]
+            back[row[t] : row[t] + k] = step.argmax(1)
+            best[:k] = step.max(1) + flat[start[:k] + t]
+        label = (best + np.where(tail[:, None], 0, self.pair[:n, 0])).argmax(1)
+        for t in range(T - 1, -1, -1):
+            k = int(many[t])
+            path[row[t] : row[t] + k] = label[:k]
+            if t:
+                label[:k] = back[row[t] + np.arange(k), label[:k]]
+        return [path[row[: int(m)] + j] for j, m in enumerate(lens)]
+
     def decode(self, islands: list[list[str]]) -> list[np.ndarray]:
-        """The best labels of each island, by Viterbi over islands side by side, longest first."""
+        """The best labels of each island, by Viterbi over all its words, islands side by side, longest first."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(islands)
-        order = sorted(range(len(islands)), key=lambda i: -len(islands[i]))
+        order = sorted((i for i in range(len(islands)) if islands[i]), key=lambda i: -len(islands[i]))
         for lo in range(0, len(order), ISLANDS):
             part = order[lo : lo + ISLANDS]
             lens = np.array([len(islands[i]) for i in part])
-            flat = self.scores_of([islands[i] for i in part])
-            start = np.cumsum(lens) - lens
-            T, n = int(lens[0]), len(LABELS)
-            back = np.zeros((T, len(part), n), np.int8)
-            best = flat[start] + self.pair[n]  # the last row of pair: from the start
-            for t in range(1, T):
-                k = int(np.searchsorted(-lens, -t))  # islands longer than t
-                step = best[:k, :, None] + self.pair[:n]
-                back[t, :k] = step.argmax(1)
-                best[:k] = step.max(1) + flat[start[:k] + t]
-            label = best.argmax(1)
-            path = np.zeros((T, len(part)), np.int64)
-            for t in range(T - 1, -1, -1):
-                k = int(np.searchsorted(-lens, -t))
-                path[t, :k] = label[:k]
-                label[:k] = back[t, np.arange(k), label[:k]]
-            for j, i in enumerate(part):
-                out[i] = path[: lens[j], j]
+            whole = np.ones(len(part), bool)
+            flat = self._scores([w for i in part for w in islands[i]], lens)
+            for i, path in zip(part, self._viterbi(flat, np.cumsum(lens) - lens, lens, whole, whole), strict=True):
+                out[i] = path
         return out
 
-    def scores_of(self, islands: list[list[str]]) -> np.ndarray:
-        return np.concatenate([self.scores(w) for w in islands])
-
 
 def _marked(row: str) -> tuple[list[str], list[str]]:
     words, labels = [], []
@@ -282,36 +352,24 @@ def train(rows: list[str] = LABELLED, steps: int = STEPS) -> Field:
 
 def added_spans(field: Field, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
     """Of each text, the spans that the field finds and that meet no base span."""
-    islands, places = [], []
-    for i, text in enumerate(texts):
-        if not TRIGGER.search(text):
-            continue
-        tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
-        starts = np.array([a for a, _ in tokens])
-        hot = np.unique(np.searchsorted(starts, [m.start() for m in TRIGGER.finditer(text)], side="right") - 1)
-        lo = np.maximum(hot - REACH, 0)
-        cut = np.flatnonzero(np.append(True, lo[1:] > hot[:-1] + REACH))
-        for a, b in zip(lo[cut].tolist(), (hot[np.append(cut[1:], len(hot)) - 1] + REACH + 1).tolist(), strict=True):
-            run = tokens[a : min(b, len(tokens))]
-            islands.append([text[s:e] for s, e in run])
-            places.append((i, run))
+    tokens = [[(m.start(), m.end()) for m in TOKEN.finditer(text)] for text in texts]
+    found = field.label([[text[a:b] for a, b in run] for text, run in zip(texts, tokens, strict=True)])
+    ends = np.cumsum([len(run) for run in tokens])
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for (i, run), words, labels in zip(places, islands, field.decode(islands) if islands else [], strict=True):
-        t = 0
-        for t0 in range(len(words)):
-            y = int(labels[t0])
-            if t0 < t or y == 0 or y % 2 == 0:
-                continue
-            t = t0 + 1
-            while t < len(words) and labels[t] == y + 1:
-                t += 1
-            s, e = run[t0][0], run[t - 1][1]
-            while s < e and texts[i][s] in _EDGE:
-                s += 1
-            while s < e and texts[i][e - 1] in _EDGE:
-                e -= 1
-            if s < e and not any(a < e and s < b for _, a, b in base[i]):
-                out[i].append(((y - 1) // 2, s, e))
+    begins = np.flatnonzero(found % 2 == 1)
+    for at, i in zip(begins.tolist(), np.searchsorted(ends, begins, side="right").tolist(), strict=True):
+        run, y = tokens[i], int(found[at])
+        t0 = at - int(ends[i]) + len(run)
+        t = t0 + 1
+        while t < len(run) and found[at + t - t0] == y + 1:
+            t += 1
+        s, e = run[t0][0], run[t - 1][1]
+        while s < e and texts[i][s] in _EDGE:
+            s += 1
+        while s < e and texts[i][e - 1] in _EDGE:
+            e -= 1
+        if s < e and not any(a < e and s < b for _, a, b in base[i]):
+            out[i].append(((y - 1) // 2, s, e))
     return out
 
 
@@ -332,8 +390,8 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, 250):
+                part = batch.slice(lo, 250)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 base = [base_spans(t) for t in texts]
                 more = added_spans(field, texts, base)

@@ -439,6 +439,25 @@ def test_field_learns_its_table():
     assert all((a == b).all() for a, b in zip(field.decode(islands), [field.decode([w])[0] for w in islands], strict=True))
 
 
+def test_field_reads_every_word(spark):
+    rows = [r for r in pii.LABELLED if re.search(r"\[(email|ip|card|phone)\|", r)]
+    plain = [re.sub(r"\[(?:email|ip|card|phone)\|((?:[^\[\]]|\[[^\[\]]*\])*)\]", r"\1", r) for r in rows]
+    field = pii.train()
+    for row, text in zip(rows, plain, strict=True):
+        marked = re.findall(r"\[(email|ip|card|phone)\|((?:[^\[\]]|\[[^\[\]]*\])*)\]", row)
+        assert [(pii.KINDS[k], text[a:b]) for k, a, b in pii.added_spans(field, [text], [[]])[0]] == marked
+    texts = ["an eva (at) mail.example.net oder", "an max [at] example.com und", "word " * 500 + "an eva (at) mail.example.net oder" + " word, wörd" * 500, "plain words, and no more; at last. " * 100]
+    got = {x["doc_id"]: x["spans"] for x in pii.find(documents(spark, list(enumerate(texts))), field).collect()}
+    assert got == {0: "email:3:28", 1: "email:3:23", 2: "email:2503:2528", 3: ""}
+
+
+def test_islands_give_the_labels_of_whole_texts():
+    r, field = random.Random(12), pii.train()
+    words = [w for row in pii.LABELLED for w in pii._marked(row)[0]]
+    texts = [[r.choice(words) for _ in range(r.randrange(40))] for _ in range(300)] + [[]]
+    assert field.label(texts).tolist() == [y for path in field.decode(texts) for y in path.tolist()]
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
