@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ MOST_KEYS, MOST_CHARS, SALTS = 200_000, 32 << 20, 64
 REFERENCES = 6
 #: Reference pages that must agree on a text before it counts as template.
 AGREEING = 3
-#: Cells a pair of child lists may take in a matching; longer lists are matched in order of their labels alone.
+#: Cells up to which the matching of two child lists is one table; longer lists give the same pairs row by row, from every so many rows kept.
 MOST_CELLS = 40_000
 
 # Element kinds of HTML.
@@ -128,7 +130,7 @@ def match(a: Tree, b: Tree, memo: dict | None = None) -> int:
         return 0
     memo = {} if memo is None else memo
     if (key := (id(a), id(b))) not in memo:
-        memo[key] = 1 + (a[1] != "" and a[1] == b[1]) + _rows(a[2], b[2], memo)[-1][-1]
+        memo[key] = 1 + (a[1] != "" and a[1] == b[1]) + _size(a[2], b[2], memo)
     return memo[key]
 
 
@@ -144,25 +146,64 @@ def _rows(xs: list[Tree], ys: list[Tree], memo: dict) -> list[list[int]]:
     return rows
 
 
+def _size(xs: list[Tree], ys: list[Tree], memo: dict) -> int:
+    if len(xs) * len(ys) <= MOST_CELLS:
+        return _rows(xs, ys, memo)[-1][-1]
+    last, weights = np.zeros(len(ys) + 1, np.int64), _Weights(ys, memo)
+    for x in xs:
+        last = weights.after(last, x)
+    return int(last[-1])
+
+
+class _Weights:
+    """Rows of _rows() for a long list ys, as arrays. Leaves are compared by label and text at once; only pairs with children are matched."""
+
+    def __init__(self, ys: list[Tree], memo: dict):
+        self.ys, self.memo = ys, memo
+        self.labels: dict[str, int] = {}
+        self.texts: dict[str, int] = {}
+        self.label = np.array([self.labels.setdefault(y[0], len(self.labels)) for y in ys], np.int64)
+        self.text = np.array([self.texts.setdefault(y[1], len(self.texts)) for y in ys], np.int64)
+        self.inner = np.array([bool(y[2]) for y in ys], bool)
+
+    def after(self, last: np.ndarray, x: Tree) -> np.ndarray:
+        same = self.label == self.labels.get(x[0], -1)
+        w = same.astype(np.int64)
+        if x[1]:
+            w += same & (self.text == self.texts.get(x[1], -1))
+        if x[2]:
+            for j in np.flatnonzero(same & self.inner).tolist():
+                w[j] = match(x, self.ys[j], self.memo)
+        return np.append(0, np.maximum.accumulate(np.maximum(last[1:], last[:-1] + w)))
+
+
 def aligned(xs: list[Tree], ys: list[Tree], memo: dict) -> list[tuple[int, int]]:
-    """The pairs of children that simple tree matching maps. Lists with too many cells are paired in order, label by label."""
-    if len(xs) * len(ys) > MOST_CELLS:
-        out, j = [], 0
-        for i, x in enumerate(xs):
-            k = next((k for k in range(j, min(len(ys), j + 50)) if ys[k][0] == x[0]), None)
-            if k is not None:
-                out.append((i, k))
-                j = k + 1
-        return out
-    rows, out, i, j = _rows(xs, ys, memo), [], len(xs), len(ys)
+    """The pairs of children that simple tree matching maps."""
+    out, i, j = [], len(xs), len(ys)
+    if i * j <= MOST_CELLS:
+        step, kept = i, [_rows(xs, ys, memo)]
+    else:
+        step, weights, kept = math.isqrt(i) + 1, _Weights(ys, memo), []
+        last = np.zeros(j + 1, np.int64)
+        for k, x in enumerate(xs):
+            if k % step == 0:
+                kept.append([last])
+            last = weights.after(last, x)
     while i and j:
-        if rows[i][j] == rows[i - 1][j]:
-            i -= 1
-        elif rows[i][j] == rows[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((i, j))
+        lo = (i - 1) // step * step
+        rows = kept[lo // step]
+        if len(rows) == 1:
+            for x in xs[lo:i]:
+                rows.append(weights.after(rows[-1], x))
+        while i > lo and j:
+            if rows[i - lo][j] == rows[i - lo - 1][j]:
+                i -= 1
+            elif rows[i - lo][j] == rows[i - lo][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+        kept[lo // step] = []
     return out[::-1]
 
 

@@ -559,6 +559,27 @@ def test_simple_tree_matching():
     assert wrapper.aligned(x[2], y[2], {}) == [(1, 0), (2, 1), (3, 3)]
 
 
+def test_long_lists_are_matched_alike(monkeypatch):
+    r = random.Random(9)
+    t = lambda s: wrapper.tree(wrapper.parse(s))
+    for _ in range(30):
+        a, b = (t("".join(r.choice(["<p>a</p>", "<p>b</p>", "<p></p>", "<div>c</div>", "<ul><li>x<li>y</ul>", "<ul><li>x<li>z<li>x</ul>"]) for _ in range(r.randrange(25)))) for _ in range(2))
+        want = wrapper.aligned(a[2], b[2], {}), wrapper.match(a, b)
+        with monkeypatch.context() as m:
+            m.setattr(wrapper, "MOST_CELLS", 0)
+            assert (wrapper.aligned(a[2], b[2], {}), wrapper.match(a, b)) == want
+
+
+def test_long_pages_lose_their_template():
+    def long(i, n):
+        return "<body>" + "".join(f"<p>{i} line {k}</p>" for k in range(n)) + "<p>Read our terms</p><div>All rights reserved</div></body>"
+
+    pages = [long(0, 201), long(1, 300), long(2, 250), long(3, 220)]
+    template = wrapper.pruned(wrapper.induce(pages))
+    for i, n in ((0, 201), (1, 300), (7, 330)):
+        assert wrapper.content(long(i, n), template) == "\n".join(f"{i} line {k}" for k in range(n))
+
+
 def test_templates_drop_what_stays(spark):
     def plain(i):
         return f"<html><body><div>Welcome to our site</div><div><p>Story {i} is new</p><p>Line {i * 7}</p></div><div>All rights reserved</div></body></html>"
