@@ -23,7 +23,7 @@ from reelwright.llm.common import cut
 #: Reference keys (rows) and templates (characters in all) that may be broadcast, as counted; above that, pages are shuffled to them, each
 #: host's in so many salted parts.
 MOST_KEYS, MOST_CHARS, SALTS = 200_000, 32 << 20, 64
-#: Pages a host's template is induced from: one for each of so many classes of their hash, the one with the smallest hash.
+#: Pages a host's template is induced from: those with the smallest hashes, each different page once.
 REFERENCES = 6
 #: Reference pages that must agree on a text before it counts as template.
 AGREEING = 3
@@ -310,12 +310,30 @@ TEMPLATES = "_host string, _template string"
 
 def templates(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
     """_host, _template (JSON): a row per host that has a constant text. No task sees more than `references` pages of a host, chosen over all of them."""
-    keyed = pages.select("_host", "html", F.xxhash64("html").alias("_h")).withColumn("_class", F.pmod("_h", F.lit(references)))
-    least = keyed.groupBy("_host", "_class").agg(F.min("_h").alias("_h"))
-    least = cut(least)
+    keyed = pages.select("_host", "html", F.xxhash64("html").alias("_h"))
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, list[int]] = {}
+        for batch in batches:
+            for name, h in zip(batch.column("_host").to_pylist(), batch.column("_h").to_pylist(), strict=True):
+                own = best.setdefault(name, [])
+                if h not in own and (len(own) < references or h < own[-1]):
+                    own.append(h)
+                    own.sort()
+                    del own[references:]
+            if len(best) > MOST_KEYS:
+                yield listed(best)
+                best = {}
+        yield listed(best)
+
+    def listed(best: dict[str, list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([name for name, own in best.items() for _ in own], pa.string()), pa.array([h for own in best.values() for h in own], pa.int64())], ["_host", "_h"])
+
+    least = keyed.select("_host", "_h").mapInArrow(smallest, "_host string, _h long").groupBy("_host").agg(F.collect_set("_h").alias("_all"))
+    least = cut(least.select("_host", F.explode(F.slice(F.array_sort("_all"), 1, references)).alias("_h")))
     if least.count() <= MOST_KEYS:
         least = F.broadcast(least)
-    chosen = keyed.join(least, ["_host", "_class", "_h"]).groupBy("_host", "_class").agg(F.first("html").alias("html"))
+    chosen = keyed.join(least, ["_host", "_h"]).groupBy("_host", "_h").agg(F.first("html").alias("html"))
 
     def host(key: tuple, group: pa.Table) -> pa.Table:
         t = pruned(induce(sorted(group.column("html").to_pylist()))) if group.num_rows >= AGREEING else None
@@ -328,7 +346,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """SCHEMA for every row of pages (page_id, url, html; other columns are ignored).
 
     A null html is an empty page with an empty text. A null url, or one without a host, belongs to a host of its own name "". A page of a
-    host with fewer than AGREEING different reference pages is read without a template. Repeated rows are rows of their own; an empty
+    host with fewer than AGREEING different pages is read without a template. Repeated rows are rows of their own; an empty
     table gives an empty result.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"),

@@ -594,6 +594,14 @@ def test_templates_drop_what_stays(spark):
     assert wrapper.extract(df.limit(0)).count() == 0
 
 
+def test_three_pages_have_a_template(spark):
+    rows = [(3 * h + i, f"http://h{h}.example/{i}", f"<div>Top</div><p>Text {h} {i}</p>", "h", "d") for h in range(20) for i in range(3)]
+    rows += [(100 + i, "http://two.example/", f"<div>Top</div><p>Text {i % 2}</p>", "h", "d") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, EMPTY["pages"]).repartition(4)).collect()}
+    assert all(got[3 * h + i] == f"Text {h} {i}" for h in range(20) for i in range(3))
+    assert all(got[100 + i] == f"Top\nText {i % 2}" for i in range(6))
+
+
 def test_salted_templates_give_the_same(spark, monkeypatch):
     rows = [(i, "http://h.example/", f"<div>Top</div><p>Text {i}</p>", "h", "d") for i in range(20)]
     df = spark.createDataFrame(rows, EMPTY["pages"])
