@@ -32,10 +32,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _whole(text: str) -> tuple[np.ndarray, np.ndarray]:
+    return (np.array([xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"))][: len(text)], np.uint32), np.zeros(min(1, len(text)), np.uint32))
+
+
 def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """All anchors' hashes and places, in order of place. A text shorter than K is one anchor; an empty one has none."""
+    """All anchors' hashes and places, in order of place. A text shorter than K, or without a syncmer, is one anchor; an empty one has none."""
     if len(text) < K:
-        return (np.array([xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"))][: len(text)], np.uint32), np.zeros(min(1, len(text)), np.uint32))
+        return _whole(text)
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) * np.uint32(0x9E3779B1)
     h2 = c[:-1] * np.uint32(0x01000193) + c[1:]
     h = h2[:-2] * np.uint32(0x85EBCA77) + h2[2:]
@@ -45,6 +49,8 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     low = np.minimum(low[:-4], low[4:])
     low = np.minimum(low[:-3], low[3:])  # of K - S + 1 = 11 neighbouring s-mers
     at = np.flatnonzero((low == h[: len(low)]) | (low == h[K - S :])).astype(np.uint32)
+    if not len(at):  # in texts under 2 * K - S - 1 code points only
+        return _whole(text)
     return _mix((h[at] * np.uint32(0x27D4EB2F) + h[at + S]) * np.uint32(0x165667B1) + h[at + 2 * S]), at
 
 

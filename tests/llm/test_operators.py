@@ -61,6 +61,15 @@ def test_likeness():
     assert 0.15 < half < 0.55 and syncmers.likeness(s(a), s(b)) < 0.05
 
 
+def test_short_texts_have_anchors():
+    r = random.Random(4)
+    texts = {"".join(r.choice("abcdefgh .") for _ in range(n)) for n in range(1, 30) for _ in range(40)} | {"Eser thed nt of.", "Is nd of thlying.", "Ered. pathetic loser"}
+    prints = [syncmers.sketch(t) for t in sorted(texts)]
+    assert all(len(p) for p in prints)
+    short = [p for t, p in zip(sorted(texts), prints, strict=True) if 15 <= len(t) <= 23]
+    assert sum(syncmers.likeness(a, b) == 1 for i, a in enumerate(short) for b in short[:i]) == 0
+
+
 @pytest.mark.parametrize("partitions", ["1", "4"])
 def test_fingerprints(spark, partitions):
     rows = hard_rows()
