@@ -31,7 +31,7 @@ VERSION = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-#: The longest header block that the reader takes for one.
+#: The longest header block that the reader takes for one outside a gzip member.
 MOST_HEADER = 1 << 16
 
 
@@ -102,10 +102,10 @@ class Source:
 
 
 def _parse(plain: bytes, whole: bool) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and length of the record at the start of plain. whole: nothing may follow it."""
+    """Headers, block and length of the record at the start of plain. whole: nothing may follow it, and its header may have any length."""
     if not plain.startswith(VERSION):
         raise Bad("no version line")
-    stop = plain.find(b"\r\n\r\n", 0, MOST_HEADER)
+    stop = plain.find(b"\r\n\r\n", 0, len(plain) if whole else MOST_HEADER)
     if stop < 0:
         raise Bad("no end of header")
     lines = plain[:stop].decode("utf-8", "replace").split("\r\n")[1:]
@@ -250,21 +250,25 @@ def write_archives(pages: DataFrame, folder: str, roll: int = ROLL, least: int =
 RECORDS = "path string, start long, end long, gap string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
-def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
-    """RECORDS of all archives in paths (path): a row for each record and, with `gap` saying why, for each quarantined gap."""
+def read_archives(paths: DataFrame, payloads: bool = True, whole: bool = False) -> DataFrame:
+    """RECORDS of all archives in paths (path): a row for each record and, with `gap` saying why, for each quarantined gap. whole: paths are
+    a manifest, and an archive with a gap or with other than its count of records is an error."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("gap", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
         number = lambda x: int(x) if x else None
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            for path, records in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist() if whole else [None] * batch.num_rows, strict=True):
                 system, at = open_uri(path)
-                out, size = [], 0
+                out, size, n = [], 0, 0
                 with system.open_input_file(at) as f:
                     for r in read_archive(f):
                         if isinstance(r, Gap):
+                            if whole:
+                                raise ValueError(f"{path}: {r.reason} from {r.start} to {r.end}")
                             out.append((path, r.start, r.end, r.reason, None, None, None, None, None, None, None))
                         else:
+                            n += 1
                             h = r.headers
                             digest = h.get("warc-payload-digest", "")
                             out.append((path, r.offset, r.end, None, number(h.get("page-id")), h.get("warc-target-uri"), h.get("warc-type"), number(h.get("refers-to-page-id")), number(r.http.get("content-length")), base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None, r.payload if payloads else None))
@@ -272,10 +276,12 @@ def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
                         if len(out) >= 2000 or size > STEP * 16:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
                             out, size = [], 0
+                if whole and n != records:
+                    raise ValueError(f"{path}: {n} records, {records} written")
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return paths.select("path").mapInArrow(rows, RECORDS)
+    return paths.select("path", *(["records"] if whole else [])).mapInArrow(rows, RECORDS)
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -284,12 +290,12 @@ def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     A null html is an empty payload, a null url about:blank. Rows that repeat a payload under the keeper's own page_id are responses like
     it; a row with a null page_id revisits the keeper, and is a response if all ids of its group are null. An empty table gives an empty
-    result.
+    result. Reading back other than what was written is an error.
     """
     archives = write_archives(pages, scratch(spark, "warc"))
     n = max(1, 2 * spark.sparkContext.defaultParallelism)
-    records = read_archives(archives.repartition(n), payloads=False)
-    return records.filter(F.col("gap").isNull()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = read_archives(archives.repartition(n), payloads=False, whole=True)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = f"""

@@ -531,6 +531,20 @@ def test_warc_query(spark):
     assert warc.archive_pages(spark, df.limit(0)).count() == 0
 
 
+def test_long_urls_are_archived(spark, tmp_path):
+    rows = [(1, "data:," + "x" * 70000, "<p>a</p>", "h", "d"), (2, "http://h/", "<p>b</p>", "h", "d"), (3, "data:," + "y" * 3000000, "<p>c</p>", "h", "d")]
+    df = spark.createDataFrame(rows, EMPTY["pages"])
+    assert sorted(r["page_id"] for r in warc.archive_pages(spark, df).collect()) == [1, 2, 3]
+    manifest = warc.write_archives(df.coalesce(1), str(tmp_path))
+    with pytest.raises(Exception, match="4 written"):
+        warc.read_archives(manifest.withColumn("records", F.col("records") + 1), whole=True).collect()
+    path = manifest.first()["path"]
+    data = open(path.removeprefix("file:"), "rb").read()
+    open(path.removeprefix("file:"), "wb").write(data[:-5])
+    with pytest.raises(Exception, match="cut off"):
+        warc.read_archives(manifest, whole=True).collect()
+
+
 def test_gaps_are_rows(spark, tmp_path):
     _, parts = archive(3)
     (tmp_path / "a.warc.gz").write_bytes(parts[0] + b"???" + parts[1] + parts[2][:-9])
