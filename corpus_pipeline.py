@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, with the smallest doc_id, of each class of near copies."""
-    return skipjoin.keep_one(docs)
+    """One document, with the smallest doc_id, of each class of near copies: 0.8 of their shingles of five words are shared."""
+    return skipjoin.keep_one(docs, n=5, threshold=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,13 @@ def test_stages(spark, tmp_path):
     assert Counter((r["doc_id"], r["shard"]) for r in ran.collect()) == Counter((r["doc_id"], r["shard"]) for r in seen["sharding"])
 
 
+def test_near_copies_share_four_fifths(spark):
+    words = [f"w{i}" for i in range(104)]
+    rows = [(1, words), (2, [*words, *(f"x{i}" for i in range(20))]), (3, [*words, *(f"y{i}" for i in range(30))])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
 def test_registered():
     import __spark_entry__
 
