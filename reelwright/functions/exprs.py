@@ -20,6 +20,14 @@ def to_ms(seconds: Column) -> Column:
     return (seconds * 1000).cast("bigint")
 
 
+def hundredths(ms: Column) -> Column:
+    """Whole milliseconds as seconds with two decimals, ties to the even one: times at the engine's edge."""
+    tens = F.floor(ms / 10).cast("bigint")
+    rest = ms - tens * 10
+    up = (rest > 5) | ((rest == 5) & (F.pmod(tens, F.lit(2)) == 1))
+    return ((tens + up.cast("int")) / 100.0).cast("double")
+
+
 def clamp(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
     """x within lo and hi; null stays null (greatest and least skip nulls)."""
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,30 @@ def text_words(texts: DataFrame, key: str, step: int | None = None) -> DataFrame
     return rows if step is None else rows.withColumn("start", F.col("pos").cast("bigint") * step)
 
 
+def clean_words(text: str) -> Column:
+    """All white-space tokens of a text, cleaned, as an array; none for a null text. The text is lowered once, not each word."""
+    return F.coalesce(F.transform(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != ""), lambda w: F.btrim(w, F.lit("'\""))), F.array().cast("array<string>"))
+
+
+def text_buckets(texts: DataFrame, key: str, interval: int, step: int, keywords: list[str] | None = None, tag: str = "language") -> DataFrame:
+    """bucket_detections() of texts (key, text) whose words stand `step` apart, made row by row: no word is shuffled."""
+    known = F.array(*[F.lit(w) for w in keywords or params.PROFANITY])
+    at = F.transform(clean_words("text"), lambda w, i: F.when(F.array_contains(known, w), F.floor(i.cast("bigint") * step / interval) * interval))
+    return texts.select(key, F.explode(F.array_distinct(F.array_compact(at)).cast("array<bigint>")).alias("t")).withColumn("tags", F.array(F.lit(tag)))
+
+
+def text_keywords(texts: DataFrame, key: str, keywords: Sequence[tuple[str, str, int]], thresholds: dict[str, int], least: int = 2) -> DataFrame:
+    """keyword_hits() of texts (key, text), for keywords (tag, keyword, weight) and thresholds by tag, made row by row."""
+    words = F.array_distinct(clean_words("text"))
+    hits = []
+    for tag in sorted({t for t, _, _ in keywords}):
+        total = F.lit(0).cast("bigint")
+        for _, word, weight in (k for k in keywords if k[0] == tag):
+            total = total + F.when(F.array_contains("_w", word), F.lit(weight)).otherwise(0)
+        hits.append(F.when(total >= thresholds.get(tag, least), F.struct(F.lit(tag).alias("tag"), total.alias("weight"))))
+    return texts.select(key, words.alias("_w")).select(key, F.inline(F.array_compact(F.array(*hits))))
+
+
 def bucket_detections(words: DataFrame, key: str, interval: int, keywords: list[str] | None = None, tag: str = "language") -> DataFrame:
     """key, t, tags: each interval in which a word of keywords starts (words: key, word, start). The bucket is a quotient, not a range join."""
     hit = words.filter(F.col("word").isin(keywords or params.PROFANITY))

@@ -15,9 +15,11 @@ def index_lookup(index: DataFrame, keys: list[str], order: str) -> DataFrame:
 def sequence(matrix: DataFrame, index: DataFrame) -> DataFrame:
     """movie_id, profile, play_no, seg_no, seg_id, profile_action, target_id, start, end, duration: what is played, in order.
 
-    matrix: profile_matrix() of timelines, with is_filler or without; index: movie_id, target_id, duration. Fillers are no part of the
-    narrative; skips, and segments whose target is not in the index, are left out. Partial projections and filters reach the scan.
+    matrix: profile_matrix() of timelines, with is_filler or without; index: movie_id, target_id, duration, and entry_no, by which the last
+    of repeated ids counts (without it, the longest). Fillers are no part of the narrative; skips, and segments whose target is not in the
+    index, are left out. Partial projections and filters reach the scan.
     """
+    index = index_lookup(index, ["movie_id", "target_id"], "entry_no" if "entry_no" in index.columns else "duration")
     rows = matrix.filter(F.col("profile_action") != "skip")
     if "is_filler" in matrix.columns:
         rows = rows.filter(~F.coalesce("is_filler", F.lit(False)))
@@ -37,13 +39,16 @@ def adjusted_times(seq: DataFrame) -> DataFrame:
 
 def seek(seq: DataFrame, positions: DataFrame, closed: bool = False) -> DataFrame:
     """movie_id, profile, position, play_no, seg_id, offset of each position (movie_id, position) in adjusted time: the first entry that ends
-    after it (closed: at it or after), else the last one. The entry is found by one grouped minimum."""
-    ends = adjusted_times(seq).withColumn("_end", F.col("adjusted_start") + F.col("duration"))
-    rows = ends.join(positions, "movie_id")
-    reached = F.col("_end") >= F.col("position") if closed else F.col("_end") > F.col("position")
-    pick = F.struct((~reached).cast("int").alias("late"), F.when(reached, F.col("play_no")).otherwise(-F.col("play_no")).alias("n"), "play_no", "seg_id", "adjusted_start")
-    found = rows.groupBy("movie_id", "profile", "position").agg(F.min(pick).alias("_p"))
-    return found.select("movie_id", "profile", "position", "_p.play_no", "_p.seg_id", (F.col("position") - F.col("_p.adjusted_start")).alias("offset"))
+    after it (closed: at it or after), else the last one. Entries and positions meet in one window by time, from the end: a position takes
+    the entry that came last."""
+    entry = F.struct("play_no", "seg_id", "adjusted_start")
+    ends = adjusted_times(seq).select("movie_id", "profile", (F.col("adjusted_start") + F.col("duration")).alias("_t"), F.lit(1).alias("_k"), F.col("play_no").alias("_n"), entry.alias("_e"))
+    asked = seq.select("movie_id", "profile").distinct().join(positions, "movie_id").select("movie_id", "profile", F.col("position").alias("_t"), F.lit(0 if not closed else 2).alias("_k"))
+    by = Window.partitionBy("movie_id", "profile")
+    found = F.last("_e", ignorenulls=True).over(by.orderBy(F.desc("_t"), "_k", F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0))
+    rows = ends.unionByName(asked, allowMissingColumns=True).withColumns({"_p": found, "_end": F.max("_e").over(by)}).filter("_k <> 1")
+    at = F.coalesce("_p", "_end")
+    return rows.select("movie_id", "profile", F.col("_t").alias("position"), at["play_no"].alias("play_no"), at["seg_id"].alias("seg_id"), (F.col("_t") - at["adjusted_start"]).alias("offset"))
 
 
 def playback_info(seq: DataFrame) -> DataFrame:
@@ -65,11 +70,43 @@ def block_offsets(blocks: DataFrame, key: list[str], order: str, length: str, ba
     return rows.withColumn("offset", base + F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
 
 
-def joined_payloads(packets: DataFrame, key: list[str], order: str, data: str, only: Column | None = None) -> DataFrame:
-    """key, payload: the bytes of the packets (for which `only` holds), in order; a key whose packets are all left out has none."""
+#: Bytes of a payload, which a row must hold.
+MOST_PAYLOAD = 1 << 29
+
+
+def joined_payloads(packets: DataFrame, key: list[str], order: str, data: str, only: Column | None = None, also: dict[str, Column] | None = None) -> DataFrame:
+    """key, payload: the bytes of the packets (for which `only` holds), in order; a key whose packets are all left out has none. also: more
+    payloads by name, each of the packets for which its condition holds (empty if it holds for none). Bytes are copied a fixed number of
+    times; over MOST_PAYLOAD of them fail the query."""
     rows = packets.filter(only) if only is not None else packets
-    rows = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(data).cast("binary").alias("d")))).alias("_p"))
-    return rows.select(*key, F.aggregate("_p", F.lit(b""), lambda acc, x: F.concat(acc, x["d"])).alias("payload"))
+    picks = {f"c{i}": x for i, x in enumerate((also or {}).values())}
+    one = F.struct(F.col(order).alias("o"), F.hex(F.col(data).cast("binary")).alias("d"), *[x.alias(n) for n, x in picks.items()])
+    size = F.sum(F.octet_length(F.col(data).cast("binary")))
+    listed = F.array_sort(F.collect_list(one))
+    rows = rows.groupBy(*key).agg(F.when(size > MOST_PAYLOAD, F.raise_error(F.lit("a payload is too long for a row"))).otherwise(listed).alias("_p"))
+    whole = lambda a: F.unhex(F.array_join(F.transform(a, lambda x: x["d"]), ""))
+    held = lambda n: F.filter("_p", lambda x: x[n])
+    return rows.select(*key, whole(F.col("_p")).alias("payload"), *[whole(held(n)).alias(name) for name, n in zip(also or {}, picks, strict=True)])
+
+
+def exported(seq: DataFrame, packets: DataFrame) -> DataFrame:
+    """movie_id, profile, play_no, target_id, profile_action, file, line, duration_line, payload: what a player concatenates, in order.
+
+    packets: movie_id, target_id, packet_no, packet_type, data. A muted entry has its video packets only. Entries without bytes are left
+    out; files keep the numbers of the sequence.
+    """
+    bytes_ = joined_payloads(packets, ["movie_id", "target_id"], "packet_no", "data", also={"video": F.col("packet_type") == 1})
+    rows = seq.join(bytes_, ["movie_id", "target_id"]).withColumn("payload", F.when(F.col("profile_action") == "mute", F.col("video")).otherwise(F.col("payload")))
+    name = F.format_string("seg_%03d.ts", F.col("play_no") - 1)
+    rows = rows.filter(F.octet_length("payload") > 0)
+    return rows.select("movie_id", "profile", "play_no", "target_id", "profile_action", name.alias("file"), F.concat(F.lit("file '"), name, F.lit("'")).alias("line"), F.concat(F.lit("duration "), F.format_string("%.3f", F.col("duration") / 1000.0)).alias("duration_line"), "payload")
+
+
+def served(seq: DataFrame, positions: DataFrame, packets: DataFrame) -> DataFrame:
+    """movie_id, profile, position, seg_id, payload: the bytes of the entry at each position of adjusted time."""
+    at = seek(seq, positions).join(seq.select("movie_id", "profile", "play_no", "target_id", "profile_action"), ["movie_id", "profile", "play_no"])
+    files = exported(seq, packets).select("movie_id", "profile", "play_no", "payload")
+    return at.join(files, ["movie_id", "profile", "play_no"], "left").select("movie_id", "profile", "position", "seg_id", "payload")
 
 
 def audio_hash(payload: Column) -> Column:

@@ -34,6 +34,13 @@ def most_restrictive(labels: Column, filters: Column) -> Column:
     return F.coalesce(F.array_max(actions)["a"], F.lit("play"))
 
 
+def resolve_segments(segments: DataFrame, filters: Column) -> DataFrame:
+    """segments with resolved_action: the most restrictive action that filters (a map, of a row or a literal) give for its tags and topics."""
+    none = F.array().cast("array<string>")
+    own = lambda c: F.coalesce(F.col(c), none) if c in segments.columns else none
+    return segments.withColumn("resolved_action", most_restrictive(F.array_union(own("tags"), own("topics")), filters))
+
+
 def profile_matrix(segments: DataFrame, profiles: DataFrame) -> DataFrame:
     """segments with profile, profile_action, target_id for each profile (profile, filters).
 
@@ -64,6 +71,12 @@ def fractional_years(birthday: Column, as_of: Column) -> Column:
     return F.datediff(as_of, birthday) / F.lit(365.25)
 
 
+def profile_preview(birthday: Column, sex: Column, as_of: Column) -> Column:
+    """The profile that a birthday (text) gives, a dash without a valid one."""
+    born = F.try_to_date(birthday, "yyyy-MM-dd")
+    return F.coalesce(profile_of_age(completed_years(born, as_of), F.lower(F.coalesce(sex, F.lit("unset")))), F.lit("\u2014"))
+
+
 def profile_of_age(age: Column, sex: Column) -> Column:
     return F.when(age < params.CHILD_UNTIL, "child").when(age < params.TEEN_UNTIL, F.when(sex == "female", "teen_f").otherwise("teen_m")).when(age.isNotNull(), "adult")
 

@@ -18,12 +18,19 @@ def caption_segments(captions: DataFrame, movies: DataFrame) -> DataFrame:
 
 def viewer_profiles(manifests: DataFrame, viewers: DataFrame, as_of: Column, strict: bool = False) -> DataFrame:
     """path, viewer_id, profile, filters for each container (path, manifest JSON) and viewer. A viewer with filters is their own profile, by
-    name or `custom`; others get the profile of their data that the container has. Viewers are a parameter table."""
-    names = F.array_sort(F.map_keys(F.from_json(F.get_json_object("manifest", "$.profiles"), "map<string,string>")))
-    rows = manifests.select("path", F.coalesce(names, F.array().cast("array<string>")).alias("_names")).crossJoin(F.broadcast(viewers))
+    name or `custom`; others get the profile of their data that the container has.
+
+    Profiles are resolved once for each set of names that containers have and each preference that viewers have, both few; containers and
+    viewers are joined to that by keys, and no side is broadcast by hint.
+    """
+    names = F.coalesce(F.array_sort(F.map_keys(F.from_json(F.get_json_object("manifest", "$.profiles"), "map<string,string>"))), F.array().cast("array<string>"))
     preferred = policy.preferred_profile(F.col("profile_override"), F.col("birthday"), F.col("sex"), as_of, F.col("default_profile"))
-    own = F.coalesce("name", F.lit("custom"))
-    return rows.select("path", "viewer_id", F.when(F.col("filters").isNotNull(), own).otherwise(policy.available_profile(preferred, F.col("_names"), strict)).alias("profile"), "filters")
+    own = F.when(F.col("filters").isNotNull(), F.coalesce("name", F.lit("custom")))
+    asked = viewers.select("viewer_id", "filters", F.coalesce(own, preferred).alias("_wants"), own.isNotNull().alias("_own"))
+    boxes = manifests.select("path", names.alias("_names"))
+    pairs = boxes.select("_names").distinct().join(asked.select("_wants", "_own").distinct())  # kinds of containers x preferences
+    pairs = pairs.withColumn("profile", F.when(F.col("_own"), F.col("_wants")).otherwise(policy.available_profile(F.col("_wants"), F.col("_names"), strict)))
+    return boxes.join(pairs, "_names").join(asked, ["_wants", "_own"]).select("path", "viewer_id", "profile", "filters")
 
 
 def playback(segments: DataFrame, index: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -31,14 +38,20 @@ def playback(segments: DataFrame, index: DataFrame, profiles: DataFrame) -> Data
 
     segments and index are tables of containers, profiles is viewer_profiles(). A segment's entry for the profile decides; without one, the
     most restrictive of the viewer's own filters for its tags and topics. Fillers, skips and targets missing in the index are left out; of
-    index entries that repeat an id the last one counts.
+    index entries that repeat an id the last one counts. A sequence is made once for all viewers of a container with the same profile and
+    filters; viewers are joined last.
     """
     last = index.groupBy("path", "segment_id").agg(F.max_by("duration_ms", "seg_no").alias("duration_ms")).withColumnRenamed("segment_id", "target_id")
-    rows = segments.filter(~F.coalesce("is_filler", F.lit(False))).drop("duration_ms").withColumnRenamed("profiles", "_actions").join(profiles, "path")
+    sorted_map = F.map_from_entries(F.array_sort(F.map_entries("filters")))
+    profiles = profiles.withColumn("_f", F.coalesce(F.to_json(sorted_map), F.lit("")))
+    kinds = profiles.select("path", "profile", "_f").distinct()
+    rows = segments.filter(~F.coalesce("is_filler", F.lit(False))).drop("duration_ms").withColumnRenamed("profiles", "_actions").join(kinds, "path")
     entry = F.try_element_at(F.col("_actions"), F.col("profile"))
     none = F.create_map().cast("map<string,string>")
-    dynamic = policy.most_restrictive(text.labels(F.col("tags"), F.col("topics")), F.coalesce("filters", none))
+    filters = F.coalesce(F.from_json("_f", "map<string,string>"), none)
+    dynamic = policy.most_restrictive(text.labels(F.col("tags"), F.col("topics")), filters)
     rows = rows.withColumns({"action": F.coalesce(entry["action"], F.when(entry.isNull(), dynamic), F.lit("play")), "target_id": F.coalesce(entry["segment_id"], F.col("segment_id"))})
     rows = rows.filter("action <> 'skip'").join(last, ["path", "target_id"])
-    by = Window.partitionBy("path", "viewer_id").orderBy("seg_no")
-    return rows.select("path", "viewer_id", F.row_number().over(by).alias("play_no"), "segment_id", "action", "target_id", "duration_ms", "start_ms", "end_ms")
+    by = Window.partitionBy("path", "profile", "_f").orderBy("seg_no")
+    rows = rows.select("path", "profile", "_f", F.row_number().over(by).alias("play_no"), "segment_id", "action", "target_id", "duration_ms", "start_ms", "end_ms")
+    return rows.join(profiles.select("path", "profile", "_f", "viewer_id"), ["path", "profile", "_f"]).select("path", "viewer_id", "play_no", "segment_id", "action", "target_id", "duration_ms", "start_ms", "end_ms")

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelwright.functions import exprs, params
-from reelwright.operators import detect, playback, policy, text, timeline
-from reelwright.sources import containers
+from reelwright.functions import exprs, params, pixels
+from reelwright.operators import detect, playback, policy, text, timeline, viewing
+from reelwright.sources import containers, inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -68,20 +68,28 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.fill_gaps(timeline.sessionize(_detections(spark, sf_dir), DAY, DURATION), _movies(spark, sf_dir))
 
 
+def _acted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments with every action, and some fillers among them."""
+    action, no = F.col("action"), F.col("seg_no") % 5
+    action = F.when(F.col("risk") == "safe", action).when(no == 0, "skip").when(no == 1, "mute").when(no == 2, "blur").otherwise(action)
+    return _segments(spark, sf_dir).withColumns({"action": action, "is_filler": F.col("seg_no") % 11 == 0})
+
+
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = _segments(spark, sf_dir)
+    segments = _acted(spark, sf_dir)
     # A third of the segments have a filler of their own; the others have none to swap to but themselves.
     filler = F.when(F.col("seg_no") % 3 == 0, F.concat(F.lit("fill_"), F.col("seg_id")))
     return policy.profile_matrix(segments.withColumn("profile_segment_id", filler), policy.profiles_table(spark, PROFILES))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every segment, and the fillers of one third, at half its length, but for each ninth segment, which has none in the index."""
-    s = _segments(spark, sf_dir)
+    """Every segment, each sixth once more at half its length, and the fillers of one third, at half its length, but for each ninth segment,
+    which has none in the index."""
+    s, no = _segments(spark, sf_dir), F.col("seg_no")
     length = F.col("end") - F.col("start")
-    own = F.struct(F.col("seg_id").alias("target_id"), length.alias("duration"))
-    fill = F.struct(F.concat(F.lit("fill_"), F.col("seg_id")).alias("target_id"), F.floor(length / 2).cast("bigint").alias("duration"))
-    return s.select("movie_id", F.inline(F.when((F.col("seg_no") % 3 == 0) & (F.col("seg_no") % 9 != 0), F.array(own, fill)).otherwise(F.array(own))))
+    entry = lambda k, target, n: F.struct(F.lit(k).alias("entry_no"), target.alias("target_id"), n.cast("bigint").alias("duration"))
+    own, again, fill = entry(1, F.col("seg_id"), length), entry(2, F.col("seg_id"), F.floor(length / 2)), entry(3, F.concat(F.lit("fill_"), F.col("seg_id")), F.floor(length / 2))
+    return s.select("movie_id", F.inline(F.array_compact(F.array(own, F.when(no % 6 == 0, again), F.when((no % 3 == 0) & (no % 9 != 0), fill)))))
 
 
 def _sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,13 +115,14 @@ parts AS (SELECT movie_id, group_no * 2 + 1 AS o, s, e, tags FROM seg
 tl AS (SELECT movie_id, cast(row_number() OVER (PARTITION BY movie_id ORDER BY o, s, e) AS INTEGER) AS seg_no, s, e, tags,
   CASE WHEN tags = '' THEN 'safe' ELSE 'mature' END AS risk, CASE WHEN tags = '' THEN 'play' ELSE 'swap' END AS act FROM parts),
 fil AS (SELECT *, 'seg_' || CASE WHEN seg_no < 1000 THEN lpad(seg_no::VARCHAR, 3, '0') ELSE seg_no::VARCHAR END AS seg_id FROM tl)"""
-MAT = """prof(profile, has) AS (VALUES ('child', 'error,purchase'), ('teen_m', 'error'), ('teen_f', 'purchase'), ('adult', '')),
-mat0 AS (SELECT *, CASE WHEN risk <> 'safe' AND len(list_intersect(string_split(tags, ','), string_split(has, ','))) > 0 THEN act ELSE 'play' END AS profile_action FROM fil, prof),
+MAT = """actd AS (SELECT * REPLACE (CASE WHEN risk = 'safe' THEN act WHEN seg_no % 5 = 0 THEN 'skip' WHEN seg_no % 5 = 1 THEN 'mute' WHEN seg_no % 5 = 2 THEN 'blur' ELSE act END AS act), seg_no % 11 = 0 AS is_filler FROM fil),
+prof(profile, has) AS (VALUES ('child', 'error,purchase'), ('teen_m', 'error'), ('teen_f', 'purchase'), ('adult', '')),
+mat0 AS (SELECT *, CASE WHEN risk <> 'safe' AND len(list_intersect(string_split(tags, ','), string_split(has, ','))) > 0 THEN act ELSE 'play' END AS profile_action FROM actd, prof),
 mat AS (SELECT *, CASE WHEN profile_action IN ('swap', 'skip') AND seg_no % 3 = 0 THEN 'fill_' || seg_id ELSE seg_id END AS target_id FROM mat0)"""
-SEQ = """idx AS (SELECT movie_id, seg_id AS target_id, e - s AS duration FROM fil
+SEQ = """idx AS (SELECT movie_id, seg_id AS target_id, CASE WHEN seg_no % 6 = 0 THEN (e - s) // 2 ELSE e - s END AS duration FROM fil
   UNION ALL SELECT movie_id, 'fill_' || seg_id, (e - s) // 2 FROM fil WHERE seg_no % 3 = 0 AND seg_no % 9 <> 0),
 pl AS (SELECT m.movie_id, profile, cast(row_number() OVER (PARTITION BY m.movie_id, profile ORDER BY seg_no) AS INTEGER) AS play_no, seg_no, seg_id, profile_action, m.target_id, s, e, duration
-  FROM mat m JOIN idx i ON m.movie_id = i.movie_id AND m.target_id = i.target_id WHERE profile_action <> 'skip')"""
+  FROM mat m JOIN idx i ON m.movie_id = i.movie_id AND m.target_id = i.target_id WHERE profile_action <> 'skip' AND NOT is_filler)"""
 BASE = f"WITH {EV}, {DET}, {GRP}"
 FULL = f"{BASE}, {FILL}"
 PLAY = f"{FULL}, {MAT}, {SEQ}"
@@ -123,23 +132,24 @@ _CLEAN = """trim(lower(w), '''"')"""
 
 @query(f"WITH w AS (SELECT doc_id, {_CLEAN} AS w FROM (SELECT doc_id, unnest({_TOK}) AS w FROM documents)) SELECT doc_id, count(*) AS n_words, count(DISTINCT w) AS n_distinct FROM w GROUP BY doc_id")
 def q01_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.text_words(_read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_distinct("word").alias("n_distinct"))
+    words = detect.clean_words("text")
+    rows = _read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", words.alias("w")).filter(F.size("w") > 0)
+    return rows.select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.size(F.array_distinct("w")).cast("bigint").alias("n_distinct"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, pos, {_CLEAN} AS w FROM (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS pos FROM (SELECT doc_id, {_TOK} AS t FROM documents)))
 SELECT DISTINCT doc_id, cast(pos * 400 // 5000 * 5000 AS BIGINT) AS t, 'language' AS tags FROM w WHERE w IN {WORDS}""")
 def q02_bucket_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = detect.text_words(_read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", step=400)
-    return detect.bucket_detections(words, "doc_id", 5000, list(WORDS)).select("doc_id", "t", _tags())
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    return detect.text_buckets(docs, "doc_id", 5000, 400, list(WORDS)).select("doc_id", "t", _tags())
 
 
 @query(f"""WITH k(tag, keyword, weight) AS (VALUES {", ".join(map(str, KEYWORDS))}),
 w AS (SELECT DISTINCT doc_id, {_CLEAN} AS w FROM (SELECT doc_id, unnest({_TOK}) AS w FROM documents))
 SELECT doc_id, tag, cast(sum(weight) AS BIGINT) AS weight FROM w JOIN k ON w = keyword GROUP BY ALL HAVING sum(weight) >= CASE tag WHEN 'language' THEN 1 ELSE 2 END""")
 def q03_keyword_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("tag"), F.lit(b).alias("keyword"), F.lit(c).alias("weight")) for a, b, c in KEYWORDS])))
-    words = detect.text_words(_read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
-    return detect.keyword_hits(words, "doc_id", table, F.when(F.col("tag") == "language", 1).otherwise(2))
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    return detect.text_keywords(docs, "doc_id", KEYWORDS, {"language": 1})
 
 
 @query("""WITH s AS (SELECT event_id, event_type = 'click' AS cartoon, least(greatest((value / 100.0 + 1) / 2, 0.0), 1.0)::DOUBLE AS a, value / 50.0 AS b FROM (SELECT event_id, event_type, value::DOUBLE AS value FROM events)),
@@ -167,13 +177,12 @@ def q05_silence_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.silence_ratio(_speech(spark, sf_dir))
 
 
-@query(f"""WITH {RATIO} SELECT seq AS event_id, ratio > 0.7 AS silenced, CASE WHEN ratio > 0.7 THEN cast(trunc(value * 10000) AS BIGINT) // 2 ELSE cast(trunc(value * 10000) AS BIGINT) END AS score
+@query(f"""WITH {RATIO} SELECT seq AS event_id, ratio > 0.7 AS silenced, CASE WHEN ratio > 0.7 THEN (cast(trunc(value * 1000) AS BIGINT) / 10000.0)::DOUBLE ELSE (2 * cast(trunc(value * 1000) AS BIGINT) / 10000.0)::DOUBLE END AS score
 FROM ev JOIN ratio USING (movie_id)""")
 def q06_silence_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).join(detect.silence_ratio(_speech(spark, sf_dir)), "movie_id")
-    score = (F.col("value") * 10_000).cast("bigint")
-    silenced = F.col("ratio") > params.SILENT
-    return rows.select(F.col("seq").alias("event_id"), silenced.alias("silenced"), F.when(silenced, F.floor(score / 2)).otherwise(score).cast("bigint").alias("score"))
+    score = 2 * (F.col("value") * 1000).cast("bigint") / 10000.0
+    return rows.select(F.col("seq").alias("event_id"), (F.col("ratio") > params.SILENT).alias("silenced"), exprs.silence_weighted(score, F.col("ratio")).alias("score"))
 
 
 @query(f"{BASE} SELECT movie_id, group_no, s AS start, e AS \"end\", tags, n FROM seg")
@@ -429,3 +438,230 @@ def q35_classifier_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events", "event_id", "event_type")
     said = F.when(F.col("event_type") == "error", "some politics here").when(F.col("event_type") == "click", "crime and drugs").otherwise("  ")
     return text.classify_topics(e.select("event_id", said.alias("text"))).select("event_id", F.array_join("topics", ",").alias("topics"))
+
+
+# Containers, inputs and what is made of them. Folders are the query's own, in the shared folder.
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of containers; each fourth segment's audio is missing, so that its block is a stub."""
+    audio = F.when(F.col("seg_no") % 4 != 0, F.array(F.struct(F.lit(0).cast("bigint").alias("pts_ms"), F.concat(F.lit("a"), "seg_id").cast("binary").alias("data"))))
+    return containers.packed_timeline(_segments(spark, sf_dir), PROFILES, audio=audio)
+
+
+def _stored(spark: SparkSession, sf_dir: str, table: str, **options: str) -> DataFrame:
+    return containers.read(spark, containers.written(spark, _packed(spark, sf_dir), PROFILES), table, "FAILFAST", **options)
+
+
+def _movie() -> F.Column:
+    return F.regexp_extract("path", r"([^/]*)\.bvf$", 1).alias("movie_id")
+
+
+@query(f"""{FULL} SELECT movie_id::VARCHAR AS movie_id, 1 AS version_major, 0 AS version_minor, 9::BIGINT AS flags, true AS seekable, 64::BIGINT AS index_offset, 40 * count(*) AS index_length, 64 + 40 * count(*) AS manifest_offset,
+count(*) AS segment_count, {DURATION // 1000}::BIGINT AS duration_ms FROM fil GROUP BY movie_id""")
+def q36_container_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _stored(spark, sf_dir, "header")
+    return h.select(_movie(), "version_major", "version_minor", "flags", exprs.has_flag(F.col("flags"), "seekable").alias("seekable"), "index_offset", "index_length", "manifest_offset", "segment_count", "duration_ms")
+
+
+@query(f"""{FULL} SELECT movie_id::VARCHAR AS movie_id, seg_no, seg_id, 'SEG' AS magic, 'H.264' AS video, 'AAC' AS audio,
+cast(CASE WHEN seg_no % 4 = 0 THEN 66 ELSE 64 + octet_length(encode('v' || seg_id || tags || 'a' || seg_id)) END AS BIGINT) AS data_length FROM fil""")
+def q37_container_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _stored(spark, sf_dir, "blocks")
+    rows = containers.by_id(b.select("path", "segment_id"), b)
+    return rows.select(_movie(), "seg_no", F.col("segment_id").alias("seg_id"), "magic", exprs.codec_name(F.col("codec_video")).alias("video"), exprs.codec_name(F.col("codec_audio")).alias("audio"), "data_length")
+
+
+@query(f"""{FULL} SELECT movie_id::VARCHAR AS movie_id, seg_no, (s // 1000 / 1000.0)::DOUBLE AS start_s, (e // 1000 / 1000.0)::DOUBLE AS end_s, ((e // 1000 - s // 1000) / 1000.0)::DOUBLE AS duration_s, tags, risk FROM fil""")
+def q38_manifest_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = containers.normalised(_stored(spark, sf_dir, "segments", segments="required"))
+    return rows.select("movie_id", "seg_no", "start_s", "end_s", "duration_s", _tags(), "risk")
+
+
+@query(f"""{FULL} SELECT movie_id::VARCHAR AS movie_id, seg_id, e // 1000 - s // 1000 AS duration_ms FROM fil WHERE seg_no = 1""")
+def q39_block_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _stored(spark, sf_dir, "index")
+    return containers.block_at(index, 0).select(_movie(), F.col("segment_id").alias("seg_id"), "duration_ms")
+
+
+def _viewer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as viewers: with filters of their own, an override, a birthday, or nothing."""
+    k, none = F.col("n_nationkey"), F.lit(None).cast("string")
+    filters = F.create_map(F.lit("error"), F.lit("skip"), F.lit("purchase"), F.lit("mute"))
+    return _read(spark, sf_dir, "nation", "n_nationkey").select(
+        k.cast("string").alias("viewer_id"), F.when(k % 5 == 1, F.date_sub(F.lit("2024-01-01").cast("date"), (k * 613).cast("int")).cast("string")).alias("birthday"), F.when(k % 2 == 0, "female").alias("sex"),
+        F.when(k % 5 == 2, "child").alias("profile_override"), F.when(k % 5 == 3, "teen_m").alias("default_profile"), F.when(k % 10 == 5, F.concat(F.lit("own"), k.cast("string"))).otherwise(none).alias("name"), F.when(k % 5 == 0, filters).alias("filters"))
+
+
+@query(f"""{FULL}, v AS (SELECT n_nationkey AS k, date '2024-01-01' - cast(n_nationkey * 613 AS INTEGER) AS b FROM nation),
+a AS (SELECT k, year(date '{AS_OF}') - year(b) - CASE WHEN (month(date '{AS_OF}'), day(date '{AS_OF}')) < (month(b), day(b)) THEN 1 ELSE 0 END AS age FROM v),
+w AS (SELECT k, CASE WHEN k % 10 = 5 THEN 'own' || k WHEN k % 5 = 0 THEN 'custom' WHEN k % 5 = 1 THEN CASE WHEN age < 13 THEN 'child' WHEN age < 18 THEN CASE WHEN k % 2 = 0 THEN 'teen_f' ELSE 'teen_m' END ELSE 'adult' END WHEN k % 5 = 2 THEN 'child' WHEN k % 5 = 3 THEN 'teen_m' ELSE 'adult' END AS profile FROM a),
+r AS (SELECT f.movie_id, f.seg_no, w.k, w.profile, e // 1000 - s // 1000 AS d, CASE WHEN k % 5 = 0 THEN CASE WHEN contains(tags, 'error') THEN 'skip' WHEN contains(tags, 'purchase') THEN 'mute' ELSE 'play' END
+  WHEN contains(tags, 'error') AND profile IN ('child', 'teen_m') OR contains(tags, 'purchase') AND profile IN ('child', 'teen_f') THEN 'swap' ELSE 'play' END AS action FROM fil f, w)
+SELECT movie_id::VARCHAR AS movie_id, k::VARCHAR AS viewer_id, count(*) AS entries, max(rn) AS last_no, cast(sum(d) AS BIGINT) AS duration_ms, count(*) FILTER (action = 'mute') AS muted, count(*) FILTER (action = 'swap') AS swapped
+FROM (SELECT *, row_number() OVER (PARTITION BY movie_id, k ORDER BY seg_no) AS rn FROM r WHERE action <> 'skip') GROUP BY ALL""")
+def q40_viewer_playback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = containers.written(spark, _packed(spark, sf_dir), PROFILES)
+    manifests, segments, index = (containers.read(spark, folder, t, "FAILFAST") for t in ("manifest", "segments", "index"))
+    profiles = viewing.viewer_profiles(manifests, _viewer_rows(spark, sf_dir), F.lit(AS_OF).cast("date"))
+    rows = viewing.playback(segments, index, profiles).groupBy("path", "viewer_id")
+    return rows.agg(F.count("*").alias("entries"), F.max("play_no").cast("bigint").alias("last_no"), F.sum("duration_ms").alias("duration_ms"), F.count_if(F.col("action") == "mute").alias("muted"), F.count_if(F.col("action") == "swap").alias("swapped")).select(
+        _movie(), "viewer_id", "entries", "last_no", "duration_ms", "muted", "swapped")
+
+
+def _files(spark: SparkSession, rows: DataFrame) -> str:
+    """Writes rows (name, body) as files to a new shared folder, which is returned."""
+    folder = containers.folder_of(spark)
+    inputs.write_files(rows, folder).write.parquet(f"{folder}-list")
+    return folder
+
+
+@query(f"""WITH {EV} SELECT movie_id::VARCHAR AS movie_id, cast(row_number() OVER (PARTITION BY movie_id ORDER BY t, seq) - 1 AS INTEGER) AS seq, event_type AS word, (t // 1000 / 1000.0)::DOUBLE AS start_s, (t // 1000 / 1000.0 + 0.5)::DOUBLE AS end_s FROM ev""")
+def q41_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.floor(F.col("t") / 1000) / 1000.0
+    word = F.struct("t", "seq", F.struct(F.concat(F.lit(" \""), F.upper("event_type"), F.lit("\" ")).alias("word"), start.alias("start"), (start + 0.5).alias("end")).alias("w"))
+    words = F.transform(F.array_sort(F.collect_list(word)), lambda x: x["w"])
+    n = F.size("words")
+    rows = _events(spark, sf_dir).groupBy("movie_id").agg(words.alias("words"))
+    parts = F.array(F.struct(F.slice("words", 1, F.floor(n / 2).cast("int")).alias("words")), F.struct(F.slice("words", F.floor(n / 2).cast("int") + 1, n).alias("words")))
+    folder = _files(spark, rows.select(F.concat(F.col("movie_id").cast("string"), F.lit(".json")).alias("name"), F.to_json(F.struct(parts.alias("segments"))).alias("body")))
+    return detect.transcript_words(inputs.transcripts(spark, folder))
+
+
+CAPTIONS = {"error": ("A man draws a Knife, blood everywhere", "violence"), "purchase": ("they kiss in lingerie, topless", "nudity"), "click": ("damn it, he whispers", "language"), "view": ("a quiet hilltop; nobody fights", ""), "signup": ("one gun", "")}
+
+
+@query(f"""WITH {EV} SELECT movie_id::VARCHAR AS movie_id, cast(row_number() OVER (PARTITION BY movie_id ORDER BY t // 1000, t, seq) AS INTEGER) AS group_no, t // 1000 AS start, CASE WHEN seq % 10 = 0 THEN {DURATION // 1000} ELSE t // 1000 + 5000 END AS "end",
+  CASE event_type {" ".join(f"WHEN '{k}' THEN '{tags}'" for k, (_, tags) in CAPTIONS.items())} END AS tags FROM ev""")
+def q42_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.create_map(*[F.lit(x) for k, (text_, _) in CAPTIONS.items() for x in (k, text_)])
+    start = F.floor(F.col("t") / 1000).cast("double")
+    event = F.struct("t", "seq", F.struct(start.alias("start"), F.when(F.col("seq") % 10 != 0, start + 5000).alias("end"), F.element_at(said, F.col("event_type")).alias("description")).alias("e"))
+    rows = _events(spark, sf_dir).groupBy("movie_id").agg(F.transform(F.array_sort(F.collect_list(event)), lambda x: x["e"]).alias("events"))
+    folder = _files(spark, rows.select(F.concat(F.col("movie_id").cast("string"), F.lit(".json")).alias("name"), F.to_json(F.struct(F.lit("s").alias("scene"), "events")).alias("body")))
+    movies = rows.select(F.col("movie_id").cast("string").alias("movie_id"), F.lit(DURATION // 1000).alias("duration"))
+    captions = inputs.captions(spark, folder).withColumns({"start": F.col("start").cast("bigint"), "end": F.col("end").cast("bigint")})
+    return viewing.caption_segments(captions, movies).select("movie_id", "group_no", "start", "end", _tags())
+
+
+@query("""WITH v AS (SELECT n_nationkey AS k FROM nation)
+SELECT k::VARCHAR AS viewer_id, CASE WHEN k % 2 = 0 THEN 'legacy' ELSE 'custom' END AS kind, CASE WHEN k % 2 = 0 THEN '2015-02-03' END AS birthday, CASE WHEN k % 2 = 0 THEN 'male' END AS sex, CASE WHEN k % 2 = 1 THEN 'own' || k END AS name, CASE WHEN k % 2 = 1 THEN 'skip' END AS nudity FROM v""")
+def q43_viewer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, none = F.col("n_nationkey"), F.lit(None).cast("string")
+    legacy = F.to_json(F.struct(F.struct(F.lit("2015-02-03").alias("date_of_birth"), F.lit("male").alias("gender")).alias("user")))
+    plain = F.to_json(F.struct(F.lit("2015-02-03").alias("birthday"), F.lit("male").alias("sex")))
+    custom = F.to_json(F.struct(F.concat(F.lit("own"), k.cast("string")).alias("name"), F.lit("d").alias("description"), F.create_map(F.lit("nudity"), F.lit("skip")).alias("filters")))
+    body = F.when(k % 4 == 0, legacy).when(k % 4 == 2, plain).otherwise(custom)
+    folder = _files(spark, _read(spark, sf_dir, "nation", "n_nationkey").select(F.concat(k.cast("string"), F.lit(".json")).alias("name"), body.alias("body")))
+    rows = inputs.profile_rows(inputs.viewers(spark, folder))
+    return rows.select("viewer_id", "kind", "birthday", "sex", "name", F.coalesce(F.try_element_at("filters", F.lit("nudity")), none).alias("nudity"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS user_id, '2010-01-0' || (1 + n_nationkey % 9) AS birthday, 'Female' AS sex, CASE WHEN n_nationkey % 3 = 0 THEN 'child' ELSE '' END AS profile_override, 'teen_m' AS default_profile FROM nation")
+def q44_server_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    user = F.struct(k.cast("string").alias("key"), F.struct(F.concat(F.lit("2010-01-0"), (1 + k % 9).cast("string")).alias("Birthday"), F.lit("Female").alias("Sex"), F.when(k % 3 == 0, "child").otherwise("").alias("ProfileOverride")).alias("value"))
+    rows = _read(spark, sf_dir, "nation", "n_nationkey").agg(F.map_from_entries(F.collect_list(user)).alias("UserProfiles"))
+    body = F.to_json(F.struct(F.lit(True).alias("Enabled"), F.lit("teen_m").alias("DefaultProfile"), "UserProfiles"))
+    return inputs.server_users(spark, _files(spark, rows.select(F.lit("config.json").alias("name"), body.alias("body"))))
+
+
+@query(f"""WITH {EV}, d AS (SELECT movie_id, t, CASE event_type WHEN 'error' THEN 0 ELSE 1 END AS src, seq, CASE event_type WHEN 'error' THEN 'language' ELSE 'nudity' END AS tag, CASE WHEN event_type = 'purchase' AND seq % 3 = 0 THEN t + {2 * DAY} END AS bad FROM ev WHERE event_type IN ('error', 'purchase')),
+mark AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY movie_id ORDER BY t, src, seq) > {DAY} THEN 1 ELSE 0 END AS brk FROM d),
+grp AS (SELECT *, sum(brk) OVER (PARTITION BY movie_id ORDER BY t, src, seq ROWS UNBOUNDED PRECEDING) + 1 AS g FROM mark)
+SELECT movie_id, cast(g AS BIGINT) AS group_no, min(t) AS start, least(max(coalesce(bad, least(t + {DAY}, {DURATION}))), {DURATION}) AS "end", string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags, count(*) AS n FROM grp GROUP BY movie_id, g""")
+def q45_build_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    audio = e.filter(F.col("event_type") == "error").withColumn("tags", F.array(F.lit("language")))
+    visual = e.filter(F.col("event_type") == "purchase").select("movie_id", "t", F.when(F.col("seq") % 3 == 0, F.col("t") + 2 * DAY).alias("bad_end"), F.lit(0.9).alias("score"), "seq")
+    return timeline.sessionize(timeline.build_detections(audio, visual), DAY, DURATION).select("movie_id", "group_no", "start", "end", _tags(), "n")
+
+
+STEP = 2 * DAY // 3
+
+
+@query(f"""WITH m AS (SELECT DISTINCT user_id AS movie_id FROM events) SELECT movie_id, cast(k AS INTEGER) AS sample_no, cast(k * {STEP} AS BIGINT) AS t FROM m, range({-(-DURATION // STEP)}) AS r(k)""")
+def q46_sample_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.sample_grid(_movies(spark, sf_dir), STEP)
+
+
+@query(f"""WITH m AS (SELECT DISTINCT user_id AS movie_id FROM events), s AS (SELECT movie_id, k * {STEP} AS t, (k * 7 + movie_id) % 5 < 2 AS bad FROM m, range({-(-DURATION // STEP)}) AS r(k)),
+g AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY movie_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM s)
+SELECT movie_id, cast(min(t) AS BIGINT) AS bad_start, cast(max(t) + {STEP} AS BIGINT) AS bad_end FROM g WHERE bad GROUP BY movie_id, g""")
+def q47_refined_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = timeline.sample_grid(_movies(spark, sf_dir), STEP)
+    return timeline.refined_bounds(grid.withColumn("bad", (F.col("sample_no") * 7 + F.col("movie_id")) % 5 < 2), STEP)
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_discount AS d, l_tax AS t, l_quantity AS q FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(d * 10 - t * 10)), 9) AS nsfw, least(1.0, q * 5 / 180.0) * 0.6 + least(1.0, t * 4 / 0.3) * 0.4 > 0.5 AS cartoon, q / 50.0 > 0.4 AND q < 100 AS flat,
+  d * 10 > 0.40 AND t * 4 > 0.15 AS skin, round(least(1.0, (d * 10 + t * 4) / 0.6), 9) AS confidence FROM l""")
+def q48_frame_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_quantity")
+    d, t, q = F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")
+    skin = exprs.skin_verdict(d * 10, t * 4)
+    return li.select("l_orderkey", "l_linenumber", F.round(exprs.softmax_second(d * 10, t * 10), 9).alias("nsfw"), exprs.cartoon_by_features(q * 5, t * 4).alias("cartoon"), exprs.cartoon_by_saturation(q / 50.0, q).alias("flat"), skin["flag"].alias("skin"), F.round(skin["confidence"], 9).alias("confidence"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, i, (k * 37 + i * 101) % 256 AS r, (k * 11 + i * 53) % 256 AS g, (k * 7 + i * 29) % 256 AS b FROM (SELECT p_partkey FROM part), range(12) AS x(i), (SELECT 1) AS y(z) WHERE true),
+s AS (SELECT k, greatest(r, g, b) AS h, greatest(r, g, b) - least(r, g, b) AS d FROM p),
+f AS (SELECT k, CASE WHEN h = 0 THEN 0.0 ELSE d::DOUBLE / h END AS sat FROM s)
+SELECT k AS p_partkey, round(avg(sat), 6) AS sat_mean, cast(count(DISTINCT sat) AS INTEGER) AS sat_distinct, avg(sat) > 0.4 AND count(DISTINCT sat) < 100 AS cartoon FROM f GROUP BY k""".replace("(k * ", "(p_partkey * "))
+def q49_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    values = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.array((k * 37 + i * 101) % 256, (k * 11 + i * 53) % 256, (k * 7 + i * 29) % 256)))
+    data = F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    f = pixels.image_features(F.lit(3), F.lit(4), data)
+    rows = _read(spark, sf_dir, "part", "p_partkey").select("p_partkey", f.alias("f"))
+    return rows.select("p_partkey", F.round("f.sat_mean", 6).alias("sat_mean"), "f.sat_distinct", exprs.cartoon_by_saturation(F.col("f.sat_mean"), F.col("f.sat_distinct")).alias("cartoon"))
+
+
+@query(f"""{FULL}, m AS (SELECT movie_id, seg_no, s // 1000 AS a, e // 1000 AS b FROM fil), h AS (SELECT *, a // 10 AS x, a % 10 AS p, b // 10 AS y, b % 10 AS q FROM m)
+SELECT movie_id, seg_no, (CASE WHEN p > 5 OR p = 5 AND x % 2 = 1 THEN x + 1 ELSE x END / 100.0)::DOUBLE AS start_s, (CASE WHEN q > 5 OR q = 5 AND y % 2 = 1 THEN y + 1 ELSE y END / 100.0)::DOUBLE AS end_s FROM h""")
+def q50_rounded_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda c: exprs.hundredths(F.floor(F.col(c) / 1000).cast("bigint"))
+    return _segments(spark, sf_dir).select("movie_id", "seg_no", at("start").alias("start_s"), at("end").alias("end_s"))
+
+
+@query(f"""{FULL}, x AS (SELECT movie_id, seg_no, tags, CASE WHEN seg_no % 3 = 0 THEN 'drugs' WHEN seg_no % 3 = 1 THEN 'crime,politics' ELSE '' END AS topics FROM fil)
+SELECT movie_id, seg_no, topics, CASE WHEN contains(topics, 'drugs') THEN 'skip' WHEN contains(tags, 'error') THEN 'swap' WHEN contains(topics, 'politics') THEN 'mute' ELSE 'play' END AS resolved_action FROM x""")
+def q51_resolve_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, case = _segments(spark, sf_dir), F.col("seg_no") % 3
+    topics = s.filter(case < 2).select("movie_id", "seg_no", F.when(case == 0, F.array(F.lit("drugs"))).otherwise(F.array(F.lit("crime"), F.lit("politics"))).alias("topics"))
+    filters = policy.filters_map({"drugs": "skip", "error": "swap", "politics": "mute"})
+    return policy.resolve_segments(text.with_topics(s, topics), filters).select("movie_id", "seg_no", F.array_join("topics", ",").alias("topics"), "resolved_action")
+
+
+def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two video packets and one of audio of each index entry; each seventh target has audio alone."""
+    index = _index(spark, sf_dir).select("movie_id", "target_id").distinct()
+    one = lambda n, kind, x: F.struct(F.lit(n).alias("packet_no"), F.lit(kind).alias("packet_type"), F.concat(F.lit(x), "target_id").cast("binary").alias("data"))
+    number = F.element_at(F.split("target_id", "_"), -1).cast("int")
+    packets = F.when(number % 7 == 0, F.array(one(3, 2, "a"))).otherwise(F.array(one(2, 1, "w"), one(1, 1, "v"), one(3, 2, "a")))
+    return index.select("movie_id", "target_id", F.inline(packets))
+
+
+EXPORT = f"""{PLAY}, ex AS (SELECT *, CASE WHEN cast(string_split(target_id, '_')[-1] AS INTEGER) % 7 = 0 THEN CASE WHEN profile_action = 'mute' THEN '' ELSE 'a' || target_id END
+  ELSE 'v' || target_id || 'w' || target_id || CASE WHEN profile_action = 'mute' THEN '' ELSE 'a' || target_id END END AS payload FROM pl)"""
+
+
+@query(f"""{EXPORT} SELECT movie_id, profile, play_no, target_id, 'file ''seg_' || CASE WHEN play_no - 1 < 1000 THEN lpad((play_no - 1)::VARCHAR, 3, '0') ELSE (play_no - 1)::VARCHAR END || '.ts''' AS line, md5(payload) AS payload FROM ex WHERE payload <> ''""")
+def q52_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = playback.exported(_sequence(spark, sf_dir), _packets(spark, sf_dir))
+    return rows.select("movie_id", "profile", "play_no", "target_id", "line", F.md5("payload").alias("payload"))
+
+
+@query(f"""{EXPORT}, cum AS (SELECT *, cast(sum(duration) OVER (PARTITION BY movie_id, profile ORDER BY play_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS c FROM ex),
+hit AS (SELECT movie_id, profile, min(play_no) FILTER (c > {DURATION // 3}) AS a, max(play_no) AS z FROM cum GROUP BY ALL)
+SELECT h.movie_id, h.profile, {DURATION // 3}::BIGINT AS position, c.seg_id, md5(nullif(c.payload, '')) AS payload FROM hit h JOIN cum c ON c.movie_id = h.movie_id AND c.profile = h.profile AND c.play_no = coalesce(a, z)""")
+def q53_serve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    positions = _movies(spark, sf_dir).select("movie_id", F.lit(DURATION // 3).cast("bigint").alias("position"))
+    rows = playback.served(_sequence(spark, sf_dir), positions, _packets(spark, sf_dir))
+    return rows.select("movie_id", "profile", "position", "seg_id", F.md5("payload").alias("payload"))
+
+
+@query(f"""WITH {VIEWERS} SELECT user_id, CASE WHEN user_id % 4 = 0 THEN '\u2014' ELSE {BYAGE} END AS profile FROM va""")
+def q54_profile_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _viewers(spark, sf_dir)
+    birthday = F.when(F.col("user_id") % 8 == 0, "").when(F.col("user_id") % 4 != 0, F.col("born").cast("string"))
+    return v.select("user_id", policy.profile_preview(birthday, F.col("sex"), F.lit(AS_OF).cast("date")).alias("profile"))

@@ -49,6 +49,14 @@ class Entry(NamedTuple):
     duration_ms: int
 
 
+class BlockHeader(NamedTuple):
+    magic: bytes
+    segment_id: str
+    codec_video: int
+    codec_audio: int
+    flags: int
+
+
 def packed_id(segment_id: str) -> bytes:
     raw = segment_id.encode()
     if len(raw) > ID_BYTES:
@@ -75,16 +83,21 @@ def manifest_json(movie_id: str, title: str, duration_ms: int, segments: list[di
     return json.dumps(body, ensure_ascii=False).encode()
 
 
-def packed(manifest: bytes, blocks: list[tuple[str, int, bytes]], duration_ms: int, flags: int = DEFAULT_FLAGS) -> Iterator[bytes]:
-    """The file in pieces, from the manifest and (segment id, duration, block) of each segment. Offsets are known before anything is written."""
+def opening(manifest: bytes, entries: list[tuple[str, int, int]], duration_ms: int, flags: int = DEFAULT_FLAGS) -> Iterator[bytes]:
+    """The file up to its first block, from the manifest and (segment id, duration, length of the block) of each segment."""
     body = zstandard.ZstdCompressor(level=3).compress(manifest)
-    index_length = ENTRY.size * len(blocks)
+    index_length = ENTRY.size * len(entries)
     at = HEADER.size + index_length + len(body)
-    yield HEADER.pack(MAGIC, 1, 0, flags, HEADER.size, index_length, HEADER.size + index_length, len(body), len(blocks), duration_ms, 0)
-    for sid, duration, data in blocks:
-        yield ENTRY.pack(packed_id(sid), at, len(data), duration)
-        at += len(data)
+    yield HEADER.pack(MAGIC, 1, 0, flags, HEADER.size, index_length, HEADER.size + index_length, len(body), len(entries), duration_ms, 0)
+    for sid, duration, length in entries:
+        yield ENTRY.pack(packed_id(sid), at, length, duration)
+        at += length
     yield body
+
+
+def packed(manifest: bytes, blocks: list[tuple[str, int, bytes]], duration_ms: int, flags: int = DEFAULT_FLAGS) -> Iterator[bytes]:
+    """The file in pieces, from the manifest and (segment id, duration, block) of each segment."""
+    yield from opening(manifest, [(sid, duration, len(data)) for sid, duration, data in blocks], duration_ms, flags)
     yield from (data for _, _, data in blocks)
 
 
@@ -127,11 +140,21 @@ class Container:
             raise Corrupt(f"manifest is damaged: {e}") from None
         return data.decode()
 
-    def manifest(self) -> dict:
+    def manifest(self, segments: bool = False) -> dict:
+        """segments: there must be one at least."""
         m = json.loads(self.manifest_text())
         self._check(bool(m.get("movie_id")), "manifest has no movie_id")
+        self._check(bool(m.get("segments")) or not segments, "manifest has no segments")
         return m
 
+    def block_header(self, entry: Entry) -> BlockHeader:
+        raw = self._read(entry.data_offset, BLOCK.size)
+        self._check(len(raw) == BLOCK.size, "block is shorter than its header")
+        magic, sid, video, audio, flags = BLOCK.unpack(raw.ljust(BLOCK.size, b"\0"))
+        self._check(magic == BLOCK_MAGIC, "bad block magic")
+        self._check(_unpacked_id(sid) == entry.segment_id, "block id differs from the index")
+        return BlockHeader(magic, _unpacked_id(sid), video, audio, flags)
+
     def block(self, entry: Entry) -> bytes:
         raw = self._read(entry.data_offset, entry.data_length)
         self._check(len(raw) == entry.data_length, "block is cut off")

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
+from reelwright.functions import exprs
 from reelwright.operators import playback, policy
 from reelwright.sources import container as c
 
@@ -21,13 +23,17 @@ TABLES = {
     "index": "path string, seg_no int, segment_id string, data_offset long, data_length long, duration_ms long, corrupt string",
     "manifest": "path string, movie_id string, title string, duration_ms long, manifest string, corrupt string",
     "segments": "path string, movie_id string, seg_no int, segment_id string, start_ms long, end_ms long, tags array<string>, topics array<string>, risk string, is_filler boolean, profiles map<string,struct<action:string,segment_id:string>>, corrupt string",
+    "blocks": "path string, seg_no int, segment_id string, magic string, codec_video long, codec_audio long, flags long, data_length long, corrupt string",
     "packets": "path string, seg_no int, segment_id string, codec_video long, codec_audio long, packet_no int, packet_type int, pts_ms long, data binary, corrupt string",
 }
+#: A task reads files of so many bytes together (of tables other than packets, a file counts as OPEN bytes), and yields batches of so many.
+TASK, OPEN, BATCH = 64 << 20, 1 << 18, 8 << 20
 
 
 class ContainerSource(DataSource):
     """format("segment_container"): option path (a folder or file), table (one of TABLES), mode PERMISSIVE (a damaged file is a row with
-    `corrupt` set) or FAILFAST, glob suffix `suffix`. Only table=packets reads blocks; one task per file."""
+    `corrupt` set) or FAILFAST, file name suffix `suffix`, files (a JSON list of paths or names: these alone), segments=required for a check
+    that each manifest has one. Only table=packets reads whole blocks. Small files share a task."""
 
     @classmethod
     def name(cls) -> str:
@@ -36,36 +42,60 @@ class ContainerSource(DataSource):
     def schema(self) -> str:
         return TABLES[self.options.get("table", "segments")]
 
-    def reader(self, schema) -> _Reader:
-        return _Reader(dict(self.options), len(schema.fields))
+    def reader(self, schema: StructType) -> _Reader:
+        return _Reader(dict(self.options), schema)
 
 
-class _Path(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict[str, str], width: int):
-        self.width = width
+    def __init__(self, options: dict[str, str], schema: StructType):
+        self.names = schema.fieldNames()
+        self.types = _arrow(schema)
         self.table, self.mode, self.suffix = options.get("table", "segments"), options.get("mode", "PERMISSIVE").upper(), options.get("suffix", ".bvf")
-        self.uri = options["path"]
+        self.uri, self.required = options["path"], options.get("segments") == "required"
+        self.only = set(json.loads(options["files"])) if "files" in options else None
 
-    def partitions(self) -> list[_Path]:
+    def partitions(self) -> list[_Files]:
         system, root = fs.FileSystem.from_uri(self.uri)
         info = system.get_file_info(root)
-        files = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
-        return [_Path(f.path) for f in sorted(files, key=lambda f: f.path) if f.type == fs.FileType.File and (f.path.endswith(self.suffix) or f is info)]
-
-    def read(self, partition: _Path) -> Iterator[tuple]:
+        found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
+        files = [f for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and (f.path.endswith(self.suffix) or f is info)]
+        out, size = [], TASK
+        for f in files:
+            if self.only is None or f.path in self.only or f.base_name in self.only:
+                own = max(OPEN, f.size if self.table == "packets" else 0)
+                if size + own > TASK:
+                    out.append(_Files([]))
+                    size = 0
+                out[-1].paths.append(f.path)
+                size += own
+        return out
+
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         system, _ = fs.FileSystem.from_uri(self.uri)
-        try:
-            with system.open_input_file(partition.path) as f:
-                yield from (row + (None,) for row in self._rows(c.Container(f, strict=True), partition.path))
-        except (c.Corrupt, UnicodeDecodeError, json.JSONDecodeError) as e:
-            if self.mode == "FAILFAST":
-                raise
-            yield (partition.path, *[None] * (self.width - 2), str(e))
+        rows, size = [], 0
+        for path in partition.paths:
+            try:
+                with system.open_input_file(path) as f:
+                    for row in self._rows(c.Container(f, strict=True), path):
+                        rows.append((*row, None))
+                        size += 200 + (len(row[-1]) if isinstance(row[-1], (bytes, str)) else 0)
+                        if size > BATCH:
+                            yield self._batch(rows)
+                            rows, size = [], 0
+            except (c.Corrupt, UnicodeDecodeError, json.JSONDecodeError) as e:
+                if self.mode == "FAILFAST":
+                    raise
+                rows.append((path, *[None] * (len(self.names) - 2), str(e)))
+        if rows:
+            yield self._batch(rows)
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), self.types, strict=True)], self.names)
 
     def _rows(self, box: c.Container, path: str) -> Iterator[tuple]:
         if self.table == "header":
@@ -74,69 +104,135 @@ class _Reader(DataSourceReader):
         elif self.table == "index":
             yield from ((path, i + 1, *e) for i, e in enumerate(box.index()))
         elif self.table == "manifest":
-            m = box.manifest()
+            m = box.manifest(self.required)
             yield (path, m["movie_id"], m.get("title"), m.get("duration_ms"), box.manifest_text())
         elif self.table == "segments":
-            m = box.manifest()
+            m = box.manifest(self.required)
             for i, s in enumerate(m.get("segments", [])):
-                actions = {k: (v.get("action", "play"), v.get("segment_id", s["id"])) for k, v in (s.get("profiles") or {}).items()}
+                actions = [(k, {"action": v.get("action", "play"), "segment_id": v.get("segment_id", s["id"])}) for k, v in (s.get("profiles") or {}).items()]
                 yield (path, m["movie_id"], i + 1, s["id"], s.get("start_ms"), s.get("end_ms"), s.get("tags") or [], s.get("topics") or [], s.get("risk") or "safe", bool(s.get("is_filler")), actions)
+        elif self.table == "blocks":
+            for i, e in enumerate(box.index()):
+                h = box.block_header(e)
+                yield (path, i + 1, h.segment_id, h.magic.rstrip(b"\0").decode("latin-1"), h.codec_video, h.codec_audio, h.flags, e.data_length)
         else:
             for i, e in enumerate(box.index()):
                 codecs, packets = box.packets(e)
                 yield from ((path, i + 1, e.segment_id, *codecs, n + 1, kind, pts, data) for n, (kind, pts, data) in enumerate(packets))
 
 
-def read(spark: SparkSession, path: str, table: str = "segments", mode: str = "PERMISSIVE") -> DataFrame:
+def _arrow(schema: StructType) -> list[pa.DataType]:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return [f.type for f in to_arrow_schema(schema)]
+
+
+def read(spark: SparkSession, path: str, table: str = "segments", mode: str = "PERMISSIVE", **options: str) -> DataFrame:
     spark.dataSource.register(ContainerSource)
-    return spark.read.format("segment_container").option("path", path).option("table", table).option("mode", mode).load()
+    return spark.read.format("segment_container").option("path", path).option("table", table).option("mode", mode).options(**options).load()
+
+
+def normalised(segments: DataFrame) -> DataFrame:
+    """table=segments with start_s, end_s, duration_s in place of milliseconds; missing times count as 0."""
+    s = lambda x: F.coalesce(x, F.lit(0)) / 1000.0
+    rest = [n for n in segments.columns if n not in ("start_ms", "end_ms")]
+    start, end = F.col("start_ms"), F.col("end_ms")
+    return segments.select(*rest, s(start).alias("start_s"), s(end).alias("end_s"), s(F.coalesce(end, F.lit(0)) - F.coalesce(start, F.lit(0))).alias("duration_s"))
+
+
+def block_at(blocks: DataFrame, position: int) -> DataFrame:
+    """The block at a position (from 0) of each container; fails the query where a container has none there."""
+    rows = blocks.groupBy("path").agg(F.max("seg_no").alias("_n")).join(blocks.filter(F.col("seg_no") == position + 1), "path", "left")
+    out = F.raise_error(F.format_string("segment %d is not in 0 .. %d of %s", F.lit(position), F.col("_n") - 1, F.col("path")))
+    return rows.withColumn("seg_no", F.when(F.col("seg_no").isNull(), out.cast("int")).otherwise(F.col("seg_no"))).drop("_n")
+
+
+def by_id(wanted: DataFrame, table: DataFrame, strict: bool = True) -> DataFrame:
+    """wanted (path, segment_id, ...) with the columns of table (index or blocks), of ids that repeat the first entry. An id that is missing
+    fails the query; not strict: its columns are null."""
+    rest = [n for n in table.columns if n not in ("path", "segment_id")]
+    first = table.groupBy("path", "segment_id").agg(F.min_by(F.struct(*rest), F.col("seg_no")).alias("_r"))
+    rows = wanted.join(first, ["path", "segment_id"], "left")
+    if strict:
+        missing = F.raise_error(F.format_string("segment '%s' is not in the index of %s", F.col("segment_id"), F.col("path")))
+        rows = rows.withColumn("segment_id", F.when(F.col("_r").isNull(), missing.cast("string")).otherwise(F.col("segment_id")))
+    return rows.select(*wanted.columns, "_r.*")
 
 
 WRITTEN = "movie_id string, path string, segments int, bytes long"
 
 
+def file_name(movie_id: str) -> str:
+    """A file's name for any movie_id: letters, digits, _, - and dots inside stay, other bytes are written as %XX."""
+    name = quote(movie_id, safe="")
+    return f"{name if not name.startswith('.') else '%2E' + name[1:]}.bvf"
+
+
 def write(segments: DataFrame, folder: str, profiles: dict, analyzed_at: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Writes one container per movie into folder and returns movie_id, path, segments, bytes of each.
 
     segments: movie_id, title, duration_ms, seg_no, seg_id, start_ms, end_ms, tags, topics, risk, is_filler, profiles (map of action and
-    segment_id), video, audio (arrays of pts_ms and data; null: a stub). A movie's rows meet in one task, sorted, and are held one movie at a
-    time. Files are written under a name of their own and moved into place, so a repeated task does no harm.
+    segment_id), video, audio (arrays of pts_ms and data; null: a stub), and optionally video_info and chapters, which the manifest takes
+    from a movie's first segment. A movie's rows meet in one task, sorted, its list of segments with their lengths first, so that a task
+    holds one segment's packets at a time. Files are written under a name of their own and moved into place, so a repeated task does no
+    harm. A null movie_id fails the query.
     """
+    packets = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, p: n + F.lit(c.PACKET.size) + F.octet_length(p["data"]))
+    stub = F.col("video").isNull() | F.col("audio").isNull()
+    length = F.lit(c.BLOCK.size) + F.when(stub, F.lit(2 * (c.PACKET.size + 1))).otherwise(packets(F.col("video")) + packets(F.col("audio")))
+    more = [(F.to_json(n) if n in segments.columns else F.lit(None).cast("string")).alias(n) for n in ("video_info", "chapters")]
+    info = F.struct("seg_no", "seg_id", "title", "duration_ms", "start_ms", "end_ms", "tags", "topics", "risk", "is_filler", "profiles", length.alias("length"), *more)
+    heads = segments.groupBy("movie_id").agg(F.collect_list(info).alias("_all")).withColumn("_k", F.lit(0))
+    rows = segments.select("movie_id", F.lit(1).alias("_k"), "seg_no", "seg_id", "video", "audio")
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
+        out, part, path, size, done = None, "", "", 0, []
+        movie, infos = None, []
 
-        def save(rows: list[dict]) -> tuple:
-            first = rows[0]
-            listed = []
-            for r in rows:
-                entry = {"id": r["seg_id"], "start_ms": r["start_ms"], "end_ms": r["end_ms"], "tags": r["tags"] or [], "topics": r["topics"] or [], "risk": r["risk"] or "safe", "profiles": {k: v for k, v in (r["profiles"] or [])}}
-                listed.append(entry | ({"is_filler": True} if r["is_filler"] else {}))
-            pairs = lambda x: None if x is None else [(p["pts_ms"], p["data"]) for p in x]
-            blocks = [(r["seg_id"], (r["end_ms"] or 0) - (r["start_ms"] or 0), c.block(r["seg_id"], pairs(r["video"]), pairs(r["audio"]))) for r in rows]
-            path, part, size = f"{root}/{first['movie_id']}.bvf", f"{root}/.{uuid.uuid4().hex}", 0
-            with system.open_output_stream(part, compression=None) as out:
-                for piece in c.packed(c.manifest_json(first["movie_id"], first["title"], first["duration_ms"], listed, profiles, analyzed_at), blocks, first["duration_ms"]):
-                    out.write(piece)
-                    size += len(piece)
+        def close() -> None:
+            out.close()
             system.move(part, path)
-            return first["movie_id"], path, len(rows), size
+            done.append((movie, path, len(infos), size))
 
-        held: list[dict] = []
-        done: list[tuple] = []
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and held[0]["movie_id"] != row["movie_id"]:
-                    done.append(save(held))
-                    held = []
-                held.append(row)
-        if held:
-            done.append(save(held))
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["_k"] == 0:
+                    if out is not None:
+                        close()
+                    movie = row["movie_id"]
+                    if movie is None:
+                        raise ValueError("a container needs a movie_id")
+                    infos = sorted(row["_all"], key=lambda r: r["seg_no"])
+                    path, part = f"{root}/{file_name(movie)}", f"{root}/.{uuid.uuid4().hex}"
+                    out, size = system.open_output_stream(part, compression=None), 0
+                    for piece in c.opening(_manifest(movie, infos, profiles, analyzed_at), [(r["seg_id"], (r["end_ms"] or 0) - (r["start_ms"] or 0), r["length"]) for r in infos], infos[0]["duration_ms"]):
+                        out.write(piece)
+                        size += len(piece)
+                else:
+                    pairs = lambda x: None if x is None else [(p["pts_ms"], p["data"]) for p in x]
+                    data = c.block(row["seg_id"], pairs(row["video"]), pairs(row["audio"]))
+                    out.write(data)
+                    size += len(data)
+        if out is not None:
+            close()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["movie_id", "path", "segments", "bytes"])
 
-    return segments.repartition("movie_id").sortWithinPartitions("movie_id", "seg_no").mapInArrow(tasks, WRITTEN)
+    both = heads.unionByName(rows, allowMissingColumns=True)
+    return both.repartition("movie_id").sortWithinPartitions("movie_id", "_k", "seg_no").mapInArrow(tasks, WRITTEN)
+
+
+def _manifest(movie: str, infos: list[dict], profiles: dict, analyzed_at: str) -> bytes:
+    listed = []
+    for r in infos:
+        entry = {"id": r["seg_id"], "start_ms": r["start_ms"], "end_ms": r["end_ms"], "tags": r["tags"] or [], "topics": r["topics"] or [], "risk": r["risk"] or "safe", "profiles": {k: v for k, v in (r["profiles"] or [])}}
+        listed.append(entry | ({"is_filler": True} if r["is_filler"] else {}))
+    first = infos[0]
+    extra = {k: json.loads(first[k]) if first[k] else None for k in ("video_info", "chapters")}
+    return c.manifest_json(movie, first["title"], first["duration_ms"], listed, profiles, analyzed_at, **extra)
 
 
 def payloads(packets: DataFrame, only: int | None = None) -> DataFrame:
@@ -146,24 +242,34 @@ def payloads(packets: DataFrame, only: int | None = None) -> DataFrame:
 
 
 def folder_of(spark: SparkSession) -> str:
-    """A new folder in the shared folder, or, where none is named, a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{named or tempfile.mkdtemp(prefix='reelwright-')}/containers-{uuid.uuid4().hex}"
+    """A new folder in the one that spark.checkpoint.dir names; where that is unset, in the warehouse, which all executors see as well."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{named.rstrip('/')}/containers-{uuid.uuid4().hex}"
 
 
-def roundtrip(spark: SparkSession, timeline: DataFrame, profiles: dict[str, dict[str, str]]) -> DataFrame:
-    """Writes a timeline (microseconds) as containers with made-up packets, reads them back, and lists what they hold."""
-    rows = policy.profile_matrix(timeline, policy.profiles_table(spark, profiles))
+def packed_timeline(timeline: DataFrame, profiles: dict[str, dict[str, str]], video: Column | None = None, audio: Column | None = None) -> DataFrame:
+    """A timeline (microseconds) as rows for write(), with made-up packets (or the given ones, null for a stub)."""
+    rows = policy.profile_matrix(timeline, policy.profiles_table(timeline.sparkSession, profiles))
     actions = policy.profiles_column(rows, ["movie_id", "seg_no"])
     ms = lambda x: F.floor(x / 1000).cast("bigint")
     packet = lambda *parts: F.array(F.struct(F.lit(0).cast("bigint").alias("pts_ms"), F.concat(*parts).cast("binary").alias("data")))
-    packed = timeline.join(actions, ["movie_id", "seg_no"]).select(
-        F.col("movie_id").cast("string").alias("movie_id"), F.lit("t").alias("title"), ms(F.lit(30 * 86_400_000_000)).alias("duration_ms"), "seg_no", "seg_id", ms(F.col("start")).alias("start_ms"), ms(F.col("end")).alias("end_ms"), "tags",
-        F.array().cast("array<string>").alias("topics"), "risk", F.lit(False).alias("is_filler"), "profiles", packet(F.lit("v"), "seg_id", F.array_join("tags", ",")).alias("video"), packet(F.lit("a"), "seg_id").alias("audio"))
+    video = packet(F.lit("v"), "seg_id", F.array_join("tags", ",")) if video is None else video
+    return timeline.join(actions, ["movie_id", "seg_no"]).select(
+        F.col("movie_id").cast("string").alias("movie_id"), F.lit("t").alias("title"), ms(F.lit(30 * 86_400_000_000)).alias("duration_ms"), "seg_no", exprs.checked_id(F.col("seg_id")).alias("seg_id"), ms(F.col("start")).alias("start_ms"), ms(F.col("end")).alias("end_ms"), "tags",
+        F.array().cast("array<string>").alias("topics"), "risk", F.lit(False).alias("is_filler"), "profiles", video.alias("video"), (packet(F.lit("a"), "seg_id") if audio is None else audio).alias("audio"))
+
+
+def written(spark: SparkSession, packed: DataFrame, profiles: dict[str, dict[str, str]]) -> str:
+    """Writes containers to a new shared folder, which is returned."""
     folder = folder_of(spark)
     write(packed, folder, {k: {"name": k, "filters": v} for k, v in profiles.items()}).write.parquet(f"{folder}-manifest")
+    return folder
+
+
+def roundtrip(spark: SparkSession, timeline: DataFrame, profiles: dict[str, dict[str, str]]) -> DataFrame:
+    """Writes a timeline as containers, reads them back, and lists what they hold. Packets are read once, for both payloads."""
+    folder = written(spark, packed_timeline(timeline, profiles), profiles)
     segments, index, packets = (read(spark, folder, t, "FAILFAST") for t in ("segments", "index", "packets"))
-    full = payloads(packets).select("path", "segment_id", F.length("payload").alias("payload_bytes"))
-    audio = payloads(packets, c.AUDIO).select("path", "segment_id", playback.audio_hash(F.col("payload")).alias("audio_hash"))
-    out = segments.join(index.select("path", "segment_id", "duration_ms"), ["path", "segment_id"]).join(full, ["path", "segment_id"]).join(audio, ["path", "segment_id"])
-    return out.select("movie_id", "seg_no", F.col("segment_id").alias("seg_id"), "start_ms", "end_ms", "duration_ms", F.array_join("tags", ",").alias("tags"), "risk", "payload_bytes", "audio_hash")
+    bytes_ = playback.joined_payloads(packets, ["path", "segment_id"], "packet_no", "data", also={"audio": F.col("packet_type") == c.AUDIO})
+    out = segments.join(index.select("path", "segment_id", "duration_ms"), ["path", "segment_id"]).join(bytes_, ["path", "segment_id"])
+    return out.select("movie_id", "seg_no", F.col("segment_id").alias("seg_id"), "start_ms", "end_ms", "duration_ms", F.array_join("tags", ",").alias("tags"), "risk", F.length("payload").alias("payload_bytes"), playback.audio_hash(F.col("audio")).alias("audio_hash"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,22 @@ VIEWER = "birthday string, date_of_birth string, sex string, gender string, prof
 USERS = "Enabled boolean, DefaultProfile string, FillerDirectory string, NsfwThreshold double, DefaultAction string, UserProfiles map<string,struct<Birthday:string,Sex:string,ProfileOverride:string>>"
 
 
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes a file for each row of files (name, body) into folder, and returns the names. A name's slashes are written as %2F."""
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            names = [n.replace("/", "%2F") for n in batch.column("name").to_pylist()]
+            for name, body in zip(names, batch.column("body").to_pylist(), strict=True):
+                with system.open_output_stream(f"{root}/{name}", compression=None) as out:
+                    out.write(body.encode())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+
+    return files.select("name", "body").mapInArrow(tasks, "name string")
+
+
 def _stem() -> Column:
     return F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.[^.]*$", "")
 

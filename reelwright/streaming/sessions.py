@@ -14,6 +14,7 @@ def stream_sessions(detections: DataFrame, interval: str, delay: str) -> DataFra
     """
     window = F.session_window("ts", interval)
     # Spark keeps partial session state of merging aggregates; the set of tags is bounded by the taxonomy.
-    grouped = detections.withWatermark("ts", delay).withColumn("tag", F.explode_outer("tags")).groupBy("movie_id", window)
-    out = grouped.agg(F.array_sort(F.collect_set("tag")).alias("tags"), F.count("*").alias("n"))
+    rows = detections.withWatermark("ts", delay).select("movie_id", "ts", F.posexplode_outer("tags").alias("pos", "tag"))
+    first = F.coalesce("pos", F.lit(0)) == 0  # one row of each detection
+    out = rows.groupBy("movie_id", window).agg(F.array_sort(F.collect_set("tag")).alias("tags"), F.count_if(first).alias("n"))
     return out.select("movie_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "tags", "n")
