@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,34 +13,60 @@ from pyspark.sql import functions as F
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+_folders: dict[str, str] = {}
+
+
+def _hadoop_path(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), a new temporary one."""
+    """This application's folder in the one that spark.checkpoint.dir names (where that is unset, as in tests: in the warehouse, which all
+    executors see as well). It goes when the application ends."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="reelwright-"))
-    return named or sc.getCheckpointDir()
+    if sc.applicationId not in _folders:
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+        folder = f"{named.rstrip('/')}/reelwright-{sc.applicationId}"
+        system, path = _hadoop_path(spark, folder)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _folders[sc.applicationId] = folder
+    return _folders[sc.applicationId]
+
+
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go as soon as it has ended; whatever reads its result reads a table."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, written as a Parquet table to the shared folder and read again: a reliable and compact cut of lineage."""
     spark = df.sparkSession
     path = scratch(spark, "cut")
-    df.write.parquet(path)
+    with _shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
     """Deletes the table behind a df that cut() gave and that nothing reads any more."""
-    sc = df.sparkSession.sparkContext
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        system, path = _hadoop_path(df.sparkSession, folder)
+        system.delete(path, True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path for a new folder in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
