@@ -89,8 +89,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: Column, n: int, salt: str = "") -> DataFrame:
-    """About n rows of df, chosen by the hash of their key, the same ones at every run; never more than 2 n."""
+    """About n rows of df, chosen by the hash of their key, the same ones at every run; of more than 2 n (a key that repeats) those that
+    come first by the hashes of key and row."""
     total = df.count()
     if total <= n:
-        return df.limit(2 * n)
-    return df.filter(hash48(F.concat(key.cast("string"), F.lit("~" + salt))) < F.lit(int((1 << 48) * n / total))).limit(2 * n)
+        return df
+    h = hash48(F.concat(key.cast("string"), F.lit("~" + salt)))
+    return df.filter(h < F.lit(int((1 << 48) * n / total))).orderBy(h, F.xxhash64(*df.columns)).limit(2 * n)

@@ -20,8 +20,8 @@ from reelwright.llm.common import bounded_sample, held_out
 
 WINDOW = 64
 STATES = 8
-#: Training rows: about so many, by hash of doc_id; the other bounds of the fit.
-SAMPLE, WINDOWS_PER_DOC, BATCH, STEPS = 3000, 4, 256, 240
+#: Training rows: about so many, by hash of doc_id, whole texts; windows of a step, and steps.
+SAMPLE, BATCH, STEPS = 3000, 256, 240
 LANES = 4096
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -121,18 +121,16 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 1) -> Net
         return net
     xs, ys = [], []
     for t, y in rows:
-        w = windows(t.encode("utf-8", "surrogatepass"))
-        pick = w[r.permutation(len(w))[:WINDOWS_PER_DOC]]
-        xs.append(pick)
-        ys += [net.labels.index(y)] * len(pick)
-    x, y = np.concatenate(xs).astype(np.intp), np.array(ys)
+        xs.append(windows(t.encode("utf-8", "surrogatepass")))
+        ys.append(np.full(len(xs[-1]), net.labels.index(y)))
+    x, y = np.concatenate(xs), np.concatenate(ys)
     share = np.bincount(y, minlength=len(net.labels))
     odds = np.minimum(1 / share[y], 20 / len(y))  # rare languages are drawn more often
     odds /= odds.sum()
     m, v = ({k: np.zeros_like(p) for k, p in net.p.items()} for _ in range(2))
     for step in range(1, steps + 1):
         at = r.choice(len(y), BATCH, p=odds)
-        xb = np.ascontiguousarray(x[at].T)
+        xb = np.ascontiguousarray(x[at].T).astype(np.intp)
         g, _ = net.gradients(xb, y[at], (xb > 0).astype(np.float32))
         norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
         rate = 0.02 * min(1, step / 10) * (1 - 0.9 * step / steps)
@@ -173,7 +171,7 @@ def identify(docs: DataFrame, net: Net) -> DataFrame:
     """SCHEMA for every row of docs (doc_id, text; other columns are ignored).
 
     Texts that are null or have no letter are `und` with score 0, as are all texts if the net knows no language; with one language known,
-    its score is 1. Repeated rows are rows of their own; an empty table gives an empty result.
+    its score is 1. Texts of any length are read whole. Repeated rows are rows of their own; an empty table gives an empty result.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +194,8 @@ def identify(docs: DataFrame, net: Net) -> DataFrame:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Net:
-    """Trained on about `sample` rows with a lang that aren't held out."""
+    """Trained on about `sample` rows with a lang that aren't held out, whole texts. Rows with a null lang or text, or without a letter,
+    teach nothing; rows that repeat an id count each. Where all labelled rows are held out, or there are none, the net knows no language."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     rows = bounded_sample(labelled.select("doc_id", "text", "lang"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), sample, "lang").collect()
     return train(sorted((r["text"], r["lang"]) for r in rows))

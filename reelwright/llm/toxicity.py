@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -126,45 +127,75 @@ def train(rows: list[tuple[str, int]], steps: int = STEPS, seed: int = 1) -> Sco
     lens, tokens = np.array([len(d) for d in docs]), np.concatenate(docs)
     del docs
     ids, starts = subwords(list(words))
-    n_words, counts = len(words), np.diff(np.append(starts, len(ids)))
+    counts = np.diff(np.append(starts, len(ids)))
     del words
     begin, owner = passages(lens)
     first = np.searchsorted(owner, np.arange(len(lens)))
     spans = np.diff(np.append(begin, len(tokens)))
     grams = np.maximum(np.add.reduceat(counts[tokens], begin), LEAST)  # of each passage
     r = np.random.default_rng(seed)
-    emb, soft, bias = r.uniform(-0.1, 0.1, (BUCKETS, SIZE)), r.standard_normal((2, SIZE)) * 0.3, np.array([1.0, -1.0])
+    params = [r.uniform(-0.1, 0.1, (BUCKETS, SIZE)), r.standard_normal((2, SIZE)) * 0.3, np.array([1.0, -1.0])]
     weight = np.where(ys == 1, 0.5 / ys.sum(), 0.5 / (len(ys) - ys.sum()))
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (emb, soft, bias)]
+    data = Rows(tokens, ids, starts, counts, begin, owner, first, spans, grams, ys, weight)
+    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for step in range(1, steps + 1):
-        dirn = soft[1] - soft[0]
-        per_word = np.add.reduceat((emb @ dirn).astype(np.float32)[ids], starts)
-        mean = np.add.reduceat(per_word[tokens], begin) / grams + bias[1] - bias[0]
-        top = np.maximum.reduceat(mean, first)
-        # The worst passage of each document; in the first steps all of them, as no word stands out yet.
-        chosen = np.flatnonzero(mean >= top[owner]) if step > steps // 5 else np.arange(len(mean))
-        share = weight[owner[chosen]] / np.bincount(owner[chosen], minlength=len(lens))[owner[chosen]]
-        err = (1 / (1 + np.exp(-np.clip(mean[chosen], -40, 40))) - ys[owner[chosen]]) * share
-        pull = np.zeros(len(mean))
-        pull[chosen] = err / grams[chosen]
-        on_word = _summed(tokens, pull, spans, n_words)
-        on_gram = _summed(ids, on_word, counts, BUCKETS)
-        toward = on_gram @ emb  # of the loss by the direction: errors times passages' averages
-        grads = (on_gram[:, None] * dirn, np.stack([-toward, toward]), np.array([-err.sum(), err.sum()]))
+        # Each document's worst passage; in the first steps all of them, as no word stands out yet.
+        grads, _ = gradients(params, data, step > steps // 5)
         rate = 0.05 * (1 - 0.8 * step / steps)
-        for p, g, (m, v) in zip((emb, soft, bias), grads, moments, strict=True):
+        for p, g, (m, v) in zip(params, grads, moments, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    emb, soft, bias = params
     return Scorer(emb @ (soft[1] - soft[0]), float(bias[1] - bias[0]))
 
 
+class Rows(NamedTuple):
+    """Training rows as arrays: words of all documents; n-grams of all words, where each word's begin and how many it has; where passages
+    begin, whose they are, each document's first, their lengths in words and n-grams; labels and weights of documents."""
+
+    tokens: np.ndarray
+    ids: np.ndarray
+    starts: np.ndarray
+    counts: np.ndarray
+    begin: np.ndarray
+    owner: np.ndarray
+    first: np.ndarray
+    spans: np.ndarray
+    grams: np.ndarray
+    ys: np.ndarray
+    weight: np.ndarray
+
+
+def gradients(params: list[np.ndarray], d: Rows, worst: bool) -> tuple[list[np.ndarray], float]:
+    """Of the weighted mean cross entropy, by embeddings, softmax and bias; and that loss. worst: each document's worst passage counts,
+    else the mean over all of them."""
+    emb, soft, bias = params
+    dirn = soft[1] - soft[0]
+    per_word = np.add.reduceat((emb @ dirn).astype(np.float32)[d.ids], d.starts)
+    mean = np.add.reduceat(per_word[d.tokens], d.begin) / d.grams + bias[1] - bias[0]
+    top = np.maximum.reduceat(mean, d.first)
+    chosen = np.flatnonzero(mean >= top[d.owner]) if worst else np.arange(len(mean))
+    of = d.owner[chosen]
+    share = d.weight[of] / np.bincount(of, minlength=len(d.ys))[of]
+    logit = np.clip(mean[chosen], -40, 40)
+    loss = float((np.logaddexp(0, np.where(d.ys[of] == 1, -logit, logit)) * share).sum())
+    err = (1 / (1 + np.exp(-logit)) - d.ys[of]) * share
+    pull = np.zeros(len(mean))
+    pull[chosen] = err / d.grams[chosen]
+    on_word = _summed(d.tokens, pull, d.spans, len(d.counts))
+    on_gram = _summed(d.ids, on_word, d.counts, BUCKETS)
+    toward = on_gram @ emb  # of the loss by the direction: errors times passages' averages
+    return [on_gram[:, None] * dirn, np.stack([-toward, toward]), np.array([-err.sum(), err.sum()])], loss
+
+
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """SCHEMA for every row of docs (doc_id, text; other columns are ignored). A text that is null, empty or without words has the score
-    of the softmax's bias alone. Repeated rows are rows of their own; an empty table gives an empty result."""
+    of the softmax's bias alone. Texts of any length are read whole. Repeated rows are rows of their own; an empty table gives an empty
+    result."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,17 +208,18 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> Scorer:
-    """Trained on a bounded sample of the labelled rows that aren't held out. Null labels and ids teach nothing."""
-    usable = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    rows: list[tuple[str, int]] = []
+    """Trained on a bounded sample of the labelled rows that aren't held out, whole texts. Null labels, ids and texts teach nothing; of
+    rows that repeat an id, the one whose text has the least hash does. Without rows of both labels: train()."""
+    usable = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     picks = [bounded_sample(usable.filter(F.col("toxic") == y), F.col("doc_id"), n, "toxic") for y, n in (sample or SAMPLE).items()]
     chosen = F.broadcast(picks[0].unionByName(picks[1]))  # 2 x 5000 rows of two numbers at most
-    rows = [(r["text"], r["toxic"]) for r in docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(chosen, "doc_id").limit(4 * sum((sample or SAMPLE).values())).collect()]
-    return train(sorted(rows))
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return train(sorted((r["text"], r["toxic"]) for r in rows.collect()))
 
 
 def keep_clean(docs: DataFrame, scorer: Scorer, most: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, that score under `most`."""
+    """The rows of docs, with all their columns whatever their names, that score under `most`. Null and empty texts score as the softmax's
+    bias alone, which training leaves under 0.5 where clean rows are the rule. An empty table gives an empty one."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
