@@ -20,13 +20,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelwright.llm.common import scratch
+from reelwright.llm.common import cut, scratch
 
 #: Payloads under so many bytes are never revisited.
 LEAST_REVISIT = 1000
 #: An archive is closed once it has so many bytes.
 ROLL = 64 << 20
 STEP = 1 << 18
+#: Digests of repeated payloads that are broadcast, as counted.
+MOST_BROADCAST = 500_000
 VERSION = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -209,7 +211,10 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """page_id, url, payload, digest, keeper: of payloads of `least` bytes or more that occur more than once, the largest page_id."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
     again = rows.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("_n")).filter("_n > 1 AND keeper IS NOT NULL")
-    return rows.join(again.drop("_n"), "digest", "left")
+    again = cut(again.drop("_n"))
+    # Digests of repeated payloads alone, so payloads stay where they are; of too many, the join is shuffled, and a digest that most rows have
+    # is split by adaptive execution, as it is in `again` once.
+    return rows.join(F.broadcast(again) if again.count() <= MOST_BROADCAST else again, "digest", "left")
 
 
 def write_archives(pages: DataFrame, folder: str, roll: int = ROLL, least: int = LEAST_REVISIT) -> DataFrame:
