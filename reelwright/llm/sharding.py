@@ -15,8 +15,8 @@ from reelwright.llm.common import hash48
 
 SHARDS = 24
 COLUMNS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-#: Sub-buckets of a shard for numbering its rows; their counts (SHARDS x SLOT_BUCKETS rows at most) are all that is broadcast.
-SLOT_BUCKETS = 4096
+#: Sub-buckets of a shard for numbering its rows, and rows of their counts that may be broadcast, as counted; more are joined by a shuffle.
+SLOT_BUCKETS, MOST_BROADCAST = 4096, 200_000
 
 
 def _draw(key: Column, shard: Column, weight: Column) -> Column:
@@ -39,26 +39,37 @@ def _sub(key: Column, buckets: int) -> Column:
     return hash48(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit("#"))) % buckets
 
 
-def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, slot_buckets: int = SLOT_BUCKETS, whole: bool = False) -> DataFrame:
+def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, slot_buckets: int = SLOT_BUCKETS, whole: bool = False, order: tuple[Column, Column] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs (doc_id, text, any more columns); whole: all its
-    columns (but those named like one of these) instead of the first, and then the others.
+    columns instead of the first, and then the others; a column of docs that has one of their names gets "_in" after it.
 
-    Slots are numbered gaplessly in each shard, by sub-bucket, doc_id, checksum and size: no task holds a whole shard. A null text
+    Slots are numbered gaplessly in each shard, by sub-bucket, doc_id, checksum and size: no task holds a whole shard. order: (a whole
+    number, anything that orders) in whose order a shard's slots rise instead, the number cutting it into sub-buckets. A null text
     counts as empty (crc32 0, size 8); rows with a null doc_id share the key "null"; equal rows get neighbouring slots; an empty
     table gives an empty result.
     """
-    kept = [c for c in docs.columns if c.lower() not in COLUMNS]
-    keyed = assign(docs.select("doc_id", "text", *([F.struct(*kept).alias("_row")] if whole else [])), F.col("doc_id"), weights).withColumn("_sub", _sub(F.col("doc_id"), slot_buckets))
-    # The counts need doc_id alone, so this second scan reads one column.
+    taken = {c.lower() for c in docs.columns} | set(COLUMNS)
+    names = {}
+    for c in docs.columns:
+        new = c
+        while new.lower() in COLUMNS or new != c and new.lower() in taken:
+            new += "_in"
+        names[c] = new
+        taken.add(new.lower())
+    sub = _sub(F.col("doc_id"), slot_buckets) if order is None else order[0].cast("long")
+    row = [F.struct(*[F.col(f"`{c}`").alias(new) for c, new in names.items()]).alias("_row")] if whole else []
+    keyed = assign(docs.select("doc_id", "text", sub.alias("_sub"), *([order[1].alias("_order")] if order else []), *row), F.col("doc_id"), weights)
+    # The counts need no text, so this second scan reads few columns.
     counts = keyed.groupBy("shard", "_sub").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    few = (order is None and len(weights) * slot_buckets <= MOST_BROADCAST) or counts.count() <= MOST_BROADCAST
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = keyed.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "shard", "grown_shard", "_sub", *(["_row"] if whole else []))
-    order = Window.partitionBy("shard", "_sub").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
-    rows = rows.withColumn("_at", F.row_number().over(order).cast("long") - 1)
+    rows = keyed.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "shard", "grown_shard", "_sub", *(["_order"] if order else []), *(["_row"] if whole else []))
+    by = Window.partitionBy("shard", "_sub").orderBy(*(["_order"] if order else []), F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
+    rows = rows.withColumn("_at", F.row_number().over(by).cast("long") - 1)
     slot = F.col("_start") + F.col("_at")
-    return rows.join(F.broadcast(starts), ["shard", "_sub"]).select(
+    return rows.join(F.broadcast(starts) if few else starts, ["shard", "_sub"]).select(
         *(["_row.*"] if whole else ["doc_id"]), "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.cast("long").alias("slot"), "grown_shard")
 
 

@@ -148,5 +148,5 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """SCHEMA for every row of docs (doc_id, text; other columns are ignored). A null text counts as empty; its n_chars is 0, its
-    fingerprint empty, and it is wholly like its edited text. Repeated rows are rows of their own. An empty table gives an empty result."""
+    fingerprint empty, and it is wholly like its edited text. Texts of any length are read whole. Repeated rows are rows of their own. An empty table gives an empty result."""
     return with_next(docs).mapInArrow(_rows, SCHEMA)
