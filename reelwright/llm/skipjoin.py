@@ -493,8 +493,8 @@ def link_classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, unit:
     rows, linked = classes(docs, n, threshold, unit, unit_sets)
     sets = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_copies"))
     sets = cut(sets.join(linked, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
-    least = sets.groupBy("label").agg(F.min("_first").alias("component_id"))
-    sets = sets.join(least, "label").select("sid", "component_id", (F.coalesce("links", F.lit(0)) + F.col("_copies") - 1).alias("n_links"))
+    least = cut(sets.groupBy("label").agg(F.min("_first").alias("_least"), F.count("*").alias("_m")).filter("_m > 1").drop("_m"))
+    sets = sets.join(_bounded(least), "label", "left").select("sid", F.coalesce("_least", "_first").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("_copies") - 1).alias("n_links"))
     empty = F.col("n") == 0
     return rows.join(sets, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
@@ -507,9 +507,10 @@ def keep_one(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, unit: int
     key = ["doc_id", "text_hash"]
     keys = rows.filter("n > 0").groupBy("sid", *key).agg(F.count("*").alias("_rows"))
     keys = cut(keys.join(linked.select("sid", "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
-    first = keys.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sid", "text_hash")).alias("_k"))
-    is_first = F.col("_k.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_k.text_hash") == F.col("text_hash"))
-    marked = cut(keys.join(first, "label").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), is_first.alias("_first"), "_rows").filter("NOT _first OR _rows > 1"))
+    first = keys.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sid", "text_hash")).alias("_k"), F.count("*").alias("_m"))
+    first = cut(first.filter("_m > 1").drop("_m"))
+    is_first = F.col("_k").isNull() | F.col("_k.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_k.text_hash") == F.col("text_hash"))
+    marked = cut(keys.join(_bounded(first), "label", "left").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), is_first.alias("_first"), "_rows").filter("NOT _first OR _rows > 1"))
     # The rows' own columns travel in a struct, so that no name of theirs meets one of these.
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     same = lambda k: own["doc_id"].eqNullSafe(k["_doc"]) & (own["text_hash"] == k["_hash"])

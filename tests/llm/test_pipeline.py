@@ -11,7 +11,9 @@ from tests_llm_shared import brute_hits, brute_classes, documents_rows
 
 def test_stages(spark, tmp_path):
     rows, labels, items = documents_rows()
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    rows += [(None, None, None, None, None), (9000, "", "en", "s1", 0), (9001, "  ", None, None, 2), (None, "no id but words of its own here", None, "s2", 31), (9002, "lone word " * 3000, "en", "s0", 30000)]
+    rows = [(*r, "own slot", "x") for r in rows]  # columns that the last stage has, too
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, slot string, _row string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     sf = str(tmp_path)
@@ -30,16 +32,23 @@ def test_stages(spark, tmp_path):
         if name == "toxicity":
             assert Counter(r["doc_id"] for r in after) == Counter(r["doc_id"] for r in before if r["doc_id"] not in toxic)
         if name == "near_duplicates":
-            classes = brute_classes([(r["doc_id"], r["text"]) for r in before])
-            assert Counter(r["doc_id"] for r in after) == Counter({c for _, _, c, _ in classes})
+            some = [(r["doc_id"], r["text"]) for r in before]
+            firsts = {c for i, n, c, _ in brute_classes(some) if n and i == c}
+            wordless = [i for i, t in some if not (t or "").split()]
+            assert Counter(r["doc_id"] for r in after) == Counter([*firsts, *wordless])
         if name == "decontamination":
             dirty = {x[0] for x in brute_hits([(r["doc_id"], r["text"]) for r in before], items) if x[-1]}
             assert dirty and Counter(r["doc_id"] for r in after) == Counter(r["doc_id"] for r in before if r["doc_id"] not in dirty)
         if name == "mixing":
             n = Counter(r["doc_id"] for r in after)
-            assert set(n) <= {r["doc_id"] for r in before} and max(n.values()) <= 3
+            assert set(n) <= {r["doc_id"] for r in before} and max(n.values()) <= 3 and not set(n) & {9000, 9001}
         if name == "sharding":
-            assert Counter(r["text"] for r in after) == Counter(r["text"] for r in before)
+            assert Counter((r["text"], r["slot_in"]) for r in after) == Counter((r["text"], r["slot"]) for r in before)
+            placed = [(r["doc_id"], r["text"]) for r in docs.select("*", *(c.alias(n) for c, n in zip(corpus_pipeline.written_order(docs), ("f", "k"), strict=True))).orderBy("f", "k").collect()]
+            for s in {r["shard"] for r in after}:  # a shard keeps the order of the training positions
+                own = [(r["doc_id"], r["text"]) for r in sorted(after, key=lambda r: r["slot"]) if r["shard"] == s]
+                left = iter(placed)
+                assert all(x in left for x in own)
             for s in {r["shard"] for r in after}:
                 assert sorted(r["slot"] for r in after if r["shard"] == s) == list(range(sum(r["shard"] == s for r in after)))
         docs = out
@@ -47,6 +56,12 @@ def test_stages(spark, tmp_path):
     assert Counter((r["doc_id"], r["shard"]) for r in ran.collect()) == Counter((r["doc_id"], r["shard"]) for r in seen["sharding"])
 
 
+def test_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_near_copies_share_four_fifths(spark):
     words = [f"w{i}" for i in range(104)]
     rows = [(1, words), (2, [*words, *(f"x{i}" for i in range(20))]), (3, [*words, *(f"y{i}" for i in range(30))])]
