@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reelwright.llm import decontam, mixing, sharding, skipjoin, toxicity
 from reelwright.llm.common import scratch, table
@@ -30,9 +31,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(docs)
 
 
+def written_order(docs: DataFrame) -> tuple[Column, Column]:
+    """(number of the file, place in it) of rows read from a range-sorted Parquet table: the order in which they were written."""
+    return F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long"), F.col("_metadata.row_index")
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their shard and slot."""
-    return sharding.shard_documents(docs, whole=True)
+    """All rows with their shard and slot; a shard's slots rise in the order of the training positions that the stage before gave."""
+    return sharding.shard_documents(docs, whole=True, order=written_order(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -48,6 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows: the columns of documents, then size, text_crc32, law, shard, slot and grown_shard; a row for each time that
+    the mix takes a document.
+
+    Null and empty texts are not toxic, are copies of nothing and have no benchmark passage; having no words, they are taken 0 times by the
+    mix. Null doc_ids, sources and other columns go through. Rows that repeat a doc_id and text are one document to the near-duplicate
+    stage. Very long texts are read whole by every stage. More columns go through, whatever their names (the last stage adds "_in" to those
+    that it has itself). Empty tables of documents, labels or benchmark items give an empty result, a classifier that rejects nothing, or no
+    passages.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = scratch(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES[:-1]):
