@@ -1,9 +1,11 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
 The index has a posting (document, term, next term, place) for each place of each term that a test item uses with the word after it,
-which is a small part of a corpus, while single common words are much of it. A test window is looked up from its rarest postings: their lists, adjusted by the terms' offsets in the item, are intersected to diagonals (document, item, shift), and only for
-the few diagonals on which rarest, second and third rarest all stand are the lists of all the item's terms fetched. Unbroken runs
-of a window's length or more are exact phrase matches. proximity_matches() gives documents with all terms within a span, in any order.
+which is a small part of a corpus, while single common words are much of it: it is built for a set of test items, and other items need an
+index of theirs (build_index() of single terms makes one for any query of those terms). A test window is looked up from its rarest
+postings: their lists, adjusted by the terms' offsets in the item, are intersected to diagonals (document, item, shift), and only for the
+few diagonals on which rarest, second and third rarest all stand are the lists of all the item's terms fetched. Unbroken runs of a
+window's length or more are exact phrase matches. proximity_matches() gives documents with all terms within a span, in any order.
 DataFrame functions only.
 """
 

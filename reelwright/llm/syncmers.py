@@ -17,10 +17,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelwright.llm.common import cut
+
 S, K = 5, 15
 ANCHORS = 64
-#: Ranges of doc_id for finding each row's successor: so many boundaries and head rows at most are on the driver.
-MOST_RANGES = 1024
+#: Ranges for finding each row's successor: rows of one, boundaries of doc_id that the driver may hold (evenly spaced sub-ranges lie between
+#: them), and the share of all rows from which a repeated doc_id, or the null ones, are cut by the texts' hashes.
+RANGE_ROWS, MOST_BOUNDS, HOT = 20_000, 1024, 0.001
+#: Characters of the ranges' first texts that may be broadcast, as counted.
+MOST_CHARS = 32 << 20
+#: Ranges whose numbers may be broadcast, as counted.
+MOST_TOPS = 500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -110,40 +117,68 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _range_of(bounds: list[int], key: Column) -> Column:
-    """How many of the sorted bounds are at most key, by a balanced tree of comparisons; null keys: -1."""
+def _bound_of(bounds: list[int], key: Column) -> Column:
+    """How many of the sorted bounds are at most key, by a balanced tree of comparisons; null keys: 0."""
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
         return F.when(key >= F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-    return F.when(key.isNull(), F.lit(-1)).otherwise(tree(0, len(bounds)))
+    return F.when(key.isNull(), F.lit(0)).otherwise(tree(0, len(bounds)))
+
 
+def _range(rows: DataFrame, range_rows: int) -> Column:
+    """The number of a row's range. It falls from row to row in the order of with_next().
 
-def with_next(docs: DataFrame) -> DataFrame:
+    Ranges hold about range_rows rows, however many there are: quantiles of doc_id are cut into even sub-ranges, and ids with HOT of the
+    rows, null ones among them, by the hash of the text.
+    """
+    spark = rows.sparkSession
+    total, nulls, low, high = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.min("doc_id"), F.max("doc_id")).first()
+    low, high = (0, 0) if low is None else (low, high)
+    n = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_rows))
+    k = min(n, MOST_BOUNDS)
+    quantiles = rows.approxQuantile("doc_id", [i / k for i in range(1, k)], 0.2 / k) if k > 1 else []
+    least = max(range_rows, int(HOT * total) + 1)
+    hot = {r["doc_id"]: r["count"] for r in rows.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter(F.col("count") >= least).collect()}  # 1 / HOT rows at most
+    bounds = sorted({int(x) for x in quantiles} | {x for i in hot for x in (i, i + 1)} | {low, high + 1})
+    # 0: null ids; q: from bounds[q - 1] on. Each has a number of sub-ranges.
+    cuts = [max(1, -(-nulls // least))] + [max(1, -(-hot[lo] // range_rows)) if lo in hot else max(1, min(hi - lo, -(-n // k))) for lo, hi in zip(bounds, bounds[1:], strict=False)] + [1]
+    starts = [0]
+    for c in cuts:
+        starts.append(starts[-1] + c)
+    q = _bound_of(bounds, F.col("doc_id"))
+    pick = lambda xs: F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in xs]), q + 1)
+    lows, spans = [0, *bounds], [1, *(hi - lo for lo, hi in zip(bounds, bounds[1:], strict=False)), 1]
+    sub = F.floor((F.col("doc_id") - pick(lows)).cast("double") * pick(cuts) / pick(spans)).cast("long")
+    sub = F.least(F.greatest(sub, F.lit(0)), pick(cuts) - 1)
+    by_hash = [i for i, c in enumerate(cuts) if c > 1 and (i == 0 or bounds[i - 1] in hot)]
+    if by_hash:
+        hashed = pick(cuts) - 1 - F.floor(F.shiftrightunsigned(F.xxhash64("text").bitwiseXOR(F.lit(-(1 << 63))), 33) * pick(cuts) / (1 << 31)).cast("long")
+        sub = F.when(q.isin(by_hash), hashed).otherwise(sub)
+    return pick(starts[:-1]) + F.when(F.col("doc_id").isNull() & F.lit(0 not in by_hash), F.lit(0)).otherwise(sub)
+
+
+def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, text and _next: the text of the row after it in descending doc_id, after the last the first.
 
-    Null ids come last; ties go by the text's hash, then the text. One shuffle carries the texts, dealt by ranges of doc_id; the only
-    rows that a range needs from another are the first rows of the ranges.
+    Null ids come last; ties go by the text's hash, then the text. One shuffle carries the texts, dealt by ranges; all that a range needs
+    of another is the first text of the next one.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n = min(MOST_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = sorted({int(x) for x in rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)} if n > 1 else set())
-    rows = rows.withColumn("_range", _range_of(bounds, F.col("doc_id")))
+    rows = rows.withColumn("_range", _range(rows, range_rows))
+    tops = cut(rows.groupBy("_range").agg(F.max("doc_id").alias("_top")))  # a row per range, numbers only
+    onward = Window.orderBy(F.desc("_range"))
+    after = F.coalesce(F.lead("_range").over(onward), F.max("_range").over(Window.partitionBy()))
+    few = lambda df: F.broadcast(df) if df.count() <= MOST_TOPS else df
+    # Of a range's rows with its greatest id the first in order; min_by keeps one row a range and task.
+    first = rows.withColumnRenamed("_range", "_of").join(few(tops), (F.col("_of") == F.col("_range")) & F.col("doc_id").eqNullSafe(F.col("_top")))
+    first = cut(first.groupBy("_range").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("_head")))
+    heads = tops.select("_range", after.alias("_after")).join(first.withColumnRenamed("_range", "_after"), "_after").select("_range", "_head")
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
-    tops = {r["_range"]: r["top"] for r in rows.groupBy("_range").agg(F.max("doc_id").alias("top")).collect()}
-    ids = [x for x in tops.values() if x is not None]
-    first = rows.filter(F.col("doc_id").isin(ids) | (F.col("doc_id").isNull() if -1 in tops else F.lit(False)))
-    # of equal doc_ids the first in order; min_by keeps one row a range and task
-    first = first.groupBy("_range").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("_head"))
-    present = sorted(tops, reverse=True)
-    after = {r: present[(i + 1) % len(present)] for i, r in enumerate(present)}
-    if after:
-        before = F.create_map(*[F.lit(x) for r, nxt in after.items() for x in (nxt, r)])
-        first = first.withColumn("_range", F.element_at(before, F.col("_range")))
     lead = F.lead("text").over(Window.partitionBy("_range").orderBy(*order))
-    return rows.withColumn("_next", lead).join(F.broadcast(first), "_range", "left").select("doc_id", "text", F.coalesce("_next", "_head").alias("_next"))
+    small = (first.agg(F.sum(F.length("_head"))).first()[0] or 0) <= MOST_CHARS
+    return rows.withColumn("_next", lead).join(F.broadcast(heads) if small else heads, "_range", "left").select("doc_id", "text", F.coalesce("_next", "_head").alias("_next"))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:

@@ -122,6 +122,21 @@ def test_fingerprints(spark, partitions):
     assert syncmers.fingerprint_documents(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("how", [{}, {"range_rows": 3}])
+def test_successors(spark, monkeypatch, how):
+    import xxhash
+
+    monkeypatch.setattr(syncmers, "HOT", 0.1)
+    monkeypatch.setattr(syncmers, "MOST_BOUNDS", 5 if how else 1024)
+    r = random.Random(15)
+    rows = [(r.choice([None, 7, 7, 8, *range(0, 400, 3), 10**15 + r.randrange(10**9)]), r.choice(["", prose(r, 3), prose(r, 6)])) for _ in range(300)] + [(7, f"text {i}") for i in range(60)] + [(None, f"null {i}") for i in range(60)]
+    signed = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), 42))
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), signed(x[1]), x[1]))
+    want = Counter((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    got = syncmers.with_next(documents(spark, rows), **how)
+    assert Counter(map(tuple, got.collect())) == want
+
+
 def test_last_document_meets_the_first(spark):
     rows = [(1, "a" * 40), (2, "b" * 40), (3, "c" * 40)]
     got = {r["doc_id"]: r["edited_sha256"] for r in syncmers.fingerprint_documents(documents(spark, rows)).collect()}
