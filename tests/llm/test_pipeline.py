@@ -1,17 +1,20 @@
 """The pipeline, stage by stage, against brute force on a small fixture."""
 
+import random
 from collections import Counter
 from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
-from tests_llm_shared import brute_hits, brute_classes, documents_rows
+from test_operators import prose
+from tests_llm_shared import brute_classes, brute_hits, documents_rows
 
 
 def test_stages(spark, tmp_path):
     rows, labels, items = documents_rows()
-    rows += [(None, None, None, None, None), (9000, "", "en", "s1", 0), (9001, "  ", None, None, 2), (None, "no id but words of its own here", None, "s2", 31), (9002, "lone word " * 3000, "en", "s0", 30000)]
+    rows += [(None, None, None, None, None), (9000, "", "en", "s1", 0), (9001, "  ", None, None, 2), (None, prose(random.Random(1), 40, 3000), None, "s2", 31), (9002, prose(random.Random(2), 6000, 3000), "en", "s0", 30000)]
+    labels.append((9002, 1, 0))
     rows = [(*r, "own slot", "x") for r in rows]  # columns that the last stage has, too
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, slot string, _row string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
