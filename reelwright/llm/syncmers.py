@@ -117,18 +117,22 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _longs(xs: list[int]) -> Column:
+    """A literal array, folded when the query is planned."""
+    return F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+
+
 def _bound_of(bounds: list[int], key: Column) -> Column:
-    """How many of the sorted bounds are at most key, by a balanced tree of comparisons; null keys: 0."""
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key >= F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-    return F.when(key.isNull(), F.lit(0)).otherwise(tree(0, len(bounds)))
+    """How many of the sorted bounds are at most key, by halving; null keys: 0."""
+    size = 1 << len(bounds).bit_length()
+    table = _longs(bounds + [(1 << 63) - 1] * (size - 1 - len(bounds)))
+    steps = F.array(*[F.lit(size >> i) for i in range(1, size.bit_length())])
+    at = F.aggregate(steps, F.lit(0), lambda acc, step: acc + F.when(F.element_at(table, acc + step) <= key, step).otherwise(0))
+    return F.when(key.isNull(), F.lit(0)).otherwise(at)
 
 
-def _range(rows: DataFrame, range_rows: int) -> Column:
-    """The number of a row's range. It falls from row to row in the order of with_next().
+def _ranged(rows: DataFrame, range_rows: int) -> DataFrame:
+    """rows with _range, the number of a row's range, which falls from row to row in the order of with_next().
 
     Ranges hold about range_rows rows, however many there are: quantiles of doc_id are cut into even sub-ranges, and ids with HOT of the
     rows, null ones among them, by the hash of the text.
@@ -147,8 +151,8 @@ def _range(rows: DataFrame, range_rows: int) -> Column:
     starts = [0]
     for c in cuts:
         starts.append(starts[-1] + c)
-    q = _bound_of(bounds, F.col("doc_id"))
-    pick = lambda xs: F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in xs]), q + 1)
+    rows, q = rows.withColumn("_q", _bound_of(bounds, F.col("doc_id"))), F.col("_q")
+    pick = lambda xs: F.element_at(_longs(xs), q + 1)
     lows, spans = [0, *bounds], [1, *(hi - lo for lo, hi in zip(bounds, bounds[1:], strict=False)), 1]
     sub = F.floor((F.col("doc_id") - pick(lows)).cast("double") * pick(cuts) / pick(spans)).cast("long")
     sub = F.least(F.greatest(sub, F.lit(0)), pick(cuts) - 1)
@@ -156,7 +160,8 @@ def _range(rows: DataFrame, range_rows: int) -> Column:
     if by_hash:
         hashed = pick(cuts) - 1 - F.floor(F.shiftrightunsigned(F.xxhash64("text").bitwiseXOR(F.lit(-(1 << 63))), 33) * pick(cuts) / (1 << 31)).cast("long")
         sub = F.when(q.isin(by_hash), hashed).otherwise(sub)
-    return pick(starts[:-1]) + F.when(F.col("doc_id").isNull() & F.lit(0 not in by_hash), F.lit(0)).otherwise(sub)
+    number = pick(starts[:-1]) + F.when(F.col("doc_id").isNull() & F.lit(0 not in by_hash), F.lit(0)).otherwise(sub)
+    return rows.withColumn("_range", number).drop("_q")
 
 
 def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -166,7 +171,7 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     of another is the first text of the next one.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.withColumn("_range", _range(rows, range_rows))
+    rows = _ranged(rows, range_rows)
     tops = cut(rows.groupBy("_range").agg(F.max("doc_id").alias("_top")))  # a row per range, numbers only
     onward = Window.orderBy(F.desc("_range"))
     after = F.coalesce(F.lead("_range").over(onward), F.max("_range").over(Window.partitionBy()))
