@@ -40,7 +40,7 @@ N, THRESHOLD = 4, 85
 FLUSH = 400_000
 #: Shingles and sets of a unit. A group (or band) with more of either is cut into blocks, two of which make a unit: as many as the shingles
 #: ask for, or as the sets do, up to FINE.
-UNIT, UNIT_SETS, FINE = 1_000_000, 1200, 13
+UNIT, UNIT_SETS, FINE = 1_000_000, 240, 13
 #: Entries of answers that a unit holds; beyond that the oldest ones go, whose followers search for themselves.
 MOST_HELD = 2_000_000
 #: Candidates of a set that are worth another filter before their overlaps are counted.
