@@ -39,7 +39,7 @@ def test_playback_of_viewers(spark, tmp_path):
     v = tmp_path / "viewers"
     put(v, "kid.json", {"birthday": "2016-01-01", "sex": "female"})
     put(v, "grown.json", {"user": {"birthday": "1988-01-01"}})
-    put(v, "strict.json", {"name": "strict_parent", "description": "d", "filters": {"nudity": "swap", "violence": "blur", "drugs": "skip"}})
+    put(v, "strict.json", {"name": "film_club", "description": "d", "filters": {"nudity": "mute", "violence": "blur", "drugs": "skip"}})
     put(v, "clash.json", {"name": "child", "filters": {"violence": "play"}})
     viewers = inputs.viewers(spark, str(v))
     assert {r["viewer_id"]: r["kind"] for r in inputs.profile_rows(viewers).collect()} == {"kid": "legacy", "grown": "legacy", "strict": "custom", "clash": "custom"}
@@ -50,7 +50,7 @@ def test_playback_of_viewers(spark, tmp_path):
         got.setdefault(r["viewer_id"], []).append((r["segment_id"], r["action"], r["target_id"], r["duration_ms"]))
     assert got["kid"] == [("s1", "play", "s1", 100), ("s2", "swap", "fill", 40)]
     assert got["grown"] == [("s1", "play", "s1", 100), ("s2", "play", "s2", 45)]  # the target of s3 is missing
-    assert got["strict"] == [("s1", "play", "s1", 100), ("s2", "blur", "s2", 45)]  # skip beats swap in s3
+    assert got["strict"] == [("s1", "play", "s1", 100), ("s2", "blur", "s2", 45)]  # skip beats mute in s3
     assert got["clash"] == got["kid"]  # a custom profile named like a built-in takes the container's entries
 
 
