@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelwright.llm import decontam, language, mixing, pii, sharding, skipjoin, syncmers, toxicity, warc, wrapper
+from reelwright.llm import decontam, divergence, language, mixing, pii, sharding, skipjoin, syncmers, toxicity, warc, wrapper
 from reelwright.llm.common import table
 
 
@@ -52,9 +52,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_syncmers, op2_skipjoin, op3_language, op4_sharding, op5_decontam, op6_toxicity, op7_pii, op8_warc, op9_wrapper, op10_mixing)}
+    return {f.__name__: f for f in (op1_syncmers, op2_skipjoin, op3_language, op4_sharding, op5_decontam, op6_toxicity, op7_pii, op8_warc, op9_wrapper, op10_mixing, op11_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_skipjoin": skipjoin.SQL, "op4_sharding": sharding.SQL, "op5_decontam": decontam.SQL, "op8_warc": warc.SQL, "op10_mixing": mixing.SQL}
+    return {"op2_skipjoin": skipjoin.SQL, "op4_sharding": sharding.SQL, "op5_decontam": decontam.SQL, "op8_warc": warc.SQL, "op10_mixing": mixing.SQL, "op11_divergence": divergence.SQL}
