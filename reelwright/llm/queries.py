@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelwright.llm import decontam, divergence, language, mixing, pii, quantiles, sharding, skipjoin, syncmers, toxicity, warc, wrapper
+from reelwright.llm import decontam, divergence, language, mixing, pii, quality, quantiles, sharding, skipjoin, syncmers, toxicity, warc, wrapper
 from reelwright.llm.common import table
 
 
@@ -56,12 +56,17 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op13_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.stream_quantiles(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "items"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_syncmers, op2_skipjoin, op3_language, op4_sharding, op5_decontam, op6_toxicity, op7_pii, op8_warc, op9_wrapper, op10_mixing, op11_divergence, op13_quantiles)}
+    return {f.__name__: f for f in (op1_syncmers, op2_skipjoin, op3_language, op4_sharding, op5_decontam, op6_toxicity, op7_pii, op8_warc, op9_wrapper, op10_mixing, op11_divergence, op12_quality, op13_quantiles)}
 
 
 def oracle_sql() -> dict[str, str]:
