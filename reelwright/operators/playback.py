@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,43 +74,144 @@ def block_offsets(blocks: DataFrame, key: list[str], order: str, length: str, ba
     return rows.withColumn("offset", base + F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
 
 
-#: Bytes of a payload, which a row must hold.
-MOST_PAYLOAD = 1 << 29
-
-
-def joined_payloads(packets: DataFrame, key: list[str], order: str, data: str, only: Column | None = None, also: dict[str, Column] | None = None) -> DataFrame:
-    """key, payload: the bytes of the packets (for which `only` holds), in order; a key whose packets are all left out has none. also: more
-    payloads by name, each of the packets for which its condition holds (empty if it holds for none). Bytes are copied a fixed number of
-    times; over MOST_PAYLOAD of them fail the query."""
-    rows = packets.filter(only) if only is not None else packets
-    picks = {f"c{i}": x for i, x in enumerate((also or {}).values())}
-    one = F.struct(F.col(order).alias("o"), F.hex(F.col(data).cast("binary")).alias("d"), *[x.alias(n) for n, x in picks.items()])
-    size = F.sum(F.octet_length(F.col(data).cast("binary")))
-    listed = F.array_sort(F.collect_list(one))
-    rows = rows.groupBy(*key).agg(F.when(size > MOST_PAYLOAD, F.raise_error(F.lit("a payload is too long for a row"))).otherwise(listed).alias("_p"))
-    whole = lambda a: F.unhex(F.array_join(F.transform(a, lambda x: x["d"]), ""))
-    held = lambda n: F.filter("_p", lambda x: x[n])
-    return rows.select(*key, whole(F.col("_p")).alias("payload"), *[whole(held(n)).alias(name) for name, n in zip(also or {}, picks, strict=True)])
-
-
-def exported(seq: DataFrame, packets: DataFrame) -> DataFrame:
-    """movie_id, profile, play_no, target_id, profile_action, file, line, duration_line, payload: what a player concatenates, in order.
+#: Bytes of a payload in one row, where it comes in several; and where it must be one.
+CHUNK, MOST_PAYLOAD = 16 << 20, 1 << 29
+
+
+def _in_order(packets: DataFrame, key: list[str], order: str, rest: list[Column]) -> DataFrame:
+    return packets.select(*key, order, *rest).repartition(*key).sortWithinPartitions(*key, order)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple, bool, pa.RecordBatch, int]]:
+    """(key, whether it is a new one, batch, row) of rows that are sorted by key."""
+    last = None
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in key]
+        for i, now in enumerate(zip(*columns, strict=True)):
+            yield now, now != last, batch, i
+            last = now
+
+
+def payload_chunks(packets: DataFrame, key: list[str], order: str, data: str, chunk: int = CHUNK) -> DataFrame:
+    """key, chunk_no, payload: the bytes of each key's packets in order, in rows of `chunk` bytes (the last one: what is left; a key whose
+    packets are empty has one empty row). Rows stream through tasks sorted by key and order, so a payload may have any length; no list of its
+    packets is made, and a task holds one chunk and one packet."""
+    kinds = dict(packets.dtypes)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        size, now, no, held = 0, None, 0, bytearray()
+
+        def packed() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns[: len(key)], types, strict=True)), pa.array(columns[-2], pa.int32()), pa.array(columns[-1], pa.binary())], [*key, "chunk_no", "payload"])
+
+        types: list[pa.DataType] = []
+        for k, new, batch, i in _by_key(batches, key):
+            types = types or [batch.schema.field(n).type for n in key]
+            if new:
+                if now is not None and (held or no == 0):
+                    out.append((*now, no, bytes(held)))
+                    size += len(held)
+                now, no, held = k, 0, bytearray()
+            held += batch.column(data)[i].as_buffer() or b""
+            while len(held) >= chunk:
+                out.append((*now, no, bytes(held[:chunk])))
+                size, no = size + chunk, no + 1
+                del held[:chunk]
+                if size > CHUNK:
+                    yield packed()
+                    out, size = [], 0
+            if size > CHUNK or len(out) > 10_000:
+                yield packed()
+                out, size = [], 0
+        if now is not None and (held or no == 0):
+            out.append((*now, no, bytes(held)))
+        if out:
+            yield packed()
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in key), "chunk_no int, payload binary"])
+    return _in_order(packets, key, order, [F.col(data).cast("binary").alias(data)]).mapInArrow(rows, schema)
+
+
+def payload_digests(packets: DataFrame, key: list[str], order: str, data: str, of: dict[str, Column | None]) -> DataFrame:
+    """key, and for each name in `of` name_bytes and name_hash: how many bytes the key's packets have for which the condition holds (None:
+    all), and their SHA-256 in hex, "" of none. Bytes stream through sorted tasks as in payload_chunks(), of which none is kept."""
+    kinds, names = dict(packets.dtypes), list(of)
+    flags = [(F.lit(True) if x is None else F.coalesce(x, F.lit(False))).alias(f"_{n}") for n, x in of.items()]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        types: list[pa.DataType] = []
+
+        def packed() -> pa.RecordBatch:
+            flat = [(*k, *(v for n, d in done for v in (n, d.hexdigest() if n else ""))) for k, done in out]
+            columns = list(zip(*flat, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*types, *[pa.int64(), pa.string()] * len(names)], strict=True)], [*key, *(f"{n}_{x}" for n in names for x in ("bytes", "hash"))])
+
+        picked: list = []
+        for k, new, batch, i in _by_key(batches, key):
+            if not types:
+                types = [batch.schema.field(n).type for n in key]
+            if i == 0:
+                picked = [batch.column(f"_{n}").to_pylist() for n in names]
+            if new:
+                if len(out) > 10_000:
+                    yield packed()
+                    out = []
+                out.append((k, [[0, hashlib.sha256()] for _ in names]))
+            buffer = batch.column(data)[i].as_buffer()
+            for column, total in zip(picked, out[-1][1], strict=True):
+                if column[i] and buffer is not None:
+                    total[0] += buffer.size
+                    total[1].update(buffer)
+        if out:
+            yield packed()
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in key), *(f"{n}_bytes long, {n}_hash string" for n in names)])
+    return _in_order(packets, key, order, [F.col(data).cast("binary").alias(data), *flags]).mapInArrow(rows, schema)
+
+
+def joined_payloads(packets: DataFrame, key: list[str], order: str, data: str, only: Column | None = None) -> DataFrame:
+    """key, payload: the bytes of the packets (for which `only` holds), in order, in one row; a key whose packets are all left out has none.
+    Payloads of over MOST_PAYLOAD bytes, which no row should hold, fail the query: payload_chunks() gives those."""
+    rows = payload_chunks(packets.filter(only) if only is not None else packets, key, order, data, MOST_PAYLOAD)
+    long = F.raise_error(F.lit("a payload is too long for a row")).cast("binary")
+    return rows.select(*key, F.when(F.col("chunk_no") > 0, long).otherwise(F.col("payload")).alias("payload"))
+
+
+#: Entries that may be broadcast, as counted.
+MOST_ENTRIES = 100_000
+
+
+def _payloads_of(entries: DataFrame, packets: DataFrame, chunk: int) -> DataFrame:
+    """entries (movie_id, target_id, profile_action and more) with chunk_no and payload; of muted ones the video packets. Only packets that
+    an entry needs are shuffled, each one once or (of a target that is muted here and not there) twice."""
+    video = F.col("profile_action") == "mute"
+    entries = entries.withColumn("_video", F.coalesce(video, F.lit(False)))
+    wanted = entries.select("movie_id", "target_id", "_video").distinct()
+    few = wanted.limit(MOST_ENTRIES + 1).count() <= MOST_ENTRIES
+    needed = packets.join(F.broadcast(wanted) if few else wanted, ["movie_id", "target_id"]).filter(~F.col("_video") | (F.col("packet_type") == 1))
+    return entries.join(payload_chunks(needed, ["movie_id", "target_id", "_video"], "packet_no", "data", chunk), ["movie_id", "target_id", "_video"]).filter(F.octet_length("payload") > 0).drop("_video")
+
+
+def exported(seq: DataFrame, packets: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """movie_id, profile, play_no, target_id, profile_action, file, line, duration_line, chunk_no, payload: what a player concatenates, in
+    order of play_no and chunk_no.
 
     packets: movie_id, target_id, packet_no, packet_type, data. A muted entry has its video packets only. Entries without bytes are left
-    out; files keep the numbers of the sequence.
+    out; files keep the numbers of the sequence. A payload of over `chunk` bytes is several rows, of any total length.
     """
-    bytes_ = joined_payloads(packets, ["movie_id", "target_id"], "packet_no", "data", also={"video": F.col("packet_type") == 1})
-    rows = seq.join(bytes_, ["movie_id", "target_id"]).withColumn("payload", F.when(F.col("profile_action") == "mute", F.col("video")).otherwise(F.col("payload")))
     name = F.format_string("seg_%03d.ts", F.col("play_no") - 1)
-    rows = rows.filter(F.octet_length("payload") > 0)
-    return rows.select("movie_id", "profile", "play_no", "target_id", "profile_action", name.alias("file"), F.concat(F.lit("file '"), name, F.lit("'")).alias("line"), F.concat(F.lit("duration "), F.format_string("%.3f", F.col("duration") / 1000.0)).alias("duration_line"), "payload")
+    return _payloads_of(seq, packets, chunk).select("movie_id", "profile", "play_no", "target_id", "profile_action", name.alias("file"), F.concat(F.lit("file '"), name, F.lit("'")).alias("line"), F.concat(F.lit("duration "), F.format_string("%.3f", F.col("duration") / 1000.0)).alias("duration_line"), "chunk_no", "payload")
 
 
-def served(seq: DataFrame, positions: DataFrame, packets: DataFrame) -> DataFrame:
-    """movie_id, profile, position, seg_id, payload: the bytes of the entry at each position of adjusted time."""
+def served(seq: DataFrame, positions: DataFrame, packets: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """movie_id, profile, position, seg_id, chunk_no, payload: the bytes of the entry at each position of adjusted time, in rows of at most
+    `chunk` bytes; an entry without bytes has one row of nulls. Positions are sought first, so packets of other entries aren't moved."""
     at = seek(seq, positions).join(seq.select("movie_id", "profile", "play_no", "target_id", "profile_action"), ["movie_id", "profile", "play_no"])
-    files = exported(seq, packets).select("movie_id", "profile", "play_no", "payload")
-    return at.join(files, ["movie_id", "profile", "play_no"], "left").select("movie_id", "profile", "position", "seg_id", "payload")
+    bytes_ = _payloads_of(at, packets, chunk).select("movie_id", "profile", "position", "chunk_no", "payload")
+    return at.join(bytes_, ["movie_id", "profile", "position"], "left").select("movie_id", "profile", "position", "seg_id", "chunk_no", "payload")
 
 
 def audio_hash(payload: Column) -> Column:

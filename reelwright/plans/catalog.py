@@ -334,8 +334,7 @@ def q21_block_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, CASE WHEN coalesce(t, '') = '' THEN '' ELSE sha256(t) END AS audio_hash FROM c LEFT JOIN p USING (conv_id)""")
 def q22_audio_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").withColumn("o", F.struct("turn", "text"))
-    payloads = playback.joined_payloads(rows, ["conv_id"], "o", "text", F.col("role") == "user")
-    return rows.select("conv_id").distinct().join(payloads, "conv_id", "left").select("conv_id", playback.audio_hash(F.coalesce("payload", F.lit(b""))).alias("audio_hash"))
+    return playback.payload_digests(rows, ["conv_id"], "o", "text", {"audio": F.col("role") == "user"}).select("conv_id", "audio_hash")
 
 
 @query("""WITH a AS (SELECT conv_id, string_agg(text, '' ORDER BY turn, role, text) AS t FROM conversations GROUP BY 1), p AS (SELECT conv_id, string_agg(text, '' ORDER BY turn, role, text) AS u FROM conversations WHERE role = 'user' GROUP BY 1)
@@ -405,15 +404,15 @@ def q30_codec_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part", "p_partkey", "p_size").select("p_partkey", *[exprs.has_flag(size, f).alias(f) for f in params.FLAGS], exprs.codec_name(size).alias("codec"))
 
 
-@query(f"""{FULL}, c AS (SELECT *, CASE seg_no % 4 WHEN 0 THEN 'original' WHEN 1 THEN 'filler_a' WHEN 2 THEN 'other' END AS choice FROM fil),
+@query(f"""{FULL}, {MAT}, c AS (SELECT *, CASE seg_no % 4 WHEN 0 THEN 'original' WHEN 1 THEN 'filler_a' WHEN 2 THEN 'other' END AS choice FROM actd),
 r AS (SELECT *, CASE WHEN NOT contains(tags, 'error') OR choice = 'original' THEN 'original' WHEN choice = 'filler_a' THEN 'filler' ELSE 'skip' END AS swap_type FROM c)
-SELECT movie_id, seg_no, swap_type, CASE swap_type WHEN 'original' THEN '/m/' || seg_id || '.ts' WHEN 'filler' THEN '/f/filler_a.ts' ELSE '' END AS path, swap_type <> 'original' AS is_swapped, act <> 'skip' AS playable, act = 'swap' AS is_swap FROM r""")
+SELECT movie_id, seg_no, swap_type, CASE swap_type WHEN 'original' THEN '/m/' || seg_id || '.ts' WHEN 'filler' THEN '/f/filler_a.ts' ELSE '' END AS path, swap_type <> 'original' AS is_swapped, act <> 'skip' AS playable, act = 'skip' AS is_skip, act = 'mute' AS is_mute, act = 'swap' AS is_swap FROM r""")
 def q31_path_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, case = _segments(spark, sf_dir), F.col("seg_no") % 4
+    s, case = _acted(spark, sf_dir), F.col("seg_no") % 4
     choice = F.when(case == 0, "original").when(case == 1, "filler_a").when(case == 2, "other")
     path = policy.path_resolution(F.col("risk"), F.col("action"), F.col("tags"), F.array(F.lit("error")), choice, F.col("seg_id"), F.lit("/m"), F.lit("/f"))
     flags = policy.action_flags(F.col("action"))
-    return s.select("movie_id", "seg_no", path.alias("p"), flags["playable"].alias("playable"), flags["is_swap"].alias("is_swap")).select("movie_id", "seg_no", "p.*", "playable", "is_swap")
+    return s.select("movie_id", "seg_no", path.alias("p"), *[x.alias(n) for n, x in flags.items()]).select("movie_id", "seg_no", "p.*", *flags)
 
 
 @query(f"""{FULL}, {MAT}, cov AS (SELECT movie_id, cast(sum(greatest(0, e - greatest(s, r))) AS BIGINT) AS covered FROM (SELECT *, coalesce(max(e) OVER (PARTITION BY movie_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r FROM fil) GROUP BY 1),
@@ -456,8 +455,19 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.packed_timeline(_segments(spark, sf_dir), PROFILES, audio=audio)
 
 
+_library: dict[tuple[str, str], str] = {}
+
+
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the containers of _packed(), written once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _library:
+        _library[key] = containers.written(spark, _packed(spark, sf_dir), PROFILES)
+    return _library[key]
+
+
 def _stored(spark: SparkSession, sf_dir: str, table: str, **options: str) -> DataFrame:
-    return containers.read(spark, containers.written(spark, _packed(spark, sf_dir), PROFILES), table, "FAILFAST", **options)
+    return containers.read(spark, _folder(spark, sf_dir), table, "FAILFAST", **options)
 
 
 def _movie() -> F.Column:
@@ -508,8 +518,7 @@ r AS (SELECT f.movie_id, f.seg_no, w.k, w.profile, e // 1000 - s // 1000 AS d, C
 SELECT movie_id::VARCHAR AS movie_id, k::VARCHAR AS viewer_id, count(*) AS entries, max(rn) AS last_no, cast(sum(d) AS BIGINT) AS duration_ms, count(*) FILTER (action = 'mute') AS muted, count(*) FILTER (action = 'swap') AS swapped
 FROM (SELECT *, row_number() OVER (PARTITION BY movie_id, k ORDER BY seg_no) AS rn FROM r WHERE action <> 'skip') GROUP BY ALL""")
 def q40_viewer_playback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = containers.written(spark, _packed(spark, sf_dir), PROFILES)
-    manifests, segments, index = (containers.read(spark, folder, t, "FAILFAST") for t in ("manifest", "segments", "index"))
+    manifests, segments, index = (_stored(spark, sf_dir, t) for t in ("manifest", "segments", "index"))
     profiles = viewing.viewer_profiles(manifests, _viewer_rows(spark, sf_dir), F.lit(AS_OF).cast("date"))
     rows = viewing.playback(segments, index, profiles).groupBy("path", "viewer_id")
     return rows.agg(F.count("*").alias("entries"), F.max("play_no").cast("bigint").alias("last_no"), F.sum("duration_ms").alias("duration_ms"), F.count_if(F.col("action") == "mute").alias("muted"), F.count_if(F.col("action") == "swap").alias("swapped")).select(
@@ -610,17 +619,26 @@ def q48_frame_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", F.round(exprs.softmax_second(d * 10, t * 10), 9).alias("nsfw"), exprs.cartoon_by_features(q * 5, t * 4).alias("cartoon"), exprs.cartoon_by_saturation(q / 50.0, q).alias("flat"), skin["flag"].alias("skin"), F.round(skin["confidence"], 9).alias("confidence"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS k, i, (k * 37 + i * 101) % 256 AS r, (k * 11 + i * 53) % 256 AS g, (k * 7 + i * 29) % 256 AS b FROM (SELECT p_partkey FROM part), range(12) AS x(i), (SELECT 1) AS y(z) WHERE true),
-s AS (SELECT k, greatest(r, g, b) AS h, greatest(r, g, b) - least(r, g, b) AS d FROM p),
-f AS (SELECT k, CASE WHEN h = 0 THEN 0.0 ELSE d::DOUBLE / h END AS sat FROM s)
-SELECT k AS p_partkey, round(avg(sat), 6) AS sat_mean, cast(count(DISTINCT sat) AS INTEGER) AS sat_distinct, avg(sat) > 0.4 AND count(DISTINCT sat) < 100 AS cartoon FROM f GROUP BY k""".replace("(k * ", "(p_partkey * "))
+# Images of 16 x 24 pixels: a patch of one colour on blue, both by part. Closed forms: the brush takes two pixels of each corner of the patch, and
+# the polygon through the middles of its border loses one square and a half there. An edge is one pixel wide, and a corner is cut by one.
+PATCH = """WITH p AS (SELECT p_partkey AS k, 6 + p_partkey % 13 AS w, 6 + p_partkey % 7 AS h, 180 + p_partkey % 60 AS r FROM part),
+c AS (SELECT *, r * 3 // 4 AS g, r // 2 AS b FROM p),
+f AS (SELECT *, (w * h)::DOUBLE / 384 AS area, ((r::FLOAT / 255::FLOAT - b::FLOAT / 255::FLOAT) / (r::FLOAT / 255::FLOAT))::DOUBLE AS sat, ((r - b) * cast(round_even((255 << 12) / r::DOUBLE, 0) AS BIGINT) + 2048) >> 12 AS s FROM c)"""
+
+
+@query(f"""{PATCH} SELECT k AS p_partkey, round(area * sat + 1 - area, 6) AS sat_mean, 2 AS sat_distinct, round(area * s + (1 - area) * 255, 6) AS sat255_mean,
+round(-(area * log2(area) + (1 - area) * log2(1 - area)), 6) AS sat255_entropy, round((w * h - 8) / 384.0, 6) AS skin_share, round(((w - 1) * (h - 1) - 6) / 384.0, 6) AS skin_largest, round((2 * (w + h) - 4) / 384.0, 6) AS edge_share,
+area * sat + 1 - area > 0.4 AS flat, 0.6 * least(1, (area * s + (1 - area) * 255) / 180) + 0.4 * least(1, (2 * (w + h) - 4) / 384.0 / 0.3) > 0.5 AS cartoon, (w * h - 8) / 384.0 > 0.40 AND ((w - 1) * (h - 1) - 6) / 384.0 > 0.15 AS skin FROM f""")
 def q49_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    values = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.array((k * 37 + i * 101) % 256, (k * 11 + i * 53) % 256, (k * 7 + i * 29) % 256)))
-    data = F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
-    f = pixels.image_features(F.lit(3), F.lit(4), data)
-    rows = _read(spark, sf_dir, "part", "p_partkey").select("p_partkey", f.alias("f"))
-    return rows.select("p_partkey", F.round("f.sat_mean", 6).alias("sat_mean"), "f.sat_distinct", exprs.cartoon_by_saturation(F.col("f.sat_mean"), F.col("f.sat_distinct")).alias("cartoon"))
+    w, h, r = 6 + k % 13, 6 + k % 7, 180 + k % 60
+    patch = F.concat(*[F.lpad(F.hex(F.floor(x)), 2, "0") for x in (r, r * 3 / 4, r / 2)])
+    blue = lambda n: F.repeat(F.lit("0000FF"), F.lit(n) if isinstance(n, int) else n.cast("int"))
+    row = F.concat(blue(3), F.repeat(patch, w.cast("int")), blue(21 - w))
+    image = F.unhex(F.concat(blue(48), F.repeat(row, h.cast("int")), F.repeat(blue(24), (14 - h).cast("int"))))
+    f = _read(spark, sf_dir, "part", "p_partkey").select("p_partkey", pixels.image_features(F.lit(16), F.lit(24), image).alias("f")).select("p_partkey", "f.*")
+    verdicts = {"flat": exprs.cartoon_by_saturation(F.col("sat_mean"), F.col("sat_distinct")), "cartoon": exprs.cartoon_by_features(F.col("sat255_mean"), F.col("edge_share")), "skin": exprs.skin_verdict(F.col("skin_share"), F.col("skin_largest"))["flag"]}
+    return f.select("p_partkey", *[F.col(c) if c == "sat_distinct" else F.round(c, 6).alias(c) for c in pixels.FEATURES], *[x.alias(n) for n, x in verdicts.items()])
 
 
 @query(f"""{FULL}, m AS (SELECT movie_id, seg_no, s // 1000 AS a, e // 1000 AS b FROM fil), h AS (SELECT *, a // 10 AS x, a % 10 AS p, b // 10 AS y, b % 10 AS q FROM m)
@@ -652,10 +670,10 @@ EXPORT = f"""{PLAY}, ex AS (SELECT *, CASE WHEN cast(string_split(target_id, '_'
   ELSE 'v' || target_id || 'w' || target_id || CASE WHEN profile_action = 'mute' THEN '' ELSE 'a' || target_id END END AS payload FROM pl)"""
 
 
-@query(f"""{EXPORT} SELECT movie_id, profile, play_no, target_id, 'file ''seg_' || CASE WHEN play_no - 1 < 1000 THEN lpad((play_no - 1)::VARCHAR, 3, '0') ELSE (play_no - 1)::VARCHAR END || '.ts''' AS line, md5(payload) AS payload FROM ex WHERE payload <> ''""")
+@query(f"""{EXPORT} SELECT movie_id, profile, play_no, target_id, 'file ''seg_' || CASE WHEN play_no - 1 < 1000 THEN lpad((play_no - 1)::VARCHAR, 3, '0') ELSE (play_no - 1)::VARCHAR END || '.ts''' AS line, format('duration {{:.3f}}', duration / 1000.0) AS duration_line, md5(payload) AS payload FROM ex WHERE payload <> ''""")
 def q52_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = playback.exported(_sequence(spark, sf_dir), _packets(spark, sf_dir))
-    return rows.select("movie_id", "profile", "play_no", "target_id", "line", F.md5("payload").alias("payload"))
+    return rows.select("movie_id", "profile", "play_no", "target_id", "line", "duration_line", F.md5("payload").alias("payload"))
 
 
 @query(f"""{EXPORT}, cum AS (SELECT *, cast(sum(duration) OVER (PARTITION BY movie_id, profile ORDER BY play_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS c FROM ex),
@@ -672,3 +690,53 @@ def q54_profile_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _viewers(spark, sf_dir)
     birthday = F.when(F.col("user_id") % 8 == 0, "").when(F.col("user_id") % 4 != 0, F.col("born").cast("string"))
     return v.select("user_id", policy.profile_preview(birthday, F.col("sex"), F.lit(AS_OF).cast("date")).alias("profile"))
+
+
+@query(f"""{FULL}, two AS (SELECT * FROM fil WHERE seg_no = 2)
+SELECT movie_id::VARCHAR AS movie_id, seg_id, 1 AS packet_no, 1 AS packet_type, 'v' || seg_id || tags AS data FROM two UNION ALL SELECT movie_id::VARCHAR, seg_id, 2, 2, 'a' || seg_id FROM two""")
+def q55_one_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One segment of each container: the filter goes into the scan, which reads no other block."""
+    rows = _stored(spark, sf_dir, "packets").filter(F.col("segment_id") == "seg_002")
+    return rows.select(_movie(), F.col("segment_id").alias("seg_id"), "packet_no", "packet_type", F.col("data").cast("string").alias("data"))
+
+
+@query(f"""{FULL} SELECT movie_id::VARCHAR AS movie_id, seg_id, 'SEG' AS mark, seg_id AS inside,
+cast(CASE WHEN seg_no % 4 = 0 THEN 66 ELSE 64 + octet_length(encode('v' || seg_id || tags || 'a' || seg_id)) END AS BIGINT) AS bytes FROM fil WHERE seg_no IN (1, 4)""")
+def q56_block_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks by the byte ranges of the index, fetched in rows of 20 bytes at most and put together: mark, length, and the id inside."""
+    index = _stored(spark, sf_dir, "index").filter(F.col("seg_no").isin(1, 4))
+    parts = containers.ranges(index.select("path", F.col("data_offset").alias("offset"), F.col("data_length").alias("length"), "segment_id", "seg_no"), _folder(spark, sf_dir), chunk=20)
+    whole = playback.joined_payloads(parts, ["path", "segment_id", "seg_no"], "chunk_no", "data")
+    return whole.select(_movie(), F.col("segment_id").alias("seg_id"), F.substring("payload", F.lit(1), F.lit(3)).cast("string").alias("mark"), F.length("payload").cast("long").alias("bytes"), F.expr("cast(substring(payload, 5, 7) AS string)").alias("inside"))
+
+
+@query(f"""{FULL} SELECT movie_id::VARCHAR AS movie_id, seg_no, p AS packet_no, p AS packet_type, CASE WHEN seg_no % 4 = 0 THEN chr(0) WHEN p = 1 THEN 'v' || seg_id || tags ELSE 'a' || seg_id END AS data FROM fil, (VALUES (1), (2)) x(p)""")
+def q57_stored_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks cut from whole files as Spark stores them, and their packets by the table function packets()."""
+    files = spark.read.format("binaryFile").load(_folder(spark, sf_dir)).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+    at, n = F.col("data_offset").cast("int") + 1, F.col("data_length").cast("int")
+    blocks = files.join(_stored(spark, sf_dir, "index"), "path").select("path", "seg_no", F.substring("content", at, n).alias("block"))
+    rows = spark.sql("SELECT b.path, b.seg_no, p.* FROM {blocks} b, LATERAL packets(b.block) p", blocks=blocks)
+    return rows.select(_movie(), "seg_no", "packet_no", "packet_type", F.col("data").cast("string").alias("data"))
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> str:
+    """Copies of the containers: of every third the second block has no mark, of every third the last packet is cut, of every sixth the
+    magic is gone; the rest is whole."""
+    files = spark.read.format("binaryFile").load(_folder(spark, sf_dir)).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+    second = _stored(spark, sf_dir, "index").filter("seg_no = 2").select("path", F.col("data_offset").cast("int").alias("at"))
+    kind = _movie().cast("long")
+    marked = F.concat(F.substring("content", F.lit(1), F.col("at")), F.lit(b"?"), F.substring("content", F.col("at") + 2, F.length("content")))
+    body = F.when(kind % 3 == 0, F.when(F.col("at").isNull(), F.col("content")).otherwise(marked)).when(kind % 3 == 1, F.substring("content", F.lit(1), F.length("content") - 1))
+    body = F.when(kind % 6 == 5, F.concat(F.lit(b"?"), F.substring("content", F.lit(2), F.length("content")))).otherwise(F.coalesce(body, F.col("content")))
+    return _files(spark, files.join(second, "path", "left").select(F.concat(_movie(), F.lit(".bvf")).alias("name"), body.alias("body")))
+
+
+@query(f"""{FULL}, n AS (SELECT movie_id, count(*) AS c FROM fil GROUP BY 1), k AS (SELECT *, CASE WHEN movie_id % 6 = 5 THEN 'magic' WHEN movie_id % 3 = 0 AND c > 1 THEN 'mark' WHEN movie_id % 3 = 1 THEN 'cut' END AS kind FROM n)
+SELECT movie_id::VARCHAR AS movie_id, cast(CASE kind WHEN 'magic' THEN 0 WHEN 'mark' THEN 2 * (c - 1) WHEN 'cut' THEN 2 * c - 1 ELSE 2 * c END AS BIGINT) AS packets,
+CASE kind WHEN 'magic' THEN 'bad magic' WHEN 'mark' THEN 'seg_002: bad block magic' WHEN 'cut' THEN 'seg_' || CASE WHEN c < 1000 THEN lpad(c::VARCHAR, 3, '0') ELSE c::VARCHAR END || ': block is cut off' ELSE '' END AS lost FROM k""")
+def q58_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What damaged containers still give, and what is lost of each."""
+    rows = containers.read(spark, _damaged(spark, sf_dir), "packets")
+    lost = F.when(F.col("corrupt").isNotNull(), F.concat_ws(": ", "segment_id", "corrupt"))
+    return rows.groupBy(_movie()).agg(F.count("packet_no").alias("packets"), F.coalesce(F.max(lost), F.lit("")).alias("lost"))

@@ -22,6 +22,8 @@ H264, AAC = 0x1, 0x100
 DEFAULT_FLAGS = 0b1001
 ID_BYTES = 16
 MOST = (1 << 63) - 1
+#: Bytes that a scan of packets fetches at a time.
+AHEAD = 1 << 16
 
 
 class Corrupt(ValueError):
@@ -101,15 +103,29 @@ def packed(manifest: bytes, blocks: list[tuple[str, int, bytes]], duration_ms: i
     yield from (data for _, _, data in blocks)
 
 
+class _Window:
+    """Reads of one block, AHEAD bytes at a time at least, but none beyond the block."""
+
+    def __init__(self, box: Container, entry: Entry):
+        self.box, self.end, self.at, self.held = box, entry.data_offset + entry.data_length, 0, b""
+
+    def read(self, at: int, n: int) -> bytes:
+        kept = self.held[at - self.at :] if self.at <= at <= self.at + len(self.held) else b""
+        if len(kept) < n:
+            kept += self.box._read(at + len(kept), min(max(n - len(kept), AHEAD), self.end - at - len(kept)))
+            self.at, self.held = at, kept
+        return kept[:n]
+
+
 class Container:
     """A reader that fetches only what is asked for: header and index first, manifest and blocks on demand.
 
     strict: the format is checked (magic, major version, reserved bytes, index length, block magic and id, whole packets); otherwise a
-    truncated packet ends its block silently.
+    truncated packet ends its block silently. `fetched` counts the bytes that were read.
     """
 
     def __init__(self, f: BinaryIO, strict: bool = True):
-        self.f, self.strict = f, strict
+        self.f, self.strict, self.fetched = f, strict, 0
         raw = self._read(0, HEADER.size)
         if len(raw) < HEADER.size:
             raise Corrupt("file is shorter than a header")
@@ -126,11 +142,17 @@ class Container:
 
     def _read(self, at: int, n: int) -> bytes:
         self.f.seek(at)
-        return self.f.read(n)
+        raw = self.f.read(n)
+        self.fetched += len(raw)
+        return raw
+
+    def size(self) -> int:
+        return self.f.seek(0, io.SEEK_END)
 
-    def index(self) -> list[Entry]:
+    def index(self, whole: bool = True) -> list[Entry]:
+        """whole: an index that is cut off is an error; else its whole entries are given."""
         raw = self._read(self.header.index_offset, ENTRY.size * self.header.segment_count)
-        self._check(len(raw) == ENTRY.size * self.header.segment_count, "index is cut off")
+        self._check(not whole or len(raw) == ENTRY.size * self.header.segment_count, "index is cut off")
         return [Entry(_unpacked_id(r[0]), *r[1:]) for r in ENTRY.iter_unpack(raw[: len(raw) // ENTRY.size * ENTRY.size])]
 
     def manifest_text(self) -> str:
@@ -160,16 +182,43 @@ class Container:
         self._check(len(raw) == entry.data_length, "block is cut off")
         return raw
 
+    def codecs(self, entry: Entry) -> tuple[int, int]:
+        """Of a block that is long enough for a header; else none, or an error."""
+        if entry.data_length < BLOCK.size:
+            self._check(False, "block is shorter than its header")
+            return 0, 0
+        h = self.block_header(entry)
+        return h.codec_video, h.codec_audio
+
+    def packet_heads(self, entry: Entry) -> Iterator[tuple[int, int, int, int]]:
+        """(type, pts, offset of the data in the file, size) of every packet, from the packets' headers alone. A block, or packet, that is
+        cut off is an error (not strict: the end) after the whole packets before it."""
+        yield from self._heads(entry, _Window(self, entry))
+
+    def _heads(self, entry: Entry, window: _Window) -> Iterator[tuple[int, int, int, int]]:
+        at, end = entry.data_offset + BLOCK.size, entry.data_offset + entry.data_length
+        while at < end:
+            raw = window.read(at, PACKET.size) if at + PACKET.size <= end else b""
+            kind, size, pts = PACKET.unpack(raw) if len(raw) == PACKET.size else (0, 1 << 62, 0)
+            if at + PACKET.size + size > end:
+                self._check(False, "packet is cut off")
+                return
+            yield kind, pts, at + PACKET.size, size
+            at += PACKET.size + size
+
+    def packet_stream(self, entry: Entry) -> Iterator[tuple[int, int, bytes]]:
+        """(type, pts, data) of every packet, one in memory at a time; the end as for packet_heads()."""
+        window = _Window(self, entry)
+        for kind, pts, at, size in self._heads(entry, window):
+            data = window.read(at, size)
+            if len(data) < size:
+                self._check(False, "block is cut off")
+                return
+            yield kind, pts, data
+
     def packets(self, entry: Entry) -> tuple[tuple[int, int], list[tuple[int, int, bytes]]]:
         """The codecs, and (type, pts, data) of every packet."""
-        raw = self.block(entry)
-        if len(raw) < BLOCK.size:
-            self._check(False, "block is shorter than its header")
-            return (0, 0), []
-        magic, sid, video, audio, _ = BLOCK.unpack_from(raw)
-        self._check(magic == BLOCK_MAGIC, "bad block magic")
-        self._check(_unpacked_id(sid) == entry.segment_id, "block id differs from the index")
-        return (video, audio), list(packets_of(raw[BLOCK.size :], self.strict))
+        return self.codecs(entry), list(self.packet_stream(entry))
 
 
 def packets_of(data: bytes, strict: bool = False) -> Iterator[tuple[int, int, bytes]]:
@@ -183,3 +232,12 @@ def packets_of(data: bytes, strict: bool = False) -> Iterator[tuple[int, int, by
         kind, size, pts = PACKET.unpack_from(data, at)
         yield kind, pts, data[at + PACKET.size : at + PACKET.size + size]
         at += PACKET.size + size
+
+
+def packets_of_block(data: bytes, strict: bool = False) -> Iterator[tuple[int, int, bytes]]:
+    """packets_of() a whole block, after its header."""
+    if len(data) < BLOCK.size or data[: len(BLOCK_MAGIC)] != BLOCK_MAGIC:
+        if strict:
+            raise Corrupt("bad block magic" if len(data) >= BLOCK.size else "block is shorter than its header")
+        return
+    yield from packets_of(data[BLOCK.size :], strict)

@@ -16,7 +16,8 @@ USERS = "Enabled boolean, DefaultProfile string, FillerDirectory string, NsfwThr
 
 
 def write_files(files: DataFrame, folder: str) -> DataFrame:
-    """Writes a file for each row of files (name, body) into folder, and returns the names. A name's slashes are written as %2F."""
+    """Writes a file for each row of files (name, body: text or bytes) into folder, and returns the names. A name's slashes are written as
+    %2F."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
@@ -25,7 +26,7 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
             names = [n.replace("/", "%2F") for n in batch.column("name").to_pylist()]
             for name, body in zip(names, batch.column("body").to_pylist(), strict=True):
                 with system.open_output_stream(f"{root}/{name}", compression=None) as out:
-                    out.write(body.encode())
+                    out.write(body if isinstance(body, bytes) else body.encode())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
 
     return files.select("name", "body").mapInArrow(tasks, "name string")

@@ -1,5 +1,6 @@
 """The container format: bytes, round trips, damage."""
 
+import contextlib
 import io
 import json
 import struct
@@ -97,3 +98,154 @@ def test_spark_round_trip_and_modes(spark, tmp_path):
     assert bad.filter("corrupt IS NOT NULL").count() == 1 and bad.filter("corrupt IS NULL").count() == 21
     with pytest.raises(Exception, match="shorter than a header"):
         containers.read(spark, folder, "index", "FAILFAST").count()
+
+
+def lib(spark, folder, movies=3, segments=4, data=b"v", **kw):
+    """Containers m0 .. with segments s1 .., of three video packets and an audio packet each."""
+    rows = [(f"m{m}", f"T{m}", 1000, i, f"s{i}", i, i + 1, ["x"], [], "mature", False, {}) for m in range(movies) for i in range(1, segments + 1)]
+    seg = spark.createDataFrame(rows, "movie_id string, title string, duration_ms long, seg_no int, seg_id string, start_ms long, end_ms long, tags array<string>, topics array<string>, risk string, is_filler boolean, profiles map<string,struct<action:string,segment_id:string>>")
+    packets = [(f"m{m}", i, 1 + (n == 4), n, n * 10, data * (100 + i) + f"{m}.{i}.{n}".encode()) for m in range(movies) for i in range(1, segments + 1) for n in (3, 1, 4, 2)]
+    pk = spark.createDataFrame(packets, "movie_id string, seg_no int, packet_type int, packet_no int, pts_ms long, data binary")
+    return containers.write(seg, folder, {}, packets=pk, **kw), seg, pk
+
+
+def scan(folder, table, mode="PERMISSIVE", filters=(), **options):
+    """A scan without Spark: its rows, and the bytes that it fetched."""
+    from pyspark.sql.types import StructType
+
+    reader = containers._Reader({"path": folder, "table": table, "mode": mode, **options}, StructType.fromDDL(containers.TABLES[table]))
+    left = list(reader.pushFilters(list(filters)))
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    return rows, reader.fetched, left
+
+
+def test_packet_rows_are_written(spark, tmp_path):
+    done, _, packets = lib(spark, str(tmp_path))
+    assert sorted((r["movie_id"], r["segments"], r["bytes"]) for r in done.collect()) == sorted((f"m{m}", 4, (tmp_path / f"m{m}.bvf").stat().st_size) for m in range(3))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["m0.bvf", "m1.bvf", "m2.bvf"]
+    back = containers.read(spark, str(tmp_path), "packets", "FAILFAST")
+    got = sorted((r["path"][-6:-4], r["seg_no"], r["packet_type"], r["packet_no"], r["pts_ms"], bytes(r["data"])) for r in back.collect())
+    assert got == sorted(tuple(r) for r in packets.collect())
+    lib(spark, str(tmp_path), movies=1, data=b"new")  # a movie's file is replaced
+    assert containers.read(spark, str(tmp_path), "packets").filter("path LIKE '%m0.bvf'").first()["data"].startswith(b"newnew")
+
+
+def test_missing_packets_make_stubs_and_stray_ones_fail(spark, tmp_path):
+    _, seg, packets = lib(spark, str(tmp_path / "a"), movies=1)
+    silent = packets.filter("NOT (seg_no = 2 AND packet_type = 2) AND seg_no <> 3")
+    containers.write(seg, str(tmp_path / "b"), {}, packets=silent)
+    rows = containers.read(spark, str(tmp_path / "b"), "packets", "FAILFAST").collect()
+    assert sorted((r["seg_no"], r["packet_type"], bytes(r["data"])) for r in rows if r["seg_no"] in (2, 3)) == [(s, k, b"\0") for s in (2, 3) for k in (1, 2)]
+    for stray in (packets.withColumn("seg_no", F.lit(9)), packets.withColumn("movie_id", F.lit("other"))):
+        with pytest.raises(Exception, match="have no segment"):
+            containers.write(seg, str(tmp_path / "c"), {}, packets=stray)
+    assert not (tmp_path / "c").exists() or not list((tmp_path / "c").iterdir())
+
+
+def test_failed_jobs_leave_nothing(spark, tmp_path):
+    done, seg, packets = lib(spark, str(tmp_path / "a"))
+    bad = seg.withColumn("seg_id", F.when(F.col("movie_id") == "m2", F.lit("an id of over sixteen bytes")).otherwise(F.col("seg_id")))
+    with pytest.raises(Exception, match="16 bytes"):
+        containers.write(bad, str(tmp_path / "b"), {}, packets=packets)
+    assert list((tmp_path / "b").iterdir()) == []
+
+
+def test_blocks_of_several_gigabytes():
+    """Lengths and offsets beyond 32 bits, with a sink that counts instead of storing."""
+
+    class Count:
+        size, first = 0, b""
+
+        def write(self, x):
+            self.size += len(x)
+            if len(self.first) < 4096:
+                self.first += bytes(x[:4096])
+
+        def close(self):
+            pass
+
+    data, n = bytes(64 << 20), 48  # 3 GB
+    info = {"title": "t", "duration_ms": 9, "start_ms": 0, "end_ms": 5, "tags": [], "topics": [], "risk": "safe", "is_filler": False, "profiles": [], "stub": False, "video_info": None, "chapters": None}
+    segments = [info | {"seg_no": k, "seg_id": f"s{k}", "length": c.BLOCK.size + (n * (c.PACKET.size + len(data)) if k == 1 else c.PACKET.size + 1)} for k in (1, 2)]
+    f = containers.File(out := Count(), "m", {"segments": segments, "profiles": "{}", "analyzed_at": "x"})
+    for k in range(n):
+        f.packet(1, c.VIDEO, k, data)
+    f.packet(2, c.VIDEO, 0, b"x")
+    f.close()
+    one, two = c.Container(io.BytesIO(out.first)).index()
+    assert one.data_length > 3 << 30 and two.data_offset == one.data_offset + one.data_length and out.size == two.data_offset + two.data_length
+    g = containers.File(Count(), "m", {"segments": segments, "profiles": "{}", "analyzed_at": "x"})
+    g.packet(1, c.VIDEO, 0, b"too short")
+    with pytest.raises(ValueError, match="differs from its length"):
+        g.packet(2, c.VIDEO, 0, b"x")
+
+
+def test_chapters_and_video_info_come_back(spark, tmp_path):
+    _, seg, packets = lib(spark, str(tmp_path / "a"), movies=1)
+    seg = seg.withColumns({"video_info": F.struct(F.lit(640).alias("width")), "chapters": F.array(F.struct(F.lit("Eins").alias("title"), F.lit(0).alias("start_ms")))})
+    containers.write(seg, str(tmp_path / "b"), {}, packets=packets)
+    m = json.loads(containers.read(spark, str(tmp_path / "b"), "manifest", "FAILFAST").first()["manifest"])
+    assert m["video_info"] == {"width": 640} and m["chapters"] == [{"title": "Eins", "start_ms": 0}]
+
+
+def test_filters_are_pushed_and_skip_bytes(spark, tmp_path):
+    lib(spark, str(tmp_path), data=b"v" * 5000)
+    df = containers.read(spark, str(tmp_path), "packets", "FAILFAST").filter("segment_id = 's3' AND path LIKE '%m1.bvf'")
+    assert {(r["seg_no"], r["segment_id"]) for r in df.collect()} == {(3, "s3")} and df.count() == 4
+    with contextlib.redirect_stdout(plan := io.StringIO()):
+        df.explain("formatted")
+    assert "EqualTo(segment_id,s3)" in plan.getvalue().split("PushedFilters")[1] and "Filter (" not in plan.getvalue()
+    rows, fetched, left = scan(str(tmp_path), "packets", filters=[containers.EqualTo(("segment_id",), "s3"), containers.StringEndsWith(("path",), "m1.bvf"), containers.EqualTo(("pts_ms",), 10)])
+    size = sum(len(r["data"]) + c.PACKET.size for r in rows)
+    assert len(rows) == 4 and [f.attribute for f in left] == [("pts_ms",)]
+    # A header, an index, that block, and its header once more.
+    assert fetched == c.HEADER.size + 4 * c.ENTRY.size + c.BLOCK.size + size
+    assert [r["seg_no"] for r in scan(str(tmp_path), "index", filters=[containers.GreaterThan(("seg_no",), 2), containers.In(("segment_id",), ("s1", "s4"))])[0]] == [4, 4, 4]
+    _, heads, _ = scan(str(tmp_path), "packet_heads")
+    assert heads < 0.6 * sum(p.stat().st_size for p in tmp_path.iterdir())
+
+
+def test_ranges_read_only_what_is_asked(spark, tmp_path):
+    lib(spark, str(tmp_path), movies=2)
+    files = {str(p): p.read_bytes() for p in tmp_path.iterdir()}
+    heads = containers.read(spark, str(tmp_path), "packet_heads", "FAILFAST").filter("seg_no = 2")
+    got = containers.ranges(heads.select("path", "offset", F.col("size").alias("length"), "packet_no"), str(tmp_path)).collect()
+    assert len(got) == 8 and all(bytes(r["data"]) == files[r["path"]][r["offset"] : r["offset"] + r["length"]] for r in got)
+    odd = spark.createDataFrame([(next(iter(files)), 5, 1000, "k"), (next(iter(files)), 10**9, 5, "gone"), (next(iter(files)), None, 5, "null"), (None, 0, 5, "null")], "path string, offset long, length long, tag string")
+    parts = sorted(containers.ranges(odd, str(tmp_path), chunk=300).collect(), key=lambda r: r["chunk_no"])
+    assert [r["tag"] for r in parts] == ["k"] * 4 and b"".join(bytes(r["data"]) for r in parts) == files[parts[0]["path"]][5:1005]
+
+
+def test_packets_of_stored_blocks(spark, tmp_path):
+    lib(spark, str(tmp_path))
+    index = containers.read(spark, str(tmp_path), "index", "FAILFAST")
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+    files.join(index, "path").select("path", "seg_no", F.expr("substring(content, cast(data_offset + 1 AS INT), cast(data_length AS INT))").alias("block")).createOrReplaceTempView("blocks_of_files")
+    got = spark.sql("SELECT path, seg_no, p.* FROM blocks_of_files, LATERAL packets(block) p")
+    want = containers.read(spark, str(tmp_path), "packets", "FAILFAST").select(*got.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 48
+    cut = spark.sql("SELECT b.seg_no, p.packet_no FROM (SELECT seg_no, substring(block, 1, length(block) - 1) AS block FROM blocks_of_files UNION ALL SELECT 0, NULL UNION ALL SELECT -1, X'00') b, LATERAL packets(b.block) p")
+    assert cut.count() == 36
+    with pytest.raises(Exception, match="cut off"):
+        spark.sql("SELECT p.packet_no FROM (SELECT substring(block, 1, length(block) - 1) AS block FROM blocks_of_files) b, LATERAL packets(b.block, true) p").count()
+
+
+def test_damage_costs_only_what_is_damaged(spark, tmp_path):
+    lib(spark, str(tmp_path), movies=3)
+    boxes = {p: c.Container(io.BytesIO(p.read_bytes())) for p in sorted(tmp_path.iterdir())}
+    (a, box_a), (b, box_b), (d, box_d) = boxes.items()
+    second, last = box_a.index()[1], box_b.index()[3]
+    raw = bytearray(a.read_bytes())
+    raw[second.data_offset] ^= 1
+    a.write_bytes(raw)
+    b.write_bytes(b.read_bytes()[: last.data_offset + last.data_length - 3])  # the last packet is cut
+    d.write_bytes(d.read_bytes()[: c.HEADER.size + 2 * c.ENTRY.size + 7])  # in its index
+    rows = containers.read(spark, str(tmp_path), "packets").collect()
+    fine = {(r["path"][-6:-4], r["seg_no"], r["packet_no"]) for r in rows if r["corrupt"] is None}
+    assert fine == {(m, s, n) for m in ("m0", "m1") for s in range(1, 5) for n in range(1, 5)} - {("m0", 2, n) for n in range(1, 5)} - {("m1", 4, 4)}
+    bad = sorted((r["path"][-6:-4], r["seg_no"] or 0, r["segment_id"] or "", r["corrupt"]) for r in rows if r["corrupt"])
+    assert bad == [("m0", 2, "s2", "bad block magic"), ("m1", 4, "s4", "block is cut off"), ("m2", 0, "", "index is cut off"), ("m2", 1, "s1", "block is shorter than its header"), ("m2", 2, "s2", "block is shorter than its header")]
+    assert containers.read(spark, str(tmp_path), "index").filter("corrupt IS NULL AND path LIKE '%m2.bvf'").count() == 2
+    with pytest.raises(Exception, match="bad block magic"):
+        containers.read(spark, str(tmp_path), "packets", "FAILFAST").filter("path LIKE '%m0.bvf'").count()
+    assert containers.read(spark, str(tmp_path), "packets", "FAILFAST").filter("path LIKE '%m0.bvf' AND seg_no <> 2 AND seg_no >= 3").count() == 8
