@@ -619,24 +619,24 @@ def q48_frame_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", F.round(exprs.softmax_second(d * 10, t * 10), 9).alias("nsfw"), exprs.cartoon_by_features(q * 5, t * 4).alias("cartoon"), exprs.cartoon_by_saturation(q / 50.0, q).alias("flat"), skin["flag"].alias("skin"), F.round(skin["confidence"], 9).alias("confidence"))
 
 
-# Images of 16 x 24 pixels: a patch of one colour on blue, both by part. Closed forms: the brush takes two pixels of each corner of the patch, and
+# Images of 24 x 32 pixels: a patch of one colour, away from the borders, on blue, both by part. Closed forms: the brush takes two pixels of each corner of the patch, and
 # the polygon through the middles of its border loses one square and a half there. An edge is one pixel wide, and a corner is cut by one.
 PATCH = """WITH p AS (SELECT p_partkey AS k, 6 + p_partkey % 13 AS w, 6 + p_partkey % 7 AS h, 180 + p_partkey % 60 AS r FROM part),
 c AS (SELECT *, r * 3 // 4 AS g, r // 2 AS b FROM p),
-f AS (SELECT *, (w * h)::DOUBLE / 384 AS area, ((r::FLOAT / 255::FLOAT - b::FLOAT / 255::FLOAT) / (r::FLOAT / 255::FLOAT))::DOUBLE AS sat, ((r - b) * cast(round_even((255 << 12) / r::DOUBLE, 0) AS BIGINT) + 2048) >> 12 AS s FROM c)"""
+f AS (SELECT *, (w * h)::DOUBLE / 768 AS area, ((r::FLOAT / 255::FLOAT - b::FLOAT / 255::FLOAT) / (r::FLOAT / 255::FLOAT))::DOUBLE AS sat, ((r - b) * cast(round_even((255 << 12) / r::DOUBLE, 0) AS BIGINT) + 2048) >> 12 AS s FROM c)"""
 
 
 @query(f"""{PATCH} SELECT k AS p_partkey, round(area * sat + 1 - area, 6) AS sat_mean, 2 AS sat_distinct, round(area * s + (1 - area) * 255, 6) AS sat255_mean,
-round(-(area * log2(area) + (1 - area) * log2(1 - area)), 6) AS sat255_entropy, round((w * h - 8) / 384.0, 6) AS skin_share, round(((w - 1) * (h - 1) - 6) / 384.0, 6) AS skin_largest, round((2 * (w + h) - 4) / 384.0, 6) AS edge_share,
-area * sat + 1 - area > 0.4 AS flat, 0.6 * least(1, (area * s + (1 - area) * 255) / 180) + 0.4 * least(1, (2 * (w + h) - 4) / 384.0 / 0.3) > 0.5 AS cartoon, (w * h - 8) / 384.0 > 0.40 AND ((w - 1) * (h - 1) - 6) / 384.0 > 0.15 AS skin FROM f""")
+round(-(area * log2(area) + (1 - area) * log2(1 - area)), 6) AS sat255_entropy, round((w * h - 8) / 768.0, 6) AS skin_share, round(((w - 1) * (h - 1) - 6) / 768.0, 6) AS skin_largest, round((2 * (w + h) - 4) / 768.0, 6) AS edge_share,
+area * sat + 1 - area > 0.4 AS flat, 0.6 * least(1, (area * s + (1 - area) * 255) / 180) + 0.4 * least(1, (2 * (w + h) - 4) / 768.0 / 0.3) > 0.5 AS cartoon, (w * h - 8) / 768.0 > 0.40 AND ((w - 1) * (h - 1) - 6) / 768.0 > 0.15 AS skin FROM f""")
 def q49_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     w, h, r = 6 + k % 13, 6 + k % 7, 180 + k % 60
     patch = F.concat(*[F.lpad(F.hex(F.floor(x)), 2, "0") for x in (r, r * 3 / 4, r / 2)])
     blue = lambda n: F.repeat(F.lit("0000FF"), F.lit(n) if isinstance(n, int) else n.cast("int"))
-    row = F.concat(blue(3), F.repeat(patch, w.cast("int")), blue(21 - w))
-    image = F.unhex(F.concat(blue(48), F.repeat(row, h.cast("int")), F.repeat(blue(24), (14 - h).cast("int"))))
-    f = _read(spark, sf_dir, "part", "p_partkey").select("p_partkey", pixels.image_features(F.lit(16), F.lit(24), image).alias("f")).select("p_partkey", "f.*")
+    row = F.concat(blue(6), F.repeat(patch, w.cast("int")), blue(26 - w))
+    image = F.unhex(F.concat(blue(192), F.repeat(row, h.cast("int")), F.repeat(blue(32), (18 - h).cast("int"))))
+    f = _read(spark, sf_dir, "part", "p_partkey").select("p_partkey", pixels.image_features(F.lit(24), F.lit(32), image).alias("f")).select("p_partkey", "f.*")
     verdicts = {"flat": exprs.cartoon_by_saturation(F.col("sat_mean"), F.col("sat_distinct")), "cartoon": exprs.cartoon_by_features(F.col("sat255_mean"), F.col("edge_share")), "skin": exprs.skin_verdict(F.col("skin_share"), F.col("skin_largest"))["flag"]}
     return f.select("p_partkey", *[F.col(c) if c == "sat_distinct" else F.round(c, 6).alias(c) for c in pixels.FEATURES], *[x.alias(n) for n, x in verdicts.items()])
 
