@@ -5,27 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelwright.functions import params
 
 
-def overlap_text(segments: DataFrame, words: DataFrame, bucket: int, most: int = params.TRANSCRIPT_CHARS) -> DataFrame:
+#: Words that meet the segments over them in one task, about.
+CELL = 512
+
+
+def overlap_text(segments: DataFrame, words: DataFrame, bucket: int, most: int = params.TRANSCRIPT_CHARS, cell: int = CELL) -> DataFrame:
     """movie_id, seg_no, n_words, text of every segment: the words that overlap it (start < its end and end > its start), in order of seq.
 
-    segments: movie_id, seg_no, start, end; words: movie_id, seq, word, start, end. Both sides are cut into buckets of time, which turns the
-    range join into an equi-join on (movie_id, bucket); a pair counts in the first bucket that both touch only. Text is cut to `most`
-    characters; a segment without words has an empty one.
+    segments: movie_id, seg_no, start, end; words: movie_id, seq, word, start, end. A movie's words are cut into cells of about `cell` words, by
+    counts of those that begin in each bucket of time (and by hash, where one bucket holds more), so each word is in one cell, and no task holds
+    more for a long or crowded movie. A segment goes to the cells whose words reach from before its end to after its start. What a cell adds to
+    a segment is a count and the words of the first `most` characters, so one that is over the whole movie gathers a bounded text from each
+    cell. Text is cut to `most` characters; a segment without words has an empty one.
     """
-    cut = lambda a, b: F.explode(F.sequence(F.floor(a / bucket), F.greatest(F.floor(a / bucket), F.floor((b - 1) / bucket))))
-    s = segments.select("movie_id", "seg_no", F.col("start").alias("_s"), F.col("end").alias("_e"), cut(F.col("start"), F.col("end")).alias("_b"))
-    w = words.select("movie_id", "seq", "word", F.col("start").alias("_ws"), F.col("end").alias("_we"), cut(F.col("start"), F.col("end")).alias("_b"))
-    met = s.join(w, ["movie_id", "_b"]).filter((F.col("_ws") < F.col("_e")) & (F.col("_we") > F.col("_s")) & (F.col("_b") == F.greatest(F.floor(F.col("_s") / bucket), F.floor(F.col("_ws") / bucket))))
-    texts = met.groupBy("movie_id", "seg_no").agg(F.array_sort(F.collect_list(F.struct("seq", "word"))).alias("_w"))
+    w = words.select("movie_id", "seq", "word", F.col("start").alias("_ws"), F.col("end").alias("_we"), F.floor(F.col("start") / bucket).alias("_b"))
+    counts = w.groupBy("movie_id", "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("movie_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = counts.select("movie_id", "_b", F.floor(before / cell).alias("_first"), F.ceil(F.col("_n") / cell).alias("_parts"))
+    w = w.join(cuts, ["movie_id", "_b"]).select("movie_id", "seq", "word", "_ws", "_we", (F.col("_first") + F.pmod(F.xxhash64("seq"), F.col("_parts"))).alias("_c"))
+    cells = w.groupBy("movie_id", "_c").agg(F.min("_ws").alias("_low"), F.max("_we").alias("_high"))
+    s = segments.select("movie_id", "seg_no", F.col("start").alias("_s"), F.col("end").alias("_e")).join(cells, "movie_id").filter((F.col("_low") < F.col("_e")) & (F.col("_high") > F.col("_s")))
+    met = s.join(w, ["movie_id", "_c"]).filter((F.col("_ws") < F.col("_e")) & (F.col("_we") > F.col("_s")))
+    one = Window.partitionBy("movie_id", "_c", "seg_no")
+    chars = F.sum(F.coalesce(F.length("word") + 1, F.lit(0))).over(one.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    met = met.withColumns({"_n": F.count("*").over(one), "_chars": F.coalesce(chars, F.lit(0))}).filter(F.col("_chars") <= most)
+    parts = met.groupBy("movie_id", "_c", "seg_no").agg(F.max("_n").alias("_n"), F.collect_list(F.struct("seq", "word")).alias("_w"))
+    texts = parts.groupBy("movie_id", "seg_no").agg(F.sum("_n").cast("int").alias("_n"), F.array_sort(F.flatten(F.collect_list("_w"))).alias("_w"))
     joined = F.left(F.array_join(F.transform("_w", lambda x: x["word"]), " "), F.lit(most))
     out = segments.select("movie_id", "seg_no").join(texts, ["movie_id", "seg_no"], "left")
-    return out.select("movie_id", "seg_no", F.when(F.col("_w").isNull(), 0).otherwise(F.size("_w")).alias("n_words"), F.coalesce(joined, F.lit("")).alias("text"))
+    return out.select("movie_id", "seg_no", F.coalesce("_n", F.lit(0)).alias("n_words"), F.coalesce(joined, F.lit("")).alias("text"))
 
 
 Client = Callable[[str], list[str]]

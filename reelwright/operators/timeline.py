@@ -6,10 +6,13 @@ operator needs one shuffle; operators that follow each other reuse its partition
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelwright.functions import exprs
+from reelwright.sources.shared import kept
 
 
 def _empty() -> Column:
@@ -103,6 +106,50 @@ def refined_bounds(samples: DataFrame, step: int) -> DataFrame:
     return rows.filter("bad").groupBy("movie_id", "_run").agg(F.min("t").alias("bad_start"), (F.max("t") + step).alias("bad_end")).drop("_run")
 
 
+#: What scores probes: rows of movie_id, t and more to the same with `bad` (boolean; null: the probe failed).
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+def bisected_bounds(found: DataFrame, movies: DataFrame, scorer: Scorer, precision: float, more: Sequence[str] = (), forward: bool = True) -> DataFrame:
+    """found (movie_id, t: a time known to be bad, columns `more` that the scorer needs, and others) with bad_start and bad_end: where what is
+    bad begins and has ended, to `precision`, by bisection between the known time and the movie's start and end (movies: movie_id, duration).
+    forward=False gives the movie's end as bad_end instead, without a search.
+
+    All searches of all movies go in step: a round probes the middle of every open interval, each distinct probe once, in one call of the
+    scorer, and halves them; there are as many rounds as the longest interval needs. A failed probe ends its search with the bounds so far. A
+    table holds the intervals between rounds. Times are doubles; the first known bad time, or the first safe one after, is told. A null t, or
+    a movie without a duration, gives nulls; equal rows search once.
+    """
+    key = ["movie_id", "t", *more]
+    places = found.select(*key).filter(F.col("t").isNotNull()).distinct().join(movies.select("movie_id", F.col("duration").cast("double").alias("_duration")), "movie_id")
+    t = F.col("t").cast("double")
+    sides = [F.struct(F.lit("start").alias("side"), F.lit(0.0).alias("safe"), t.alias("bad"))] + [F.struct(F.lit("end").alias("side"), F.col("_duration").alias("safe"), t.alias("bad"))] * forward
+    state = places.select(*key, "_duration", F.inline(F.array(*sides)))
+    wide = F.abs(F.col("safe") - F.col("bad")) > precision
+    state = kept(state.withColumn("open", F.coalesce(wide, F.lit(False))))
+    done = []
+    while True:
+        opened = state.filter("open")
+        done.append(state.filter("NOT open"))
+        if opened.isEmpty():
+            break
+        asked = opened.withColumn("_probe", (F.col("safe") + F.col("bad")) / 2)
+        probes = asked.select("movie_id", F.col("_probe").alias("t"), *more).distinct()
+        answers = scorer(probes).select(F.col("movie_id").alias("_m"), F.col("t").alias("_p"), *[F.col(c).alias(f"_{c}") for c in more], F.col("bad").alias("_is_bad"))
+        same = [F.col("movie_id") == F.col("_m"), F.col("_probe") == F.col("_p"), *(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in more)]
+        met = asked.join(answers, same, "left").select(*key, "_duration", "side", "safe", "bad", "_probe", "_is_bad")
+        known = F.col("_is_bad").isNotNull()
+        met = met.withColumns({"safe": F.when(known & ~F.col("_is_bad"), F.col("_probe")).otherwise(F.col("safe")), "bad": F.when(known & F.col("_is_bad"), F.col("_probe")).otherwise(F.col("bad"))})
+        state = kept(met.withColumn("open", known & wide).select(*key, "_duration", "side", "safe", "bad", "open"))
+    ends = done[0]
+    for d in done[1:]:
+        ends = ends.unionByName(d)
+    last = F.max("_duration") if not forward else F.max(F.when(F.col("side") == "end", F.col("safe")))
+    bounds = ends.groupBy(*key).agg(F.max(F.when(F.col("side") == "start", F.col("bad"))).alias("bad_start"), last.alias("bad_end"))
+    bounds = bounds.select(*[F.col(c).alias(f"_{c}") for c in key], "bad_start", "bad_end")
+    return found.join(bounds, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left").select(*found.columns, "bad_start", "bad_end")
+
+
 def snapped(segments: DataFrame, keyframes: DataFrame) -> DataFrame:
     """An extension: start moved to the nearest keyframe (movie_id, t) at or before it, 0 without one. Both tables meet in one window by
     movie and time, so no range join is needed."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from reelwright.functions import exprs, params, pixels
 from reelwright.operators import detect, playback, policy, text, timeline, viewing
-from reelwright.sources import containers, inputs
+from reelwright.sources import containers, inputs, shared
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -96,13 +96,6 @@ def _sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return playback.sequence(_matrix(spark, sf_dir), _index(spark, sf_dir))
 
 
-def _kept(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, for queries that read it several times."""
-    path = containers.folder_of(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _tags(c: str = "tags") -> F.Column:
     return F.array_join(c, ",").alias("tags")
 
@@ -527,7 +520,7 @@ def q40_viewer_playback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _files(spark: SparkSession, rows: DataFrame) -> str:
     """Writes rows (name, body) as files to a new shared folder, which is returned."""
-    folder = containers.folder_of(spark)
+    folder = shared.folder_of(spark)
     inputs.write_files(rows, folder).write.parquet(f"{folder}-list")
     return folder
 
@@ -609,6 +602,21 @@ def q47_refined_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.refined_bounds(grid.withColumn("bad", (F.col("sample_no") * 7 + F.col("movie_id")) % 5 < 2), STEP)
 
 
+PERIODS = "(cast(floor({t} / (1000 + 37 * (movie_id % 50))) AS BIGINT) + movie_id) % 3 = 0"
+
+
+@query(f"""WITH RECURSIVE mov AS (SELECT DISTINCT user_id AS movie_id FROM events), found AS (SELECT movie_id, (i * 14400)::DOUBLE AS t FROM mov, range(6) AS r(i) WHERE {PERIODS.format(t='(i * 14400)::DOUBLE')}),
+iv AS (SELECT movie_id, t, 'start' AS side, 0.0::DOUBLE AS safe, t AS bad FROM found UNION ALL SELECT movie_id, t, 'end', 86400.0::DOUBLE, t FROM found
+  UNION ALL SELECT movie_id, t, side, CASE WHEN {PERIODS.format(t='((safe + bad) / 2)')} THEN safe ELSE (safe + bad) / 2 END, CASE WHEN {PERIODS.format(t='((safe + bad) / 2)')} THEN (safe + bad) / 2 ELSE bad END FROM iv WHERE abs(safe - bad) > 10)
+SELECT movie_id, t, max(bad) FILTER (side = 'start') AS bad_start, max(safe) FILTER (side = 'end') AS bad_end FROM iv WHERE abs(safe - bad) <= 10 GROUP BY ALL""")
+def q59_bisected_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of a day's movies, every four hours, that a function of time scores as bad; to ten seconds."""
+    movies = _movies(spark, sf_dir).select("movie_id", F.lit(86400).alias("duration"))
+    scorer = lambda probes: probes.withColumn("bad", F.expr(PERIODS.format(t="t")))
+    found = scorer(timeline.sample_grid(movies, 14400).select("movie_id", F.col("t").cast("double").alias("t"))).filter("bad").drop("bad")
+    return timeline.bisected_bounds(found, movies, scorer, 10.0)
+
+
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_discount AS d, l_tax AS t, l_quantity AS q FROM lineitem)
 SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(d * 10 - t * 10)), 9) AS nsfw, least(1.0, q * 5 / 180.0) * 0.6 + least(1.0, t * 4 / 0.3) * 0.4 > 0.5 AS cartoon, q / 50.0 > 0.4 AND q < 100 AS flat,
   d * 10 > 0.40 AND t * 4 > 0.15 AS skin, round(least(1.0, (d * 10 + t * 4) / 0.6), 9) AS confidence FROM l""")
@@ -681,7 +689,7 @@ hit AS (SELECT movie_id, profile, min(play_no) FILTER (c > {DURATION // 3}) AS a
 SELECT h.movie_id, h.profile, {DURATION // 3}::BIGINT AS position, c.seg_id, md5(nullif(c.payload, '')) AS payload FROM hit h JOIN cum c ON c.movie_id = h.movie_id AND c.profile = h.profile AND c.play_no = coalesce(a, z)""")
 def q53_serve(spark: SparkSession, sf_dir: str) -> DataFrame:
     positions = _movies(spark, sf_dir).select("movie_id", F.lit(DURATION // 3).cast("bigint").alias("position"))
-    rows = playback.served(_kept(spark, _sequence(spark, sf_dir)), positions, _packets(spark, sf_dir))
+    rows = playback.served(shared.kept(_sequence(spark, sf_dir)), positions, _packets(spark, sf_dir))
     return rows.select("movie_id", "profile", "position", "seg_id", F.md5("payload").alias("payload"))
 
 

@@ -21,6 +21,7 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 from reelwright.functions import exprs
 from reelwright.operators import playback, policy
 from reelwright.sources import container as c
+from reelwright.sources.shared import folder_of
 
 TABLES = {
     "header": "path string, version_major int, version_minor int, flags long, index_offset long, index_length long, manifest_offset long, manifest_length long, segment_count long, duration_ms long, corrupt string",
@@ -464,23 +465,6 @@ def payloads(packets: DataFrame, only: int | None = None) -> DataFrame:
     return playback.joined_payloads(packets, ["path", "segment_id"], "packet_no", "data", kind)
 
 
-_folders: dict[str, str] = {}
-
-
-def folder_of(spark: SparkSession) -> str:
-    """A new folder in the application's own one, which stands in the one that spark.checkpoint.dir names (where that is unset, in the
-    warehouse, which all executors see as well) and goes when the application ends."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _folders:
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        _folders[sc.applicationId] = f"{named.rstrip('/')}/reelwright-containers-{sc.applicationId}"
-        path = sc._jvm.org.apache.hadoop.fs.Path(_folders[sc.applicationId])
-        system = path.getFileSystem(sc._jsc.hadoopConfiguration())
-        system.mkdirs(path)
-        system.deleteOnExit(path)
-    return f"{_folders[sc.applicationId]}/{uuid.uuid4().hex}"
-
-
 def packed_timeline(timeline: DataFrame, profiles: dict[str, dict[str, str]], video: Column | None = None, audio: Column | None = None) -> DataFrame:
     """A timeline (microseconds) as rows for write(), with made-up packets (or the given ones, null for a stub)."""
     rows = policy.profile_matrix(timeline, policy.profiles_table(timeline.sparkSession, profiles))

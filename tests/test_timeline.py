@@ -1,11 +1,12 @@
 """Golden cases of sessionizing and gap filling, and invariants on random timelines."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from reelwright.operators import detect, timeline
+from reelwright.operators import detect, text, timeline
 
 DET = "movie_id string, t bigint, tags array<string>, bad_end bigint, seq int"
 
@@ -123,3 +124,77 @@ def test_detections_of_both_kinds(spark):
 def test_transcripts(spark):
     t = spark.createDataFrame([("m", [([(" Hi ", 0.0, 0.5), ("'There'", 0.5, 1.0)],), (None,)])], "movie_id string, segments array<struct<words:array<struct<word:string,start:double,end:double>>>>")
     assert [(r["seq"], r["word"], r["start_s"]) for r in detect.transcript_words(t).collect()] == [(0, "hi", 0.0), (1, "there", 0.5)]
+
+
+def plain_bisection(t, duration, bad, precision, forward=True):
+    safe, known = 0.0, t
+    while known - safe > precision:
+        mid = (safe + known) / 2
+        b = bad(mid)
+        if b is None:
+            break
+        safe, known = (safe, mid) if b else (mid, known)
+    start = known
+    safe, known = duration, t
+    while forward and safe - known > precision:
+        mid = (safe + known) / 2
+        b = bad(mid)
+        if b is None:
+            break
+        safe, known = (safe, mid) if b else (mid, known)
+    return start, safe
+
+
+def test_bisection_in_step(spark):
+    """Against a search by itself of each known time; failing probes, repeated rows, nulls; no probe asked twice in a round."""
+    asked = []
+
+    def scorer(probes):
+        asked.append(sorted((r["movie_id"], r["t"], r["threshold"]) for r in probes.collect()))
+        score = F.when((F.col("t") > 300) & (F.col("movie_id") == "fails"), None).otherwise(F.abs(F.sin(F.col("t") / 40)))
+        return probes.withColumn("bad", score >= F.coalesce("threshold", F.lit(0.5)))
+
+    rows = [("m", 50.0, 0.6, "x"), ("m", 50.0, 0.6, "y"), ("m", 50.0, 0.8, "x"), ("m", 300.0, None, "z"), ("fails", 70.0, 0.6, "f"), ("nowhere", 5.0, 0.6, "n"), ("m", None, 0.6, "null"), ("short", 0.0, 0.6, "s")]
+    found = spark.createDataFrame(rows, "movie_id string, t double, threshold double, note string")
+    movies = spark.createDataFrame([("m", 1000), ("fails", 900), ("short", 0)], "movie_id string, duration int")
+    got = {(r["movie_id"], r["t"], r["threshold"], r["note"]): (r["bad_start"], r["bad_end"]) for r in timeline.bisected_bounds(found, movies, scorer, 0.1, ["threshold"]).collect()}
+    assert len(got) == len(rows)
+    for m, t, threshold, note in rows:
+        if m == "nowhere" or t is None:
+            assert got[m, t, threshold, note] == (None, None)
+            continue
+        bad = lambda x, m=m, threshold=threshold: None if m == "fails" and x > 300 else abs(math.sin(x / 40)) >= (threshold or 0.5)
+        want = plain_bisection(t, float({"m": 1000, "fails": 900, "short": 0}[m]), bad, 0.1)
+        assert got[m, t, threshold, note] == want
+    assert all(len(set(a)) == len(a) for a in asked) and len(asked) <= math.ceil(math.log2(1000 / 0.1)) + 1
+    ends = timeline.bisected_bounds(found.filter("note = 'x'"), movies, scorer, 0.1, ["threshold"], forward=False)
+    assert {r["bad_end"] for r in ends.collect()} == {1000.0}
+
+
+def test_text_of_a_segment_over_everything(spark):
+    """A crowded movie: one segment over all 100,000 words, others short, some words long, many that begin at once."""
+    n = 100_000
+    words = spark.range(n).select(F.lit("m").alias("movie_id"), F.col("id").alias("seq"), F.concat(F.lit("w"), "id").alias("word"), F.when(F.col("id") < 5000, 7).otherwise(F.col("id")).alias("start"), F.when(F.col("id") % 1000 == 0, F.col("id") + 50_000).otherwise(F.greatest(F.col("id"), F.lit(7)) + 2).alias("end"))
+    spans = [(1, 0, 10**6), (2, 60_000, 60_010), (3, 7, 8), (4, 10**7, 10**8), (5, 99_000, 99_001)]
+    segments = spark.createDataFrame([("m", *s) for s in spans] + [("silent", 1, 0, 5)], "movie_id string, seg_no int, start long, end long")
+    got = {(r["movie_id"], r["seg_no"]): (r["n_words"], r["text"]) for r in text.overlap_text(segments, words, 100).collect()}
+    rows = [(i, 7 if i < 5000 else i, i + 50_000 if i % 1000 == 0 else max(i, 7) + 2) for i in range(n)]
+    for k, s, e in spans:
+        mine = [f"w{i}" for i, a, b in rows if a < e and b > s]
+        assert got["m", k] == (len(mine), " ".join(mine)[:2000])
+    assert got["silent", 1] == (0, "")
+
+
+def test_cells_of_any_size_give_the_same(spark):
+    r = random.Random(8)
+    words = [("m", (r.randrange(9), i), f"w{i}" if i % 9 else None, a := r.randrange(500), a + r.randrange(60)) for i in range(400)]
+    segments = [("m", i, a := r.randrange(520), a + r.randrange(90)) for i in range(40)]
+    w = spark.createDataFrame(words, "movie_id string, seq struct<a:int,b:int>, word string, start long, end long")
+    s = spark.createDataFrame(segments, "movie_id string, seg_no int, start long, end long")
+    want = {}
+    for _, k, a, e in segments:
+        mine = sorted((q, x) for _, q, x, ws, we in words if ws < e and we > a)
+        want[k] = (len(mine), " ".join(x for _, x in mine if x)[:90])
+    for bucket, cell in ((50, 512), (50, 7), (1, 1), (10**6, 5)):
+        got = {r["seg_no"]: (r["n_words"], r["text"]) for r in text.overlap_text(s, w, bucket, 90, cell).collect()}
+        assert got == want
