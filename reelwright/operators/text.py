@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import collections
+import json
+import queue
+import threading
+import time
+import urllib.request
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelwright.functions import params
+from reelwright.functions import exprs, params
 
 
 #: Words that meet the segments over them in one task, about.
@@ -72,6 +78,80 @@ def classify_topics(texts: DataFrame, client: Callable[[], Client] = keyword_cli
     return texts.withColumn("topics", topics(F.col(text)))
 
 
+#: What asks a model: (question, seconds to wait) to its answer as text. It may raise, or stall.
+Call = Callable[[str, float], str]
+
+PROMPT = "Which of these topics does the transcript touch? Answer with a JSON array of their names, [] for none.\n{topics}\n\nTranscript:\n{text}"
+
+
+def chat_service(url: str, model: str, topics: Sequence[str] = tuple(params.TOPICS), prompt: str = PROMPT) -> Callable[[], Call]:
+    """A client of a chat completion service at url, for answers(): one POST a question, temperature 0."""
+
+    def make() -> Call:
+        def call(text: str, timeout: float) -> str:
+            body = {"model": model, "messages": [{"role": "user", "content": prompt.format(topics="\n".join(topics), text=text)}], "temperature": 0.0, "max_tokens": 1000}
+            request = urllib.request.Request(f"{url.rstrip('/')}/v1/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json"})
+            with urllib.request.urlopen(request, timeout=timeout) as f:
+                return json.load(f)["choices"][0]["message"]["content"]
+
+        return call
+
+    return make
+
+
+def asked_together(call: Call, questions: Sequence[str], parallel: int, timeout: float, retries: int, pause: float) -> list[str | None]:
+    """The answer to each question, in their order; None where every attempt failed. At most `parallel` calls run at a time. A failed one is
+    repeated after a pause that doubles; one that stalls, whatever its client does, is given up after its attempts' time."""
+    answers: list[str | None] = [None] * len(questions)
+    done: queue.Queue[tuple[int, str | None]] = queue.Queue()
+    most = (retries + 1) * timeout + pause * 2**retries + 1
+
+    def attempt(i: int) -> None:
+        for k in range(retries + 1):
+            try:
+                return done.put((i, call(questions[i], timeout)))
+            except Exception:  # noqa: BLE001 - whatever a remote model raises
+                if k < retries:
+                    time.sleep(pause * 2**k)
+        return done.put((i, None))
+
+    waiting, active = collections.deque(range(len(questions))), {}
+    while waiting or active:
+        while waiting and len(active) < parallel:
+            i = waiting.popleft()
+            active[i] = time.monotonic() + most
+            threading.Thread(target=attempt, args=(i,), daemon=True).start()
+        try:
+            i, answer = done.get(timeout=max(0.01, min(active.values()) - time.monotonic()))
+            if active.pop(i, None) is not None:
+                answers[i] = answer
+        except queue.Empty:
+            for i in [i for i, end in active.items() if end <= time.monotonic()]:
+                del active[i]
+    return answers
+
+
+def answers(texts: DataFrame, client: Callable[[], Call], text: str = "text", most: int = params.TRANSCRIPT_CHARS, parallel: int = 8, timeout: float = 120.0, retries: int = 2, pause: float = 0.5) -> DataFrame:
+    """texts with `answer`, a client's answer to the first `most` characters of each text; null for blank texts and failures. Equal texts are
+    asked once in all; each task makes a client and has `parallel` calls open at most."""
+    question = F.left(F.col(text), F.lit(most))
+    asked = texts.select(question.alias("_q")).filter(F.trim("_q") != "").distinct()
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = client()
+        for batch in batches:
+            yield batch.assign(answer=asked_together(call, batch["_q"].tolist(), parallel, timeout, retries, pause))
+
+    got = asked.mapInPandas(rows, "_q string, answer string")
+    return texts.withColumn("_q", question).join(got, "_q", "left").drop("_q")
+
+
+def service_topics(texts: DataFrame, client: Callable[[], Call], topics: Sequence[str] = tuple(params.TOPICS), **how: float) -> DataFrame:
+    """texts with `topics`, parsed from the client's answers(); none where it failed."""
+    rows = answers(texts, client, **how)
+    return rows.withColumn("topics", F.coalesce(exprs.parsed_topics(F.col("answer"), list(topics)), F.array().cast("array<string>"))).drop("answer")
+
+
 def with_topics(segments: DataFrame, topics: DataFrame) -> DataFrame:
     """segments with the topics of (movie_id, seg_no), joined by key, never by position."""
     return segments.join(topics.select("movie_id", "seg_no", "topics"), ["movie_id", "seg_no"], "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))

@@ -748,3 +748,51 @@ def q58_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = containers.read(spark, _damaged(spark, sf_dir), "packets")
     lost = F.when(F.col("corrupt").isNotNull(), F.concat_ws(": ", "segment_id", "corrupt"))
     return rows.groupBy(_movie()).agg(F.count("packet_no").alias("packets"), F.coalesce(F.max(lost), F.lit("")).alias("lost"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'politics' WHEN 'click' THEN 'drugs,crime' ELSE '' END AS topics FROM events")
+def q60_service_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics by a service that fails for one kind of text, answers another in prose, and is asked once for equal texts."""
+
+    def make() -> text.Call:
+        said = {"error": 'Sure: ["politics", "nonsense"]', "click": "drugs, crime", "view": "[]"}
+
+        def call(question: str, timeout: float) -> str:
+            return said[question.split()[0]]
+
+        return call
+
+    e = _read(spark, sf_dir, "events", "event_id", "event_type")
+    rows = text.service_topics(e.select("event_id", F.concat("event_type", F.lit(" was said")).alias("text")), make, pause=0.0, timeout=5.0)
+    return rows.select("event_id", F.array_join("topics", ",").alias("topics"))
+
+
+@query(f"""{FULL} SELECT movie_id::VARCHAR AS movie_id, count(*) AS segments, cast(sum(e // 1000 - s // 1000) AS BIGINT) AS duration_ms FROM fil GROUP BY movie_id""")
+def q61_streamed_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library as a stream that is started twice on one checkpoint: the second run finds nothing new."""
+    folder = shared.folder_of(spark)
+    rows = containers.read_stream(spark, _folder(spark, sf_dir), f"{folder}-log", "index", "FAILFAST").select("path", "segment_id", "duration_ms")
+    for _ in range(2):
+        rows.writeStream.format("parquet").option("path", folder).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(folder).groupBy(_movie()).agg(F.count("*").alias("segments"), F.sum("duration_ms").alias("duration_ms"))
+
+
+@query(f"""{FULL} SELECT movie_id::VARCHAR AS movie_id, CASE WHEN movie_id % 6 <> 5 THEN count(*) END AS segment_count, CASE WHEN movie_id % 6 = 5 THEN 'bad magic' ELSE '' END AS corrupt FROM fil GROUP BY movie_id""")
+def q62_checked_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of a folder with damaged containers: those that fail a check are rows that say so."""
+    h = containers.read(spark, _damaged(spark, sf_dir), "header")
+    return h.select(_movie(), "segment_count", F.coalesce("corrupt", F.lit("")).alias("corrupt"))
+
+
+@query(f"""{FULL}, c AS (SELECT movie_id, count(*) AS segments FROM fil GROUP BY movie_id), b AS (SELECT movie_id, count(*) AS entries, cast(sum(e // 1000 - s // 1000) AS BIGINT) AS playable_ms, count(*) FILTER (tags LIKE '%error%' OR tags LIKE '%purchase%') AS swapped FROM fil GROUP BY movie_id)
+SELECT movie_id::VARCHAR AS video, 'Smart Branch' AS name, 'bvf' AS container, segments, {DURATION // 1000}::BIGINT AS duration_ms, entries, playable_ms, swapped, 0::BIGINT AS muted FROM c JOIN b USING (movie_id) WHERE movie_id % 2 = 0 AND movie_id % 6 <> 5""")
+def q63_media_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog rows of every second movie's video, with what a child sees; damaged containers are none."""
+    folder = _damaged(spark, sf_dir)
+    tables = {t: containers.read(spark, folder, t) for t in ("files", "header", "segments", "index")}
+    fine = {t: x.filter("corrupt IS NULL") for t, x in tables.items()}
+    videos = _movies(spark, sf_dir).filter("movie_id % 2 = 0").select(F.col("movie_id").cast("string").alias("video"), F.regexp_replace(F.lit(f"{folder}/"), "^file:/*", "/").alias("folder"))
+    profiles = fine["files"].select("path", F.lit("child").alias("viewer_id"), F.lit("child").alias("profile"), F.lit(None).cast("map<string,string>").alias("filters"))
+    seq = viewing.playback(fine["segments"], fine["index"], profiles)
+    rows = playback.media_sources(videos.select("video", F.concat("folder", "video", F.lit(".mkv")).alias("path")), tables["files"], tables["header"], seq.select("path", F.col("action").alias("profile_action"), F.col("duration_ms").alias("duration")))
+    return rows.select("video", "name", "container", F.col("segments").cast("long").alias("segments"), "duration_ms", "entries", "playable_ms", "swapped", "muted")

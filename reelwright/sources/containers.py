@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import operator
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import quote
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringEndsWith, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringEndsWith, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
@@ -48,7 +48,7 @@ class ContainerSource(DataSource):
 
     Filters on path, segment_id and seg_no (=, IN, comparisons, prefixes and suffixes of a path) are pushed into the scan: other files
     aren't opened, and other blocks aren't read. Only table=packets reads blocks, one packet at a time; packet_heads reads their headers.
-    Small files share a task. Written, it takes rows of STREAM and makes a file per movie (see write()).
+    Small files share a task. As a stream it takes option log, too (see _Stream). Written, it takes rows of STREAM and makes a file per movie (see write()).
     """
 
     @classmethod
@@ -61,6 +61,9 @@ class ContainerSource(DataSource):
     def reader(self, schema: StructType) -> _Reader:
         return _Reader(dict(self.options), schema)
 
+    def streamReader(self, schema: StructType) -> _Stream:  # noqa: N802
+        return _Stream(dict(self.options), schema)
+
     def writer(self, schema: StructType, overwrite: bool) -> _Writer:
         if overwrite:
             raise ValueError("containers are added to a folder (mode append); a movie's file is replaced")
@@ -98,19 +101,26 @@ class _Reader(DataSourceReader):
         return all(given[name] is not None and (kind is IsNotNull or _COMPARED[kind](given[name], value)) for name, kind, value in self.wanted if name in given)
 
     def partitions(self) -> list[_Files]:
+        return self.packed((f.path, f.size) for f in self.listed() if self._is_wanted(path=f.path))
+
+    def listed(self) -> list[fs.FileInfo]:
+        """The files to read, by path."""
         system, root = fs.FileSystem.from_uri(self.uri)
         info = system.get_file_info(root)
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
         files = [f for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and (f.path.endswith(self.suffix) or f is info) and not _hidden(f.path[len(root) :])]
+        return [f for f in files if self.only is None or f.path in self.only or f.base_name in self.only]
+
+    def packed(self, files: Iterable[tuple[str, int]]) -> list[_Files]:
+        """Files (path, size) dealt to tasks."""
         out, size = [], TASK
-        for f in files:
-            if (self.only is None or f.path in self.only or f.base_name in self.only) and self._is_wanted(path=f.path):
-                own = max(OPEN, f.size if self.table == "packets" else 0)
-                if size + own > TASK:
-                    out.append(_Files([]))
-                    size = 0
-                out[-1].paths.append(f.path)
-                size += own
+        for path, bytes_ in files:
+            own = max(OPEN, bytes_ if self.table == "packets" else 0)
+            if size + own > TASK:
+                out.append(_Files([]))
+                size = 0
+            out[-1].paths.append(path)
+            size += own
         return out
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
@@ -188,6 +198,54 @@ class _Reader(DataSourceReader):
                 yield (e.segment_id, n + 1, kind, pts, at, size)
 
 
+class _Stream(DataSourceStreamReader):
+    """New files of a folder, each once. What every batch found is a file in the folder that option `log` names, beside the checkpoint, so an
+    offset is the number of a batch, and a query that starts again reads what came since. A file that is replaced is new. Option
+    files_per_batch bounds a batch."""
+
+    def __init__(self, options: dict[str, str], schema: StructType):
+        if "log" not in options:
+            raise ValueError("a stream of containers needs the option log, a folder of its own")
+        self.reader, self.log, self.most = _Reader(options, schema), options["log"], int(options.get("files_per_batch", 1 << 30))
+        self.batches, self.seen = 0, set()
+
+    def _entries(self, n: int) -> list[list]:
+        system, root = fs.FileSystem.from_uri(self.log)
+        with system.open_input_stream(f"{root}/{n:09d}.json") as f:
+            return json.loads(f.read())
+
+    def _resumed(self) -> None:
+        system, root = fs.FileSystem.from_uri(self.log)
+        system.create_dir(root, recursive=True)
+        while system.get_file_info(f"{root}/{self.batches + 1:09d}.json").type == fs.FileType.File:
+            self.batches += 1
+            self.seen |= {tuple(e) for e in self._entries(self.batches)}
+
+    def initialOffset(self) -> dict[str, int]:  # noqa: N802
+        return {"batches": 0}
+
+    def latestOffset(self) -> dict[str, int]:  # noqa: N802
+        self._resumed()
+        new = [e for f in self.reader.listed() if (e := (f.path, f.size, f.mtime_ns)) not in self.seen][: self.most]
+        if new:
+            system, root = fs.FileSystem.from_uri(self.log)
+            part = f"{root}/.{uuid.uuid4().hex}"
+            with system.open_output_stream(part, compression=None) as out:
+                out.write(json.dumps(new).encode())
+            system.move(part, f"{root}/{self.batches + 1:09d}.json")
+            self._resumed()
+        return {"batches": self.batches}
+
+    def partitions(self, start: dict[str, int], end: dict[str, int]) -> list[_Files]:
+        return self.reader.packed((path, size) for n in range(start["batches"] + 1, end["batches"] + 1) for path, size, _ in self._entries(n))
+
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+        return self.reader.read(partition)
+
+    def commit(self, end: dict[str, int]) -> None:
+        """The log stays, as a list of what was read."""
+
+
 _DAMAGE = (c.Corrupt, UnicodeDecodeError, json.JSONDecodeError)
 
 
@@ -268,6 +326,11 @@ def read(spark: SparkSession, path: str, table: str = "segments", mode: str = "P
     return spark.read.format("segment_container").option("path", path).option("table", table).option("mode", mode).options(**options).load()
 
 
+def read_stream(spark: SparkSession, path: str, log: str, table: str = "segments", mode: str = "PERMISSIVE", **options: str) -> DataFrame:
+    register(spark)
+    return spark.readStream.format("segment_container").option("path", path).option("log", log).option("table", table).option("mode", mode).options(**options).load()
+
+
 def normalised(segments: DataFrame) -> DataFrame:
     """table=segments with start_s, end_s, duration_s in place of milliseconds; missing times count as 0."""
     s = lambda x: F.coalesce(x, F.lit(0)) / 1000.0
