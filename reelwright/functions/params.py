@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Mapping, Sequence
+
 # Enumerations of the data model.
 RISKS = {"safe": 0, "mature": 1, "restricted": 2}
 ACTIONS = {"play": 0, "swap": 1, "skip": 2, "mute": 3, "blur": 4}
@@ -16,21 +19,49 @@ TRANSCRIPT_CHARS = 2000
 CHILD_UNTIL, TEEN_UNTIL = 13, 18
 
 # Words that make an audio bucket a "language" detection.
-PROFANITY = "fuck shit damn hell bastard asshole bitch cunt pussy dick cock nigger nigga faggot whore slut retard".split()
+PROFANITY = (
+    "fuck", "shit", "damn", "hell", "bastard", "asshole", "bitch", "cunt", "pussy", "dick", "cock", "nigger", "nigga", "faggot", "whore", "slut",
+    "retard",
+)
 
-# Caption keywords by tag, comma-separated; a keyword that stands n times has weight n.
+# Caption keywords by tag; a keyword that stands n times has weight n.
 CAPTION_KEYWORDS = {
-    "nudity": "nude, naked, naked, nude, naked, nude, naked, breast, boob, tit, tits, nipple, genital, penis, vagina, ass, butt, buttocks, anal, sexual, sex, nude, naked, exposed, topless, bottomless, underwear, lingerie, bra, panty, thong, masturbat, orgasm, ejaculat, cum, lubricat, intimate, seductiv, sensual, erotic, porn, strip, burlesque, nude art, nude model",
-    "violence": "fight, hit, punch, kick, slap, beat, assault, attack, weapon, gun, knife, sword, stab, shoot, bullet, bomb, explode, destroy, crash, accident, war, battle, combat, military, soldier, army, hurt, injure, wound, blood, bleed, torture, abuse, domestic violence, mugging, robbery, violent, aggressive, brutal, savage",
-    "gore": "gore, gory, blood, bloody, bleed, wound, injury, mutilat, dismember, corpse, dead body, skull, bone, viscera, organ, flesh, skinned, flayed, graphically, gruesome, macabre, horrifying, execute, execution, behead, decapitat, torture, mutilation, cannibal, flesh wound",
-    "fear": "scary, frightening, terrifying, horror, creepy, eerie, spooky, haunted, ghost, demon, monster, zombie, vampire, werewolf, supernatural, threatening, menacing, danger, peril, suspense, tension, thriller, chase, pursuit, jump scare, nightmare, nightmarish, disturbing, shocking, alarming, panic, terror, fear, anxiety, anxious, nervous, tense",
-    "language": "fuck, shit, damn, hell, bastard, asshole, bitch, cunt, pussy, dick, cock, nigger, nigga, faggot, whore, slut, retard, motherfucker, bullshit, crap, piss, screw, suck, god damn, jesus christ, profanity, swear, cursing, vulgar, obscene, rude, inappropriate, offensive, insult",
+    "nudity": (
+        "nude", "naked", "naked", "nude", "naked", "nude", "naked", "breast", "boob", "tit", "tits", "nipple", "genital", "penis", "vagina", "ass",
+        "butt", "buttocks", "anal", "sexual", "sex", "nude", "naked", "exposed", "topless", "bottomless", "underwear", "lingerie", "bra", "panty",
+        "thong", "masturbat", "orgasm", "ejaculat", "cum", "lubricat", "intimate", "seductiv", "sensual", "erotic", "porn", "strip", "burlesque",
+        "nude art", "nude model",
+    ),
+    "violence": (
+        "fight", "hit", "punch", "kick", "slap", "beat", "assault", "attack", "weapon", "gun", "knife", "sword", "stab", "shoot", "bullet", "bomb",
+        "explode", "destroy", "crash", "accident", "war", "battle", "combat", "military", "soldier", "army", "hurt", "injure", "wound", "blood",
+        "bleed", "torture", "abuse", "domestic violence", "mugging", "robbery", "violent", "aggressive", "brutal", "savage",
+    ),
+    "gore": (
+        "gore", "gory", "blood", "bloody", "bleed", "wound", "injury", "mutilat", "dismember", "corpse", "dead body", "skull", "bone", "viscera",
+        "organ", "flesh", "skinned", "flayed", "graphically", "gruesome", "macabre", "horrifying", "execute", "execution", "behead", "decapitat",
+        "torture", "mutilation", "cannibal", "flesh wound",
+    ),
+    "fear": (
+        "scary", "frightening", "terrifying", "horror", "creepy", "eerie", "spooky", "haunted", "ghost", "demon", "monster", "zombie", "vampire",
+        "werewolf", "supernatural", "threatening", "menacing", "danger", "peril", "suspense", "tension", "thriller", "chase", "pursuit",
+        "jump scare", "nightmare", "nightmarish", "disturbing", "shocking", "alarming", "panic", "terror", "fear", "anxiety", "anxious", "nervous",
+        "tense",
+    ),
+    "language": (
+        "fuck", "shit", "damn", "hell", "bastard", "asshole", "bitch", "cunt", "pussy", "dick", "cock", "nigger", "nigga", "faggot", "whore",
+        "slut", "retard", "motherfucker", "bullshit", "crap", "piss", "screw", "suck", "god damn", "jesus christ", "profanity", "swear", "cursing",
+        "vulgar", "obscene", "rude", "inappropriate", "offensive", "insult",
+    ),
 }
 #: How much weight of keywords a tag needs; others need 2.
 KEYWORD_THRESHOLD = {"language": 1}
 
 # Topic names, in the order in which a free-text answer is searched for them.
-TOPICS = "profanity religion_christianity religion_general politics feminism masculinity drugs alcohol smoking sex_education lgbtq racism mental_health death_grief war_military crime violence_domestic self_harm".split()
+TOPICS = (
+    "profanity", "religion_christianity", "religion_general", "politics", "feminism", "masculinity", "drugs", "alcohol", "smoking", "sex_education",
+    "lgbtq", "racism", "mental_health", "death_grief", "war_military", "crime", "violence_domestic", "self_harm",
+)
 
 # The built-in viewer profiles.
 PROFILES = {
@@ -42,9 +73,6 @@ PROFILES = {
 FALLBACK_ORDER = ("adult", "teen_m", "teen_f", "teen", "child")
 
 
-def keyword_weights(table: dict[str, str] = CAPTION_KEYWORDS) -> dict[str, dict[str, int]]:
-    out: dict[str, dict[str, int]] = {}
-    for tag, words in table.items():
-        for w in words.split(","):
-            out.setdefault(tag, {})[w.strip()] = out.get(tag, {}).get(w.strip(), 0) + 1
-    return out
+def keyword_weights(table: Mapping[str, Sequence[str]] = CAPTION_KEYWORDS) -> dict[str, dict[str, int]]:
+    """How often each keyword stands in each tag's list."""
+    return {tag: dict(Counter(words)) for tag, words in table.items()}

@@ -16,21 +16,26 @@ def caption_segments(captions: DataFrame, movies: DataFrame) -> DataFrame:
     return captions.join(movies, "movie_id").select("movie_id", order.alias("group_no"), "start", F.coalesce("end", "duration").alias("end"), exprs.caption_tags(F.col("description")).alias("tags"))
 
 
-def viewer_profiles(manifests: DataFrame, viewers: DataFrame, as_of: Column, strict: bool = False) -> DataFrame:
+def viewer_profiles(manifests: DataFrame, viewers: DataFrame, as_of: Column, strict: bool = False, views: DataFrame | None = None) -> DataFrame:
     """path, viewer_id, profile, filters for each container (path, manifest JSON) and viewer. A viewer with filters is their own profile, by
     name or `custom`; others get the profile of their data that the container has.
 
-    Profiles are resolved once for each set of names that containers have and each preference that viewers have, both few; containers and
-    viewers are joined to that by keys, and no side is broadcast by hint.
+    views: the pairs (path, viewer_id) that are asked for, joined to either side by key. Without it all pairs are the result: profiles are
+    resolved once for each set of names that containers have and each preference that viewers without filters have, both few, and those with
+    filters, whose names are free, meet containers as they are.
     """
     names = F.coalesce(F.array_sort(F.map_keys(F.from_json(F.get_json_object("manifest", "$.profiles"), "map<string,string>"))), F.array().cast("array<string>"))
     preferred = policy.preferred_profile(F.col("profile_override"), F.col("birthday"), F.col("sex"), as_of, F.col("default_profile"))
     own = F.when(F.col("filters").isNotNull(), F.coalesce("name", F.lit("custom")))
     asked = viewers.select("viewer_id", "filters", F.coalesce(own, preferred).alias("_wants"), own.isNotNull().alias("_own"))
     boxes = manifests.select("path", names.alias("_names"))
-    pairs = boxes.select("_names").distinct().join(asked.select("_wants", "_own").distinct())  # kinds of containers x preferences
-    pairs = pairs.withColumn("profile", F.when(F.col("_own"), F.col("_wants")).otherwise(policy.available_profile(F.col("_wants"), F.col("_names"), strict)))
-    return boxes.join(pairs, "_names").join(asked, ["_wants", "_own"]).select("path", "viewer_id", "profile", "filters")
+    profile = F.when(F.col("_own"), F.col("_wants")).otherwise(policy.available_profile(F.col("_wants"), F.col("_names"), strict)).alias("profile")
+    if views is not None:
+        return views.select("path", "viewer_id").join(asked, "viewer_id").join(boxes, "path").select("path", "viewer_id", profile, "filters")
+    others = asked.filter("NOT _own")
+    kinds = boxes.select("_names").distinct().crossJoin(others.select("_wants", "_own").distinct()).select("_names", "_wants", profile)
+    plain = boxes.join(kinds, "_names").join(others, "_wants").select("path", "viewer_id", "profile", "filters")
+    return plain.unionByName(boxes.select("path").crossJoin(asked.filter("_own")).select("path", "viewer_id", F.col("_wants").alias("profile"), "filters"))
 
 
 def playback(segments: DataFrame, index: DataFrame, profiles: DataFrame) -> DataFrame:

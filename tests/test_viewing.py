@@ -51,6 +51,10 @@ def test_playback_of_viewers(spark, tmp_path):
     assert got["kid"] == [("s1", "play", "s1", 100), ("s2", "swap", "fill", 40)]
     assert got["grown"] == [("s1", "play", "s1", 100), ("s2", "play", "s2", 45)]  # the target of s3 is missing
     assert got["strict"] == [("s1", "play", "s1", 100), ("s2", "blur", "s2", 45)]  # skip beats mute in s3
+    pairs = read("files").select("path", F.explode(F.array(F.lit("kid"), F.lit("strict"))).alias("viewer_id"))
+    few = viewing.viewer_profiles(read("manifest"), viewers, as_of(), views=pairs)
+    assert sorted(map(repr, few.collect())) == sorted(repr(r) for r in profiles.collect() if r["viewer_id"] in ("kid", "strict")) and few.count() == 2
+    assert "Nested" not in few._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in few._jdf.queryExecution().executedPlan().toString()
     assert got["clash"] == got["kid"]  # a custom profile named like a built-in takes the container's entries
 
 
