@@ -2,8 +2,8 @@
 
 A few pages of each host are parsed to trees of blocks and aligned by simple tree matching into the host's tree of slots. Every page of the
 host is then aligned with that tree, and each slot is judged by what it held on all of them: the path of slots that hold most of the
-varying text leads to the article; slots beside that path which stand on most pages in one shape with little text, or are lists of links,
-are template, as are slots whose text is the same everywhere. Kinds of elements (nav, footer, form, ...) are a prior. A name of a class, id
+varying text leads to the article; slots beside that path which stand on most pages in one shape with little text that repeats itself, or are
+lists of links, are template, as are slots whose text is the same everywhere. Beside an article element, shape decides without repeats. Kinds of elements (nav, footer, form, ...) are a prior. A name of a class, id
 or role counts only where an alignment agrees: in the slot itself, or, on hosts with too few pages, in how the corpus's other hosts used it.
 """
 
@@ -382,8 +382,15 @@ class Wrapper:
 
 
 #: What is counted of a slot: pages that have it, characters of its text (that of blocks without a slot in it, too) and those in links, pages
-#: with its most common text and with its most common shape, and the least and greatest key of pages with that text.
-COUNTS = ("n", "chars", "links", "same", "shaped", "low", "high")
+#: with its most common text, with its most common shape and with a text that opens like that one, and the least and greatest key of pages
+#: with that text.
+COUNTS = ("n", "chars", "links", "same", "shaped", "kin", "low", "high")
+
+
+def opening(text: str) -> str:
+    """The first two words, or a first one that is a mark."""
+    words = text.split(None, 2)[:2]
+    return words[0] if words and not any(c.isalnum() for c in words[0]) else " ".join(words)
 
 
 def counted(wrapper: Wrapper, page: str, into: dict[int, list[int]]) -> None:
@@ -402,21 +409,22 @@ def counted(wrapper: Wrapper, page: str, into: dict[int, list[int]]) -> None:
         todo += [(k, inside) for k in t.kids]
     for s, own in pairs:
         _, _, _, _, shape, text = wrapper.slots[s]
-        c = into.setdefault(s, [0, 0, 0, 0, 0, 1 << 62, -1])
+        c = into.setdefault(s, [0, 0, 0, 0, 0, 0, 1 << 62, -1])
         c[0] += 1
         c[1] += extra[s]
         c[2] += own.links
         c[4] += own.shape == shape
+        c[5] += bool(text) and opening(own.text) == opening(text)
         if own.text == text:
             key = (whole - xxhash.xxh64_intdigest(text)) % (1 << 62)
             c[3] += 1
-            c[5], c[6] = min(c[5], key), max(c[6], key)
+            c[6], c[7] = min(c[6], key), max(c[7], key)
 
 
 def judged(slots: list[list], counts: dict[int, list[int]]) -> tuple[list[int], int, list[tuple[str, bool]]]:
     """(1 for each slot that is template, the article's slot, the names of blocks with whether they were template), from the counts of all
     pages."""
-    none = [0, 0, 0, 0, 0, 1 << 62, -1]
+    none = [0, 0, 0, 0, 0, 0, 1 << 62, -1]
     c = [counts.get(s, none) for s in range(len(slots))]
     up, kids = [s[1] for s in slots], [[] for _ in slots]
     for s, u in enumerate(up):
@@ -426,7 +434,7 @@ def judged(slots: list[list], counts: dict[int, list[int]]) -> tuple[list[int],
     named = [any(w in NAMES for w in s[3]) for s in slots]
     hinted = [not NAMES.isdisjoint(parts(s)) for s in range(len(slots))]
     # Of each slot with all in it: characters, those in links, and those that vary from page to page.
-    fixed = [bool(slots[s][5]) and x[0] >= AGREEING and x[3] >= max(AGREEING, SAME * x[0]) and x[5] < x[6] for s, x in enumerate(c)]
+    fixed = [bool(slots[s][5]) and x[0] >= AGREEING and x[3] >= max(AGREEING, SAME * x[0]) and x[6] < x[7] for s, x in enumerate(c)]
     chars, links, varying = [x[1] for x in c], [x[2] for x in c], [x[1] * (1 - max(0, x[3] - 1) / max(1, x[0] - 1)) if slots[s][5] else float(x[1]) for s, x in enumerate(c)]
     for s in range(len(slots) - 1, 0, -1):
         chars[up[s]] += chars[s]
@@ -448,6 +456,10 @@ def judged(slots: list[list], counts: dict[int, list[int]]) -> tuple[list[int],
     content = chars[top] / max(1, c[top][0])
     copies = varying[top] < 0.5 * chars[top]  # an article that is mostly one text: pages that copy each other don't make it template
     on_path = set(path)
+    # Without an article element to say where the text is, a block beside the path has to repeat itself, too, in all its text, in one of a few
+    # texts or in how it opens (a notice that names the host, say): text of the page's own stays.
+    told = any(slots[v][2] == "article" for v in path)
+    repeats = lambda s: told or c[s][3] >= AGREEING and c[s][6] < c[s][7] or varying[s] <= 0.5 * chars[s] or c[s][5] >= USUAL * c[s][0]
     says: list[tuple[str, bool]] = []
     for v in path[:-1]:
         for s in kids[v]:
@@ -456,7 +468,7 @@ def judged(slots: list[list], counts: dict[int, list[int]]) -> tuple[list[int],
             mean = chars[s] / c[s][0]
             usual = c[s][0] >= USUAL * c[v][0]
             menu = links[s] >= LINKS * max(1, chars[s]) and chars[s] > 0
-            small = mean <= min(SHORT, 0.5 * content)
+            small = mean <= min(SHORT, 0.5 * content) and (menu or repeats(s) or hinted[s])
             if slots[s][2] not in TEXT_KINDS and mean <= content and (usual and small and (shaped(s) or menu) or hinted[s] and (small or menu or named[s])) or menu and usual and small:
                 drop[s] = 1
     for s in range(1, len(slots)):
@@ -623,7 +635,7 @@ def templates(pages: DataFrame, most: int = REFERENCES) -> DataFrame:
 
     met = _with_host_rows(pages.select("_host", "html"), induced, "_slots").filter(F.col("_slots").isNotNull()).select("_host", "_slots", "html")
     numbers = met.mapInArrow(counts, "_host string, _slot long, " + ", ".join(f"{c} long" for c in COUNTS))
-    per_slot = numbers.groupBy("_host", "_slot").agg(*[F.sum(c).alias(c) for c in COUNTS[:5]], F.min("low").alias("low"), F.max("high").alias("high"))
+    per_slot = numbers.groupBy("_host", "_slot").agg(*[F.sum(c).alias(c) for c in COUNTS[:6]], F.min("low").alias("low"), F.max("high").alias("high"))
     per_host = per_slot.groupBy("_host").agg(F.collect_list(F.struct("_slot", *COUNTS)).alias("_counts"))  # a row per slot of a host
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
