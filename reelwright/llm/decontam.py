@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelwright.llm.common import cut, lower_ascii, scratch
+from reelwright.llm.common import cut, lower_ascii, quoted, scratch
 
 WINDOW = 10
 #: Rarest postings of a window whose lists are intersected first.
@@ -124,8 +124,36 @@ def proximity_matches(index: DataFrame, queries: DataFrame, span: int) -> DataFr
     return full.select("query", "_id", "_text", F.col("_at").alias("pos"))
 
 
-def _scanned(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """(_id, _text, n_words of every document), (_id, _text, n_hit, n_items, items_sha256 of those with a hit)."""
+def _gathered(places: DataFrame) -> DataFrame:
+    """_id, _text, _item, _row of places (and term, pos, _need, _span) where some stretch of _span words holds _need different terms."""
+    of_item = ["_id", "_text", "_item", "_row"]
+    # Places in units of the span, so that the frame is one unit for every item; a distance of span - 1 is inside, one of span is not.
+    ahead = Window.partitionBy(*of_item).orderBy(F.col("pos") / (F.col("_span") - F.lit(0.5))).rangeBetween(Window.currentRow, 1)
+    return places.withColumn("_there", F.size(F.collect_set("term").over(ahead))).filter(F.col("_there") == F.col("_need")).select(*of_item).distinct()
+
+
+def near_items(docs: DataFrame, items: DataFrame, index: DataFrame) -> DataFrame:
+    """_id, _text, n_near: how many items have all their words, in any order, within some stretch of the document that is at most twice as
+    long as the item (documents with none are left out).
+
+    items: item_terms(); index: any postings of docs, by which terms are called rare. Lists of each item's rarest terms are brought together
+    first; only documents where these stand close are read for the other terms.
+    """
+    of_item = ["_item", "_row"]
+    terms = items.groupBy(*of_item, "term").agg((2 * F.max("_n")).alias("_span"))
+    rarity = terms.join(index.groupBy("term").agg(F.count("*").alias("_df")), "term", "left").withColumn("_rank", F.row_number().over(Window.partitionBy(*of_item).orderBy(F.coalesce("_df", F.lit(0)), "term")))
+    ranked = cut(rarity.withColumn("_all", F.count("*").over(Window.partitionBy(*of_item))))
+    seeds = ranked.filter(F.col("_rank") <= RAREST).withColumn("_need", F.least(F.col("_all"), F.lit(RAREST))).select(*of_item, "term", "_span", "_need")
+    close = cut(_gathered(build_index(docs, seeds).join(bounded(seeds, seeds.count()), "term")))
+    read = cut(close.select("_id", "_text").distinct())
+    some = docs.select("doc_id", "text", *_keys()).join(bounded(read, read.count()), ["_id", "_text"], "left_semi").select("doc_id", "text")
+    all_terms = ranked.select(*of_item, "term", "_span", F.col("_all").alias("_need"))
+    places = build_index(some, all_terms).join(close, ["_id", "_text"]).join(bounded(all_terms, all_terms.count()), [*of_item, "term"])
+    return _gathered(places).groupBy("_id", "_text").agg(F.count_distinct("_item").alias("n_near"))
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(_id, _text, n_words of every document), (_id, _text, n_hit, n_items, items_sha256 of those with a hit), item_terms() and index."""
     items = cut(item_terms(benchmark))
     index = build_index(docs, items.filter("_n > 1").select("term", "next"))
     found = phrase_matches(index.filter(f"term <> '{END}'"), items, window)
@@ -135,7 +163,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFr
         found = found.unionByName(words_alone.join(bounded(single, single.count()), "term").select("_id", "_text", "_item", "pos"))
     hit = found.groupBy("_id", "_text").agg(F.count_distinct("pos").alias("n_hit"), F.collect_set("_item").alias("_items")).select(
         "_id", "_text", "n_hit", F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("_items"), ",").cast("binary"), 256).alias("items_sha256"))
-    return index.filter(f"term = '{END}'").groupBy("_id", "_text").agg(F.max("pos").cast("long").alias("n_words")), hit
+    return index.filter(f"term = '{END}'").groupBy("_id", "_text").agg(F.max("pos").cast("long").alias("n_words")), hit, items, index
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -144,22 +172,25 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs (doc_id, text; other columns are ignored).
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items all of whose words stand close together, see near_items())
+    of every row of docs (doc_id, text; other columns are ignored).
 
     Null and empty texts have no words and no hits; a null or wordless item has no window; an item repeated under one id counts once, a null
     id is named "null". Repeated rows have equal results. Empty tables: no rows, or no hits.
     """
-    lengths, found = _scanned(docs, benchmark, window)
+    lengths, found, items, index = _scanned(docs, benchmark, window)
+    near = near_items(docs, items, index.filter(f"term <> '{END}'"))
     none = F.sha2(F.lit("").cast("binary"), 256)
-    out = docs.select("doc_id", *_keys()).join(lengths, ["_id", "_text"], "left").join(found, ["_id", "_text"], "left")
+    out = docs.select("doc_id", *_keys()).join(lengths, ["_id", "_text"], "left").join(found, ["_id", "_text"], "left").join(near, ["_id", "_text"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-                      F.coalesce("items_sha256", none).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+                      F.coalesce("items_sha256", none).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, with all their columns, in which no window of benchmark occurs."""
+    """The rows of docs, with all their columns whatever their names, in which no window of benchmark occurs. Null and empty texts stay, as do
+    all rows of an empty benchmark; repeated rows share their fate."""
     found = cut(hits(docs, benchmark, window).select("_id", "_text"))
-    rows = docs.select(*_keys(), F.struct(*docs.columns).alias("_row"))
+    rows = docs.select(*_keys(), F.struct(*[quoted(c) for c in docs.columns]).alias("_row"))
     return rows.join(bounded(found, found.count()), ["_id", "_text"], "left_anti").select("_row.*")
 
 
@@ -173,8 +204,13 @@ lens AS (SELECT DISTINCT n FROM bw),
 dp AS (SELECT rid, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM d, lens WHERE len(w) >= n),
 m AS (SELECT dp.rid, dp.n, dp.p, bw.item FROM dp JOIN bw ON bw.n = dp.n AND bw.phrase = array_to_string(dp.w[dp.p : dp.p + dp.n - 1], ' ')),
 h AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM m) GROUP BY rid),
+it AS (SELECT DISTINCT item, w, len(w) AS n, list_distinct(w) AS ds FROM b WHERE len(w) > 0),
+pl AS (SELECT rid, item, it.w AS iw, 2 * n AS span, len(ds) AS need, t.term, t.pos FROM d JOIN it ON list_has_all(d.w, it.ds),
+  LATERAL (SELECT unnest(d.w) AS term, unnest(range(len(d.w))) AS pos) t WHERE list_contains(it.ds, t.term)),
+near AS (SELECT rid, count(DISTINCT item) AS n_near FROM (SELECT p.rid, p.item FROM pl p JOIN pl q ON q.rid = p.rid AND q.item = p.item AND q.iw = p.iw AND q.pos BETWEEN p.pos AND p.pos + p.span - 1
+  GROUP BY p.rid, p.item, p.iw, p.pos, p.need HAVING count(DISTINCT q.term) = p.need) GROUP BY rid),
 i AS (SELECT rid, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY encode(item))) AS items_sha256 FROM (SELECT DISTINCT rid, item FROM m) GROUP BY rid)
 SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(n_hit, 0) AS BIGINT) AS n_hit, cast(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN h USING (rid) LEFT JOIN i USING (rid)
+  coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated, cast(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN h USING (rid) LEFT JOIN i USING (rid) LEFT JOIN near USING (rid)
 """

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelwright.llm.common import cut, hash48
+from reelwright.llm.common import cut, hash48, quoted
 
 WEIGHTS = (5, 2, 1)
 #: (first, last) of the schedule, for the sources in order, repeating: rich sources fade out, poor ones fade in.
@@ -92,8 +92,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPE
 
 
 def mixed_rows(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """The rows of docs, with all their columns, each as often as its `copies` says, range-sorted by each copy's training position."""
-    rows = placed(sizes(docs, F.struct(*[F.col(c) for c in docs.columns]).alias("_row")), weights, most).filter("copies > 0")
+    """The rows of docs, with all their columns whatever their names, each as often as its `copies` says, range-sorted by each copy's training
+    position; equal positions by doc_id. A text without words, or null, is taken no time. Rows that repeat a doc_id are documents of their
+    own, taken in one order of hash, doc_id and size; a null source is one, and comes last. An empty table gives an empty one. Texts are
+    counted whole."""
+    rows = placed(sizes(docs, F.struct(*[quoted(c) for c in docs.columns]).alias("_row")), weights, most).filter("copies > 0")
     rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     share = (F.col("_at") + F.col("_pass") * F.col("source_size")) / F.col("target")
     rows = rows.withColumn("_position", when_consumed(share, F.col("_first"), F.col("_last")))

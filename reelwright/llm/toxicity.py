@@ -221,10 +221,14 @@ def keep_clean(docs: DataFrame, scorer: Scorer, most: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns whatever their names, that score under `most`. Null and empty texts score as the softmax's
     bias alone, which training leaves under 0.5 where clean rows are the rule. An empty table gives an empty one."""
 
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # names that need no quotes
+    text = plain[[c.lower() for c in docs.columns].index("text")]
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                yield part.filter(pa.array(scorer.scores([t or "" for t in part.column("text").to_pylist()]) < most))
+                yield part.filter(pa.array(scorer.scores([t or "" for t in part.column(text).to_pylist()]) < most))
 
-    return docs.mapInArrow(rows, docs.schema)
+    named = docs.toDF(*plain)
+    return named.mapInArrow(rows, named.schema).toDF(*docs.columns)

@@ -33,8 +33,8 @@ VERSION = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-#: The longest header block that the reader takes for one outside a gzip member.
-MOST_HEADER = 1 << 16
+#: Bytes in which the end of a plain record's header is looked for at first; more are read until it, or another record, comes.
+HEADER = 1 << 16
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -104,10 +104,10 @@ class Source:
 
 
 def _parse(plain: bytes, whole: bool) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and length of the record at the start of plain. whole: nothing may follow it, and its header may have any length."""
+    """Headers, block and length of the record at the start of plain. whole: nothing may follow it."""
     if not plain.startswith(VERSION):
         raise Bad("no version line")
-    stop = plain.find(b"\r\n\r\n", 0, len(plain) if whole else MOST_HEADER)
+    stop = plain.find(b"\r\n\r\n")
     if stop < 0:
         raise Bad("no end of header")
     lines = plain[:stop].decode("utf-8", "replace").split("\r\n")[1:]
@@ -153,12 +153,15 @@ def _at(src: Source, at: int) -> Record:
         return _checked(at, end, headers, block)
     if src.read(at, len(VERSION)) != VERSION:
         raise Bad("neither a member nor a version line")
-    n = MOST_HEADER
+    n = HEADER
     while True:
         plain = src.read(at, min(n, src.size - at))
         stop = plain.find(b"\r\n\r\n")
         if stop < 0:
-            raise Bad("no end of header")
+            if at + n >= src.size or b"\r\n" + VERSION in plain:
+                raise Bad("no end of header")
+            n *= 4
+            continue
         need = stop + 8 + next((int(x[15:]) for x in plain[:stop].lower().split(b"\r\n") if x.startswith(b"content-length:") and x[15:].strip().isdigit()), 0)
         if len(plain) >= need or at + need > src.size:
             headers, block, end = _parse(plain[:need], False)

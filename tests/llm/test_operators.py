@@ -452,6 +452,20 @@ def brute_hits(rows, items):
     return Counter(out)
 
 
+def brute_near(rows, items):
+    """Items all of whose words stand within a stretch of twice the item's length."""
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) if w]
+    out = []
+    for i, t, *_ in rows:
+        words, near = split(t), set()
+        for item, text in items:
+            own = split(text)
+            if own and any(set(own) <= set(words[p : p + 2 * len(own)]) for p in range(len(words))):
+                near.add("null" if item is None else str(item))
+        out.append((i, len(near)))
+    return Counter(out)
+
+
 def leak_rows():
     r = random.Random(8)
     items = [(i, prose(r, n, 60)) for i, n in enumerate((25, 12, 10, 9, 3, 40, 1))] + [(7, None), (8, ""), (9, "w1 " * 15), (None, "null item of four"), (3, "w5 w6 w7 w8")]
@@ -468,12 +482,16 @@ def leak_rows():
 def test_decontamination(spark, monkeypatch):
     rows, items = leak_rows()
     bench = spark.createDataFrame([(i, t, "c") for i, t in items], "item_id long, text string, _k string")
+    rows += [(600 + k, " ".join(random.Random(k).sample(t.split(), len(t.split())))) for k, (_, t) in enumerate(items) if t]  # their words in another order
     docs = documents(spark, rows)
-    want = brute_hits(rows, items)
+    want, near = brute_hits(rows, items), brute_near(rows, items)
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     for most in (decontam.MOST_BROADCAST, 0):  # with and without broadcasts
         monkeypatch.setattr(decontam, "MOST_BROADCAST", most)
-        assert Counter(tuple(r[c] for c in columns) for r in decontam.contamination(docs, bench).collect()) == want
+        got = decontam.contamination(docs, bench).collect()
+        assert Counter(tuple(r[c] for c in columns) for r in got) == want
+        assert Counter((r["doc_id"], r["n_near"]) for r in got) == near
+    assert max(n for _, n in near) > 1
     kept = decontam.keep_uncontaminated(docs, bench)
     assert kept.columns == docs.columns
     dirty = {x[0] for x in want if x[-1]}
@@ -739,6 +757,19 @@ def test_salvage(pack):
             assert payloads[k] in found
 
 
+def test_plain_records_with_long_headers():
+    """Headers beyond the first read, whole and cut off; the record after a cut one is found."""
+    import io
+
+    digest = hashlib.sha1(b"body").hexdigest()
+    long = [warc.record(i, "http://h.example/" + "x" * n, b"body", digest) for i, n in enumerate((10, 70_000, 300_000, 5))]
+    read = lambda data: list(warc.read_archive(io.BytesIO(data)))
+    assert [len(r.headers["warc-target-uri"]) for r in read(b"".join(long))] == [27, 70_017, 300_017, 22]
+    got = read(long[0] + long[1][:69_000] + long[2] + long[3])
+    assert [type(g) for g in got] == [warc.Record, warc.Gap, warc.Record, warc.Record] and got[1].end - got[1].start == 69_000
+    assert [type(g) for g in read(long[0] + long[2][:250_000])] == [warc.Record, warc.Gap]
+
+
 def test_warc_query(spark):
     long = "é" * 600
     rows = [(1, "http://a/1", long), (2, "http://a/2", long), (9, None, long), (3, "http://a/3", "x" * 999), (4, "http://a/4", "x" * 999), (5, "u\r\nv", None), (6, "http://a/6", ""), (None, "http://a/7", long), (9, "http://a/9", long)]

@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
+from reelwright.llm.common import quoted
 from test_operators import prose
 from tests_llm_shared import brute_classes, brute_hits, documents_rows
 
@@ -15,8 +16,8 @@ def test_stages(spark, tmp_path):
     rows, labels, items = documents_rows()
     rows += [(None, None, None, None, None), (9000, "", "en", "s1", 0), (9001, "  ", None, None, 2), (None, prose(random.Random(1), 40, 3000), None, "s2", 31), (9002, prose(random.Random(2), 6000, 3000), "en", "s0", 30000)]
     labels.append((9002, 1, 0))
-    rows = [(*r, "own slot", "x") for r in rows]  # columns that the last stage has, too
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, slot string, _row string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(*r, "own slot", "x", "dotted") for r in rows]  # columns that the last stage has, too
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, slot string, _row string, `a.b c` string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     sf = str(tmp_path)
@@ -65,6 +66,15 @@ def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_written_order_over_several_files(spark, tmp_path):
+    rows = spark.range(1000, numPartitions=3).withColumn("doc_id", 1000 - quoted("id")).orderBy("doc_id")
+    rows.write.option("maxRecordsPerFile", 70).parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    file, row = corpus_pipeline.written_order(docs)
+    assert len(docs.inputFiles()) > 12
+    assert [r["doc_id"] for r in docs.orderBy(file, row).collect()] == list(range(1, 1001))
+
+
 def test_near_copies_share_four_fifths(spark):
     words = [f"w{i}" for i in range(104)]
     rows = [(1, words), (2, [*words, *(f"x{i}" for i in range(20))]), (3, [*words, *(f"y{i}" for i in range(30))])]
@@ -75,7 +85,7 @@ def test_near_copies_share_four_fifths(spark):
 def test_registered():
     import __spark_entry__
 
-    assert "pipeline" in __spark_entry__.queries() and sum(n.startswith("op") for n in __spark_entry__.queries()) == 10
+    assert "pipeline" in __spark_entry__.queries() and sum(n.startswith("op") for n in __spark_entry__.queries()) == 13
 
 
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="the driver's tables are not here")
