@@ -32,8 +32,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def written_order(docs: DataFrame) -> tuple[Column, Column]:
-    """(number of the file, place in it) of rows read from a range-sorted Parquet table: the order in which they were written."""
-    return F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long"), F.col("_metadata.row_index")
+    """(number of the task, (number of its file, place in it)) of rows read from a range-sorted Parquet table: the order in which they were
+    written. A task that writes several files, as with a limit of records in a file, numbers them."""
+    part = lambda pattern: F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).cast("long")
+    return part(r"part-(\d+)"), F.struct(part(r"-c(\d+)\.").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
