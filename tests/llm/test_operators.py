@@ -765,8 +765,8 @@ def test_plain_records_with_long_headers():
     long = [warc.record(i, "http://h.example/" + "x" * n, b"body", digest) for i, n in enumerate((10, 70_000, 300_000, 5))]
     read = lambda data: list(warc.read_archive(io.BytesIO(data)))
     assert [len(r.headers["warc-target-uri"]) for r in read(b"".join(long))] == [27, 70_017, 300_017, 22]
-    got = read(long[0] + long[1][:69_000] + long[2] + long[3])
-    assert [type(g) for g in got] == [warc.Record, warc.Gap, warc.Record, warc.Record] and got[1].end - got[1].start == 69_000
+    got = read(long[0] + long[1][:69_000] + b"\r\n" + long[2] + long[3])
+    assert [type(g) for g in got] == [warc.Record, warc.Gap, warc.Record, warc.Record] and got[1].end - got[1].start == 69_002
     assert [type(g) for g in read(long[0] + long[2][:250_000])] == [warc.Record, warc.Gap]
 
 
