@@ -352,6 +352,7 @@ class Wrapper:
 
     def __init__(self, slots: list[list], drop: list[int] | None = None, top: int = 0):
         self.slots, self.drop, self.top, self.memo = slots, drop, top, {}
+        self.openings = [opening(s[5]) for s in slots]
         self.trees = []
         for label, up, _, _, _, text in slots:
             t = Tree()
@@ -414,7 +415,7 @@ def counted(wrapper: Wrapper, page: str, into: dict[int, list[int]]) -> None:
         c[1] += extra[s]
         c[2] += own.links
         c[4] += own.shape == shape
-        c[5] += bool(text) and opening(own.text) == opening(text)
+        c[5] += bool(text) and (own.text == text or opening(own.text) == wrapper.openings[s])
         if own.text == text:
             key = (whole - xxhash.xxh64_intdigest(text)) % (1 << 62)
             c[3] += 1
