@@ -294,7 +294,7 @@ SELECT h.movie_id, h.position, c.play_no, c.seg_id, h.position - (c.c - c.durati
 
 
 def _seek(spark: SparkSession, sf_dir: str, closed: bool) -> DataFrame:
-    seq = _kept(spark, _sequence(spark, sf_dir).filter(F.col("profile") == "teen_m"))
+    seq = shared.kept(_sequence(spark, sf_dir).filter(F.col("profile") == "teen_m"))
     fixed = _movies(spark, sf_dir).select("movie_id", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(DURATION // 2), F.lit(2 * DURATION))).alias("position"))
     edge = seq.filter("play_no = 1").select("movie_id", F.col("duration").alias("position"))
     return playback.seek(seq, fixed.union(edge).distinct(), closed).drop("profile")

@@ -18,7 +18,7 @@ def folder_of(spark: SparkSession) -> str:
         folder = f"{named.rstrip('/')}/reelwright-containers-{sc.applicationId}"
         path = sc._jvm.org.apache.hadoop.fs.Path(folder)
         system = path.getFileSystem(sc._jsc.hadoopConfiguration())
-        if system.getUri().getScheme() == "file" and "spark.checkpoint.dir" not in (k for k, _ in sc.getConf().getAll()) and not sc.master.startswith("local"):
+        if named == spark.conf.get("spark.sql.warehouse.dir") and system.getUri().getScheme() == "file" and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         system.mkdirs(path)
         system.deleteOnExit(path)
