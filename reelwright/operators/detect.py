@@ -49,7 +49,7 @@ def text_keywords(texts: DataFrame, key: str, keywords: Sequence[tuple[str, str,
 
 def bucket_detections(words: DataFrame, key: str, interval: int, keywords: list[str] | None = None, tag: str = "language") -> DataFrame:
     """key, t, tags: each interval in which a word of keywords starts (words: key, word, start). The bucket is a quotient, not a range join."""
-    hit = words.filter(F.col("word").isin(keywords or params.PROFANITY))
+    hit = words.filter(F.col("word").isin(*(keywords or params.PROFANITY)))
     return hit.select(key, (F.floor(F.col("start") / interval) * interval).cast("bigint").alias("t")).distinct().withColumn("tags", F.array(F.lit(tag)))
 
 
