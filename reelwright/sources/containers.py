@@ -41,7 +41,8 @@ TASK, OPEN, BATCH = 64 << 20, 1 << 18, 8 << 20
 
 class ContainerSource(DataSource):
     """format("segment_container"): option path (a folder or file), table (one of TABLES), mode PERMISSIVE or FAILFAST, file name suffix
-    `suffix`, files (a JSON list of paths or names: these alone), segments=required for a check that each manifest has one.
+    `suffix`, files (a JSON list of paths or names: these alone), segments=required for a check that each manifest has one, listing=tasks:
+    the driver lists the folder itself alone, and a task for each folder in it finds the files there.
 
     PERMISSIVE: what is damaged is a row with `corrupt` set, and the rest is read: a damaged file is one such row, a damaged block one with
     its seg_no and segment_id; a packet that is cut off comes after those before it. FAILFAST fails the query.
@@ -71,8 +72,10 @@ class ContainerSource(DataSource):
 
 
 class _Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """Files of a task, or a folder whose files the task finds itself."""
+
+    def __init__(self, paths: list[str], folder: str | None = None):
+        self.paths, self.folder = paths, folder
 
 
 _COMPARED = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le, StringStartsWith: str.startswith, StringEndsWith: str.endswith, In: lambda x, values: x in values}
@@ -85,6 +88,7 @@ class _Reader(DataSourceReader):
         self.table, self.mode, self.suffix = options.get("table", "segments"), options.get("mode", "PERMISSIVE").upper(), options.get("suffix", ".bvf")
         self.uri, self.required = options["path"], options.get("segments") == "required"
         self.only = set(json.loads(options["files"])) if "files" in options else None
+        self.in_tasks = options.get("listing") == "tasks"
         self.wanted: list[tuple[str, type, object]] = []
         self.fetched = 0
 
@@ -101,13 +105,18 @@ class _Reader(DataSourceReader):
         return all(given[name] is not None and (kind is IsNotNull or _COMPARED[kind](given[name], value)) for name, kind, value in self.wanted if name in given)
 
     def partitions(self) -> list[_Files]:
-        return self.packed((f.path, f.size) for f in self.listed() if self._is_wanted(path=f.path))
+        if not self.in_tasks:
+            return self.packed((f.path, f.size) for f in self.listed() if self._is_wanted(path=f.path))
+        system, root = fs.FileSystem.from_uri(self.uri)
+        own = self.packed((f.path, f.size) for f in self.listed(recursive=False) if self._is_wanted(path=f.path))
+        folders = [f.path for f in system.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.Directory and not _hidden(f.path[len(root) :])]
+        return own + [_Files([], f) for f in sorted(folders)]
 
-    def listed(self) -> list[fs.FileInfo]:
-        """The files to read, by path."""
+    def listed(self, folder: str | None = None, recursive: bool = True) -> list[fs.FileInfo]:
+        """The files to read, of all or of one folder, by path."""
         system, root = fs.FileSystem.from_uri(self.uri)
-        info = system.get_file_info(root)
-        found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
+        info = system.get_file_info(folder or root)
+        found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(folder or root, recursive=recursive))
         files = [f for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and (f.path.endswith(self.suffix) or f is info) and not _hidden(f.path[len(root) :])]
         return [f for f in files if self.only is None or f.path in self.only or f.base_name in self.only]
 
@@ -126,7 +135,10 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         system, _ = fs.FileSystem.from_uri(self.uri)
         rows, size = [], 0
-        for path in partition.paths if partition else ():  # no partitions: Spark asks for rows all the same
+        paths = partition.paths if partition else []  # no partitions: Spark asks for rows all the same
+        if partition and partition.folder:
+            paths = [f.path for f in self.listed(partition.folder) if self._is_wanted(path=f.path)]
+        for path in paths:
             for row in self._file(system, path):
                 rows.append(row)
                 size += 200 + sum(len(x) for x in row if isinstance(x, (bytes, str)))

@@ -249,3 +249,14 @@ def test_damage_costs_only_what_is_damaged(spark, tmp_path):
     with pytest.raises(Exception, match="bad block magic"):
         containers.read(spark, str(tmp_path), "packets", "FAILFAST").filter("path LIKE '%m0.bvf'").count()
     assert containers.read(spark, str(tmp_path), "packets", "FAILFAST").filter("path LIKE '%m0.bvf' AND seg_no <> 2 AND seg_no >= 3").count() == 8
+
+
+def test_folders_listed_in_tasks(spark, tmp_path):
+    for k in range(3):
+        lib(spark, str(tmp_path / f"part{k}" / "deep"), movies=k + 1, segments=1)
+    lib(spark, str(tmp_path), movies=1, segments=1)
+    (tmp_path / "_staged-x").mkdir()
+    (tmp_path / "_staged-x" / "m9.bvf").write_bytes(b"unfinished")
+    whole, in_tasks = (containers.read(spark, str(tmp_path), "index", "FAILFAST", listing=how) for how in ("driver", "tasks"))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, in_tasks.collect())) and in_tasks.count() == 7
+    assert in_tasks.filter("path LIKE '%m2.bvf'").count() == 1 and in_tasks.rdd.getNumPartitions() == 4
