@@ -23,7 +23,9 @@ SAMPLE, MOST_LINES = {1: 2500, 0: 2500}, 256
 STEPS, RATE, RIDGE = 150, 0.1, 1e-3
 #: Bytes, and documents, that are worked on at a time.
 SEGMENT, DOCS = 1 << 20, 200
-GOOD = 0.7
+#: The score from which on a document counts as good, and the share of the good ones' weight in training: over that score, so that a text of a
+#: few words, which says little for either, is kept.
+GOOD, PRIOR = 0.7, 0.75
 
 COUNTS = ("chars", "upper", "letters", "digits", "marks", "symbols", "words", "symbol_ends", "symbol_words", "repeats", "second_repeats")
 OWN = 16
@@ -207,7 +209,7 @@ def train(x: np.ndarray, begin: np.ndarray, labels: np.ndarray, steps: int = STE
         emit = np.zeros((FEATURES, 2))
         emit[0, int(labels[0]) if len(labels) else 1] = 40.0
         return Field(emit, np.zeros((2, 2)))
-    weight = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
+    weight = np.where(labels == 1, PRIOR / labels.sum(), (1 - PRIOR) / (len(labels) - labels.sum()))
     params = [np.zeros((FEATURES, 2)), np.zeros((2, 2))]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for step in range(1, steps + 1):
