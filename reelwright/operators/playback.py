@@ -232,10 +232,10 @@ def library(videos: DataFrame, containers: DataFrame, path: str = "path") -> Dat
     return videos.withColumn("_stem", stem(F.col(path))).join(containers.select(stem(F.col(path)).alias("_stem")), "_stem", "left_semi").drop("_stem")
 
 
-def media_sources(videos: DataFrame, files: DataFrame, header: DataFrame, sequence: DataFrame | None = None, path: str = "path") -> DataFrame:
-    """A catalog's row for each video beside which a container of the same stem stands: videos' columns, source_id, name, source_path,
-    container, segments, duration_ms, and, of a playback sequence (path of the container, profile_action, duration), what it plays: entries,
-    playable_ms, swapped, muted.
+def media_sources(videos: DataFrame, files: DataFrame, header: DataFrame, sequence: DataFrame | None = None, path: str = "path", name: str = "Filtered") -> DataFrame:
+    """A catalog's row for each video beside which a container of the same stem stands: videos' columns, source_id (the container's path and the
+    name), name, source_path, container, segments, duration_ms, and, of a playback sequence (path of the container, profile_action, duration),
+    what it plays: entries, playable_ms, swapped, muted.
 
     files and header are those tables of containers; damaged ones (corrupt) are no source. Of containers with one stem the last by path counts.
     """
@@ -247,7 +247,7 @@ def media_sources(videos: DataFrame, files: DataFrame, header: DataFrame, sequen
     rest = [c for c in whole.columns if c != "source_path"]
     one = whole.groupBy(stem(F.col("source_path")).alias("_stem")).agg(F.max(F.struct("source_path", *rest)).alias("_s"))
     rows = videos.withColumn("_stem", stem(F.col(path))).join(one, "_stem")
-    return rows.select(*videos.columns, F.concat("_s.source_path", F.lit("::smart-branch")).alias("source_id"), F.lit("Smart Branch").alias("name"), "_s.source_path", F.lit("bvf").alias("container"), *[f"_s.{c}" for c in rest])
+    return rows.select(*videos.columns, F.concat("_s.source_path", F.lit(f"::{name.lower().replace(' ', '-')}")).alias("source_id"), F.lit(name).alias("name"), "_s.source_path", F.lit("bvf").alias("container"), *[f"_s.{c}" for c in rest])
 
 
 def self_swaps(matrix: DataFrame) -> DataFrame:

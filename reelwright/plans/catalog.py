@@ -785,7 +785,7 @@ def q62_checked_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{FULL}, c AS (SELECT movie_id, count(*) AS segments FROM fil GROUP BY movie_id), b AS (SELECT movie_id, count(*) AS entries, cast(sum(e // 1000 - s // 1000) AS BIGINT) AS playable_ms, count(*) FILTER (tags LIKE '%error%' OR tags LIKE '%purchase%') AS swapped FROM fil GROUP BY movie_id)
-SELECT movie_id::VARCHAR AS video, 'Smart Branch' AS name, 'bvf' AS container, segments, {DURATION // 1000}::BIGINT AS duration_ms, entries, playable_ms, swapped, 0::BIGINT AS muted FROM c JOIN b USING (movie_id) WHERE movie_id % 2 = 0 AND movie_id % 6 <> 5""")
+SELECT movie_id::VARCHAR AS video, 'Filtered' AS name, 'bvf' AS container, segments, {DURATION // 1000}::BIGINT AS duration_ms, entries, playable_ms, swapped, 0::BIGINT AS muted FROM c JOIN b USING (movie_id) WHERE movie_id % 2 = 0 AND movie_id % 6 <> 5""")
 def q63_media_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog rows of every second movie's video, with what a child sees; damaged containers are none."""
     folder = _damaged(spark, sf_dir)
