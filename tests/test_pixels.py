@@ -47,7 +47,7 @@ def test_regions(corners):
 
 
 def border_area(mask):
-    """Follows the outer border of each region, pixel by pixel, and takes the polygon's area; the greatest one that no other encloses or not."""
+    """Follows the outer border of each region, pixel by pixel, and takes the polygon's area; the greatest one."""
     ring = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]
     labels, best = brute_regions(mask, AROUND), 0.0
     inside = lambda p: 0 <= p[0] < mask.shape[0] and 0 <= p[1] < mask.shape[1]
