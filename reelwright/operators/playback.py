@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelwright.sources.shared import kept
+
 
 def index_lookup(index: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per keys: of repeated ids the last in order."""
@@ -208,8 +210,11 @@ def exported(seq: DataFrame, packets: DataFrame, chunk: int = CHUNK) -> DataFram
 
 def served(seq: DataFrame, positions: DataFrame, packets: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """movie_id, profile, position, seg_id, chunk_no, payload: the bytes of the entry at each position of adjusted time, in rows of at most
-    `chunk` bytes; an entry without bytes has one row of nulls. Positions are sought first, so packets of other entries aren't moved."""
-    at = seek(seq, positions).join(seq.select("movie_id", "profile", "play_no", "target_id", "profile_action"), ["movie_id", "profile", "play_no"])
+    `chunk` bytes; an entry without bytes has one row of nulls. Positions are sought first, so packets of other entries aren't moved.
+
+    What was found is a table before it is joined with itself and its payloads: Spark 4.1 loses rows where the plan of a seek, a union of
+    rows that are dealt alike, stands on both sides of a shuffled join (spark.sql.unionOutputPartitioning)."""
+    at = kept(seek(seq, positions).join(seq.select("movie_id", "profile", "play_no", "target_id", "profile_action"), ["movie_id", "profile", "play_no"]))
     bytes_ = _payloads_of(at, packets, chunk).select("movie_id", "profile", "position", "chunk_no", "payload")
     return at.join(bytes_, ["movie_id", "profile", "position"], "left").select("movie_id", "profile", "position", "seg_id", "chunk_no", "payload")
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelwright.operators import playback
+from reelwright.sources import shared
 
 
 def packet_rows(spark):
@@ -66,3 +67,17 @@ def test_serving_and_exporting_in_chunks(spark):
     assert {(r["position"], r["chunk_no"], r["payload"] and bytes(r["payload"])) for r in rows} == {(15, 0, b"v"), (20, 0, b"v3a3"), (35, None, None)}
     parts = playback.exported(seq, packets, chunk=3).orderBy("play_no", "chunk_no").collect()
     assert [(r["play_no"], r["chunk_no"], bytes(r["payload"])) for r in parts] == [(2, 0, b"v"), (3, 0, b"v3a"), (3, 1, b"3")]
+
+
+def test_serving_with_shuffled_joins(spark):
+    """As beyond the limit of broadcasts: positions are broadcast, the other tables are not."""
+    seq = shared.kept(spark.createDataFrame([(m, p, n, f"s{n}", "mute" if n == 2 and p == "b" else "play", f"t{n}", 10) for m in range(40) for p in "ab" for n in range(1, 6)], "movie_id long, profile string, play_no int, seg_id string, profile_action string, target_id string, duration long"))
+    packets = spark.createDataFrame([(m, f"t{n}", k, k, f"{m}-{n}-{k}".encode()) for m in range(40) for n in range(1, 6) for k in (1, 2)], "movie_id long, target_id string, packet_no int, packet_type int, data binary")
+    at = F.broadcast(spark.createDataFrame([(m, 15) for m in range(40)], "movie_id long, position long"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = playback.served(seq, at, packets).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted((r["movie_id"], r["profile"], bytes(r["payload"] or b"").decode()) for r in rows) == [(m, p, f"{m}-2-1" + ("" if p == "b" else f"{m}-2-2")) for m in range(40) for p in "ab"]
