@@ -429,11 +429,12 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, base_email long, base_ip long, base_card long, base_phone long"
 
 
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """SCHEMA for every row of docs (doc_id, text; other columns are ignored). Counts are of all spans; n_added of them are the field's.
+    """SCHEMA for every row of docs (doc_id, text; other columns are ignored). n_* count all spans, of which n_added are
+    the field's; base_* count those of the patterns.
 
     A null or empty text has no spans, and the digest of the empty string. Texts of any length are read whole. Repeated rows are rows of their own; an empty table gives an
     empty result.
@@ -448,8 +449,8 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 base = [base_spans(t) for t in texts]
                 more = added_spans(field, texts, base)
                 full = [a + b for a, b in zip(base, more, strict=True)]
-                counts = [pa.array([sum(s[0] == k for s in x) for x in full], pa.int64()) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base], pa.string()), pa.array([joined(x) for x in full], pa.string()), pa.array([len(m) for m in more], pa.int64())],
-                                                 ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                counts, plain = ([pa.array([sum(s[0] == k for s in x) for x in spans], pa.int64()) for k in range(4)] for spans in (full, base))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base], pa.string()), pa.array([joined(x) for x in full], pa.string()), pa.array([len(m) for m in more], pa.int64()), *plain],
+                                                 ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", *(f"base_{k}" for k in KINDS)])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, SCHEMA)

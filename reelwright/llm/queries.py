@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reelwright.llm import decontam, divergence, language, mixing, pii, quality, quantiles, sharding, skipjoin, syncmers, toxicity, warc, wrapper
 from reelwright.llm.common import table
@@ -37,7 +38,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents"))
+    """Of each kind the spans of its pattern are counted; those that the field adds are in `spans` and n_added."""
+    rows = pii.find(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *[F.col(f"base_{k}").alias(f"n_{k}") for k in pii.KINDS], "base_sha256", "spans", "n_added")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

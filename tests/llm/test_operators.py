@@ -637,6 +637,20 @@ def test_personal_data(spark):
     assert pii.find(documents(spark, [])).count() == 0
 
 
+def test_personal_data_query_counts_the_patterns(spark, tmp_path):
+    from reelwright.llm import queries
+
+    rows = [(1, "call +1 (269) 555-3296 4524132264652876 now"), (2, "an eva (at) mail.example.net oder a@b.cc 1.2.3.4"), (3, None), (4, "card 4111111111111111, +44 20 7946 0958")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in queries.op7_pii(spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        kinds = [s.split(":")[0] for s in brute_base(text or "").split(",") if s]
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [kinds.count(k) for k in pii.KINDS]
+        assert got[i]["base_sha256"] == hashlib.sha256(brute_base(text or "").encode()).hexdigest()
+        assert got[i]["n_added"] == len(list(filter(None, got[i]["spans"].split(",")))) - len(kinds)
+    assert got[1]["n_added"] == 2 and got[2]["n_added"] == 1 and got[2]["n_email"] == 1
+
+
 def test_field_learns_its_table():
     field = pii.train()
     wrong = 0
