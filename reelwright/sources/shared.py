@@ -31,3 +31,9 @@ def kept(df: DataFrame) -> DataFrame:
     path = folder_of(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df in tasks of about so many rows, one a core at least, by key: for work that takes long beside the bytes that it reads, by which
+    Spark counts out tasks."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), key)

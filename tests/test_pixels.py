@@ -203,3 +203,14 @@ def test_large_images_are_quick():
     frame[0, 100:400, 200:700] = (200, 140, 110)
     got = pixels.stack_features(frame)
     assert 0.2 < got["skin_largest"][0] < 0.4
+
+
+def test_images_are_dealt_to_all_cores(spark, tmp_path):
+    """However small the file that they are made from."""
+    from reelwright.plans import catalog
+    from reelwright.sources import shared
+
+    spark.range(100).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert catalog.q49_pixels(spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count() == spark.sparkContext.defaultParallelism
+    rows = shared.dealt(spark.range(1000), "id", 100)
+    assert rows.rdd.getNumPartitions() == 10 and rows.distinct().count() == 1000
