@@ -221,6 +221,10 @@ class _Stream(DataSourceStreamReader):
         self.reader, self.log, self.most = _Reader(options, schema), options["log"], int(options.get("files_per_batch", 1 << 30))
         self.batches, self.seen = 0, set()
 
+    def __getstate__(self) -> dict:
+        """Every task gets a copy: without the files seen, which the log tells again."""
+        return self.__dict__ | {"batches": 0, "seen": set()}
+
     def _entries(self, n: int) -> list[list]:
         system, root = fs.FileSystem.from_uri(self.log)
         with system.open_input_stream(f"{root}/{n:09d}.json") as f:

@@ -68,3 +68,19 @@ def test_containers_come_once(spark, tmp_path):
     assert len(list((tmp_path / "log").glob("*.json"))) >= 3
     with pytest.raises(Exception, match="needs the option log"):
         spark.readStream.format("segment_container").option("path", folder).load().writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp2")).start().awaitTermination(60)
+
+
+def test_tasks_of_a_stream_do_not_carry_the_files_seen(tmp_path):
+    from pyspark.cloudpickle import dumps, loads
+    from pyspark.sql.types import StructType
+
+    from reelwright.sources.containers import _Stream
+
+    (tmp_path / "in").mkdir()
+    for i in range(200):
+        (tmp_path / "in" / f"{i}.bvf").write_bytes(b"x")
+    stream = _Stream({"path": str(tmp_path / "in"), "log": str(tmp_path / "log"), "table": "index"}, StructType().add("path", "string"))
+    empty = len(dumps(stream))
+    assert stream.latestOffset() == {"batches": 1} and len(stream.seen) == 200
+    assert len(dumps(stream)) == empty
+    assert loads(dumps(stream)).latestOffset() == {"batches": 1}  # and what was seen is told again
