@@ -301,6 +301,36 @@ class Packets:
             yield n + 1, kind, pts, data
 
 
+def packets_of(blocks: DataFrame, block: str = "block", strict: bool = False) -> DataFrame:
+    """blocks without their column of blocks, with packet_no, packet_type, pts_ms, data: a row for each packet, as packets() gives them, but
+    for batches of blocks at a time."""
+    rest = [n for n in blocks.columns if n != block]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(block)
+            out, held = [], 0
+
+            def packed() -> pa.RecordBatch:
+                at, *values = zip(*out, strict=True)
+                kept = batch.select(rest).take(pa.array(at, pa.int64()))
+                return pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True))], [*rest, "packet_no", "packet_type", "pts_ms", "data"])
+
+            for i in range(batch.num_rows):
+                data = column[i].as_py()
+                for n, (kind, pts, x) in enumerate(c.packets_of_block(data, strict) if data is not None else ()):
+                    out.append((i, n + 1, kind, pts, x))
+                    held += len(x)
+                    if held > BATCH:
+                        yield packed()
+                        out, held = [], 0
+            if out:
+                yield packed()
+
+    schema = StructType([*blocks.select(*rest).schema.fields, *StructType.fromDDL("packet_no int, packet_type int, pts_ms long, data binary").fields])
+    return blocks.mapInArrow(rows, schema)
+
+
 #: Bytes of a range that one row holds.
 CHUNK = 16 << 20
 
