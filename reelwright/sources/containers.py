@@ -537,7 +537,9 @@ def stream_of(segments: DataFrame, profiles: dict, analyzed_at: str, packets: Da
     heads = sized.groupBy("movie_id").agg(F.struct(F.lit(json.dumps(profiles)).alias("profiles"), F.lit(analyzed_at).alias("analyzed_at"), F.collect_list(info).alias("segments")).alias("head"))
     rows = packets.select("movie_id", "seg_no", "packet_type", F.col("packet_no").cast("int").alias("packet_no"), F.col("pts_ms").cast("long").alias("pts_ms"), F.col("data").cast("binary").alias("data"))
     both = heads.unionByName(rows, allowMissingColumns=True).select(*STREAMED)
-    return both.repartition("movie_id").sortWithinPartitions("movie_id", "seg_no", "packet_type", "packet_no")  # heads first: their seg_no is null
+    # A number of tasks that doesn't shrink with the bytes: files, not bytes, take the time.
+    tasks = max(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), segments.sparkSession.sparkContext.defaultParallelism)
+    return both.repartition(tasks, "movie_id").sortWithinPartitions("movie_id", "seg_no", "packet_type", "packet_no")  # heads first: their seg_no is null
 
 
 def write(segments: DataFrame, folder: str, profiles: dict, analyzed_at: str = "2024-01-01T00:00:00Z", packets: DataFrame | None = None) -> DataFrame:

@@ -260,3 +260,27 @@ def test_folders_listed_in_tasks(spark, tmp_path):
     whole, in_tasks = (containers.read(spark, str(tmp_path), "index", "FAILFAST", listing=how) for how in ("driver", "tasks"))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, in_tasks.collect())) and in_tasks.count() == 7
     assert in_tasks.filter("path LIKE '%m2.bvf'").count() == 1 and in_tasks.rdd.getNumPartitions() == 4
+
+
+def test_written_in_all_tasks(spark):
+    """However few bytes the rows have: files take the time."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(64).select(F.col("id").cast("string").alias("movie_id"), F.lit("t").alias("title"), F.lit(10).cast("long").alias("duration_ms"), F.lit(1).alias("seg_no"), F.lit("seg_001").alias("seg_id"), F.lit(0).cast("long").alias("start_ms"), F.lit(10).cast("long").alias("end_ms"),
+                                  F.array().cast("array<string>").alias("tags"), F.array().cast("array<string>").alias("topics"), F.lit("safe").alias("risk"), F.lit(False).alias("is_filler"), F.expr("cast(map() AS map<string,struct<action:string,segment_id:string>>)").alias("profiles"),
+                                  *[F.array(F.struct(F.lit(0).cast("long").alias("pts_ms"), F.lit(b"x").alias("data"))).alias(n) for n in ("video", "audio")])
+    from reelwright.sources import containers
+
+    assert containers.stream_of(rows, {}, "x").select(F.spark_partition_id().alias("p")).distinct().count() == 4
+
+
+def test_packets_of_batches_are_those_of_the_table_function(spark):
+    from reelwright.sources import container, containers
+
+    good = container.block("s1", None, None)
+    rows = [(0, good), (1, None), (2, good[:-1]), (3, good)]
+    blocks = spark.createDataFrame(rows, "k int, block binary")
+    containers.register(spark)
+    want = spark.sql("SELECT b.k, p.* FROM {b} b, LATERAL packets(b.block) p", b=blocks).collect()
+    got = containers.packets_of(blocks).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) > 4
