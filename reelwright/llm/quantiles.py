@@ -13,6 +13,7 @@ Summaries are combined by summed bounds: at any value, each summary bounds how m
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -130,14 +131,19 @@ def points_of(nodes: Nodes, n: np.ndarray, cuts: int, need: np.ndarray, ranks: l
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(both[1]), pa.array(below), pa.array(upto)], fields=fields))
 
 
-def _bucket(keys: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+def _bucket(hashed: Column) -> Column:
+    return F.pmod(hashed, F.lit(BUCKETS)).cast("int").alias("_bucket")
+
+
+def _together(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows, each group's in a row in one partition. They are sorted by a number first: names that begin alike are slow to compare."""
+    return rows.withColumn("_hash", F.xxhash64(*keys)).sortWithinPartitions("_hash", *keys).drop("_hash")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups of rows that lie together, and where each group begins (and the end)."""
     kept: list[pa.RecordBatch] = []
-    for batch in (*batches, None):
+    for batch in chain(batches, [None]):
         if batch is not None and batch.num_rows == 0:
             continue
         kept += [] if batch is None else [batch]
@@ -156,16 +162,22 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tu
         kept = t.slice(end).to_batches() if end < t.num_rows else []
 
 
-def select(numbers: DataFrame, keys: Sequence[str], large: DataFrame, cuts: int, smallest_of: int = 0) -> DataFrame:
-    """keys, n and points (POINTs, by x) of each group of numbers (keys, x, w: how often): the ones at the ranks of `cuts` cuts, the
-    `smallest_of` smallest different ones, and those with w = 0, which are probes. large: keys of the groups that FEW may not hold; others
-    may be among them."""
-    spark, keys = numbers.sparkSession, list(keys)
+def select(numbers: DataFrame, keys: Sequence[str], large: DataFrame, cuts: int, smallest_of: int = 0, probes: DataFrame | None = None) -> DataFrame:
+    """keys, n and points (POINTs, by x) of each group of numbers (keys, x, w: how often, over 0; an x may be in many rows): the ones at the
+    ranks of `cuts` cuts, and the `smallest_of` smallest different ones. probes (keys, x): only their groups are selected, the probes among
+    the points. large: the _bucket of each group that has more than FEW rows; others may be in them."""
+    keys = list(keys)
     kinds = dict(numbers.dtypes)
     key_schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    told = cut(large.select(_bucket(keys).alias("_bucket")).distinct().withColumn("_large", F.lit(True)))  # BUCKETS rows at most
-    rows = numbers.select(*keys, "x", "w", _bucket(keys).alias("_bucket")).join(F.broadcast(told), "_bucket", "left").drop("_bucket")
+    told = cut(large.select("_bucket").distinct().withColumn("_large", F.lit(True)))  # BUCKETS rows at most
+    rows = numbers.select(*keys, "x", "w", _bucket(F.xxhash64(*keys))).join(F.broadcast(told), "_bucket", "left").drop("_bucket")
     few = rows.filter("_large IS NULL").drop("_large")
+    if probes is not None:
+        # A table: children of a union that are dealt alike would be taken as dealt already, though their partitions are coalesced apart.
+        probes = cut(probes.select(*keys, "x").distinct())
+        few = few.join(probes.select(*keys).distinct().hint("shuffle_hash"), keys, "left_semi")
+        rest = probes.select(*keys, "x", F.lit(0).cast("long").alias("w"), _bucket(F.xxhash64(*keys))).join(F.broadcast(told), "_bucket", "left_anti")
+        few = few.unionByName(rest.drop("_bucket"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, begin in _runs(batches, keys):
@@ -178,18 +190,18 @@ def select(numbers: DataFrame, keys: Sequence[str], large: DataFrame, cuts: int,
             yield pa.RecordBatch.from_arrays([*(t.column(k).combine_chunks().take(pa.array(begin[:-1])) for k in keys), pa.array(n), points], [*keys, "n", "points"])
 
     schema = f"{key_schema}, n bigint, points array<{POINT}>"
-    out = few.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(whole, schema)
+    out = _together(few.repartition(*keys), keys).mapInArrow(whole, schema)
     if told.isEmpty():
         return out
-    return out.unionByName(_narrowed(spark, rows.filter("_large").drop("_large"), keys, key_schema, cuts, smallest_of))
+    many = cut(rows.filter("_large").groupBy(*keys, "x").agg(F.sum("w").alias("w")))
+    return out.unionByName(_narrowed(many, keys, key_schema, cuts, smallest_of, probes))
 
 
-def _narrowed(spark: SparkSession, rows: DataFrame, keys: list[str], key_schema: str, cuts: int, smallest_of: int) -> DataFrame:
-    """select() of large groups: counting passes over ever smaller intervals."""
+def _narrowed(rows: DataFrame, keys: list[str], key_schema: str, cuts: int, smallest_of: int, probes: DataFrame | None) -> DataFrame:
+    """select() of large groups, of which each x is one row: counting passes over ever smaller intervals."""
     low, high = rows.agg(F.min("x"), F.max("x")).first()
     levels = max(1, -(-(int(high - low).bit_length() - BITS) // BITS))
     rows = rows.withColumn("node", F.shiftright(F.col("x") - F.lit(low), BITS))
-    probes = rows.filter("w = 0").groupBy(*keys).agg(F.collect_list("x").alias("probes"))
     # Counted rows of each interval: those of a level are summed from the level below.
     counts = [cut(rows.groupBy(*keys, "node").agg(F.sum("w").alias("w")))]
     for _ in range(levels - 1):
@@ -199,11 +211,15 @@ def _narrowed(spark: SparkSession, rows: DataFrame, keys: list[str], key_schema:
     for level in range(levels - 1, -1, -1):
         inside = counts[level].groupBy(*keys, F.shiftright("node", BITS).alias("node")).agg(F.collect_list(F.col("node").bitwiseAND((1 << BITS) - 1)).alias("child"), F.collect_list("w").alias("w"))
         if state is None:  # at the top, the interval of all numbers
-            state = inside.withColumns({"n": F.aggregate("w", F.lit(0).cast("long"), lambda a, b: a + b), "base": F.lit(0).cast("long"), "need": F.lit(smallest_of), "ranks": F.lit(None).cast("array<bigint>")}).join(probes, keys, "left")
+            state = inside.withColumns({"n": F.aggregate("w", F.lit(0).cast("long"), lambda a, b: a + b), "base": F.lit(0).cast("long"), "need": F.lit(smallest_of), "ranks": F.lit(None).cast("array<bigint>")})
+            if probes is None:
+                state = state.withColumn("probes", F.lit(None).cast("array<bigint>"))
+            else:
+                state = state.join(probes.groupBy(*keys).agg(F.collect_list("x").alias("probes")), keys)
         else:
             state = state.join(inside, [*keys, "node"], "left")
         state = state.mapInArrow(_halver(keys, low, level, cuts), schema)
-    leaves = rows.filter("w > 0").groupBy(*keys, "node").agg(F.collect_list("x").alias("x"), F.collect_list("w").alias("w"))
+    leaves = rows.groupBy(*keys, "node").agg(F.collect_list("x").alias("x"), F.collect_list("w").alias("w"))
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,107 +270,131 @@ def narrowed(child: np.ndarray, w: np.ndarray, base: int, need: int, ranks: np.n
 
 
 def summarise(numbers: DataFrame, keys: Sequence[str], cuts: int = CUTS) -> DataFrame:
-    """keys, n, points (BOUNDs, by x) of each group of numbers (keys, x long, w long: how often, over 0; one row for each different x): its
+    """keys, n, points (BOUNDs, by x) of each group of numbers (keys, x long, w long: how often, over 0; an x may be in many rows): its
     cut points and its SMALLEST smallest different numbers. Their bounds are exact."""
-    large = numbers.groupBy(*keys).agg(F.count("*").alias("_d")).filter(F.col("_d") > FEW)
+    # Groups that share a hash share a bucket as well: their rows may be counted together.
+    large = numbers.groupBy(F.xxhash64(*keys).alias("_hash")).agg(F.count("*").alias("_d")).filter(F.col("_d") > FEW).select(_bucket(F.col("_hash")))
     found = select(numbers, keys, large, cuts, SMALLEST)
     # Narrowing may find more of the small numbers than were asked for.
     asked = F.filter("points", lambda p, i: (i < SMALLEST) | (p["below"] == 0) | (F.call_function("div", p["upto"] * cuts, F.col("n")) > F.call_function("div", p["below"] * cuts, F.col("n"))))
     return found.select(*keys, "n", F.transform(asked, lambda p: F.struct(p["x"].alias("x"), p["below"].alias("below_least"), p["below"].alias("below_most"), p["upto"].alias("upto_least"), p["upto"].alias("upto_most"))).alias("points"))
 
 
-def _bounds(p: dict[str, np.ndarray], n: int, x: np.ndarray) -> np.ndarray:
-    """The four bounds that a summary gives at each x."""
-    left, right = np.searchsorted(p["x"], x, "left"), np.searchsorted(p["x"], x, "right")
-    hit = right > left
-    least = np.append(0, p["upto_least"])[left]  # between two points: what reaches up to the one before ..
-    most = np.append(p["below_most"], n)[left]  # .. and what lies below the one after
-    most[left == 0] = 0  # the first point is the smallest number
-    at = np.minimum(left, len(p["x"]) - 1)
-    return np.stack([np.where(hit, p[c][at], between) for c, between in (("below_least", least), ("below_most", most), ("upto_least", least), ("upto_most", most))])
-
-
-def combined(summaries: list[tuple[int, dict[str, np.ndarray]]], most: int = MOST_POINTS) -> tuple[int, dict[str, np.ndarray]]:
-    """One summary of several (n, points as arrays), by summed bounds at all their points. Beyond `most` of these, the SMALLEST first, the
-    last, and those that are nearest to evenly spaced ranks stay."""
-    n = sum(s[0] for s in summaries)
-    x = np.unique(np.concatenate([p["x"] for _, p in summaries]))
-    total = sum(_bounds(p, k, x) for k, p in summaries)
-    out = {"x": x, **dict(zip(("below_least", "below_most", "upto_least", "upto_most"), total, strict=True))}
-    if len(x) > most:
-        even = -(-np.arange(1, most - SMALLEST) * n // (most - SMALLEST))
-        stay = np.unique(np.concatenate([np.arange(SMALLEST), [len(x) - 1], nearest(out, even)]))
-        out = {c: v[stay] for c, v in out.items()}
-    return n, out
+def combined(group: np.ndarray, n: np.ndarray, begin: np.ndarray, p: dict[str, np.ndarray], most: int = MOST_POINTS) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Of summaries (n rows each, points from begin on in p; group: rising from 0) one for each group, by summed bounds at all their points: n,
+    where its points begin (and the end), and points. Beyond `most` of these, the SMALLEST first, the last, and those that are nearest to
+    evenly spaced ranks stay.
+
+    A summary's bounds are steps: between two points, what reaches up to the one before and what lies below the one after. So a group's
+    sums at an x are the steps of all its points before x, and those that the points at x make there."""
+    first, last = begin[:-1], begin[1:] - 1
+    least, above = np.append(0, p["upto_least"][:-1]), np.append(p["below_most"][1:], 0)  # just below each point, just above it
+    least[first], above[last] = 0, n
+    above_least, most_below = p["upto_least"], p["below_most"].copy()
+    most_below[first] = 0  # the first point is the smallest number
+    of = np.repeat(group, np.diff(begin))
+    order = np.lexsort((p["x"], of))
+    x, of = p["x"][order], of[order]
+    starts = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (of[1:] != of[:-1])))
+    owner = of[starts]
+    ends = np.searchsorted(owner, np.arange(group[-1] + 2))
+    out = {"x": x[starts]}
+    for low, high, names in ((least, above_least, ("below_least", "upto_least")), (most_below, above, ("below_most", "upto_most"))):
+        step = (high - low)[order]
+        before = (np.cumsum(step) - step)[starts]
+        before -= before[ends[:-1]][owner]
+        for c in names:
+            out[c] = before + np.add.reduceat((p[c] - low)[order], starts)
+    total = np.add.reduceat(n, np.searchsorted(group, np.arange(group[-1] + 1)))
+    if (np.diff(ends) > most).any():
+        kept = []
+        for k, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            stay = np.arange(lo, hi)
+            if hi - lo > most:
+                even = -(-np.arange(1, most - SMALLEST) * total[k] // (most - SMALLEST))
+                stay = lo + np.unique(np.concatenate([np.arange(SMALLEST), [hi - lo - 1], nearest({c: v[lo:hi] for c, v in out.items()}, even)]))
+            kept.append(stay)
+        ends = np.cumsum([0, *map(len, kept)])
+        out = {c: v[np.concatenate(kept)] for c, v in out.items()}
+    return total, ends, out
 
 
 def nearest(p: dict[str, np.ndarray], targets: np.ndarray) -> np.ndarray:
     """For each target rank (rising), the point whose rank can be off by the least; the first of equal ones, never one before the last."""
-    off = np.maximum(0, np.maximum(p["below_most"][None] + 1 - targets[:, None], targets[:, None] - p["upto_least"][None]))
-    return np.maximum.accumulate(off.argmin(1))
+    return np.maximum.accumulate(_off(p, targets).argmin(1))
+
 
+def _off(p: dict[str, np.ndarray], targets: np.ndarray) -> np.ndarray:
+    """By how much each point's rank can be off each target. It is 0 for one point at most, which then has the target's rank for certain."""
+    return np.maximum(0, np.maximum(p["below_most"][None] + 1 - targets[:, None], targets[:, None] - p["upto_least"][None]))
 
-def _point_arrays(points: pa.ListArray) -> list[dict[str, np.ndarray]]:
+
+def _point_arrays(points: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Where each list begins (and the end), and all points."""
     flat = points.flatten()
-    columns = {f.name: flat.field(i).to_numpy() for i, f in enumerate(flat.type)}
-    ends = np.cumsum([0, *points.value_lengths().to_pylist()])
-    return [{c: v[lo:hi] for c, v in columns.items()} for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+    return np.append(0, np.cumsum(points.value_lengths().to_numpy())).astype(np.int64), {f.name: flat.field(i).to_numpy() for i, f in enumerate(flat.type)}
 
 
-def _point_list(points: list[dict[str, np.ndarray]]) -> pa.ListArray:
+def _point_list(begin: np.ndarray, points: dict[str, np.ndarray]) -> pa.ListArray:
     names = ["x", "below_least", "below_most", "upto_least", "upto_most"]
-    flat = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(p[c] for p in points)])) for c in names], fields=[pa.field(c, pa.int64()) for c in names])
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(p["x"]) for p in points)]).astype(np.int32)), flat)
+    flat = pa.StructArray.from_arrays([pa.array(points[c]) for c in names], fields=[pa.field(c, pa.int64()) for c in names])
+    return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), flat)
 
 
 def merge(summaries: DataFrame, keys: Sequence[str], most: int = MOST_POINTS) -> DataFrame:
-    """keys, n, points: one summary for each group of summaries (keys, n, points), of which a task holds one group's at a time: as many
-    as there are batches."""
+    """keys, n, points: one summary for each group of summaries (keys, n, points), of which a task holds some groups' at a time: as many
+    of each as there are batches."""
     keys = list(keys)
     kinds = dict(summaries.dtypes)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                b = batch.slice(lo, 500)
-                lists = b.column("_n")
-                points = _point_arrays(b.column("_points").flatten())
-                ns = lists.flatten().to_numpy()
-                ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
-                done = [combined(list(zip(ns[i:j].tolist(), points[i:j], strict=True)), most) for i, j in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array([n for n, _ in done], pa.int64()), _point_list([p for _, p in done])], [*keys, "n", "points"])
-
-    grouped = summaries.groupBy(*keys).agg(F.collect_list("n").alias("_n"), F.collect_list("points").alias("_points"))
+        for t, starts in _runs(batches, keys):
+            begin, points = _point_arrays(t.column("points").combine_chunks())
+            n, ends, points = combined(np.repeat(np.arange(len(starts) - 1), np.diff(starts)), t.column("n").to_numpy(), begin, points, most)
+            yield pa.RecordBatch.from_arrays([*(t.column(k).combine_chunks().take(pa.array(starts[:-1])) for k in keys), pa.array(n), _point_list(ends, points)], [*keys, "n", "points"])
+
+    grouped = _together(summaries.select(*keys, "n", "points").repartition(*keys), keys)
     return grouped.mapInArrow(rows, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", n bigint, points array<{BOUND}>")
 
 
 def answers(summaries: DataFrame, keys: Sequence[str], parts: int = PARTS, least: int = LEAST) -> DataFrame:
     """keys, n, points (how many), and for i in 1 .. parts - 1 of summaries of at least `least` rows: i, target (the rank ceil(i n / parts)),
-    answer (a number of the summary, by bounds of ranks alone)."""
+    answer (a number of the summary, by bounds of ranks alone). exact_x (the number of that rank), n_below and n_upto (rows below and up to the
+    answer) are told where the bounds leave no doubt, as those of cut points and of groups that are kept whole; they are null elsewhere."""
     keys = list(keys)
     kinds = dict(summaries.dtypes)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.column("n").to_numpy()
-            points = _point_arrays(b.column("points"))
+            begin, points = _point_arrays(b.column("points"))
             told = np.arange(1, parts)
             targets = -(-told[None] * n[:, None] // parts)
-            got = [p["x"][nearest(p, t)] for p, t in zip(points, targets, strict=True)]
+            best, certain = np.zeros((2, *targets.shape), np.int64), np.zeros(targets.shape, bool)
+            for k, (lo, hi) in enumerate(zip(begin[:-1], begin[1:], strict=True)):
+                off = _off({c: points[c][lo:hi] for c in ("below_most", "upto_least")}, targets[k])
+                at = off.argmin(1)
+                certain[k], best[0, k], best[1, k] = off[np.arange(len(at)), at] == 0, lo + at, lo + np.maximum.accumulate(at)
+            (nearest_at, answer), sure = best.reshape(2, -1), certain.ravel()
             at = pa.array(np.repeat(np.arange(len(n)), parts - 1))
-            columns = [*(b.column(k).take(at) for k in keys), b.column("n").take(at), pa.array([len(p["x"]) for p in points], pa.int64()).take(at), pa.array(np.tile(told, len(n)).astype(np.int32)), pa.array(targets.ravel()), pa.array(np.concatenate([np.zeros(0, np.int64), *got]))]
-            yield pa.RecordBatch.from_arrays(columns, [*keys, "n", "points", "i", "target", "answer"])
+            counts = [pa.array(points[f"{c}_least"][answer], mask=points[f"{c}_least"][answer] != points[f"{c}_most"][answer]) for c in ("below", "upto")]
+            columns = [*(b.column(k).take(at) for k in keys), b.column("n").take(at), pa.array(np.diff(begin)).take(at), pa.array(np.tile(told, len(n)).astype(np.int32)), pa.array(targets.ravel()), pa.array(points["x"][answer]), pa.array(points["x"][nearest_at], mask=~sure), *counts]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "n", "points", "i", "target", "answer", "exact_x", "n_below", "n_upto"])
 
-    return summaries.filter(F.col("n") >= least).mapInArrow(rows, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n bigint, points bigint, i int, target bigint, answer bigint")
+    return summaries.filter(F.col("n") >= least).mapInArrow(rows, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n bigint, points bigint, i int, target bigint, answer bigint, exact_x bigint, n_below bigint, n_upto bigint")
 
 
-def checked(told: DataFrame, exact: DataFrame, keys: Sequence[str]) -> DataFrame:
+def counted(told: DataFrame, exact: DataFrame, keys: Sequence[str]) -> DataFrame:
     """told (answers()) with exact_x, n_below and n_upto from each group's points in `exact` (keys, points: POINTs): the points that hold
     the targets' ranks, and those that are the answers."""
     row = told.join(exact.select(*keys, F.col("points").alias("_exact")), list(keys))
     holds = F.filter("_exact", lambda p: (p["below"] < F.col("target")) & (p["upto"] >= F.col("target")))[0]
     given = F.filter("_exact", lambda p: p["x"] == F.col("answer"))[0]
-    row = row.withColumns({"exact_x": holds["x"], "n_below": given["below"], "n_upto": given["upto"]}).drop("_exact")
+    return row.withColumns({"exact_x": holds["x"], "n_below": given["below"], "n_upto": given["upto"]}).drop("_exact")
+
+
+def checked(row: DataFrame) -> DataFrame:
+    """Answers that have exact counts, with rank_error and within."""
     off = F.greatest(F.lit(0).cast("long"), F.col("n_below") + 1 - F.col("target"), F.col("target") - F.col("n_upto"))
     return row.withColumn("rank_error", off).withColumn("within", 1000 * F.col("rank_error") <= 50 * F.col("n"))
 
@@ -373,40 +413,40 @@ def _numbers(rows: DataFrame, stream: str, grp: str, money: str, w: Column) -> D
 
 
 def streams(clicks: DataFrame, sale_lines: DataFrame, items: DataFrame) -> DataFrame:
-    """stream, grp, batch, x, w of both streams, one row for each different x of a batch of a group.
+    """stream, grp, batch, x, w of both streams.
 
     `value`: a row for each click_id (of repeated ones the greatest client_id and value, which are equal in copies), by client. `price`: every
-    line with its item's price, by brand; lines are counted by item and batch before they meet their items, so a popular item is few rows.
+    line with its item's price, by brand, one row for each different x of a batch of a brand; lines are counted by item and batch before they
+    meet their items, so a popular item is few rows.
     """
     once = clicks.groupBy("click_id").agg(F.max("client_id").alias("client_id"), F.max("value").alias("value")).withColumn("batch", _batch("click_id"))
     sold = sale_lines.filter(F.col("item_id").isNotNull()).groupBy("item_id", _batch("vendor_id").alias("batch")).agg(F.count("*").alias("w"))
     priced = sold.join(items.select("item_id", "brand", "price"), "item_id")
-    both = _numbers(once, "value", "client_id", "value", F.lit(1)).unionByName(_numbers(priced, "price", "brand", "price", F.col("w")))
-    return both.groupBy("stream", "grp", "batch", "x").agg(F.sum("w").alias("w"))
+    prices = _numbers(priced, "price", "brand", "price", F.col("w")).groupBy("stream", "grp", "batch", "x").agg(F.sum("w").alias("w"))
+    return _numbers(once, "value", "client_id", "value", F.lit(1)).unionByName(prices)
 
 
 def stream_quantiles(clicks: DataFrame, sale_lines: DataFrame, items: DataFrame) -> DataFrame:
     """stream, grp, batch (-1: all), i, n, target, exact_x, points, answer, n_below, n_upto, rank_error, within: each batch's summary and the
     one that is merged from them, asked for the tenths of every group of at least LEAST rows and held against exact counts.
 
-    The merged summary is made from the batches' summaries alone; its exact counts come from a selection by ranks over all numbers, in which
-    the answers are probes. Rows without an item, group or (finite) amount are left out; a missing record number counts as empty text.
+    The merged summary is made from the batches' summaries alone. Where its bounds leave the exact counts open, they come from a selection by
+    ranks over all numbers of the group, in which the answers are probes. Rows without an item, group or (finite) amount are left out; a missing record number counts as empty text.
     Repeated clicks count once, repeated lines each time; equal numbers are one point with its count. Other columns are ignored; empty tables
     give an empty result.
     """
     numbers = cut(streams(clicks, sale_lines, items))
     by_batch, by_group = ["stream", "grp", "batch"], ["stream", "grp"]
     parts = cut(summarise(numbers, by_batch))
-    merged = cut(merge(parts, by_group))
-    whole = cut(answers(merged, by_group))
+    whole = cut(answers(merge(parts, by_group), by_group))
     # A batch's cut points have exact counts, and the ranks of the tenths are among its cuts.
-    points = F.transform("points", lambda p: F.struct(p["x"].alias("x"), p["below_least"].alias("below"), p["upto_least"].alias("upto")))
-    batches = checked(answers(parts, by_batch), parts.select(*by_batch, points.alias("points")), by_batch)
-    probes = whole.select(*by_group, F.col("answer").alias("x"), F.lit(0).cast("long").alias("w")).distinct()
-    told = numbers.select(*by_group, "x", "w").unionByName(probes)
-    large = merged.filter(F.col("n") > FEW).select(*by_group)
-    exact = select(told, by_group, large, PARTS)
-    groups = checked(whole, exact.select(*by_group, "points"), by_group).withColumn("batch", F.lit(-1))
+    batches = checked(answers(parts, by_batch))
+    sure = F.col("exact_x").isNotNull() & F.col("n_below").isNotNull() & F.col("n_upto").isNotNull()
+    doubtful = whole.filter(~sure)
+    # Large groups without doubtful answers are told as well: a task can't take their rows either.
+    large = whole.filter(F.col("n") > FEW).select(_bucket(F.xxhash64(*by_group)))
+    exact = select(numbers, by_group, large, PARTS, probes=doubtful.select(*by_group, F.col("answer").alias("x")))
+    groups = checked(whole.filter(sure).unionByName(counted(doubtful, exact, by_group))).withColumn("batch", F.lit(-1))
     return batches.unionByName(groups).select("stream", "grp", "batch", "i", "n", "target", "exact_x", "points", "answer", "n_below", "n_upto", "rank_error", "within")
 
 

@@ -293,6 +293,58 @@ def test_streams_with_hard_rows(spark, monkeypatch):
         assert min(4, len(set(xs))) <= row["points"] <= min(len(xs), 400) and xs[0] <= row["answer"] <= xs[-1]
 
 
+def test_summaries_of_repeated_rows(spark, monkeypatch):
+    """An x in many rows counts as one x with their sum, in groups that a task takes whole and in narrowed ones."""
+    for most in (512, 8):
+        monkeypatch.setattr(quantiles, "FEW", most)
+        groups = numbers()
+        told = [{(r["g"]): (r["n"], r["points"]) for r in quantiles.summarise(spark.createDataFrame(rows, "g string, x long, w long"), ["g"]).collect()} for rows in ([(g, x, 1) for g, xs in groups.items() for x in xs], [(g, x, w) for g, xs in groups.items() for x, w in Counter(xs).items()])]
+        assert told[0] == told[1] and set(told[0]) == set(groups)
+
+
+def test_answers_tell_exact_counts_or_none(spark):
+    """Exact counts come with the answer where the bounds leave no doubt: everywhere in batches and where batches are kept whole."""
+    r = random.Random(53)
+    groups = {"small": [r.randrange(500) for _ in range(120)], "large": [r.randrange(10**6) for _ in range(3000)], "ties": [7] * 2000 + [9] * 900}
+    rows = [(g, b, x, 1) for g, xs in groups.items() for b in range(4) for x in xs[b::4]]
+    parts = quantiles.summarise(spark.createDataFrame(rows, "g string, b int, x long, w long"), ["g", "b"])
+    sure = Counter()
+    for keys, frame in ((["g", "b"], parts), (["g"], quantiles.merge(parts, ["g"]))):
+        for t in quantiles.answers(frame, keys).collect():
+            xs = sorted(groups[t["g"]][t["b"] :: 4] if "b" in keys else groups[t["g"]])
+            below, upto = brute_counts(xs, t["answer"])
+            assert t["exact_x"] in (None, xs[t["target"] - 1]) and t["n_below"] in (None, below) and t["n_upto"] in (None, upto)
+            sure[len(keys), t["g"]] += None not in (t["exact_x"], t["n_below"], t["n_upto"])
+    assert all(sure[2, g] == 36 for g in groups) and sure[1, "small"] == sure[1, "ties"] == 9 and sure[1, "large"] < 9
+
+
+def test_only_doubtful_groups_are_selected_again(spark, monkeypatch):
+    """The pass over all numbers that settles merged answers takes no group whose batches' summaries settle them."""
+    import zlib
+
+    r = random.Random(54)
+    # Clients 60 to 69 have 450 clicks each, which a task takes whole, and 99 has 1500, which is narrowed; the others' batches keep all.
+    clicks = [(i, i % 30 if i < 3000 else 60 + i % 10 if i < 7500 else 99, round(r.lognormvariate(3, 2), 2)) for i in range(9000)]
+    frames = [spark.createDataFrame(clicks, "click_id long, client_id long, value double"), spark.createDataFrame([], "item_id long, vendor_id long"), spark.createDataFrame([], "item_id long, brand string, price double")]
+    selected, select = [], quantiles.select
+    monkeypatch.setattr(quantiles, "select", lambda numbers, keys, *a, **k: selected.append((keys, select(numbers, keys, *a, **k))) or selected[-1][1])
+    was = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        got = [t for t in quantiles.stream_quantiles(*frames).collect() if t["batch"] == -1]
+        again = [[t["grp"] for t in f.collect()] for keys, f in selected if "batch" not in keys]
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", was)
+    groups = defaultdict(list)
+    for i, c, v in clicks:
+        groups[str(c)].append(math.floor(100 * v + 0.5) + 1000 * (zlib.crc32(str(i).encode()) % 8))
+    assert len(got) == 41 * 9
+    for t in got:
+        xs = sorted(groups[t["grp"]])
+        assert t["exact_x"] == xs[t["target"] - 1] and (t["n_below"], t["n_upto"]) == brute_counts(xs, t["answer"])
+    assert len(again) == 1 and sorted(again[0]) == [*map(str, range(60, 70)), "99"]
+
+
 def test_quantiles_of_nothing(spark):
     frames = [spark.createDataFrame([], "click_id long, client_id long, value double"), spark.createDataFrame([], "item_id long, vendor_id long"), spark.createDataFrame([], "item_id long, brand string, price double")]
     assert quantiles.stream_quantiles(*frames).count() == 0
